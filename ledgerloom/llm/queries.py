@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, exact_dedup
+import public_tokenizers
+
+from ledgerloom.llm import bpe, chat, exact_dedup, packing, quality_fm
 from ledgerloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,14 +20,45 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    pieces = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(chat.render(turns.unionByName(chat.hard_conversation(spark))))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bpe.encode_documents(read_table(spark, sf_dir, "documents"), path)
+    return bpe.decode_documents(encoded, path).select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    scored = quality_fm.score(docs, quality_fm.train(docs, labels))
+    return scored.select(
+        F.col("row.doc_id").alias("doc_id"),
+        quality_fm.held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= quality_fm.THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_packing": op5_packing,
     "op6_chat_format": op6_chat_format,
+    "op7_bpe": op7_bpe,
+    "op10_quality": op10_quality,
 }
 
 ORACLE: dict[str, str] = {
