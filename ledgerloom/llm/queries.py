@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from ledgerloom.llm import bpe, chat, exact_dedup, packing, quality_fm
+from ledgerloom.llm import bpe, chat, exact_dedup, minhash, packing, quality_fm, rabitq
 from ledgerloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return rabitq.link_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     pieces = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -42,6 +47,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     scored = quality_fm.score(docs, quality_fm.train(docs, labels))
@@ -55,9 +65,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_rabitq": op4_rabitq,
     "op5_packing": op5_packing,
     "op6_chat_format": op6_chat_format,
     "op7_bpe": op7_bpe,
+    "op8_minhash": op8_minhash,
     "op10_quality": op10_quality,
 }
 
