@@ -9,12 +9,23 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from ledgerloom.llm import bpe, chat, exact_dedup, minhash, packing, quality_fm, rabitq
+from ledgerloom.llm import bpe, chat, exact_dedup, minhash, packing, quality_fm, rabitq, suffix_dedup
 from ledgerloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return exact_dedup.find_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -64,6 +75,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_rabitq": op4_rabitq,
     "op5_packing": op5_packing,
