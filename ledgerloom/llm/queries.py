@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from ledgerloom.llm import bpe, chat, exact_dedup, minhash, packing, quality_fm, rabitq, suffix_dedup
+from ledgerloom.llm import bpe, chat, exact_dedup, minhash, packing, quality_fm, rabitq, recompression, suffix_dedup
 from ledgerloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,11 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = recompression.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", (F.col("n_words") - F.col("n_kept")).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     scored = quality_fm.score(docs, quality_fm.train(docs, labels))
@@ -82,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op6_chat_format": op6_chat_format,
     "op7_bpe": op7_bpe,
     "op8_minhash": op8_minhash,
+    "op9_recompression": op9_recompression,
     "op10_quality": op10_quality,
 }
 
