@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from ledgerloom.llm import bpe, chat, exact_dedup, minhash, packing, quality_fm, rabitq, recompression, suffix_dedup
+from ledgerloom.llm import bpe, chat, ctw, exact_dedup, minhash, packing, quality_fm, rabitq, recompression, suffix_dedup
 from ledgerloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return exact_dedup.find_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -81,6 +85,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_ctw": op2_ctw,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_rabitq": op4_rabitq,
     "op5_packing": op5_packing,
