@@ -31,7 +31,7 @@ from ledgerloom.llm.blocks import MAX_DOCUMENTS, NULL_ID, Block, bucket_count, p
 
 WINDOW, PIECE = 50, 20
 REACH = WINDOW - PIECE + 1
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 HOT_DOCUMENTS = 20_000
 BATCH_WINDOWS = 1 << 20
 KEY_BITS = 46
