@@ -23,7 +23,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import SPACE_CLASS, materialise, scratch_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; many small stores, so none reserves space ahead and each commit writes only what changed.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(column: str = "text") -> Column:
@@ -59,9 +64,9 @@ def digest_registry(arrivals: DataFrame, name: str = "exact-registry", bytes_per
     def publish(batch: DataFrame, number: int) -> None:
         batch.withColumn("epoch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/epoch_dir={number}")
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_CONF}
+    for key, value in STATE_CONF.items():
+        spark.conf.set(key, value)
     try:
         state = (
             spark.readStream.schema(arrivals.schema)
@@ -83,10 +88,11 @@ def digest_registry(arrivals: DataFrame, name: str = "exact-registry", bytes_per
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     schema = "digest binary, keep_id long, group_size long, locator string, epoch long"
     empty = spark.createDataFrame([], schema)
     if not query.recentProgress or not any(p["numInputRows"] for p in query.recentProgress):
