@@ -26,7 +26,7 @@ from ledgerloom.llm.common import ship_package
 
 #: Fixed value: how byte-level vocabularies split text into words before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 NEVER = 1 << 40
 
 
@@ -200,8 +200,8 @@ def vocabulary(path: str) -> Bpe:
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (binary, little-endian unsigned 32-bit), one row per document."""
+def encode_documents(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (binary, little-endian unsigned 32-bit), one row per document; also the ids decoded again if asked for."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,10 +209,13 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"].tolist()]
             for lo in range(0, len(texts), 512):
-                part = texts[lo : lo + 512]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[lo : lo + 512], "ids": bpe.encode_batch(part)})
+                ids = bpe.encode_batch(texts[lo : lo + 512])
+                again = {"decoded": [bpe.decode(x) for x in ids]} if decoded else {}
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[lo : lo + 512], "ids": ids, **again})
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType())])
+    if decoded:
+        schema.add("decoded", T.StringType())
     return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
