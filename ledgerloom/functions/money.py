@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.lineage import cut
+
 WIDE = "decimal(38,0)"
 BINS = 1024
 
@@ -30,8 +32,10 @@ def apportion(df: DataFrame, group: list[str], amount: str, weight: str, tie: st
 
     Each row gets the whole part of its share; the cents left over go to the largest remainders, ties by ``tie``. A group
     without weight gets ``empty``. Groups may hold very many rows: totals are combined before the shuffle, remainders are
-    counted in bins, and only the rows of one bin of one group are ordered together.
+    counted in bins, and only the rows of one bin of one group are ordered together. The input is written once, because
+    totals, bins and shares each read it.
     """
+    df = cut(df, "apportion")
     total = df.groupBy(*group).agg(F.sum(F.col(weight).cast(WIDE)).alias("_total"))
     parts = (
         df.join(total, group)

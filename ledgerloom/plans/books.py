@@ -1,4 +1,8 @@
-"""The named nodes of the accounting graph, built lazily over one snapshot; each is planned once however many consumers it has."""
+"""The named nodes of the accounting graph over one snapshot.
+
+Nodes are built when first asked for. Those with several consumers are written once to the shared folder, so no plan
+holds a ledger more than once and a lost executor costs a file read.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +13,11 @@ from pyspark.sql import DataFrame
 
 from ledgerloom.operators import accounting, entities, ledgers, metrics
 from ledgerloom.plans import context
+from ledgerloom.plans.lineage import cut
 
 
 class Books:
-    """Nodes are properties; Spark sees one plan for each output, and columns nobody asks for are pruned at the scan."""
+    """Nodes are properties; each output is one plan over the nodes written so far, with columns pruned at their scans."""
 
     def __init__(self, act: DataFrame, asof: dt.date, known_at: dt.datetime | None = None, watermark: int | None = None) -> None:
         self.spark = act.sparkSession
@@ -89,7 +94,8 @@ class Books:
 
     @cached_property
     def recognized(self) -> DataFrame:
-        return accounting.recognized(self.invoice_amounts, self.expiry_amounts, self.credit_amounts, self.subscription_amounts, self.ctx)
+        lines = accounting.recognized(self.invoice_amounts, self.expiry_amounts, self.credit_amounts, self.subscription_amounts, self.ctx)
+        return cut(lines, "recognized")
 
     @cached_property
     def journals(self) -> DataFrame:
@@ -97,7 +103,7 @@ class Books:
 
     @cached_property
     def identity(self) -> DataFrame:
-        return entities.customer_identity(self.snap)
+        return cut(entities.customer_identity(self.snap), "identity")
 
     @cached_property
     def timeline(self) -> DataFrame:
@@ -122,11 +128,12 @@ class Books:
     @cached_property
     def tokens(self) -> DataFrame:
         weights = context.allocation(self.spark)
-        return ledgers.token_ledger(self.usage, self.models, weights, self.identity, self.invoices, self.recognized, self.invoice_amounts, self.compute)
+        rows = ledgers.token_ledger(self.usage, self.models, weights, self.identity, self.invoices, self.recognized, self.invoice_amounts, self.compute)
+        return cut(rows, "tokens")
 
     @cached_property
     def seats(self) -> DataFrame:
-        return ledgers.seat_ledger(self.subscription_events, self.ctx, self.revenue)
+        return cut(ledgers.seat_ledger(self.subscription_events, self.ctx, self.revenue), "seats")
 
     @cached_property
     def trials(self) -> DataFrame:

@@ -53,8 +53,8 @@ CTES: dict[str, str] = {
     "jl": """SELECT activity_id, customer, month, account, amount_cents::BIGINT AS amount_cents FROM jr WHERE amount_cents <> 0""",
     "site": """SELECT r_regionkey AS r, u.p AS purpose, (r_regionkey + 1) * CASE WHEN u.p = 'inference' THEN 10 ELSE 5 END AS mw, 50 + 5 * r_regionkey AS rate FROM region, (VALUES ('inference'), ('training')) u(p) WHERE r_regionkey < 3""",
     "comp": """SELECT 'capacity' AS row_kind, 'cap:' || r || ':' || purpose AS activity_id, 'cap:' || r || ':' || purpose AS capacity_id, month, 'p' || r AS provider, 'r' || r AS region, purpose, NULL::VARCHAR AS model,
-            mw * 24.0 * date_diff('day', month, month_end) AS contracted, mw * 24.0 * date_diff('day', month, month_end) * CASE WHEN month < DATE '1995-07-01' THEN 0.35 WHEN month < DATE '1996-01-01' THEN 0.7 ELSE 1 END AS energized, 0.0 AS consumed, 0::BIGINT AS cost_cents FROM site, cal
-        UNION ALL SELECT 'consumption', 'use:' || r || ':' || purpose || ':' || month, 'cap:' || r || ':' || purpose, month, 'p' || r, 'r' || r, purpose, 'g' || least(5, year(month) - 1994), 0.0, 0.0, mw * 12.0 * date_diff('day', month, month_end), (mw * 12 * date_diff('day', month, month_end) * rate * 100)::BIGINT FROM site, cal""",
+            mw::DOUBLE * 24 * date_diff('day', month, month_end) AS contracted, mw::DOUBLE * 24 * date_diff('day', month, month_end) * CASE WHEN month < DATE '1995-07-01' THEN 0.35 WHEN month < DATE '1996-01-01' THEN 0.7 ELSE 1 END AS energized, 0::DOUBLE AS consumed, 0::BIGINT AS cost_cents FROM site, cal
+        UNION ALL SELECT 'consumption', 'use:' || r || ':' || purpose || ':' || month, 'cap:' || r || ':' || purpose, month, 'p' || r, 'r' || r, purpose, 'g' || least(5, year(month) - 1994), 0::DOUBLE, 0::DOUBLE, mw::DOUBLE * 12 * date_diff('day', month, month_end), (mw * 12 * date_diff('day', month, month_end) * rate * 100)::BIGINT FROM site, cal""",
     "w": """SELECT tok.*, tokens::HUGEINT * CASE token_type WHEN 'input' THEN 20000000 WHEN 'output' THEN 80000000 WHEN 'cache_read' THEN 3000000 ELSE 25000000 END * (4 ** (substr(model, 2)::INT - 1))::BIGINT // (5 ** (substr(model, 2)::INT - 1))::BIGINT AS energy,
         coalesce((SELECT sum(revenue_cents) FROM rec WHERE rec.recognition_kind = 'usage' AND rec.source_document = 'i' || substr(tok.batch, 2) AND rec.month = tok.month), 0)::HUGEINT AS rev,
         coalesce((SELECT fee FROM fund WHERE fund.batch = tok.batch), 0)::HUGEINT AS fee, coalesce((SELECT sum(cost_cents) FROM comp WHERE comp.purpose = 'inference' AND comp.model = tok.model AND comp.month = tok.month), 0)::HUGEINT AS cost FROM tok""",
@@ -110,6 +110,12 @@ def per_mtok(cut: str) -> str:
         sum(net_revenue_cents) * 10000.0::DOUBLE / sum(tokens) AS net_of_discounts_and_fees_per_mtok, sum(net_revenue_cents + channel_fee_cents) * 10000.0::DOUBLE / sum(tokens) AS net_of_discounts_per_mtok FROM tl GROUP BY ALL""")
 
 
+STEPS = """WITH r AS (SELECT 'u' || user_id AS account, event_type AS token_kind, ts, event_id AS source_line, CASE WHEN event_id % 53 = 0 THEN NULL WHEN event_id % 41 = 0 THEN 0 ELSE (sum(round(value * 100)::BIGINT) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id))::BIGINT END AS quantity FROM events),
+    s AS (SELECT *, lag(quantity) OVER w AS previous, lag(ts) OVER w AS pts FROM r WINDOW w AS (PARTITION BY account, token_kind ORDER BY ts, source_line)),
+    t AS (SELECT *, CASE WHEN pts IS NULL THEN 'opening_balance' WHEN pts < TIMESTAMP '2024-01-15' THEN 'crosses_window_boundary' WHEN quantity IS NULL OR previous IS NULL THEN 'missing_counter' WHEN quantity < previous THEN 'counter_reset' ELSE 'observed' END AS status
+        FROM s WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-02-01'),
+    steps AS (SELECT account, token_kind, source_line, quantity, previous, status, CASE WHEN status = 'observed' THEN quantity - previous END AS growth FROM t)"""
+
 ORACLE: dict[str, str] = {
     "net_rev_per_mtok": per_mtok("model"),
     "net_rev_per_mtok_segment": per_mtok("segment, channel"),
@@ -160,4 +166,21 @@ ORACLE: dict[str, str] = {
     "customer_cohorts": sql("""SELECT q.e AS month, threshold_cents, count(*) FILTER (WHERE revenue_cents > threshold_cents) AS customers, coalesce(sum(revenue_cents) FILTER (WHERE revenue_cents > threshold_cents), 0)::BIGINT AS cohort_revenue_cents, coalesce(sum(revenue_cents), 0)::BIGINT AS total_revenue_cents,
         coalesce(sum(revenue_cents) FILTER (WHERE revenue_cents > threshold_cents), 0)::DOUBLE / nullif(sum(revenue_cents), 0) AS net_revenue_share FROM (SELECT (month_end - 1)::DATE AS e FROM cal WHERE month(month) % 3 = 0 AND month_end >= DATE '1996-01-01') q CROSS JOIN th LEFT JOIN qr ON qr.quarter_end = q.e GROUP BY ALL"""),
     "cohort_members": sql("SELECT quarter_end AS month, ultimate_parent, revenue_cents, threshold_cents FROM qr, th WHERE revenue_cents > threshold_cents"),
+    "usage_intervals": STEPS + " SELECT * FROM steps",
+    "usage_tokens": STEPS + """ SELECT account, token_kind, count(*) AS intervals, count(*) FILTER (WHERE status IN ('counter_reset', 'missing_counter')) AS unknown_intervals,
+        CASE WHEN count(*) FILTER (WHERE status IN ('counter_reset', 'missing_counter')) = 0 THEN coalesce(sum(growth), 0)::BIGINT END AS growth,
+        CASE WHEN count(*) FILTER (WHERE status IN ('counter_reset', 'missing_counter')) = 0 THEN 'observed' ELSE 'incomplete' END AS status FROM steps GROUP BY account, token_kind""",
+    "customer_history": sql("""SELECT customer, CASE WHEN k % 5 = 4 THEN 'c' || (k // 5) END AS parent, DATE '1995-01-01' AS valid_from, CASE WHEN k % 50 = 7 AND k >= 57 THEN DATE '1999-06-15' END AS valid_to FROM cus
+        UNION ALL SELECT customer, 'c' || (k - 50), DATE '1999-06-15', NULL FROM cus WHERE k % 50 = 7 AND k >= 57"""),
+    "dim_contract": sql("SELECT activity_id, customer, contract_id, channel, first AS valid_from, stop AS valid_to, CASE WHEN y < 2001 THEN stop END AS next_start FROM con"),
+    "late_arrivals": sql("""SELECT 'inv:' || o AS activity_id, 'usage_invoiced' AS activity, TRUE AS visible FROM ord WHERE o % 18 = 0 AND month = DATE '2001-06-01' AND o IN (SELECT l_orderkey FROM lineitem)
+        UNION ALL SELECT 'cred:' || o, 'credit_issued', FALSE FROM ord WHERE o % 67 = 0 AND month = DATE '2001-06-01' AND o IN (SELECT l_orderkey FROM lineitem)"""),
+    "customer_month": sql("""SELECT who.customer, who.ultimate_parent, who.segment, who.channel, calendar.month, calendar.days, coalesce(r.n, 0)::BIGINT AS net_revenue_cents, coalesce(r.c, 0)::BIGINT AS consumption_cents, coalesce(r.s, 0)::BIGINT AS subscription_cents,
+        coalesce(r.d, 0)::BIGINT AS credit_cents, coalesce(r.x, 0)::BIGINT AS commit_expiry_cents, coalesce(u.tokens, 0)::BIGINT AS tokens, coalesce(z.b, 0)::BIGINT AS beginning_seats, coalesce(z.e, 0)::BIGINT AS ending_seats, coalesce(z.sd, 0)::BIGINT AS seat_days, coalesce(z.ad, 0)::BIGINT AS account_days
+        FROM who CROSS JOIN calendar LEFT JOIN (SELECT customer, month, sum(revenue_cents) AS n, sum(revenue_cents) FILTER (WHERE family = 'consumption') AS c, sum(revenue_cents) FILTER (WHERE family = 'subscription') AS s, sum(revenue_cents) FILTER (WHERE family = 'credit') AS d, sum(revenue_cents) FILTER (WHERE family = 'commit_expiry') AS x FROM fam GROUP BY ALL) r ON r.customer = who.customer AND r.month = calendar.month
+        LEFT JOIN (SELECT customer, month, sum(tokens) AS tokens FROM tok GROUP BY ALL) u ON u.customer = who.customer AND u.month = calendar.month
+        LEFT JOIN (SELECT customer, month, sum(beginning_seats) AS b, sum(ending_seats) AS e, sum(seat_days) AS sd, sum(account_days) AS ad FROM sl GROUP BY ALL) z ON z.customer = who.customer AND z.month = calendar.month"""),
+    "data_controls": """SELECT unnest(['duplicate_invoice', 'duplicate_contract', 'duplicate_credit', 'duplicate_expiry', 'invalid_invoice', 'orphan_credit', 'invalid_expiry', 'nonmonthly_subscription', 'unique_customer_creation', 'parent_graph_resolves', 'parents_exist',
+        'financial_customer_exists', 'one_invoice_per_batch', 'paid_state_has_start', 'overlapping_subscriptions', 'meters_match_contracts', 'unique_capacity_documents', 'token_population_complete', 'token_population_unique', 'token_revenue_reconciles', 'token_cost_reconciles',
+        'batch_has_one_customer', 'unique_model', 'subscription_reconciles', 'seat_rollforward', 'revenue_has_exposure', 'unique_trials', 'journals_balance', 'recognized_equals_revenue_accounts']) AS reason, 0::BIGINT AS failures""",
 }

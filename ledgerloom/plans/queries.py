@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import accounting, metrics
+from ledgerloom.operators import accounting, checks, entities, metrics, usage
 from ledgerloom.plans.books import Books
-from ledgerloom.sources.testdata import activity_stream
+from ledgerloom.sources.testdata import activity_stream, usage_stream
 
 ASOF = dt.date(2001, 7, 31)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,27 @@ def _lines(b: Books) -> DataFrame:
     return b.recognized.withColumn("upstream", F.array_join("upstream_ids", ",")).drop("_source", "upstream_ids")
 
 
+def _dates(df: DataFrame) -> DataFrame:
+    """Times as dates: the engines print zoned times differently."""
+    return df.select(*[F.col(c).cast("date").alias(c) if kind == "timestamp" else F.col(c) for c, kind in df.dtypes])
+
+
+def late_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activities of the reported year's first half recorded after it."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    stamp = lambda text: F.lit(text).cast("timestamp")
+    rows = checks.late_arrivals(activity_stream(spark, sf_dir), stamp("2001-01-01"), stamp("2001-07-01"), stamp("2001-07-12"))
+    return rows.select("activity_id", "activity", "visible")
+
+
+def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counter steps of the second half of January."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    utc = dt.timezone.utc
+    found = usage.usage_intervals(usage_stream(spark, sf_dir), dt.datetime(2024, 1, 15, tzinfo=utc), dt.datetime(2024, 2, 1, tzinfo=utc))
+    return found.select("account", "token_kind", "source_line", "quantity", "previous", "status", "growth")
+
+
 def _power(df: DataFrame) -> DataFrame:
     return df.drop("_source").withColumns({c: F.col(c).cast("double") for c in ("contracted_mwh_capacity", "energized_mwh_capacity", "consumed_mwh")})
 
@@ -64,4 +85,12 @@ QUERIES: dict[str, Query] = {
     "subscriptions": over_books(lambda b: metrics.subscriptions(b.seats, b.trials)),
     "customer_cohorts": over_books(lambda b: metrics.customer_cohorts(b.cohort_revenue, b.calendar, b.thresholds, b.ctx)),
     "cohort_members": over_books(lambda b: metrics.cohort_members(b.cohort_revenue, b.thresholds)),
+    "data_controls": over_books(checks.all_errors),
+    "customer_history": over_books(lambda b: _dates(entities.customer_history(b.snap))),
+    "customer_timeline": over_books(lambda b: _dates(b.timeline)),
+    "customer_month": over_books(lambda b: b.customer_month),
+    "dim_contract": over_books(lambda b: entities.dim_contract(b.snap).drop("_source")),
+    "late_arrivals": lambda spark, sf_dir: late_arrivals(spark, sf_dir),
+    "usage_intervals": lambda spark, sf_dir: counters(spark, sf_dir),
+    "usage_tokens": lambda spark, sf_dir: usage.usage_tokens(counters(spark, sf_dir)),
 }
