@@ -53,8 +53,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = bpe.encode_documents(read_table(spark, sf_dir, "documents"), path)
-    return bpe.decode_documents(encoded, path).select(
+    encoded = bpe.encode_documents(read_table(spark, sf_dir, "documents"), path, decoded=True)
+    return encoded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -120,4 +120,31 @@ ORACLE: dict[str, str] = {
                sum(length('<s>[INST] ' || role || ' [/INST]') + body + length('</s>'))::BIGINT AS formatted_chars
         FROM f GROUP BY conv_id
     """,
+    "op4_rabitq": r"""
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        l AS (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        r(i, j) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.i, l.j FROM r JOIN l ON l.i = r.j)
+        SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.i = v.vec_id) AS n_links, c.low AS component_id, c.low = v.vec_id AS kept
+        FROM v JOIN (SELECT i, min(j) AS low FROM r GROUP BY i) c ON c.i = v.vec_id
+    """,
+    "op8_minhash": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        g AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS s FROM w, range(1, 100000) t(i) WHERE i <= greatest(len(ws) - 4, least(len(ws), 1))),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT i, j FROM p JOIN n a ON a.doc_id = i JOIN n b ON b.doc_id = j WHERE 100 * c >= 75 * (a.n + b.n - c)),
+        r(i, j) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.i, l.j FROM r JOIN l ON l.i = r.j)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.low AS component_id, c.low = w.doc_id AS kept
+        FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT i, min(j) AS low FROM r GROUP BY i) c ON c.i = w.doc_id
+    """,
+    "op9_recompression": r"""
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+        win AS (SELECT doc_id, p, array_to_string(ws[p : p + 12], ' ') AS s FROM w JOIN t USING (doc_id) WHERE p <= len(ws) - 12),
+        low AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+        gone AS (SELECT DISTINCT doc_id, p + k AS p FROM win JOIN low USING (s), range(13) r(k) WHERE m < doc_id),
+        k AS (SELECT t.doc_id, count(*) FILTER (WHERE gone.p IS NOT NULL) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY t.p) FILTER (WHERE gone.p IS NULL), '') AS kept
+            FROM t LEFT JOIN gone ON gone.doc_id = t.doc_id AND gone.p = t.p GROUP BY t.doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+    """,
 }
