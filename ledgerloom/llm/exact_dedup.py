@@ -47,6 +47,7 @@ def _narrow(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
         digest(text).alias("digest"),
         F.octet_length(text).cast("long").alias("n_bytes"),
         F.input_file_name().alias("locator"),
+        *([] if digest is sha256_bytes else [sha256_bytes(text).alias("sha")]),
     )
 
 
@@ -132,7 +133,7 @@ def find_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256_byt
         "digest",
         "n_bytes",
         "keep_locator",
-        F.lit(None).cast("string").alias("norm"),
+        F.col("digest" if digest is sha256_bytes else "sha").alias("sha"),
     )
     # Rows of digests that different texts share: grouped by the text.
     odd = keyed.join(differing, "digest", "left_semi")
@@ -146,11 +147,10 @@ def find_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256_byt
         "digest",
         F.octet_length("norm").cast("long").alias("n_bytes"),
         F.lit(None).cast("string").alias("keep_locator"),
-        "norm",
+        sha256_bytes(F.col("norm")).alias("sha"),
     )
     rows = same.unionByName(odd)
-    hexed = F.lower(F.hex("digest")) if digest is sha256_bytes else F.sha2(F.col("norm"), 256)
-    return rows.select("doc_id", "keep_id", "group_size", "kept", hexed.alias("text_sha256"), "n_bytes", "keep_locator")
+    return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), "n_bytes", "keep_locator")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
