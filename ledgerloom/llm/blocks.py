@@ -25,12 +25,15 @@ MAX_DOCUMENTS = 1 << 17
 BLOCK_SCHEMA = "block long, ids binary, sizes binary, data binary, extra binary"
 
 
+_press, _open = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return _press.compress(data)
 
 
 def unpack(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    return _open.decompress(data)
 
 
 def pack_sorted(values: np.ndarray) -> bytes:

@@ -22,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,8 +36,8 @@ from ledgerloom.llm.recompression import spread
 from ledgerloom.llm.suffix_dedup import part_bytes
 
 DEPTH, END = 5, 0xFF
-BLOCK_BYTES = 8 << 20
-DENSE = 1 << 26
+BLOCK_BYTES = 4 << 20
+DENSE = 1 << 27
 FOLDS, HELD_OUT = 7, 2
 
 
@@ -48,13 +49,19 @@ def ranked(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(number of each code among the distinct ones, the distinct ones in order)."""
     if size > DENSE:
         distinct, number = np.unique(code, return_inverse=True)
-        return number.astype(np.int64), distinct
+        return number.astype(np.int32), distinct
     seen = np.zeros(size, bool)
     seen[code] = True
     distinct = np.flatnonzero(seen)
-    table = np.zeros(size, np.int32)
-    table[distinct] = np.arange(len(distinct))
-    return table[code].astype(np.int64), distinct
+    table = np.empty(size, np.int32)
+    table[distinct] = np.arange(len(distinct), dtype=np.int32)
+    return table[code], distinct
+
+
+def joined(high: np.ndarray, low: np.ndarray, size: int, base: int) -> np.ndarray:
+    """high * base + low, in 32 bits if that holds ``size`` codes."""
+    kind = np.int32 if size <= np.iinfo(np.int32).max else np.int64
+    return high.astype(kind, copy=False) * kind(base) + low
 
 
 class Strings:
@@ -67,24 +74,25 @@ class Strings:
         begin = block.start[:-1] + (DEPTH + 1) * np.arange(len(block.ids))
         for k in range(DEPTH):
             coded[begin + k] = False
-        self.row_end = block.start[1:] + (DEPTH + 1) * np.arange(len(block.ids)) + DEPTH + 1  # one past each text's end byte
-        at = np.flatnonzero(coded)
-        self.row_of = np.repeat(np.arange(len(block.ids)), block.sizes + 1)
-        # Pairs, then pairs of pairs, then byte by byte, each numbered densely: linear in the text.
-        pair = data[1:].astype(np.int64) << 8 | data[:-1]
-        pair_no, pairs = ranked(pair, 1 << 16)
-        four = pair_no[at - 2] * len(pairs) + pair_no[at - 4]
-        four_no, fours = ranked(four, len(pairs) ** 2)
-        value, number, count = pairs[fours // len(pairs)] << 16 | pairs[fours % len(pairs)], four_no, len(fours)
-        for k in [*range(5, DEPTH + 1), 0]:
-            number, found = ranked(number * 256 + data[at - k], count * 256)
-            value, count = value[found >> 8] << 8 | (found & 255), len(found)
-        gram = value.astype(np.uint64)
+        self.row_of = np.repeat(np.arange(len(block.ids), dtype=np.int32), block.sizes + 1)
+        # Pairs, then pairs of pairs, then byte by byte, each numbered densely: linear in the text. Strings that reach
+        # over a text's start are numbered too but never counted or asked for.
+        letter, letters = ranked(data, 256)
+        n = len(letters)
+        number, found = ranked(joined(letter[1:], letter[:-1], n * n, n), n * n)
+        value, count = letters[found // n] << 8 | letters[found % n], len(found)
+        number, found = ranked(joined(number[2:], number[:-2], count * count, count), count * count)
+        value, count = value[found // count] << 16 | value[found % count], len(found)
+        for k in range(4, DEPTH):
+            number, found = ranked(joined(number[1:], letter[: len(number) - 1], count * n, n), count * n)
+            value, count = value[found // n] << 8 | letters[found % n], len(found)
+        number, found = ranked(joined(number[:-1], letter[DEPTH:], count * n, n), count * n)
+        gram = (value[found // n] << 8 | letters[found % n]).astype(np.uint64)
         order = np.argsort(gram)
         self.gram = gram[order]
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.number = place[number]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.number = place[number[coded[DEPTH:]]]
 
 
 def word_table(block: Block) -> tuple[list[list[bytes]], dict[bytes, int], np.ndarray]:
@@ -302,11 +310,13 @@ def score_blocks(batches: Iterator[pd.DataFrame], buckets: int, tokens: int, dis
             words, number, _ = word_table(block)
             count = in_order(r.parts, np.int64)
             value, known = np.log10(count + 1.0) - base, count > 0
-            rows = []
-            for k, own in enumerate(words):
-                at = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
-                rows.append((len(own) + 1, int(known[at].sum()) + (ends > 0), float(value[at].sum() + np.log10(ends + 1.0) - base)))
-            out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score"])
+            sizes = np.array([len(own) for own in words], np.int64)
+            at = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            out = pd.DataFrame({
+                "n_tokens": sizes + 1, "n_known": np.bincount(row, known[at], len(sizes)).astype(np.int64) + (ends > 0),
+                "base_score": np.bincount(row, value[at], len(sizes)) + np.log10(ends + 1.0) - base,
+            })
             out["doc_id"] = pd.array([None if i == NULL_ID else i for i in block.ids.tolist()], "Int64")
             out["held_out"], out["train_tokens"], out["score"] = in_held_out(block.ids), tokens, score
             out["bits_per_byte"] = -score * np.log2(10) / (block.sizes + 1)
