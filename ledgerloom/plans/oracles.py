@@ -94,6 +94,9 @@ CTES: dict[str, str] = {
         coalesce(sum(CASE WHEN month >= DATE '2001-08-01' - to_months(n) THEN consumption_cents + CASE WHEN subs THEN subscription_cents ELSE 0 END END), 0)::BIGINT AS current_cents, any_value(times) AS times, any_value(floor) AS floor
         FROM lens3, (SELECT DISTINCT ultimate_parent FROM who) u LEFT JOIN pm ON pm.ultimate_parent = u.ultimate_parent GROUP BY lens, u.ultimate_parent""",
     "mem3": """SELECT lens, ultimate_parent, base_cents, current_cents, base_cents * times >= floor AS in_cohort FROM mem""",
+    "mem2": """SELECT lens, ultimate_parent, base_cents, current_cents, base_cents * times >= CASE lens WHEN 'floor_100k' THEN 10000000 ELSE 1000000 END AS in_cohort FROM mem""",
+    "late": """SELECT ord.o, ord.net, CASE WHEN channel <> 'direct' THEN ord.net * 5 // 100 ELSE 0 END AS fee, CASE WHEN channel = 'direct' AND ord.k % 3 = 0 THEN 'k' || ord.k || ':2001' END AS contract_id
+        FROM ord JOIN cus ON cus.k = ord.k WHERE ord.o % 18 = 0 AND month = DATE '2001-07-01' AND ord.o IN (SELECT l_orderkey FROM lineitem)""",
     "qr": """SELECT (q.month_end - 1)::DATE AS quarter_end, ultimate_parent, sum(net_revenue_cents)::BIGINT AS revenue_cents FROM cal q JOIN pm ON pm.month < q.month_end AND pm.month >= q.month_end - to_months(12)
         WHERE month(q.month) % 3 = 0 AND q.month_end >= DATE '1996-01-01' GROUP BY ALL""",
     "th": """SELECT unnest([10000000, 100000000, 1000000000])::BIGINT AS threshold_cents""",
@@ -183,4 +186,28 @@ ORACLE: dict[str, str] = {
     "data_controls": """SELECT unnest(['duplicate_invoice', 'duplicate_contract', 'duplicate_credit', 'duplicate_expiry', 'invalid_invoice', 'orphan_credit', 'invalid_expiry', 'nonmonthly_subscription', 'unique_customer_creation', 'parent_graph_resolves', 'parents_exist',
         'financial_customer_exists', 'one_invoice_per_batch', 'paid_state_has_start', 'overlapping_subscriptions', 'meters_match_contracts', 'unique_capacity_documents', 'token_population_complete', 'token_population_unique', 'token_revenue_reconciles', 'token_cost_reconciles',
         'batch_has_one_customer', 'unique_model', 'subscription_reconciles', 'seat_rollforward', 'revenue_has_exposure', 'unique_trials', 'journals_balance', 'recognized_equals_revenue_accounts']) AS reason, 0::BIGINT AS failures""",
+    "consumption_nrr_v2": sql("""SELECT DATE '2001-07-31' AS month, lens, 'defined' AS status, n AS cohort_customers, ab AS all_base_cents, b AS base_revenue_cents, c AS current_revenue_cents, e AS expansion_cents, d AS contraction_cents, g AS churn_cents,
+        c::DOUBLE / b AS nrr, e::DOUBLE / b AS expansion_share, d::DOUBLE / b AS contraction_share, g::DOUBLE / b AS churn_share, b::DOUBLE / ab AS cohort_revenue_coverage FROM (
+        SELECT lens, count(*) FILTER (WHERE in_cohort) AS n, sum(base_cents)::BIGINT AS ab, (sum(base_cents) FILTER (WHERE in_cohort))::BIGINT AS b, (sum(current_cents) FILTER (WHERE in_cohort))::BIGINT AS c,
+        (sum(greatest(current_cents - base_cents, 0)) FILTER (WHERE in_cohort))::BIGINT AS e, coalesce(sum(base_cents - current_cents) FILTER (WHERE in_cohort AND current_cents <> 0 AND base_cents > current_cents), 0)::BIGINT AS d,
+        coalesce(sum(base_cents) FILTER (WHERE in_cohort AND current_cents = 0), 0)::BIGINT AS g FROM mem2 GROUP BY lens)"""),
+    "newly_visible": sql("""SELECT 'inv:' || o AS activity_id, 'usage_invoiced' AS activity, customer FROM ord WHERE o % 18 = 0 AND month = DATE '2001-07-01' AND o IN (SELECT l_orderkey FROM lineitem)"""),
+    "account_bridge": sql("""SELECT DATE '2001-07-01' AS month, account, delta_cents::BIGINT AS delta_cents FROM (SELECT unnest(['2100', '1100', '4000', '4095']) AS account, unnest([d, n - d - f, -n, f]) AS delta_cents FROM (
+        SELECT (SELECT coalesce(sum(net), 0) FROM late) AS n, (SELECT coalesce(sum(fee), 0) FROM late) AS f, (SELECT coalesce(sum(least(20000000, was + more) - least(20000000, was)), 0) FROM (
+        SELECT late.contract_id, sum(late.net) AS more, coalesce(any_value(e.was), 0) AS was FROM late LEFT JOIN (SELECT contract_id, sum(net) AS was FROM inv WHERE contract_id IS NOT NULL GROUP BY 1) e ON e.contract_id = late.contract_id WHERE late.contract_id IS NOT NULL GROUP BY 1)) AS d)) WHERE delta_cents <> 0"""),
+    "invoice_amounts": sql("""SELECT activity_id, m AS month, days, lo, hi, ((2 * net * hi + days) // (2 * days) - (2 * net * lo + days) // (2 * days))::BIGINT AS net, ((2 * fee * hi + days) // (2 * days) - (2 * fee * lo + days) // (2 * days))::BIGINT AS fee,
+        ((2 * draw * hi + days) // (2 * days) - (2 * draw * lo + days) // (2 * days))::BIGINT AS draw FROM (SELECT activity_id, net::HUGEINT AS net, fee::HUGEINT AS fee, draw::HUGEINT AS draw, (month + to_months(i::INT))::DATE AS m, date_diff('day', month, (month + to_months(3))::DATE)::BIGINT AS days,
+        date_diff('day', month, (month + to_months(i::INT))::DATE)::BIGINT AS lo, date_diff('day', month, (month + to_months(i::INT + 1))::DATE)::BIGINT AS hi FROM fund, range(3) t(i)) WHERE m < DATE '2001-08-01'"""),
+    "dim_model": sql("SELECT * FROM mdl"),
+    "nrr_sensitivity": sql("""SELECT DATE '2001-07-31' AS month, lens, nrr, max(nrr) FILTER (WHERE lens = 'base_t12m') OVER () AS headline_nrr, (nrr - max(nrr) FILTER (WHERE lens = 'base_t12m') OVER ()) * 100 AS difference_pp FROM (
+        SELECT lens, (sum(current_cents) FILTER (WHERE in_cohort))::DOUBLE / sum(base_cents) FILTER (WHERE in_cohort) AS nrr FROM mem3 GROUP BY lens)"""),
+    "yield_summary": sql("""SELECT sum(tokens)::BIGINT AS tokens, sum(net_revenue_cents)::BIGINT AS net_revenue_cents, sum(channel_fee_cents)::BIGINT AS channel_fee_cents, round(sum(net_revenue_cents) * 10000.0::DOUBLE / sum(tokens), 12) AS after_fees_per_mtok,
+        round(sum(net_revenue_cents + channel_fee_cents) * 10000.0::DOUBLE / sum(tokens), 12) AS before_fees_per_mtok FROM tl WHERE month = DATE '2001-06-01'"""),
+    "stg_contracts": sql("SELECT activity_id, customer, contract_id, channel, 12::INT AS term_months, 20000000::BIGINT AS commit_cents, first AS start, stop AS \"end\" FROM con"),
+    "stg_invoices": sql("SELECT activity_id, customer, invoice_id, batch AS usage_batch_id, contract_id, month AS period_start, month_end AS period_end, net AS gross_cents, 0::BIGINT AS discount_cents, net AS net_cents, fee::BIGINT AS fee_cents, channel FROM inv"),
+    "stg_credits": sql("SELECT activity_id, customer, credit_id, invoice_id, month AS period, amount FROM cred"),
+    "stg_expiries": sql("SELECT activity_id, customer, contract_id FROM ended"),
+    "stg_usage": sql("SELECT activity_id, customer, month, batch AS usage_batch_id, model, token_type, channel, workload, tokens, rated AS rated_cents FROM tok"),
+    "stg_subscription_events": sql("SELECT activity_id, customer, sid AS subscription_id, kind AS activity, plan, seats::BIGINT AS paid_seats, rank::INT AS priority FROM state"),
+    "stg_customers": sql("SELECT customer, segment, channel, country, CASE WHEN k % 5 = 4 THEN 'c' || (k // 5) END AS parent_customer FROM cus"),
 }

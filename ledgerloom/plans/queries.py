@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import accounting, checks, entities, metrics, usage
+from ledgerloom.operators import accounting, checks, compare, entities, metrics, usage
+from ledgerloom.plans import context
 from ledgerloom.plans.books import Books
 from ledgerloom.sources.testdata import activity_stream, usage_stream
 
@@ -53,6 +54,31 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("account", "token_kind", "source_line", "quantity", "previous", "status", "growth")
 
 
+LATER = dt.datetime(2001, 8, 15, tzinfo=dt.timezone.utc)
+
+
+def newly_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a knowledge cutoff two weeks after the close adds to the same economic date."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    act = activity_stream(spark, sf_dir)
+    return compare.newly_visible(context.snapshot(act, ASOF), context.snapshot(act, ASOF, LATER)).select("activity_id", "activity", "customer")
+
+
+def account_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts moved by what became known in the two weeks after the close."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    act = activity_stream(spark, sf_dir)
+    old, new = (accounting.close_accounts(Books(act, ASOF, known).journals) for known in (None, LATER))
+    return compare.account_bridge(old, new)
+
+
+def invoice_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Straight-line shares of invoices that cover three months of service."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    amounts = Books(activity_stream(spark, sf_dir, service_months=3), ASOF).invoice_amounts
+    return amounts.select("activity_id", "month", "days", "lo", "hi", "net", "fee", "draw")
+
+
 def _power(df: DataFrame) -> DataFrame:
     return df.drop("_source").withColumns({c: F.col(c).cast("double") for c in ("contracted_mwh_capacity", "energized_mwh_capacity", "consumed_mwh")})
 
@@ -93,4 +119,18 @@ QUERIES: dict[str, Query] = {
     "late_arrivals": lambda spark, sf_dir: late_arrivals(spark, sf_dir),
     "usage_intervals": lambda spark, sf_dir: counters(spark, sf_dir),
     "usage_tokens": lambda spark, sf_dir: usage.usage_tokens(counters(spark, sf_dir)),
+    "newly_visible": newly_visible,
+    "account_bridge": account_bridge,
+    "invoice_amounts": invoice_amounts,
+    "dim_model": over_books(lambda b: b.models.drop("released_at")),
+    "consumption_nrr_v2": over_books(lambda b: b.nrr("v2")),
+    "nrr_sensitivity": over_books(lambda b: metrics.nrr_sensitivity(b.nrr())),
+    "yield_summary": over_books(lambda b: metrics.yield_summary(metrics.net_rev_per_mtok(b.tokens, ["model"]), F.lit(dt.date(2001, 6, 1)))),
+    "stg_contracts": over_books(lambda b: b.contracts.select("activity_id", "customer", "contract_id", "channel", "term_months", "commit_cents", "start", "end")),
+    "stg_invoices": over_books(lambda b: b.invoices.select("activity_id", "customer", "invoice_id", "usage_batch_id", "contract_id", "period_start", "period_end", "gross_cents", "discount_cents", "net_cents", "fee_cents", "channel")),
+    "stg_credits": over_books(lambda b: b.credits.select("activity_id", "customer", "credit_id", "invoice_id", "period", "amount")),
+    "stg_expiries": over_books(lambda b: b.expiries.select("activity_id", "customer", "contract_id")),
+    "stg_usage": over_books(lambda b: b.usage.select("activity_id", "customer", "month", "usage_batch_id", "model", "token_type", "channel", "workload", "tokens", "rated_cents")),
+    "stg_subscription_events": over_books(lambda b: b.subscription_events.select("activity_id", "customer", "subscription_id", "activity", "plan", "paid_seats", "priority")),
+    "stg_customers": over_books(lambda b: context.typed(b.snap, ["customer_created"], {"segment": "string", "channel": "string", "country": "string", "parent_customer": "string"}).select("customer", "segment", "channel", "country", "parent_customer")),
 }
