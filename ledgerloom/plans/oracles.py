@@ -210,4 +210,9 @@ ORACLE: dict[str, str] = {
     "stg_usage": sql("SELECT activity_id, customer, month, batch AS usage_batch_id, model, token_type, channel, workload, tokens, rated AS rated_cents FROM tok"),
     "stg_subscription_events": sql("SELECT activity_id, customer, sid AS subscription_id, kind AS activity, plan, seats::BIGINT AS paid_seats, rank::INT AS priority FROM state"),
     "stg_customers": sql("SELECT customer, segment, channel, country, CASE WHEN k % 5 = 4 THEN 'c' || (k // 5) END AS parent_customer FROM cus"),
+    "customer_timeline": sql("""SELECT who.*, DATE '1995-01-01' AS first_activity, last.d AS last_activity, NULL::DATE AS last_churn, z.contract_id, z.contract_state, z.contract_state_at, y.subscription_state, y.subscription_state_at FROM who
+        JOIN (SELECT customer, max(d)::DATE AS d FROM (SELECT customer, DATE '1995-01-01' AS d FROM cus UNION ALL SELECT customer, DATE '1999-06-15' FROM cus WHERE k % 50 = 7 AND k >= 57 UNION ALL SELECT customer, (month + to_months(1))::DATE - 1 FROM tok
+            UNION ALL SELECT customer, first FROM con UNION ALL SELECT customer, s FROM sub UNION ALL SELECT customer, day FROM ev) GROUP BY customer) last USING (customer)
+        LEFT JOIN (SELECT customer, 'k' || k || ':2000' AS contract_id, 'contract_expired' AS contract_state, DATE '2001-01-01' AS contract_state_at FROM cus WHERE channel = 'direct' AND k % 3 = 0) z USING (customer)
+        LEFT JOIN (SELECT customer, CASE WHEN k % 7 = 0 THEN 'subscription_cancelled' ELSE 'subscription_started' END AS subscription_state, CASE WHEN k % 7 = 0 THEN (s + to_months(30))::DATE ELSE s + 14 END AS subscription_state_at FROM sub) y USING (customer)"""),
 }
