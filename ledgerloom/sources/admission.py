@@ -1,0 +1,123 @@
+"""Admission: payload checks against a catalogue, canonical payloads, observation status and restore checks."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Field:
+    """One feature of an activity: kind is string, integer, number, money, date or timestamp."""
+
+    kind: str = "string"
+    required: bool = True
+    nullable: bool = False
+    enum: tuple[str, ...] = ()
+    low: float | None = None
+
+
+MONEY = Field("money", low=0)
+#: The features of the activities that carry money, usage and seats.
+CATALOG: dict[str, dict[str, Field]] = {
+    "customer_created": {"segment": Field(), "channel": Field(), "country": Field(), "parent_customer": Field(nullable=True)},
+    "customer_merged": {"ultimate_parent": Field(), "reason": Field()},
+    "contract_signed": {"contract_id": Field(), "term_months": Field("integer", low=1), "commit_usd": MONEY, "channel": Field(), "start": Field("date"), "end": Field("date")},
+    "contract_expired": {"contract_id": Field(), "reason": Field()},
+    "tokens_processed": {
+        "usage_batch_id": Field(), "model": Field(), "token_type": Field(enum=("input", "output", "cache_read", "cache_write")), "tokens": Field("integer", low=1),
+        "list_price_per_mtok": Field("number", low=0), "effective_price_per_mtok": Field("number", low=0), "channel": Field(), "workload": Field(),
+    },
+    "usage_invoiced": {
+        "invoice_id": Field(), "usage_batch_id": Field(), "contract_id": Field(nullable=True), "period_start": Field("date"), "period_end": Field("date"),
+        "gross_usd": MONEY, "discount_usd": MONEY, "net_usd": MONEY, "channel_fee_usd": MONEY, "channel": Field(),
+    },
+    "credit_issued": {"credit_id": Field(), "invoice_id": Field(), "period": Field("date"), "amount_usd": MONEY, "reason": Field()},
+    "seat_added": {"subscription_id": Field(), "plan": Field(), "seats": Field("integer", low=1), "seats_after": Field("integer", low=1)},
+}
+SHAPES = {"integer": r"^-?[0-9]{1,18}$", "money": r"^-?[0-9]{1,16}(\.[0-9]{1,2})?$", "number": r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"}
+CASTS = {"integer": "long", "number": "double", "money": "decimal(18,2)", "date": "date", "timestamp": "timestamp", "string": "string"}
+
+
+def _value(name: str) -> Column:
+    return F.get_json_object("feature_json", f"$.{name}")
+
+
+def _ordered(low: str, high: str, message: str) -> Column:
+    return F.when(_value(low).try_cast("date") > _value(high).try_cast("date"), message)
+
+
+def validate_activity(act: DataFrame, catalog: dict[str, dict[str, Field]] = CATALOG) -> DataFrame:
+    """The rows with ``errors``, the messages of all rules each breaks; one pass of built-in expressions, no shuffle."""
+    keys = F.coalesce(F.json_object_keys("feature_json"), F.array().cast("array<string>"))
+    found = F.when(~F.col("activity").isin(list(catalog)), F.array(F.lit("unknown activity")))
+    for activity, fields in catalog.items():
+        rules = [F.when(F.size(F.array_except(keys, F.array(*[F.lit(f) for f in fields]))) > 0, "unknown field")]
+        for name, field in fields.items():
+            value, there = _value(name), F.array_contains(keys, name)
+            if field.required:
+                rules.append(F.when(~there, f"missing {name}"))
+            if not field.nullable:
+                rules.append(F.when(there & value.isNull(), f"null {name}"))
+            if field.kind in SHAPES:
+                rules.append(F.when(value.isNotNull() & ~value.rlike(SHAPES[field.kind]), f"bad {name}"))
+            elif field.kind in ("date", "timestamp"):
+                rules.append(F.when(value.isNotNull() & value.try_cast(field.kind).isNull(), f"bad {name}"))
+            if field.enum:
+                rules.append(F.when(value.isNotNull() & ~value.isin(*field.enum), f"bad {name}"))
+            if field.low is not None:
+                rules.append(F.when(value.try_cast("double") < field.low, f"low {name}"))
+        if "period_start" in fields:
+            rules.append(_ordered("period_start", "period_end", "period order"))
+        if "start" in fields:
+            rules.append(_ordered("start", "end", "period order"))
+        if activity == "usage_invoiced":
+            money = {m: _value(f"{m}_usd").try_cast("decimal(18,2)") for m in ("gross", "discount", "net", "channel_fee")}
+            rules += [F.when(money["gross"] - money["discount"] != money["net"], "invoice arithmetic"), F.when(money["channel_fee"] > money["net"], "fee above net")]
+        found = found.when(F.col("activity") == activity, F.array_compact(F.array(*rules)))
+    return act.withColumn("errors", found)
+
+
+def canonical_features(act: DataFrame, catalog: dict[str, dict[str, Field]] = CATALOG) -> DataFrame:
+    """Payloads as JSON with sorted keys and typed values: money with two decimals, absent optional fields as null."""
+    text = None
+    for activity, fields in catalog.items():
+        parts = [(_value(n).try_cast(CASTS[f.kind]).cast("string") if f.kind in ("money", "date", "timestamp") else _value(n).try_cast(CASTS[f.kind])).alias(n) for n, f in sorted(fields.items())]
+        packed = F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
+        text = F.when(F.col("activity") == activity, packed) if text is None else text.when(F.col("activity") == activity, packed)
+    return act.withColumn("feature_json", text.otherwise(F.col("feature_json")))
+
+
+def inventory(observations: DataFrame) -> DataFrame:
+    """(observation, status) of rows (observation, activity_id, content, sound): the first sound one of an id is accepted,
+    the same content again is a duplicate, other content a conflict, and what isn't sound is rejected."""
+    order = Window.partitionBy("activity_id").orderBy("observation")
+    sound = observations.filter("sound").withColumns({"k": F.row_number().over(order), "first": F.first("content").over(order)})
+    status = F.when(F.col("k") == 1, "accepted").when(F.col("content").eqNullSafe(F.col("first")), "duplicate").otherwise("conflict")
+    return sound.select("observation", status.alias("status")).unionByName(observations.filter("NOT sound OR sound IS NULL").select("observation", F.lit("rejected").alias("status")))
+
+
+def incremental_project(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that became visible, ids that were visible and are gone, of which there must be none)."""
+    return new.join(old.select("activity_id"), "activity_id", "left_anti"), old.select("activity_id").join(new, "activity_id", "left_anti")
+
+
+def restore_check(act: DataFrame) -> DataFrame:
+    """One row: whether positions are exactly 1 to n and ids are unique."""
+    positions = act.agg(F.count(F.lit(1)).alias("n"), F.min("_stream_position").alias("low"), F.max("_stream_position").alias("high"), F.count_distinct("_stream_position").alias("positions"), F.count_distinct("activity_id").alias("ids"))
+    whole = (F.col("n") == 0) | ((F.col("low") == 1) & (F.col("high") == F.col("n")) & (F.col("positions") == F.col("n")) & (F.col("ids") == F.col("n")))
+    return positions.select("n", whole.alias("complete"))
+
+
+def pack_long(metric: str, rows: DataFrame, dimensions: list[str], units: dict[str, str]) -> DataFrame:
+    """A metric as one row per dimension set and measure: value as text, cents turned into dollars."""
+    named = F.to_json(F.struct(*sorted(dimensions)), {"ignoreNullFields": "false"})
+
+    def shown(name: str, unit: str) -> Column:
+        return (F.col(name).cast("decimal(20,0)") / 100).cast("decimal(20,2)").cast("string") if unit == "cents" else F.col(name).cast("string")
+
+    measures = F.array(*[F.struct(F.lit(n).alias("measure"), shown(n, u).alias("value"), F.lit("USD" if u == "cents" else u).alias("unit")) for n, u in units.items()])
+    status = F.when(F.col("value").isNull(), "undefined").otherwise("defined")
+    return rows.select(F.lit(metric).alias("metric"), named.alias("dimensions"), F.inline(measures)).withColumn("status", status)
