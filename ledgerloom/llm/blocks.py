@@ -25,7 +25,7 @@ MAX_DOCUMENTS = 1 << 17
 BLOCK_SCHEMA = "block long, ids binary, sizes binary, data binary, extra binary"
 
 
-_press, _open = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+_press, _press_text, _open = zstandard.ZstdCompressor(level=1), zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
 
 
 def pack(data: bytes) -> bytes:
@@ -85,7 +85,7 @@ def write_blocks(docs: DataFrame, name: str, block_bytes: int) -> DataFrame:
         held = 0
 
         def closed() -> pd.DataFrame:
-            row = ((task << 32) + serial, np.array(ids, np.int64).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), pack(b"".join(texts)), pack(b"\0".join(extra)))
+            row = ((task << 32) + serial, np.array(ids, np.int64).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), _press_text.compress(b"".join(texts)), pack(b"\0".join(extra)))
             return pd.DataFrame([row], columns=["block", "ids", "sizes", "data", "extra"])
 
         for batch in batches:
