@@ -32,6 +32,10 @@ def pack(data: bytes) -> bytes:
     return _press.compress(data)
 
 
+def pack_text(data: bytes) -> bytes:
+    return _press_text.compress(data)
+
+
 def unpack(data: bytes) -> bytes:
     return _open.decompress(data)
 
@@ -85,7 +89,7 @@ def write_blocks(docs: DataFrame, name: str, block_bytes: int) -> DataFrame:
         held = 0
 
         def closed() -> pd.DataFrame:
-            row = ((task << 32) + serial, np.array(ids, np.int64).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), _press_text.compress(b"".join(texts)), pack(b"\0".join(extra)))
+            row = ((task << 32) + serial, np.array(ids, np.int64).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), pack_text(b"".join(texts)), pack(b"\0".join(extra)))
             return pd.DataFrame([row], columns=["block", "ids", "sizes", "data", "extra"])
 
         for batch in batches:
