@@ -7,8 +7,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +75,18 @@ def block_count(docs: DataFrame, bytes_per_block: int) -> int:
     """Number of blocks that keeps the text of one block near the given size; grows with the data."""
     total = docs.agg(F.sum(F.octet_length(text_of())).alias("n")).first()["n"] or 0
     return max(1, -(-int(total) // bytes_per_block))
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Frames that hold whole groups, from batches sorted by the key of the group."""
+    rest: pd.DataFrame | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        held = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        done = held[key].ne(held[key].iloc[-1]).to_numpy()
+        rest = held[~done].reset_index(drop=True)
+        if done.any():
+            yield held[done].reset_index(drop=True)
+    if rest is not None:
+        yield rest

@@ -2,13 +2,14 @@
 
 1. Every document becomes its set of five-word shingles (64-bit hashes), a digest of the set and a signature of 128
    minima. Documents with equal sets form a class, and the smallest identifier speaks for it.
-2. Signatures are cut into 32 bands. In each bucket that classes share, every class is paired with the smallest one, so
-   a bucket of g classes gives g - 1 pairs and not g * g / 2.
+2. Signatures are cut into 32 bands. In each bucket that classes share, every class is paired with the smallest one and
+   with the most central one, so a bucket of g classes gives less than 2 * g pairs and not g * g / 2.
 3. A pair's signatures are compared in batches of 16. After each batch the posterior of the similarity under a uniform
    prior is looked up, and the pair is dropped when the probability of reaching the threshold is below ``MISS``.
 4. Survivors are verified exactly on their full sets, and links form components.
-5. Pairs that share a bucket but ended in different components are all verified in the same way; pairs inside one
-   component cannot change it. So the outcome is that of verifying every candidate pair.
+5. Pairs that share a bucket but ended in different components are all compared in the same way, inside tasks that hold
+   one bucket or two blocks of a large one, and the survivors are verified; pairs inside one component cannot change it.
+   So the outcome is that of verifying every candidate pair.
 
 Defined results: null or empty text has no shingle and is linked with nothing; a text of one to four words has its whole
 sequence as its only shingle; rows with equal sets are linked; a null identifier is never the smallest; further columns
@@ -26,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialise, ship_package
+from ledgerloom.llm.common import materialise, ship_package, whole_groups
 from ledgerloom.llm.graph import connected_components
 
 WIDTH, HASHES, ROWS, BATCH, MISS = 5, 128, 4, 16, 1e-6
 PER_CENT = 75
 CACHE_WORDS = 800_000
+BLOCK, PAIRS_AT_ONCE = 2048, 100_000
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 2**32, HASHES, np.uint32) | np.uint32(1)
 _FLIP = _rng.integers(0, 2**32, HASHES, np.uint32)
@@ -135,6 +137,53 @@ def bayes_filter(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return sized.select("a", "b", "sig_a", "sig_b").mapInPandas(run, "a long, b long")
 
 
+def cross_survivors(placed: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that survive the sequential comparison.
+
+    Buckets above ``BLOCK`` members are dealt into blocks, and each pair of blocks is a cell of its own, so a task holds
+    two blocks at most. Signatures are compared inside the cells; only survivors become rows.
+    """
+    sizes = placed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = placed.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("rep", "component", "own", (F.col("own") == F.col("other")).alias("alone"), F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
+    rows = dealt.join(sigs, "rep")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cells in whole_groups(batches, "cell"):
+            yield compare_cells(cells)
+
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInPandas(run, "a long, b long").distinct()
+
+
+def compare_cells(cells: pd.DataFrame) -> pd.DataFrame:
+    """Whole cells, sorted by cell: surviving pairs of different components, and of different blocks where a cell has two."""
+    needed = fewest_matches()
+    sig = np.frombuffer(b"".join(cells["sig"]), np.uint32).reshape(-1, HASHES)
+    cell, rep, component, size = (cells[c].to_numpy() for c in ("cell", "rep", "component", "n_shingles"))
+    own, alone = cells["own"].to_numpy(), cells["alone"].to_numpy()
+    start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    end = np.repeat(np.append(start[1:], len(cell)), np.diff(np.append(start, len(cell))))
+    out, step, live = [], 1, np.arange(len(cell))
+    while len(live := live[live + step < end[live]]):
+        for lo in range(0, len(live), PAIRS_AT_ONCE):
+            i = live[lo : lo + PAIRS_AT_ONCE]
+            j = i + step
+            small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            open_pair = (component[i] != component[j]) & (alone[i] | (own[i] != own[j])) & (100 * small >= PER_CENT * large)
+            i, j = i[open_pair], j[open_pair]
+            matches = np.zeros(len(i), np.int64)
+            for k, least in enumerate(needed):
+                cut = slice(k * BATCH, (k + 1) * BATCH)
+                matches += (sig[i, cut] == sig[j, cut]).sum(1)
+                alive = matches >= least
+                i, j, matches = i[alive], j[alive], matches[alive]
+            out.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], 1))
+        step += 1
+    pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+    return pd.DataFrame(pairs, columns=["a", "b"]).drop_duplicates()
+
+
 def set_table(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """rep and its full set, as sorted little-endian 64-bit hashes, for the given reps."""
 
@@ -169,14 +218,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = known.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
     members = materialise(sketched.select("doc_id", "n_shingles", "digest").join(classes, ["digest", "n_shingles"], "left"), "minhash-classes")
     sigs = known.join(classes.select("rep").withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sig").dropDuplicates(["rep"])
+    sigs = materialise(sigs, "minhash-signatures")
 
     bytes_in_band = 4 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * bytes_in_band + 1, bytes_in_band)) for k in range(HASHES // ROWS)])
     bands = sigs.select("rep", F.explode(keys).alias("bucket"))
-    heads = bands.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "head")
-    shared = materialise(bands.join(heads, "bucket"), "minhash-shared")
-
-    stars = materialise(shared.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-stars")
+    crowded = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    crowd = materialise(bands.join(crowded, "bucket"), "minhash-crowd")
+    # The original of many copies agrees with them in most bands: it is the member with the most company.
+    company = crowd.groupBy("rep").agg(F.sum("n").alias("company"))
+    central = F.max_by("rep", F.struct("company", "rep")).alias("central")
+    heads = crowd.join(company, "rep").groupBy("bucket").agg(F.min("rep").alias("head"), central)
+    shared = materialise(crowd.drop("n").join(heads, "bucket"), "minhash-shared")
+
+    pairs = [shared.filter(F.col(h) != F.col("rep")).select(F.least(h, "rep").alias("a"), F.greatest(h, "rep").alias("b")) for h in ("head", "central")]
+    stars = materialise(pairs[0].union(pairs[1]).distinct(), "minhash-stars")
     alive = materialise(bayes_filter(stars, sigs), "minhash-alive")
     touched = alive.select(F.col("a").alias("rep")).union(alive.select(F.col("b").alias("rep"))).distinct()
     sets = materialise(set_table(docs, touched), "minhash-sets")
@@ -187,9 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = shared.join(first, shared["rep"] == first["node"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
     placed = materialise(placed.join(open_buckets, "bucket", "left_semi"), "minhash-open")
-    left, right = placed.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca")), placed.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    across = left.join(right, "bucket").filter("a < b AND ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    late = materialise(bayes_filter(across, sigs), "minhash-late")
+    late = materialise(cross_survivors(placed, sigs).join(alive, ["a", "b"], "left_anti"), "minhash-late")
     more = late.select(F.col("a").alias("rep")).union(late.select(F.col("b").alias("rep"))).distinct().join(sets.select("rep"), "rep", "left_anti")
     more = materialise(more, "minhash-more")
     all_sets = sets if more.isEmpty() else sets.union(materialise(set_table(docs, more), "minhash-sets"))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialise, ship_package
+from ledgerloom.llm.common import materialise, ship_package, whole_groups
 from ledgerloom.llm.graph import connected_components
 
 THRESHOLD, MISS, SURE, BLOCK, PER_BUCKET = 0.95, 1e-4, 4.0, 4096, 8
@@ -118,18 +118,8 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     dealt = dealt.join(classes, "rep").withColumn("cell", F.xxhash64("bucket", "low", "high"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            held = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            last = held["cell"].iloc[-1]
-            done = held["cell"].ne(last).to_numpy()
-            rest = held[~done].reset_index(drop=True)
-            if done.any():
-                yield compare_cells(held[done].reset_index(drop=True), width, bands, threshold)
-        if rest is not None:
-            yield compare_cells(rest, width, bands, threshold)
+        for cells in whole_groups(batches, "cell"):
+            yield compare_cells(cells, width, bands, threshold)
 
     found = dealt.repartition("cell").sortWithinPartitions("cell").mapInPandas(compare, "rep long, links long, low long")
     found = materialise(found, "vector-links")
