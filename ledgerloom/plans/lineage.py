@@ -1,17 +1,48 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, and the shared folder that cut tables are written to."""
 
 from __future__ import annotations
 
 import os
 import uuid
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where it is unset, one of our own in local mode, and an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file:///tmp/checkpoints/ledgerloom-{os.getpid()}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for one intermediate table."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the folder named in ``spark.checkpoint.dir`` and read it back; one of our own where it is unset."""
+    """Write a table to the shared folder and read it back: lineage ends here and a lost executor costs a file read."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/ledgerloom-{os.getpid()}"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete cut tables that no plan will read again; other tables are left alone."""
+    for table in tables:
+        path = _written.pop(table, None)
+        if path:
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
