@@ -30,7 +30,7 @@ CACHE_WORDS = 300_000
 NEVER = 1 << 40
 
 
-def _letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """Byte-level vocabularies write printable bytes as themselves and the others as letters from U+0100 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     other = [b for b in range(256) if b not in set(plain)]
@@ -42,7 +42,7 @@ class Bpe:
 
     def __init__(self, path: str) -> None:
         spec = json.loads(open(path, encoding="utf-8").read())
-        letters = _letters()
+        letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         vocabulary = {raw(s): i for s, i in spec["model"]["vocab"].items()}
         self.id_of = vocabulary

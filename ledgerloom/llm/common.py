@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -14,6 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.lineage import cut as materialise
+from ledgerloom.plans.lineage import discard, scratch_path, scratch_root
+
+__all__ = ["SPACE_CLASS", "block_count", "discard", "materialise", "read_table", "scratch_path", "scratch_root", "ship_package", "text_of", "training_hash", "whole_groups"]
+
 #: Fixed value: the ASCII white space that separates words in every contract of this subpackage.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
@@ -33,27 +37,6 @@ def training_hash(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file:///tmp/checkpoints/ledgerloom-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for one intermediate table."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here and a lost executor costs one file read."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ship_package(spark: SparkSession) -> None:
     """Send this package's Python files to the executors, once for each Spark context."""
     context = spark.sparkContext

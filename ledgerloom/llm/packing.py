@@ -17,20 +17,27 @@ from __future__ import annotations
 
 import heapq
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ledgerloom.llm.bpe import byte_letters
 from ledgerloom.llm.common import ship_package
 
 CAPACITY = 4096
 PIECE_TOKENS = 1024
 GROUP_WINDOWS = 128
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
+BEYOND_LATIN = "\u0250"
+TEXTS_AT_ONCE = 1024
+#: Fixed value: how the word vocabulary splits lower-case text before merging.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
 def merge_partitions(a: list, b: list, k: int) -> list:
@@ -94,16 +101,41 @@ class Tokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.letters = {b: letter for letter, b in byte_letters().items()}
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encode words through their parts: letters, single digits and other signs are encoded apart by this vocabulary.
+
+        Words beyond Latin letters, and those that may hold a special token, go to the library whole.
+        """
+        parts_of: list[list[str]] = []
+        for word in words:
+            plain = word.decode("utf-8", "replace")
+            whole = "<|" in plain or (not plain.isascii() and max(plain) >= BEYOND_LATIN)
+            parts_of.append([plain] if whole else PARTS.findall(plain.lower()))
+        known = self.parts
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        merge = self.tokenizer.model.tokenize  # what is left of encoding a part: it is split and in lower case already
+        for part in set().union(*parts_of).difference(known):
+            if "<|" in part or max(part) >= BEYOND_LATIN:
+                ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+            elif part.isascii():
+                ids = [t.id for t in merge(part)]
+            else:
+                ids = [t.id for t in merge(part.encode().decode("latin-1").translate(self.letters))]
+            known[part] = array("I", ids).tobytes()
+        look = known.__getitem__
+        self.cache.update(zip(words, [b"".join(map(look, parts)) for parts in parts_of], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         rows = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        unknown = list({w for row in rows for w in row if w not in cache})
-        for word, coded in zip(unknown, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in unknown], add_special_tokens=False), strict=True):
-            cache[word] = np.array(coded.ids, "<u4").tobytes()
-        return [b"".join(map(cache.__getitem__, row)) for row in rows]
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        self.learn(list(set().union(*rows).difference(self.cache)))
+        look = self.cache.__getitem__
+        return [b"".join(map(look, row)) for row in rows]
 
 
 _loaded: dict[str, Tokens] = {}
@@ -149,9 +181,9 @@ def pack_documents(
 
         for batch in batches:
             texts, docs_in = ["" if t is None else t for t in batch["text"].tolist()], batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None).tolist()
-            for lo in range(0, len(texts), 256):
+            for lo in range(0, len(texts), TEXTS_AT_ONCE):
                 out: list[list] = []
-                for doc, ids in zip(docs_in[lo : lo + 256], tokens.encode(texts[lo : lo + 256]), strict=True):
+                for doc, ids in zip(docs_in[lo : lo + TEXTS_AT_ONCE], tokens.encode(texts[lo : lo + TEXTS_AT_ONCE]), strict=True):
                     ids += end
                     total = len(ids) // 4
                     whole = total // capacity * capacity

@@ -6,7 +6,7 @@ source and identifier are no features; the only metadata used is the stated numb
 
 Fitting takes at most ``max_rows`` labelled documents (a documented bound), those with the smallest hash of their id, so
 the same rows whatever the partitioning. Their sparse features, and nothing else, come to the driver. Scoring streams
-documents through ``mapInPandas`` with the weights (a fixed size) broadcast; there is no shuffle.
+documents through a pandas UDF with the weights (a fixed size) broadcast; there is no shuffle.
 
 Defined results: null or empty text has only structure features and gets a score like any other; null n_chars counts as
 the text's length; labels other than 0 and 1 are ignored, and of conflicting labels of one id the smaller holds; without
@@ -15,9 +15,6 @@ labels of both classes every score is the share of label 1, or 0.5 without any;
 
 from __future__ import annotations
 
-import operator
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,49 +25,57 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.common import ship_package, training_hash
+from ledgerloom.llm.words import LOWER, find_words, hash_words, joined
 
 WORD_BUCKETS = 1 << 14
 STRUCTURE = 14
 FACTORS = 8
 MAX_ROWS = 4000
 THRESHOLD = 0.3
-CACHE_WORDS = 800_000
+TEXTS_AT_ONCE = 256
 
 _CLASS = np.full(256, 5, np.uint8)
 for _b in range(128):
     _c = chr(_b)
     _CLASS[_b] = 0 if _c.islower() else 1 if _c.isupper() else 2 if _c.isdigit() else 3 if _c in " \t\n\v\f\r" else 4
-_buckets: dict[bytes, int] = {}
-
-
-def features(text: str | None, n_chars: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word buckets, word values, structure statistics) of one whole text."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    words = raw.lower().split()
-    counts = Counter(words)
-    if len(_buckets) > CACHE_WORDS:
-        _buckets.clear()
-    for w in counts:
-        if w not in _buckets:
-            _buckets[w] = zlib.crc32(w) % WORD_BUCKETS
-    index = np.fromiter(map(_buckets.__getitem__, counts), np.int64, len(counts))
-    tf = np.fromiter(counts.values(), np.float64, len(counts))
-    value = np.log1p(tf)
-    norm = np.sqrt((value * value).sum())
-    value = value / norm if norm else value
-    n, m = max(1, len(raw)), max(1, len(words))
-    kinds = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=6) / n
-    letters = max(1e-9, kinds[0] + kinds[1])
-    repeats = sum(map(operator.eq, words, words[1:])) / m
-    chars = len(text or "") if n_chars is None or n_chars != n_chars else n_chars
-    stats = np.array(
-        [
-            np.log1p(len(raw)), np.log1p(len(words)), n / m, kinds[1] / letters, kinds[2], kinds[4], kinds[5], kinds[3],
-            len(counts) / m, (tf.max() if len(tf) else 0) / m, repeats, raw.count(b"\n") / m,
-            sum(1 for w in words if w[-1] < 128 and not 97 <= w[-1] <= 122) / m, np.log1p(max(0.0, float(chars))),
-        ]
-    )
-    return index, value, stats
+_ODD_END = np.array([b < 128 and not 97 <= (b | 32 if 65 <= b <= 90 else b) <= 122 for b in range(256)])
+
+
+def features(texts: list[str | None], n_chars: list[float | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word buckets, word values, structure statistics) of each whole text."""
+    raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data, edge = joined(raws)
+    start, stop = find_words(data)
+    hashes, first = hash_words(LOWER[data], start, stop), np.searchsorted(start, edge)
+    kind = _CLASS[data]
+    odd_end = _ODD_END[data[stop - 1]] if len(stop) else np.empty(0, bool)
+    found = []
+    for k, raw in enumerate(raws):
+        mine = slice(first[k], first[k + 1])
+        words = hashes[mine]
+        distinct, counts = np.unique(words, return_counts=True)
+        value = np.log1p(counts)
+        value = value / np.sqrt((value * value).sum()) if len(value) else value
+        n, m = max(1, len(raw)), max(1, len(words))
+        kinds = np.bincount(kind[edge[k] : edge[k + 1] - 1], minlength=6) / n
+        letters = max(1e-9, kinds[0] + kinds[1])
+        chars = n_chars[k]
+        chars = len(texts[k] or "") if chars is None or chars != chars else chars
+        stats = np.array(
+            [
+                np.log1p(len(raw)), np.log1p(len(words)), n / m, kinds[1] / letters, kinds[2], kinds[4], kinds[5], kinds[3],
+                len(counts) / m, (counts.max() if len(counts) else 0) / m, (words[1:] == words[:-1]).sum() / m, raw.count(b"\n") / m,
+                odd_end[mine].sum() / m, np.log1p(max(0.0, float(chars))),
+            ]
+        )
+        found.append(((distinct % np.uint64(WORD_BUCKETS)).astype(np.int64), value, stats))
+    return found
+
+
+def all_features(texts: list[str | None], n_chars: list[float | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features of many texts, some at a time, so that memory stays near the size of the texts."""
+    for lo in range(0, len(texts), TEXTS_AT_ONCE):
+        yield from features(texts[lo : lo + TEXTS_AT_ONCE], n_chars[lo : lo + TEXTS_AT_ONCE])
 
 
 @dataclass
@@ -156,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [features(t, n) for t, n in zip(batch["text"], batch["n_chars"], strict=True)]
+            found = list(all_features(batch["text"].tolist(), batch["n_chars"].tolist()))
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "label": batch["label"],
                 "buckets": [f[0].astype("<u2").tobytes() for f in found],
@@ -164,8 +169,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
                 "stats": [f[2].tobytes() for f in found],
             })
 
-    joined = docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars")).join(F.broadcast(chosen), "doc_id")
-    found = joined.mapInPandas(run, "doc_id long, label int, buckets binary, values binary, stats binary").toPandas()
+    rows = docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars")).join(F.broadcast(chosen), "doc_id")
+    # An id may stand in very many rows: the bound holds for rows too, and the order makes the choice the same each time.
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "n_chars").limit(max_rows)
+    found = rows.mapInPandas(run, "doc_id long, label int, buckets binary, values binary, stats binary").toPandas()
     found = found.sort_values(["doc_id", "buckets"], kind="stable")
     rows = [
         (np.frombuffer(r.buckets, "<u2").astype(np.int64), np.frombuffer(r.values, "<f4").astype(float), np.frombuffer(r.stats, float), int(r.label))
@@ -183,7 +190,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     def run(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         fitted = shared.value
         for texts, chars in series:
-            logits = [fitted.logit(*fitted.row(*features(t, n))) for t, n in zip(texts, chars, strict=True)]
+            logits = [fitted.logit(*fitted.row(*f)) for f in all_features(texts.tolist(), chars.tolist())]
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(logits, float), -500, 500))))
 
     scored = F.pandas_udf(run, T.DoubleType())

@@ -166,6 +166,50 @@ def test_minhash_matches_brute_force(spark):
     assert kept.count() == sum(c == k for k, c in enumerate(components(len(texts), pairs)))
 
 
+def test_minhash_repeated_and_null_ids(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = frame(spark, [a, b, a + " more", b + " more", a, "alone", None], [1, 1, 2, 3, None, 4, 5])
+    found = sorted(((r.doc_id, r.component_id) for r in minhash.near_duplicates(rows).collect()), key=str)
+    assert found == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (None, None), (4, 4), (5, 5)], key=str)
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_minhash_group_just_around_the_threshold(spark, block):
+    """Copies with two changed stretches each: pairs lie on both sides of the threshold, and no star settles them."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(60):
+        w = list(base)
+        for _ in range(rng.choice([3, 4, 5])):
+            at = rng.randrange(195)
+            w[at : at + 2] = [f"x{k}.{rng.random()}", f"y{k}"]
+        texts.append(" ".join(w))
+    texts += ["long " * 30_000, "long " * 30_001]
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, texts), block=block).collect()}
+    assert [found[k] for k in range(len(texts))] == components(len(texts), pairs)
+
+
+def test_minhash_links_of_cells():
+    """What the second pass does, on one cell: every pair decided, a spanning set given back."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    core = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([core[: 400 - 3 * k], rng.integers(0, 1 << 63, 5 * k).astype(np.uint64)])) for k in range(30)]
+    near = [(a, b) for a in range(30) for b in range(a + 1, 30) if minhash.similar(sets[a], sets[b])]
+    rows = pd.DataFrame({"cell": 1, "component": range(30), "n_shingles": [len(s) for s in sets], "own": 0, "alone": True, "sig": [minhash.signature(s).tobytes() for s in sets], "set": [s.tobytes() for s in sets]})
+    linked, marked = [], np.zeros(30, bool)
+    for band in range(minhash.HASHES // minhash.ROWS):
+        rows["band"] = band
+        linked += minhash.link_cells(rows).to_numpy().tolist()
+        marked |= minhash.mark_cells(rows)
+    assert components(30, linked) == components(30, near) and 0 < len(near) < 435
+    assert marked[list({x for p in near for x in p})].all()
+
+
 def test_minhash_posterior_bound():
     need = minhash.fewest_matches()
     assert len(need) == minhash.HASHES // minhash.BATCH and need == sorted(need) and need[-1] < 0.75 * minhash.HASHES

@@ -51,6 +51,15 @@ def test_bpe_pair_check_equals_exact_merging():
         assert h == (vocabulary.exact(vocabulary.bytes_of[x] + vocabulary.bytes_of[y]) == [x, y])
 
 
+def test_word_tokens_equal_the_library():
+    tokens, library = packing.Tokens(WORD), Tokenizer.from_file(WORD)
+    rng = random.Random(4)
+    signs = ["a", "B", "é", "É", "ß", "İ", "ſ", "Σ", "ς", "Ω", "日", "e\u0301", "\u0301", "'s", "'", "’", "1", "²", "½", "٣", "!", "$", "_", "-", "<|", "|>", "<|endoftext|>", "\x00", "\x1f", "\x7f", "\u00a0", "\u2003", "\u200d", "😀", " ", "\n", "ª", "ǅ", "ŉ"]
+    texts = ["", *("".join(rng.choices(signs, k=rng.randint(1, 40))) for _ in range(1500))]
+    for text, ids in zip(texts, tokens.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choices(["alpha", "beta", "Gamma", "x1y", "<|endoftext|>"], k=rng.choice([0, 3, 50, 900, 6000]))) for _ in range(60)] + [None, ""]
