@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -35,6 +36,7 @@ PIECE_TOKENS = 1024
 GROUP_WINDOWS = 128
 CACHE_WORDS = 600_000
 BEYOND_LATIN = "\u0250"
+CONTROL = re.compile("[\x00-\x1f\x7f-\xa0]")
 TEXTS_AT_ONCE = 1024
 #: Fixed value: how the word vocabulary splits lower-case text before merging.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -107,19 +109,19 @@ class Tokens:
     def learn(self, words: list[bytes]) -> None:
         """Encode words through their parts: letters, single digits and other signs are encoded apart by this vocabulary.
 
-        Words beyond Latin letters, and those that may hold a special token, go to the library whole.
+        Words beyond Latin letters, those with control signs and those that may hold a special token go to the library whole.
         """
         parts_of: list[list[str]] = []
         for word in words:
             plain = word.decode("utf-8", "replace")
-            whole = "<|" in plain or (not plain.isascii() and max(plain) >= BEYOND_LATIN)
+            whole = "<|" in plain or CONTROL.search(plain) or (not plain.isascii() and max(plain) >= BEYOND_LATIN)
             parts_of.append([plain] if whole else PARTS.findall(plain.lower()))
         known = self.parts
         if len(known) > CACHE_WORDS:
             known.clear()
         merge = self.tokenizer.model.tokenize  # what is left of encoding a part: it is split and in lower case already
         for part in set().union(*parts_of).difference(known):
-            if "<|" in part or max(part) >= BEYOND_LATIN:
+            if "<|" in part or CONTROL.search(part) or max(part) >= BEYOND_LATIN:
                 ids = self.tokenizer.encode(part, add_special_tokens=False).ids
             elif part.isascii():
                 ids = [t.id for t in merge(part)]
