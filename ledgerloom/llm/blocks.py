@@ -118,6 +118,70 @@ def bucket_count(blocks: DataFrame, entries_per_bucket: int, bytes_per_entry: in
     return 1 << (wanted - 1).bit_length()
 
 
+KEY_BITS = 46
+
+
+def key_lists(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct short keys of a block, sorted, and in how many of its documents each stands."""
+    lead = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]) if len(key) else np.empty(0, bool)
+    pair = np.unique((key[lead] >> np.uint64(64 - KEY_BITS)) * np.uint64(MAX_DOCUMENTS) + row[lead].astype(np.uint64))
+    short = pair // np.uint64(MAX_DOCUMENTS)
+    first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]])) if len(short) else np.empty(0, np.int64)
+    return short[first], np.diff(np.append(first, len(short))).astype(np.uint32)
+
+
+def range_edges(values: np.ndarray, buckets: int, bits: int = KEY_BITS) -> np.ndarray:
+    """Where the sorted values of each bucket begin: buckets, a power of two, are ranges of the value."""
+    low = np.array([k * ((1 << bits) // buckets) for k in range(1, buckets)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(values, low), [len(values)]])
+
+
+def part_bytes(bucket: int, data: bytes) -> bytes:
+    return int(bucket).to_bytes(8, "little") + data
+
+
+def put_together(packed: list[bytes]) -> bytes:
+    return b"".join(len(p).to_bytes(8, "little") + p for p in packed)
+
+
+def pieces_of(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def send_key_lists(block: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pd.DataFrame:
+    """A block's keys and counts, one row per bucket that owns some of them."""
+    edge = range_edges(keys, buckets)
+    rows = [(int(b), block, pack_sorted(keys[edge[b] : edge[b + 1]]), pack_planes(counts[edge[b] : edge[b + 1]])) for b in np.flatnonzero(edge[1:] > edge[:-1])]
+    return pd.DataFrame(rows, columns=["bucket", "block", "keys", "counts"])
+
+
+def answer_keys(part: pd.DataFrame, hot: int) -> pd.DataFrame:
+    """For each block, one byte per key: 0 in one document only, 1 in several, 2 in more than ``hot``."""
+    lists = [unpack_sorted(k) for k in part["keys"]]
+    keys = np.concatenate(lists)
+    counts = np.concatenate([unpack_planes(c, np.uint32) for c in part["counts"]]).astype(np.int64)
+    distinct, where = np.unique(keys, return_inverse=True)
+    total = np.bincount(where, counts, len(distinct))[where]
+    grade = ((total > 1).astype(np.uint8) + (total > hot)).astype(np.uint8)
+    cut = np.cumsum([len(x) for x in lists])[:-1]
+    return pd.DataFrame({"block": part["block"].to_numpy(), "part": [part_bytes(b, pack(g.tobytes())) for b, g in zip(part["bucket"], np.split(grade, cut), strict=True)]})
+
+
+def grades_of(key: np.ndarray, row: np.ndarray, parts: list[bytes] | None) -> np.ndarray:
+    """The answered grade of each key of a block, in the order of the keys given."""
+    ordered = sorted((int.from_bytes(p[:8], "little"), p[8:]) for p in (parts if parts is not None else ()))
+    if not len(key) or not ordered:
+        return np.zeros(len(key), np.uint8)
+    keys, _ = key_lists(key, row)
+    grade = np.concatenate([np.frombuffer(unpack(p), np.uint8) for _, p in ordered])
+    return grade[np.searchsorted(keys, key >> np.uint64(64 - KEY_BITS))]
+
+
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true."""
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))

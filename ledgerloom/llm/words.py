@@ -73,3 +73,32 @@ def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, n
         data = LOWER[data]
     start, stop = find_words(data)
     return hash_words(data, start, stop), np.searchsorted(start, edge)
+
+
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """So many powers of the base and of its inverse."""
+    table = _power_table(size)
+    return table[0], table[1]
+
+
+def grams(values: np.ndarray, size: int, base: int) -> np.ndarray:
+    """Polynomial hashes of all pieces of ``size`` neighbours, by doubling."""
+    if len(values) < size:
+        return np.empty(0, np.uint64)
+    h, width = values.astype(np.uint64) + np.uint64(1), 1
+    done, built = None, 0
+    left = size
+    while True:
+        if left & 1:
+            if done is None:
+                done, built = h, width
+            else:  # what is built already stands to the left of the new part
+                n = len(values) - built - width + 1
+                done = done[:n] * np.uint64(pow(base, width, 1 << 64)) + h[built : built + n]
+                built += width
+        left >>= 1
+        if not left:
+            return done
+        n = len(h) - width
+        h = h[:n] * np.uint64(pow(base, width, 1 << 64)) + h[width : width + n]
+        width *= 2
