@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.blocks import NULL_ID, Block, bucket_count, pack_planes, pack_sorted, spans_for, unpack_planes, unpack_sorted, write_blocks
 from ledgerloom.llm.common import materialise
 from ledgerloom.llm.words import mix as spread
-from ledgerloom.llm.suffix_dedup import part_bytes
+
 
 DEPTH, END = 5, 0xFF
 BLOCK_BYTES = 4 << 20

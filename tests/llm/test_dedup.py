@@ -63,6 +63,34 @@ def test_suffix_dedup_matches_brute_force(spark, options):
         assert [(s.start, s.stop) for s in found[k].spans] == spans
 
 
+def test_suffix_index_takes_a_second_batch(spark, tmp_path):
+    texts = corpus(6)
+    brute, index, at = removed_bytes(texts), suffix_dedup.SuffixIndex(spark, f"file://{tmp_path}/index", 4, 8, 2000), 0
+    for size in (20, 25, len(texts) - 45):
+        ids = list(range(at, at + size))
+        found = {r.doc_id: bytes(r.kept) for r in index.add(frame(spark, texts[at : at + size], ids), batch=64).collect()}
+        assert found == {k: brute[k][0] for k in ids}
+        at += size
+    again = {r.doc_id: bytes(r.kept) for r in index.add(frame(spark, texts[:20], range(100, 120))).collect()}
+    assert all(again[100 + k] == (b"" if len((t or "").encode()) >= 50 else (t or "").encode()) for k, t in enumerate(texts[:20]))
+
+
+def test_family_of_suffix_arrays_is_logarithmic_and_ordered():
+    rng = np.random.default_rng(7)
+    data = np.frombuffer(bytes(rng.integers(97, 100, 4000).astype(np.uint8)) + b"abc" * 400, np.uint8)
+    place, family, hits, first = np.arange(5000), suffix_dedup.Family(data), [], {}
+    for lo in range(0, 5000, 100):
+        hits += family.add(place[lo : lo + 100], place[lo : lo + 100] // 7).tolist()
+        assert len(family.levels) == bin(lo // 100 + 1).count("1")
+    for p in place.tolist():
+        first.setdefault(bytes(data[p : p + 50]), p // 7)
+    assert hits == [first[bytes(data[p : p + 50])] < p // 7 for p in place.tolist()] and any(hits)
+    for _, suffix, _ in family.levels:
+        rows = suffix.view(np.uint8).reshape(-1, 50).tolist()
+        assert rows == sorted(rows)
+    assert suffix_dedup.Family.restored(data, family.stored()).add(place[:50], np.full(50, 10**6)).all()
+
+
 def test_suffix_dedup_same_id_null_id_and_empty(spark):
     text = "the same sentence that is longer than fifty bytes, surely it is"
     found = suffix_dedup.remove_repeats(frame(spark, [text, text, text], [5, 5, None])).collect()
@@ -96,6 +124,24 @@ def test_recompression_matches_brute_force(spark, options):
         assert (found[k].n_words, found[k].n_kept) == (len(w), len(w) - sum(gone))
 
 
+def test_recompression_of_periodic_and_random_words(spark):
+    """Two-letter texts have repeats at every scale, and runs at every window's edge."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices("ab", k=rng.randint(10, 200))) for _ in range(40)] + ["a a b b " * 20, "a a b b " * 7, "x " * 20_000 + "end"]
+    words = [t.split() for t in texts]
+    first = {}
+    for k, w in enumerate(words):
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), k)
+    found = {r.doc_id: r for r in recompression.remove_repeats(frame(spark, texts), block_bytes=1500).collect()}
+    for k, w in enumerate(words):
+        gone = [False] * len(w)
+        for i in range(len(w) - 12):
+            if first[tuple(w[i : i + 13])] < k:
+                gone[i : i + 13] = [True] * 13
+        assert bytes(found[k].kept).decode() == " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+
+
 def test_recompression_empty(spark):
     assert recompression.remove_repeats(frame(spark, [])).count() == 0
 
