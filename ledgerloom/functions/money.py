@@ -27,6 +27,25 @@ def month_share(amount: str) -> Column:
     return half_up(amount, "hi", "days") - half_up(amount, "lo", "days")
 
 
+def apportion_small(df: DataFrame, group: list[str], shares: dict[str, str], weight: str, tie: str) -> DataFrame:
+    """Largest-remainder allocation of several amounts (column and name of its share) over the same weights, in one shuffle.
+
+    For groups that a task can order, such as the lines of one invoice; see ``apportion`` for groups of any size. Signs,
+    ties and groups without weight are treated alike in both.
+    """
+    every = Window.partitionBy(*group)
+    df = df.withColumn("_total", F.sum(F.col(weight).cast(WIDE)).over(every))
+    for amount, out in shares.items():
+        product = (F.abs(F.col(amount)).cast("decimal(19,0)") * F.col(weight).cast("decimal(19,0)")).cast(WIDE)
+        df = df.withColumn("_product", product)
+        df = df.withColumns({"_whole": F.expr("cast(_product div nullif(_total, 0) as bigint)"), "_rest": F.expr("_product % nullif(_total, 0)")})
+        left = F.abs(F.col(amount)) - F.sum("_whole").over(every)
+        order = Window.partitionBy(*group).orderBy(F.desc("_rest"), tie)
+        extra = F.when(F.row_number().over(order) <= left, 1).otherwise(0)
+        df = df.withColumn(out, F.coalesce(F.signum(F.col(amount)).cast("long") * (F.col("_whole") + extra), F.lit(0).cast("long")))
+    return df.drop("_total", "_product", "_whole", "_rest")
+
+
 def apportion(df: DataFrame, group: list[str], amount: str, weight: str, tie: str, out: str, empty: int | None = 0) -> DataFrame:
     """Largest-remainder allocation of ``amount``, the same on all rows of a group, over the rows' weights.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.money import apportion
+from ledgerloom.functions.money import apportion, apportion_small
 from ledgerloom.plans.context import Context, months_between, typed
 
 POWER = "decimal(38,9)"
@@ -47,7 +47,9 @@ def compute_ledger(snap: DataFrame, ctx: Context) -> DataFrame:
     steps = steps.withColumn("next_ts", F.coalesce(following, stop))
     months = deals.withColumn("month", F.explode(months_between(F.col("start"), F.col("end"), ctx))).withColumn("month_end", F.add_months("month", 1))
     terms = months.select("_source", "capacity_id", "month", "month_end", F.col("start").alias("first"), F.col("end").alias("stop"))
-    pieces = steps.select("_source", "capacity_id", "ts", "next_ts", F.col("mw").alias("step_mw")).join(terms, ["_source", "capacity_id"])
+    # Each step is spread over the months it touches itself, so a step meets a contract's month only if both touch it.
+    touched = months_between(F.col("ts").cast("date"), F.date_add(F.col("next_ts").cast("date"), 1), ctx)
+    pieces = steps.select("_source", "capacity_id", "ts", "next_ts", F.col("mw").alias("step_mw"), F.explode(touched).alias("month")).join(terms, ["_source", "capacity_id", "month"])
     seconds = F.greatest(
         F.lit(0), F.unix_timestamp(F.least("next_ts", F.col("month_end").cast("timestamp"), F.col("stop").cast("timestamp"))) - F.unix_timestamp(F.greatest("ts", F.col("month").cast("timestamp"), F.col("first").cast("timestamp")))
     )
@@ -69,29 +71,51 @@ def compute_ledger(snap: DataFrame, ctx: Context) -> DataFrame:
     ))
 
 
-def token_ledger(used: DataFrame, models: DataFrame, weights: DataFrame, identity: DataFrame, invoiced: DataFrame, recognized: DataFrame, amounts: DataFrame, compute: DataFrame) -> DataFrame:
-    """One row per token event with its share of the invoice's revenue and fee and of the model's inference cost."""
-    batch, pool = ["_source", "usage_batch_id", "month"], ["month", "model"]
+#: Rows of one usage batch that a task may order; larger batches take the way for groups of any size.
+BATCH_ROWS = 200_000
+TOKEN_COLUMNS = [
+    "activity_id", "_source", "customer", "ts", "month", "model", "generation", "release_date", "token_type", "channel",
+    "workload", "segment", "ultimate_parent", "usage_batch_id", "tokens", "effective_price_per_mtok",
+]
+
+
+def token_revenue(used: DataFrame, models: DataFrame, identity: DataFrame, invoiced: DataFrame, recognized: DataFrame, amounts: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """One row per token event with its share of the invoice's revenue and fee of the month, by rated cents (by tokens if all are zero)."""
+    batch = ["_source", "usage_batch_id", "month"]
     bills = invoiced.select("_source", "usage_batch_id", "invoice_id", F.col("activity_id").alias("invoice_activity"))
-    earned = recognized.filter("recognition_kind = 'usage'").groupBy("_source", F.col("source_document").alias("invoice_id"), "month").agg(F.sum("revenue_cents").alias("invoice_revenue_cents"))
-    fees = amounts.select(F.col("activity_id").alias("invoice_activity"), "month", F.col("fee").alias("invoice_fee_cents"))
-    money = bills.join(earned, ["_source", "invoice_id"]).join(fees, ["invoice_activity", "month"], "left").select(*batch, "invoice_revenue_cents", "invoice_fee_cents")
-    only_fee = bills.join(fees, "invoice_activity").join(earned.select("_source", "invoice_id", "month"), ["_source", "invoice_id", "month"], "left_anti")
-    money = money.unionByName(only_fee.select(*batch, F.lit(0).cast("long").alias("invoice_revenue_cents"), "invoice_fee_cents"))
+    earned = recognized.filter("recognition_kind = 'usage'").select(
+        "_source", F.col("source_document").alias("invoice_id"), "month", F.col("revenue_cents").alias("revenue"), F.lit(0).cast("long").alias("fee")
+    )
+    fees = amounts.select("_source", "invoice_id", "month", F.lit(0).cast("long").alias("revenue"), F.col("fee"))
+    money = earned.unionByName(fees).groupBy("_source", "invoice_id", "month").agg(F.sum("revenue").alias("invoice_revenue_cents"), F.sum("fee").alias("invoice_fee_cents"))
+    money = money.join(bills, ["_source", "invoice_id"]).select(*batch, "invoice_revenue_cents", "invoice_fee_cents")
+    rated = used.groupBy(*batch).agg((F.sum("rated_cents") > 0).alias("any_rated"), F.count(F.lit(1)).alias("batch_rows"))
+    rows = used.join(F.broadcast(models), "model").filter("ts >= released_at").join(identity.select("customer", "segment", "ultimate_parent"), "customer")
+    rows = rows.join(money, batch, "left").join(rated, batch)
+    zeros = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("invoice_revenue_cents", "invoice_fee_cents")}
+    rows = rows.withColumns(zeros | {"revenue_weight": F.when(F.col("any_rated"), F.col("rated_cents")).otherwise(F.col("tokens"))})
+    shares = {"invoice_revenue_cents": "net_revenue_cents", "invoice_fee_cents": "channel_fee_cents"}
+    small = apportion_small(rows.filter(F.col("batch_rows") <= batch_rows), batch, shares, "revenue_weight", "activity_id")
+    columns = [*TOKEN_COLUMNS, *shares.values()]
+    if rated.filter(F.col("batch_rows") > batch_rows).isEmpty():
+        return small.select(*columns)
+    large = rows.filter(F.col("batch_rows") > batch_rows)
+    for amount, out in shares.items():
+        large = apportion(large, batch, amount, "revenue_weight", "activity_id", out)
+    return small.select(*columns).unionByName(large.select(*columns))
+
+
+def token_ledger(priced: DataFrame, weights: DataFrame, compute: DataFrame) -> DataFrame:
+    """Token events with revenue and fee, and their share of the model's inference cost of the month, by energy."""
+    pool = ["month", "model"]
     cost = compute.filter("row_kind = 'consumption' AND purpose = 'inference'").groupBy(*pool).agg(F.sum("cost_cents").alias("model_cost_cents"))
-    rows = used.join(F.broadcast(models), "model").filter("ts >= released_at").join(F.broadcast(weights), ["model", "token_type"])
-    rows = rows.join(identity.select("customer", "segment", "ultimate_parent"), "customer").join(money, batch, "left").join(F.broadcast(cost), pool, "left")
-    zeros = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("invoice_revenue_cents", "invoice_fee_cents", "model_cost_cents")}
-    rows = rows.withColumns(zeros | {"energy_weight": F.col("tokens").cast("decimal(19,0)") * F.col("coefficient_nano").cast("decimal(19,0)")})
-    rated = used.groupBy(*batch).agg((F.sum("rated_cents") > 0).alias("any_rated"))
-    rows = rows.join(rated, batch).withColumn("revenue_weight", F.when(F.col("any_rated"), F.col("rated_cents")).otherwise(F.col("tokens")))
-    rows = apportion(rows, batch, "invoice_revenue_cents", "revenue_weight", "activity_id", "net_revenue_cents")
-    rows = apportion(rows, batch, "invoice_fee_cents", "revenue_weight", "activity_id", "channel_fee_cents")
+    rows = priced.join(F.broadcast(weights), ["model", "token_type"]).join(F.broadcast(cost), pool, "left")
+    rows = rows.withColumns({
+        "model_cost_cents": F.coalesce("model_cost_cents", F.lit(0)).cast("long"),
+        "energy_weight": F.col("tokens").cast("decimal(19,0)") * F.col("coefficient_nano").cast("decimal(19,0)"),
+    })
     rows = apportion(rows, pool, "model_cost_cents", "energy_weight", "activity_id", "allocated_cost_cents")
-    return rows.select(
-        "activity_id", "_source", "customer", "ts", "month", "model", "generation", "release_date", "token_type", "channel", "workload", "segment", "ultimate_parent",
-        "usage_batch_id", "tokens", "effective_price_per_mtok", "energy_weight", "net_revenue_cents", "channel_fee_cents", "allocated_cost_cents",
-    )
+    return rows.select(*TOKEN_COLUMNS, "energy_weight", "net_revenue_cents", "channel_fee_cents", "allocated_cost_cents")
 
 
 def seat_ledger(events: DataFrame, ctx: Context, revenue: DataFrame) -> DataFrame:
@@ -132,7 +156,7 @@ def seat_ledger(events: DataFrame, ctx: Context, revenue: DataFrame) -> DataFram
     rows = rows.filter((F.col("month") >= F.lit(ctx.first_month)) & (F.col("month") < end))
     counted = ["beginning_seats", "ending_seats", "seat_days", "account_days", *measures, "subscription_revenue_cents", "exposure"]
     rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in counted} | {"days": F.datediff(F.add_months("month", 1), "month").cast("long")})
-    rows = apportion(rows, ["_source", "customer", "subscription_id", "month"], "subscription_revenue_cents", "exposure", "plan", "revenue_cents")
+    rows = apportion_small(rows, ["_source", "customer", "subscription_id", "month"], {"subscription_revenue_cents": "revenue_cents"}, "exposure", "plan")
     return rows.select(*key, "days", *counted[:4], *measures, "revenue_cents")
 
 

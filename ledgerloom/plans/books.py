@@ -10,6 +10,7 @@ import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import accounting, entities, ledgers, metrics
 from ledgerloom.plans import context
@@ -62,7 +63,7 @@ class Books:
 
     @cached_property
     def funding(self) -> DataFrame:
-        return accounting.funding(self.invoices, self.contracts)
+        return cut(accounting.funding(self.invoices, self.contracts), "funding")
 
     @cached_property
     def invoice_months(self) -> DataFrame:
@@ -70,7 +71,7 @@ class Books:
 
     @cached_property
     def invoice_amounts(self) -> DataFrame:
-        return accounting.invoice_amounts(self.invoice_months)
+        return cut(accounting.invoice_amounts(self.invoice_months), "invoice-amounts")
 
     @cached_property
     def expiry_amounts(self) -> DataFrame:
@@ -115,25 +116,33 @@ class Books:
 
     @cached_property
     def usage(self) -> DataFrame:
-        return ledgers.usage(self.snap)
+        return cut(ledgers.usage(self.snap), "usage")
 
     @cached_property
     def revenue(self) -> DataFrame:
-        return ledgers.revenue_ledger(self.recognized, self.policy, self.identity, self.invoices, self.credits, self.usage)
+        return cut(ledgers.revenue_ledger(self.recognized, self.policy, self.identity, self.invoices, self.credits, self.usage), "revenue")
 
     @cached_property
     def compute(self) -> DataFrame:
-        return ledgers.compute_ledger(self.snap, self.ctx)
+        return cut(ledgers.compute_ledger(self.snap, self.ctx), "compute")
+
+    @cached_property
+    def priced(self) -> DataFrame:
+        """Token events with revenue and fee, without the cost share that only some outputs need."""
+        return cut(ledgers.token_revenue(self.usage, self.models, self.identity, self.invoices, self.recognized, self.invoice_amounts), "priced")
 
     @cached_property
     def tokens(self) -> DataFrame:
-        weights = context.allocation(self.spark)
-        rows = ledgers.token_ledger(self.usage, self.models, weights, self.identity, self.invoices, self.recognized, self.invoice_amounts, self.compute)
-        return cut(rows, "tokens")
+        return cut(ledgers.token_ledger(self.priced, context.allocation(self.spark), self.compute), "tokens")
+
+    @cached_property
+    def subscription_revenue(self) -> DataFrame:
+        """Recognised lines of the subscription family, without the usage attributes they don't have."""
+        return self.recognized.join(F.broadcast(self.policy.filter("family = 'subscription'")), ["source", "recognition_kind"])
 
     @cached_property
     def seats(self) -> DataFrame:
-        return cut(ledgers.seat_ledger(self.subscription_events, self.ctx, self.revenue), "seats")
+        return cut(ledgers.seat_ledger(self.subscription_events, self.ctx, self.subscription_revenue), "seats")
 
     @cached_property
     def trials(self) -> DataFrame:
@@ -145,7 +154,7 @@ class Books:
 
     @cached_property
     def customer_month(self) -> DataFrame:
-        return entities.customer_month(self.timeline, self.calendar, self.revenue, self.tokens, self.seats)
+        return entities.customer_month(self.timeline, self.calendar, self.revenue, self.priced, self.seats)
 
     @cached_property
     def cohort_revenue(self) -> DataFrame:

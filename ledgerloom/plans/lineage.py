@@ -28,11 +28,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here and a lost executor costs a file read."""
+def cut(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends here and a lost executor costs a file read.
+
+    With ``partition`` the files lie in one folder for each value of that column, so filters on it prune the scan.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _written[table] = path
     return table

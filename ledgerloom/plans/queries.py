@@ -11,14 +11,21 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import accounting, checks, compare, entities, metrics, usage
 from ledgerloom.plans import context
 from ledgerloom.plans.books import Books
+from ledgerloom.plans.lineage import cut
 from ledgerloom.sources.testdata import activity_stream, usage_stream
 
 ASOF = dt.date(2001, 7, 31)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def stored_stream(spark: SparkSession, sf_dir: str, **options: int) -> DataFrame:
+    """The activity stream as a ledger keeps it: written once, one folder for each activity."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return cut(activity_stream(spark, sf_dir, **options), "stream", "activity")
+
+
 def books(spark: SparkSession, sf_dir: str) -> Books:
-    return Books(activity_stream(spark, sf_dir), ASOF)
+    return Books(stored_stream(spark, sf_dir), ASOF)
 
 
 def over_books(build: Callable[[Books], DataFrame]) -> Query:
@@ -60,14 +67,14 @@ LATER = dt.datetime(2001, 8, 15, tzinfo=dt.timezone.utc)
 def newly_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a knowledge cutoff two weeks after the close adds to the same economic date."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    act = activity_stream(spark, sf_dir)
+    act = stored_stream(spark, sf_dir)
     return compare.newly_visible(context.snapshot(act, ASOF), context.snapshot(act, ASOF, LATER)).select("activity_id", "activity", "customer")
 
 
 def account_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accounts moved by what became known in the two weeks after the close."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    act = activity_stream(spark, sf_dir)
+    act = stored_stream(spark, sf_dir)
     old, new = (accounting.close_accounts(Books(act, ASOF, known).journals) for known in (None, LATER))
     return compare.account_bridge(old, new)
 
@@ -75,7 +82,7 @@ def account_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def invoice_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Straight-line shares of invoices that cover three months of service."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    amounts = Books(activity_stream(spark, sf_dir, service_months=3), ASOF).invoice_amounts
+    amounts = Books(stored_stream(spark, sf_dir, service_months=3), ASOF).invoice_amounts
     return amounts.select("activity_id", "month", "days", "lo", "hi", "net", "fee", "draw")
 
 
@@ -84,8 +91,8 @@ def _power(df: DataFrame) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "net_rev_per_mtok": over_books(lambda b: metrics.net_rev_per_mtok(b.tokens, ["model"])),
-    "net_rev_per_mtok_segment": over_books(lambda b: metrics.net_rev_per_mtok(b.tokens, ["segment", "channel"])),
+    "net_rev_per_mtok": over_books(lambda b: metrics.net_rev_per_mtok(b.priced, ["model"])),
+    "net_rev_per_mtok_segment": over_books(lambda b: metrics.net_rev_per_mtok(b.priced, ["segment", "channel"])),
     "fact_revenue": over_books(_lines),
     "journal_lines": over_books(lambda b: b.journals.drop("_source", "upstream_ids")),
     "close_accounts": over_books(lambda b: accounting.close_accounts(b.journals)),
@@ -107,7 +114,7 @@ QUERIES: dict[str, Query] = {
     "rev_per_mw": over_books(lambda b: metrics.rev_per_mw(b.recognized, b.compute, b.ctx)),
     "nrr_members": over_books(lambda b: b.nrr_members()),
     "consumption_nrr": over_books(lambda b: b.nrr()),
-    "model_vintage": over_books(lambda b: metrics.model_vintage(b.tokens, b.revenue, b.models, ["channel"])),
+    "model_vintage": over_books(lambda b: metrics.model_vintage(b.priced, b.revenue, b.models, ["channel"])),
     "subscriptions": over_books(lambda b: metrics.subscriptions(b.seats, b.trials)),
     "customer_cohorts": over_books(lambda b: metrics.customer_cohorts(b.cohort_revenue, b.calendar, b.thresholds, b.ctx)),
     "cohort_members": over_books(lambda b: metrics.cohort_members(b.cohort_revenue, b.thresholds)),
@@ -125,7 +132,7 @@ QUERIES: dict[str, Query] = {
     "dim_model": over_books(lambda b: b.models.drop("released_at")),
     "consumption_nrr_v2": over_books(lambda b: b.nrr("v2")),
     "nrr_sensitivity": over_books(lambda b: metrics.nrr_sensitivity(b.nrr())),
-    "yield_summary": over_books(lambda b: metrics.yield_summary(metrics.net_rev_per_mtok(b.tokens, ["model"]), F.lit(dt.date(2001, 6, 1)))),
+    "yield_summary": over_books(lambda b: metrics.yield_summary(metrics.net_rev_per_mtok(b.priced, ["model"]), F.lit(dt.date(2001, 6, 1)))),
     "stg_contracts": over_books(lambda b: b.contracts.select("activity_id", "customer", "contract_id", "channel", "term_months", "commit_cents", "start", "end")),
     "stg_invoices": over_books(lambda b: b.invoices.select("activity_id", "customer", "invoice_id", "usage_batch_id", "contract_id", "period_start", "period_end", "gross_cents", "discount_cents", "net_cents", "fee_cents", "channel")),
     "stg_credits": over_books(lambda b: b.credits.select("activity_id", "customer", "credit_id", "invoice_id", "period", "amount")),
