@@ -1,23 +1,37 @@
-"""Usage counters: growth between readings, and what is missing."""
+"""Usage counters: typed readings, growth between them, and what is missing."""
 
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KEY = ["account", "token_kind"]
+from ledgerloom.plans.context import typed
+
+KEY = ["account", "source", "scope_id", "token_kind"]
+#: Fixed value: an inventory's readings count as stale after so many days without an import.
+STALE_DAYS = 7
+
+
+def usage_observations(snap: DataFrame, source: str) -> DataFrame:
+    """Readings of one counter source as typed rows; the line number is the third part of the observation's name."""
+    fields = {name: "string" for name in ("source", "scope_id", "token_kind", "temporality", "observation_id", "model")} | {"quantity": "long", "revision": "int"}
+    rows = typed(snap.withColumn("_source", F.col("_recorded_at")), ["usage_observed"], fields).withColumnsRenamed({"customer": "account", "_source": "_recorded_at"})
+    line = F.split_part("observation_id", F.lit(":"), F.lit(3)).try_cast("long").alias("source_line")
+    return rows.filter(F.col("source") == source).select("activity_id", "account", "ts", "_recorded_at", *KEY[1:], "temporality", "quantity", "model", "revision", line)
 
 
 def usage_intervals(observations: DataFrame, start: dt.datetime, end: dt.datetime) -> DataFrame:
-    """Consecutive readings of each counter with status and growth; only an observed interval has growth.
+    """Consecutive cumulative readings of each session's counters with status and growth.
 
     A first reading inside the window is an opening balance, a step over the window's start is set apart, a missing
-    reading on either side leaves the step unknown, and a smaller reading is a reset.
+    reading on either side leaves the step unknown, and a smaller reading is a reset. Steps up to the window's end count.
     """
     order = Window.partitionBy(*KEY).orderBy("ts", "source_line")
-    rows = observations.withColumns({"previous": F.lag("quantity").over(order), "previous_ts": F.lag("ts").over(order)}).filter((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end)))
+    rows = observations.filter((F.col("temporality") == "cumulative") & (F.col("ts") < F.lit(end)))
+    rows = rows.withColumns({"previous": F.lag("quantity").over(order), "previous_ts": F.lag("ts").over(order)}).filter(F.col("ts") >= F.lit(start))
     status = (
         F.when(F.col("previous_ts").isNull(), "opening_balance").when(F.col("previous_ts") < F.lit(start), "crosses_window_boundary")
         .when(F.col("quantity").isNull() | F.col("previous").isNull(), "missing_counter").when(F.col("quantity") < F.col("previous"), "counter_reset").otherwise("observed")
@@ -26,11 +40,86 @@ def usage_intervals(observations: DataFrame, start: dt.datetime, end: dt.datetim
 
 
 def usage_tokens(intervals: DataFrame) -> DataFrame:
-    """Growth of each counter over the window; unknown if any step was reset or missing."""
-    bad = F.count(F.when(F.col("status").isin("counter_reset", "missing_counter"), 1))
-    sums = intervals.groupBy(*KEY).agg(F.count(F.lit(1)).alias("intervals"), bad.alias("unknown_intervals"), F.coalesce(F.sum("growth"), F.lit(0)).alias("total"))
-    return sums.select(*KEY, "intervals", "unknown_intervals", F.when(F.col("unknown_intervals") == 0, F.col("total")).alias("growth"), F.when(F.col("unknown_intervals") == 0, "observed").otherwise("incomplete").alias("status"))
+    """Growth of each session's counters over the window; unknown if any step was reset or missing."""
+    count = lambda *kinds: F.count(F.when(F.col("status").isin(*kinds), 1))
+    status = (
+        F.when(count("counter_reset") > 0, "counter_reset_unknown").when(count("missing_counter") > 0, "missing_counter_unknown")
+        .when(F.count("growth") == 0, "insufficient_observations").otherwise("partial_observed")
+    )
+    return intervals.groupBy(*KEY).agg(
+        F.min("ts").alias("first_observed_at"), F.max("ts").alias("last_observed_at"),
+        F.when(count("counter_reset", "missing_counter") == 0, F.sum("growth")).alias("observed_tokens"), F.count(F.lit(1)).alias("observations"),
+        count("observed").alias("measured_intervals"), (F.count(F.lit(1)) - count("observed")).alias("excluded_intervals"), status.alias("status"),
+    )
+
+
+def usage_gaps(snap: DataFrame, observations: DataFrame, start: dt.datetime, end: dt.datetime, known_at: dt.datetime, local: str = "cli", version: int = 2) -> DataFrame:
+    """What usage is not covered: (account, surface, scope, gap, status).
+
+    Every surface of an account's latest inventory is partial, stale or unavailable; totals and charges of an account are
+    always open; sources in quarantine are listed; version 2 adds sessions whose last interval readings don't add up.
+    """
+    inside = (F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end))
+    listed = typed(snap, ["application_inventory"], {"surface": "string", "scope": "string"})
+    latest = listed.groupBy(F.col("customer").alias("account"), "surface").agg(F.max_by("scope", F.struct("ts", "activity_id")).alias("scope"))
+    seen = observations.filter(inside).groupBy("account").agg(F.max("_recorded_at").alias("imported_at"))
+    status = F.when((F.col("surface") != local) | F.col("imported_at").isNull(), "unavailable")
+    status = status.when(F.col("imported_at") < F.lit(known_at - dt.timedelta(days=STALE_DAYS)), "stale").otherwise("partial")
+    surfaces = latest.join(seen, "account", "left").select("account", "surface", "scope", F.lit("surface_coverage").alias("gap"), status.alias("status"))
+    accounts = latest.select("account").distinct()
+    open_ones = [
+        accounts.select("account", F.lit("all").alias("surface"), F.lit(scope).alias("scope"), F.lit(gap).alias("gap"), F.lit("unavailable").alias("status"))
+        for scope, gap in (("account", "account_total"), ("billing", "billed_charges"))
+    ]
+    held = typed(snap.filter(F.col("link").startswith("evidence:failures/")), ["usage_coverage"], {"scope_id": "string", "interval_start": "timestamp", "interval_end": "timestamp"})
+    held = held.filter((F.col("interval_start") < F.lit(end)) & (F.col("interval_end") > F.lit(start)))
+    parts = [surfaces, *open_ones, held.select(F.col("customer").alias("account"), F.lit(local).alias("surface"), F.col("scope_id").alias("scope"), F.lit("quarantined_source").alias("gap"), F.lit("quarantined").alias("status"))]
+    if version >= 2:
+        off = counter_residuals(observations.filter(inside)).select("account", "scope_id").distinct()
+        parts.append(off.select("account", F.lit(local).alias("surface"), F.col("scope_id").alias("scope"), F.lit("last_counter_reconciliation").alias("gap"), F.lit("diagnostic_mismatch").alias("status")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def counter_residuals(observations: DataFrame) -> DataFrame:
+    """Interval readings whose total isn't input plus output, one row per session, time and line."""
+    of = lambda kind: F.max(F.when(F.col("token_kind") == kind, F.col("quantity"))).alias(kind)
+    rows = observations.filter("temporality = 'interval_total'").groupBy("account", "scope_id", "ts", "source_line").agg(of("total"), of("input"), of("output"))
+    return rows.filter("total <> input + output").withColumn("residual", F.expr("total - input - output"))
 
 
 def usage_readiness(activities: DataFrame) -> DataFrame:
+    """How many activities of each kind a report can draw on."""
     return activities.groupBy("activity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def admit_usage(packets: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counter packets (session, line, observed_at, collected_at, revision, counters json) as (admitted observations, quarantined packets).
+
+    A packet holds two counters, each with input, output and total and a cached part of the input. It is quarantined if it
+    has no session, was observed after it was collected, has a part above its whole or a total that isn't the sum, goes
+    back in time within its session, or repeats a stored or another packet's (session, line) with other content.
+    """
+    shape = "struct<last:struct<input:long,cached:long,output:long,total:long>,cumulative:struct<input:long,cached:long,output:long,total:long>>"
+    rows = packets.withColumn("c", F.from_json("counters", shape)).withColumn("content", F.sha2(F.concat_ws("|", F.col("observed_at").cast("string"), "counters"), 256))
+    order = Window.partitionBy("session").orderBy("line")
+    same = Window.partitionBy("session", "line")
+
+    def wrong(name: str) -> Column:
+        get = lambda part: F.col(f"c.{name}.{part}")
+        return F.coalesce((get("cached") > get("input")) | (get("total") != get("input") + get("output")), F.lit(True))
+
+    known = stored.select("session", "line", F.col("content").alias("stored_content")).distinct()
+    rows = rows.withColumns({"before": F.lag("observed_at").over(order), "contents": F.size(F.collect_set("content").over(same))}).join(known, ["session", "line"], "left")
+    reason = (
+        F.when(F.col("session").isNull() | F.col("line").isNull(), "identity").when(F.col("observed_at") > F.col("collected_at"), "observed after collection")
+        .when(wrong("last") | wrong("cumulative"), "counter arithmetic").when(F.col("observed_at") < F.col("before"), "session order")
+        .when((F.col("contents") > 1) | (F.col("stored_content") != F.col("content")), "conflicting revision")
+    )
+    rows = rows.withColumn("reason", reason)
+    readings = [
+        F.struct(F.lit(kind).alias("temporality"), F.lit(part).alias("token_kind"), F.col(f"c.{name}.{part}").alias("quantity"))
+        for name, kind in (("last", "interval_total"), ("cumulative", "cumulative")) for part in ("input", "cached", "output", "total")
+    ]
+    fresh = rows.filter("reason IS NULL AND stored_content IS NULL").dropDuplicates(["session", "line"])
+    admitted = fresh.select("session", "line", "observed_at", "content", F.inline(F.array(*readings)))
+    return admitted, rows.filter("reason IS NOT NULL").select("session", "line", "observed_at", "content", "reason")

@@ -113,11 +113,6 @@ def per_mtok(cut: str) -> str:
         sum(net_revenue_cents) * 10000.0::DOUBLE / sum(tokens) AS net_of_discounts_and_fees_per_mtok, sum(net_revenue_cents + channel_fee_cents) * 10000.0::DOUBLE / sum(tokens) AS net_of_discounts_per_mtok FROM tl GROUP BY ALL""")
 
 
-STEPS = """WITH r AS (SELECT 'u' || user_id AS account, event_type AS token_kind, ts, event_id AS source_line, CASE WHEN event_id % 53 = 0 THEN NULL WHEN event_id % 41 = 0 THEN 0 ELSE (sum(round(value * 100)::BIGINT) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id))::BIGINT END AS quantity FROM events),
-    s AS (SELECT *, lag(quantity) OVER w AS previous, lag(ts) OVER w AS pts FROM r WINDOW w AS (PARTITION BY account, token_kind ORDER BY ts, source_line)),
-    t AS (SELECT *, CASE WHEN pts IS NULL THEN 'opening_balance' WHEN pts < TIMESTAMP '2024-01-15' THEN 'crosses_window_boundary' WHEN quantity IS NULL OR previous IS NULL THEN 'missing_counter' WHEN quantity < previous THEN 'counter_reset' ELSE 'observed' END AS status
-        FROM s WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-02-01'),
-    steps AS (SELECT account, token_kind, source_line, quantity, previous, status, CASE WHEN status = 'observed' THEN quantity - previous END AS growth FROM t)"""
 
 ORACLE: dict[str, str] = {
     "net_rev_per_mtok": per_mtok("model"),
@@ -169,10 +164,6 @@ ORACLE: dict[str, str] = {
     "customer_cohorts": sql("""SELECT q.e AS month, threshold_cents, count(*) FILTER (WHERE revenue_cents > threshold_cents) AS customers, coalesce(sum(revenue_cents) FILTER (WHERE revenue_cents > threshold_cents), 0)::BIGINT AS cohort_revenue_cents, coalesce(sum(revenue_cents), 0)::BIGINT AS total_revenue_cents,
         coalesce(sum(revenue_cents) FILTER (WHERE revenue_cents > threshold_cents), 0)::DOUBLE / nullif(sum(revenue_cents), 0) AS net_revenue_share FROM (SELECT (month_end - 1)::DATE AS e FROM cal WHERE month(month) % 3 = 0 AND month_end >= DATE '1996-01-01') q CROSS JOIN th LEFT JOIN qr ON qr.quarter_end = q.e GROUP BY ALL"""),
     "cohort_members": sql("SELECT quarter_end AS month, ultimate_parent, revenue_cents, threshold_cents FROM qr, th WHERE revenue_cents > threshold_cents"),
-    "usage_intervals": STEPS + " SELECT * FROM steps",
-    "usage_tokens": STEPS + """ SELECT account, token_kind, count(*) AS intervals, count(*) FILTER (WHERE status IN ('counter_reset', 'missing_counter')) AS unknown_intervals,
-        CASE WHEN count(*) FILTER (WHERE status IN ('counter_reset', 'missing_counter')) = 0 THEN coalesce(sum(growth), 0)::BIGINT END AS growth,
-        CASE WHEN count(*) FILTER (WHERE status IN ('counter_reset', 'missing_counter')) = 0 THEN 'observed' ELSE 'incomplete' END AS status FROM steps GROUP BY account, token_kind""",
     "customer_history": sql("""SELECT customer, CASE WHEN k % 5 = 4 THEN 'c' || (k // 5) END AS parent, DATE '1995-01-01' AS valid_from, CASE WHEN k % 50 = 7 AND k >= 57 THEN DATE '1999-06-15' END AS valid_to FROM cus
         UNION ALL SELECT customer, 'c' || (k - 50), DATE '1999-06-15', NULL FROM cus WHERE k % 50 = 7 AND k >= 57"""),
     "dim_contract": sql("SELECT activity_id, customer, contract_id, channel, first AS valid_from, stop AS valid_to, CASE WHEN y < 2001 THEN stop END AS next_start FROM con"),
@@ -183,9 +174,6 @@ ORACLE: dict[str, str] = {
         FROM who CROSS JOIN calendar LEFT JOIN (SELECT customer, month, sum(revenue_cents) AS n, sum(revenue_cents) FILTER (WHERE family = 'consumption') AS c, sum(revenue_cents) FILTER (WHERE family = 'subscription') AS s, sum(revenue_cents) FILTER (WHERE family = 'credit') AS d, sum(revenue_cents) FILTER (WHERE family = 'commit_expiry') AS x FROM fam GROUP BY ALL) r ON r.customer = who.customer AND r.month = calendar.month
         LEFT JOIN (SELECT customer, month, sum(tokens) AS tokens FROM tok GROUP BY ALL) u ON u.customer = who.customer AND u.month = calendar.month
         LEFT JOIN (SELECT customer, month, sum(beginning_seats) AS b, sum(ending_seats) AS e, sum(seat_days) AS sd, sum(account_days) AS ad FROM sl GROUP BY ALL) z ON z.customer = who.customer AND z.month = calendar.month"""),
-    "data_controls": """SELECT unnest(['duplicate_invoice', 'duplicate_contract', 'duplicate_credit', 'duplicate_expiry', 'invalid_invoice', 'orphan_credit', 'invalid_expiry', 'nonmonthly_subscription', 'unique_customer_creation', 'parent_graph_resolves', 'parents_exist',
-        'financial_customer_exists', 'one_invoice_per_batch', 'paid_state_has_start', 'overlapping_subscriptions', 'meters_match_contracts', 'unique_capacity_documents', 'token_population_complete', 'token_population_unique', 'token_revenue_reconciles', 'token_cost_reconciles',
-        'batch_has_one_customer', 'unique_model', 'subscription_reconciles', 'seat_rollforward', 'revenue_has_exposure', 'unique_trials', 'journals_balance', 'recognized_equals_revenue_accounts']) AS reason, 0::BIGINT AS failures""",
     "consumption_nrr_v2": sql("""SELECT DATE '2001-07-31' AS month, lens, 'defined' AS status, n AS cohort_customers, ab AS all_base_cents, b AS base_revenue_cents, c AS current_revenue_cents, e AS expansion_cents, d AS contraction_cents, g AS churn_cents,
         c::DOUBLE / b AS nrr, e::DOUBLE / b AS expansion_share, d::DOUBLE / b AS contraction_share, g::DOUBLE / b AS churn_share, b::DOUBLE / ab AS cohort_revenue_coverage FROM (
         SELECT lens, count(*) FILTER (WHERE in_cohort) AS n, sum(base_cents)::BIGINT AS ab, (sum(base_cents) FILTER (WHERE in_cohort))::BIGINT AS b, (sum(current_cents) FILTER (WHERE in_cohort))::BIGINT AS c,

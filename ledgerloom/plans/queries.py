@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import accounting, checks, compare, entities, metrics, usage
+from ledgerloom.operators import accounting, checks, compare, entities, integrity, metrics, usage
 from ledgerloom.plans import context
 from ledgerloom.plans.books import Books
 from ledgerloom.plans.lineage import cut
-from ledgerloom.sources.testdata import activity_stream, usage_stream
+from ledgerloom.sources.testdata import COUNTER_SOURCE, activity_stream, asserted_stream, counter_stream, planted_faults
 
 ASOF = dt.date(2001, 7, 31)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,12 +53,51 @@ def late_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("activity_id", "activity", "visible")
 
 
-def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counter steps of the second half of January."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    utc = dt.timezone.utc
-    found = usage.usage_intervals(usage_stream(spark, sf_dir), dt.datetime(2024, 1, 15, tzinfo=utc), dt.datetime(2024, 2, 1, tzinfo=utc))
-    return found.select("account", "token_kind", "source_line", "quantity", "previous", "status", "growth")
+UTC = dt.timezone.utc
+WINDOW = (dt.datetime(2024, 1, 10, tzinfo=UTC), dt.datetime(2024, 1, 25, tzinfo=UTC))
+
+
+def over_counters(build: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """A query over the usage stream and its typed counter readings."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        stream = cut(counter_stream(spark, sf_dir), "counters", "activity")
+        return build(stream, usage.usage_observations(stream, COUNTER_SOURCE))
+
+    return query
+
+
+def gaps(version: int) -> Query:
+    return over_counters(lambda stream, seen: usage.usage_gaps(stream, seen, *WINDOW, dt.datetime(2024, 1, 31, 18, tzinfo=UTC), version=version))
+
+
+def within(seen: DataFrame) -> DataFrame:
+    return seen.filter((F.col("ts") >= F.lit(WINDOW[0])) & (F.col("ts") < F.lit(WINDOW[1])))
+
+
+def over_broken(build: Callable[[Books], DataFrame]) -> Query:
+    """A query over the stream with planted faults."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        faulty = activity_stream(spark, sf_dir).unionByName(planted_faults(spark, sf_dir))
+        return build(Books(cut(faulty, "stream", "activity"), ASOF))
+
+    return query
+
+
+def over_asserted(build: Callable[[DataFrame], DataFrame], faults: bool = False) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return build(cut(asserted_stream(spark, sf_dir, faults), "asserted", "activity"))
+
+    return query
+
+
+def occurrences(b: Books) -> DataFrame:
+    events = b.snap.filter(F.col("activity").isin(accounting.SUBSCRIPTION_EVENTS))
+    return context.with_occurrence(events).select("activity_id", "activity_occurrence", F.col("activity_repeated_at").cast("date").alias("repeated_day"))
 
 
 LATER = dt.datetime(2001, 8, 15, tzinfo=dt.timezone.utc)
@@ -124,8 +163,31 @@ QUERIES: dict[str, Query] = {
     "customer_month": over_books(lambda b: b.customer_month),
     "dim_contract": over_books(lambda b: entities.dim_contract(b.snap).drop("_source")),
     "late_arrivals": lambda spark, sf_dir: late_arrivals(spark, sf_dir),
-    "usage_intervals": lambda spark, sf_dir: counters(spark, sf_dir),
-    "usage_tokens": lambda spark, sf_dir: usage.usage_tokens(counters(spark, sf_dir)),
+    "usage_observations": over_counters(lambda _, seen: seen.select(*usage.KEY, "temporality", "source_line", "quantity")),
+    "usage_intervals": over_counters(lambda _, seen: usage.usage_intervals(seen, *WINDOW).select("account", "scope_id", "token_kind", "source_line", "quantity", "previous", "status", "growth")),
+    "usage_tokens": over_counters(lambda _, seen: usage.usage_tokens(usage.usage_intervals(seen, *WINDOW)).drop("first_observed_at", "last_observed_at")),
+    "usage_gaps_v1": gaps(1),
+    "usage_gaps": gaps(2),
+    "usage_readiness": over_counters(lambda stream, _: usage.usage_readiness(stream)),
+    "counter_residuals": over_counters(lambda _, seen: usage.counter_residuals(within(seen)).drop("ts")),
+    "data_controls_broken": over_broken(checks.all_errors),
+    "data_tests": over_books(integrity.data_tests),
+    "data_tests_broken": over_broken(integrity.data_tests),
+    "stream_checks": over_asserted(lambda act: integrity.stream_checks(act, context.recognition_policy(act.sparkSession))),
+    "stream_checks_broken": over_asserted(lambda act: integrity.stream_checks(act, context.recognition_policy(act.sparkSession)), faults=True),
+    "revenue_ledger_asserted": over_asserted(lambda act: accounting.recognized_from_stream(context.snapshot(act, ASOF)).drop("_source")),
+    "subscription_occurrences": over_books(occurrences),
+    "consumption_nrr_v1": over_books(lambda b: metrics.consumption_nrr_v1(b.nrr_members(), context.nrr_lenses(b.spark), b.ctx)),
+    "stg_capacity_contracts": over_books(
+        lambda b: context.typed(
+            b.snap, ["capacity_contracted"], {"capacity_id": "string", "provider": "string", "region": "string", "purpose": "string", "mw": "double", "usd_per_mwh": "decimal(18,2)", "start": "date", "end": "date"}
+        ).select("capacity_id", "provider", "region", "purpose", "mw", (F.col("usd_per_mwh") * 100).cast("long").alias("rate_cents"), F.col("start").alias("service_start"), F.col("end").alias("service_end"))
+    ),
+    "stg_compute_meters": over_books(
+        lambda b: context.typed(b.snap, ["capacity_consumed"], {"capacity_id": "string", "purpose": "string", "model": "string", "period_start": "date", "mwh": "double"}).select(
+            "capacity_id", "purpose", "model", F.col("period_start").alias("month"), "mwh"
+        )
+    ),
     "newly_visible": newly_visible,
     "account_bridge": account_bridge,
     "invoice_amounts": invoice_amounts,

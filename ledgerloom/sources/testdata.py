@@ -109,11 +109,186 @@ def activity_stream(spark: SparkSession, sf_dir: str, service_months: int = 1) -
     return stream.withColumns({"_source": F.lit("sim:td"), "_actor": F.lit("adapter"), "_lane": F.lit("sim"), "_schema_hash": F.lit("td-1")})
 
 
-def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counter observations from ``events``: a running total per user and event type, with resets and missing readings."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    so_far = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(F.round(F.col("value") * 100).cast("long")).over(so_far)
-    return events.withColumn("reading", F.when(F.col("event_id") % 53 == 0, None).when(F.col("event_id") % 41 == 0, 0).otherwise(total)).select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("account"), F.col("event_type").alias("token_kind"), "ts", F.col("event_id").alias("source_line"), F.col("reading").cast("long").alias("quantity")
-    )
+def _plain(kind: str, key: Column, day: str, who: Column, features: dict[str, Column], frame: DataFrame, source: str = "sim:bad") -> DataFrame:
+    rows = _rows(frame, kind, key, F.lit(day).cast("date"), who, features)
+    return rows.withColumns({"_source": F.lit(source), "_actor": F.lit("adapter"), "_lane": F.lit("sim"), "_schema_hash": F.lit("td-1")})
+
+
+def planted_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activities that break the data controls, one set for each customer whose key leaves 3 when divided by 100.
+
+    All but the meter of an unknown model come from a source of their own and carry no money unless the fault is about
+    money, so each set adds the same known number of failures to each control.
+    """
+    bad = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 100 = 3").select(F.col("c_custkey").alias("k"))
+    text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    k, day, nil = F.col("k"), "2000-03-10", F.lit(None).cast("string")
+    who, other = text("x", k), text("x", k, "v")
+    out: list[DataFrame] = []
+
+    def add(kind: str, key: str, customer: Column, features: dict[str, Column], copies: int = 1, when: str = day, source: str = "sim:bad") -> None:
+        for n in range(copies):
+            out.append(_plain(kind, text(f"bad:{kind}:{key}:{n}:", k), when, customer, features, bad, source))
+
+    def person(suffix: str, parent: Column = nil, copies: int = 1) -> None:
+        about = {"segment": F.lit("none"), "channel": F.lit("direct"), "country": F.lit("none"), "parent_customer": parent}
+        add("customer_created", suffix or "main", text("x", k, suffix), about, copies, "2000-01-01")
+
+    def bill(document: str, batch: Column, gross: str = "0.00", net: str = "0.00", copies: int = 1) -> None:
+        add("usage_invoiced", document, who, {
+            "invoice_id": text(document, k), "usage_batch_id": batch, "contract_id": nil, "period_start": F.lit("2000-03-01"), "period_end": F.lit("2000-04-01"),
+            "gross_usd": F.lit(gross), "discount_usd": F.lit("0.00"), "net_usd": F.lit(net), "channel_fee_usd": F.lit("0.00"), "channel": F.lit("direct"),
+        }, copies)
+
+    def deal(contract: str, customer: Column, copies: int = 1) -> None:
+        terms = {"term_months": F.lit(12), "commit_usd": F.lit("0.00"), "channel": F.lit("direct"), "start": F.lit("2000-01-01"), "end": F.lit("2001-01-01")}
+        add("contract_signed", contract, customer, {"contract_id": text(contract, k)} | terms, copies)
+
+    def subscribe(name: str, customer: Column, seats: int, price: str = "0.00", billing: str = "monthly", until: str = STOP, when: str = day) -> None:
+        about = {"subscription_id": text(name, k), "plan": F.lit("pro"), "seats": F.lit(seats), "price_per_seat": F.lit(price), "billing_period": F.lit(billing), "period_end": F.lit(until)}
+        add("subscription_started", name, customer, about, when=when)
+
+    def use(batch: str, customer: Column, model: str, note: str = "") -> None:
+        about = {"usage_batch_id": text(batch, k), "model": F.lit(model), "token_type": F.lit("input"), "tokens": F.lit(1), "list_price_per_mtok": F.lit(0.0), "effective_price_per_mtok": F.lit(0.0)}
+        add("tokens_processed", batch + note, customer, about | {"channel": F.lit("direct"), "workload": F.lit("api")})
+
+    for suffix in ("", "v", "w"):
+        person(suffix)
+    person("d", copies=2)
+    person("p", text("x", k, "q"))
+    person("q", text("x", k, "p"))
+    person("o", text("nowhere", k))
+    deal("xghost", text("ghost", k))
+    deal("xtwice", who, 2)
+    deal("xended", who)
+    add("contract_expired", "twice", who, {"contract_id": text("xended", k), "reason": F.lit("term")}, 2)
+    add("contract_expired", "none", who, {"contract_id": text("xnone", k), "reason": F.lit("term")})
+    bill("xgross", text("xgb", k), gross="1.00")
+    bill("xagain", text("xab", k), copies=1)
+    out.append(_plain("usage_invoiced", text("bad:second:", k), day, who, {
+        "invoice_id": text("xagain", k), "usage_batch_id": text("xac", k), "contract_id": nil, "period_start": F.lit("2000-03-01"), "period_end": F.lit("2000-04-01"),
+        "gross_usd": F.lit("0.00"), "discount_usd": F.lit("0.00"), "net_usd": F.lit("0.00"), "channel_fee_usd": F.lit("0.00"), "channel": F.lit("direct"),
+    }, bad))
+    bill("xone", text("xshared", k))
+    bill("xtwo", text("xshared", k))
+    bill("xmoney", text("xunused", k), gross="5.00", net="5.00")
+    about = {"period": F.lit("2000-03-01"), "amount_usd": F.lit("0.00"), "reason": F.lit("service")}
+    add("credit_issued", "orphan", who, {"credit_id": text("xor", k), "invoice_id": text("xmissing", k)} | about)
+    add("credit_issued", "twice", who, {"credit_id": text("xcr", k), "invoice_id": text("xgross", k)} | about, 2)
+    subscribe("xyear", who, 0, billing="annual")
+    add("seat_added", "first", who, {"subscription_id": text("xearly", k), "plan": F.lit("pro"), "seats": F.lit(0), "seats_after": F.lit(0)})
+    subscribe("xleft", other, 1)
+    subscribe("xright", other, 1)
+    subscribe("xshort", text("x", k, "w"), 1, until="2000-06-15")
+    subscribe("xlost", text("lost", k), 1, price="1.00", when="2001-06-01")
+    add("trial_started", "twice", who, {"trial_id": text("xtrial", k), "plan": F.lit("pro"), "seats": F.lit(1)}, 2)
+    add("model_released", "twice", nil, {"model": text("xm", k), "generation": F.lit(9), "release_date": F.lit("2000-01-01")}, 2)
+    place = {"provider": F.lit("p0"), "region": F.lit("r0")}
+    meter = place | {"mwh": F.lit(1), "purpose": F.lit("inference"), "period_start": F.lit("2000-03-01"), "period_end": F.lit("2000-04-01")}
+    add("capacity_consumed", "unknown", nil, meter | {"capacity_id": text("xcap", k), "model": F.lit("g1")})
+    add("capacity_consumed", "idle", nil, meter | {"capacity_id": F.lit("cap:0:inference"), "model": text("zz", k)}, source="sim:td")
+    site = place | {"mw": F.lit(0), "usd_per_mwh": F.lit("0.00"), "start": F.lit("2000-01-01"), "end": F.lit("2000-02-01"), "purpose": F.lit("training")}
+    add("capacity_contracted", "twice", nil, {"capacity_id": text("xdoc", k)} | site, 2)
+    use("xorphan", who, "none")
+    use("xmixed", who, "g1")
+    use("xmixed", other, "g1", ":other")
+    use("xdouble", text("x", k, "d"), "g1")
+    stream = out[0]
+    for rows in out[1:]:
+        stream = stream.unionByName(rows)
+    return stream
+
+
+def asserted_stream(spark: SparkSession, sf_dir: str, faults: bool = False) -> DataFrame:
+    """The activity stream with recognition events of its own: invoices, credits and expired commitments, each in its month.
+
+    With ``faults``, orders whose key leaves a certain rest when divided by 500 get a fault of one kind each.
+    """
+    act = activity_stream(spark, sf_dir)
+    field = lambda name: F.get_json_object("feature_json", f"$.{name}")
+    usd = lambda name: field(name).cast("decimal(18,2)")
+    number = F.coalesce(F.regexp_extract("activity_id", r"^(?:inv|cred):(\d+)$", 1).try_cast("long"), F.lit(0))
+    rest = number % 500 if faults else F.lit(0)
+    base = act.withColumn("rest", F.when(number > 0, rest).otherwise(0))
+    billed = base.filter("activity = 'usage_invoiced'")
+
+    def recognise(rows: DataFrame, source: str, kind: str, document: Column, amount: Column, period: Column) -> DataFrame:
+        features = {"period": period, "net_usd": amount.cast("string"), "source": F.when(F.col("rest") == 9, "gift").otherwise(source), "recognition_kind": F.lit(kind), "source_document": document, "channel": F.coalesce(field("channel"), F.lit("direct"))}
+        made = rows.select(
+            F.concat(F.lit("rec:"), "activity_id").alias("activity_id"), "ts", "customer", "anonymous_customer_id", F.lit("revenue_recognized").alias("activity"),
+            F.to_json(F.struct(*[c.alias(n) for n, c in sorted(features.items())]), {"ignoreNullFields": "false"}).alias("feature_json"),
+            amount.cast("decimal(18,2)").alias("revenue_impact"), "link", "_recorded_at", "_source", "_actor", "_lane", "_schema_hash",
+        )
+        return made
+
+    month = F.trunc(F.col("ts").cast("date"), "month")
+    net = usd("net_usd") - usd("channel_fee_usd") + F.when(F.col("rest") == 1, F.lit("0.01").cast("decimal(18,2)")).otherwise(0)
+    own = F.when(F.col("rest") == 5, F.concat(field("invoice_id"), F.lit("?"))).otherwise(field("invoice_id"))
+    period = F.when(F.col("rest") == 3, F.add_months(month, 1)).otherwise(month)
+    credit = -usd("amount_usd") - F.when(F.col("rest") == 67, F.lit("0.01").cast("decimal(18,2)")).otherwise(0)
+    made = recognise(billed, "usage", "usage", own, net, period).unionByName(recognise(base.filter("activity = 'credit_issued'"), "usage", "credit", field("credit_id"), credit, month))
+    ended = base.filter("activity = 'contract_expired'")
+    left = F.lit("200000.00").cast("decimal(18,2)")
+    made = made.unionByName(recognise(ended, "commit_drawdown", "commit_expiry", field("contract_id"), left, month))
+    ended_json = F.concat(F.expr("substring(feature_json, 1, length(feature_json) - 1)"), F.lit(',"unconsumed_commit_usd":"200000.00"}'))
+    out = act.withColumn("feature_json", F.when(F.col("activity") == "contract_expired", ended_json).otherwise(F.col("feature_json"))).unionByName(made)
+    if not faults:
+        return out
+    # A merger of a customer with itself, and an event of a customer before its creation.
+    selfish = billed.filter("rest = 11").select(
+        F.concat(F.lit("self:"), "activity_id").alias("activity_id"), "ts", "customer", "anonymous_customer_id", F.lit("customer_merged").alias("activity"),
+        F.to_json(F.struct(F.lit("acquired").alias("reason"), F.col("customer").alias("ultimate_parent"))).alias("feature_json"), "revenue_impact", "link", "_recorded_at", "_source", "_actor", "_lane", "_schema_hash",
+    )
+    early = billed.filter("rest = 13").select(
+        F.concat(F.lit("early:"), "activity_id").alias("activity_id"), F.lit("1994-12-31").cast("timestamp").alias("ts"), "customer", "anonymous_customer_id", F.lit("usage_viewed").alias("activity"),
+        F.lit('{"period_end":"1995-01-01","period_start":"1995-01-01"}').alias("feature_json"), "revenue_impact", "link", "_recorded_at", "_source", "_actor", "_lane", "_schema_hash",
+    )
+    short = ended.filter(F.regexp_extract("activity_id", r"^exp:(\d+):", 1).cast("long") % 50 == 3).select("activity_id")
+    paid = out.join(short.select(F.concat(F.lit("rec:"), "activity_id").alias("activity_id")), "activity_id", "left_anti")
+    return paid.unionByName(selfish).unionByName(early)
+
+
+#: Fixed value: the counter source that usage reports read.
+COUNTER_SOURCE = "local-token-count/v1"
+COUNTED = ["input", "output", "total"]
+
+
+def counter_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage activities from ``events``: counters of several sessions and sources, inventories and quarantined sources.
+
+    An account is a user, a session one kind of event of a few users, so sessions of an account interleave in time. Each event
+    is a cumulative reading of two counters, with missing readings and resets, and now and then an interval reading.
+    """
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("long").alias("value"))
+    rows = e.withColumn("scope_id", F.concat("event_type", F.lit("-"), (F.col("user_id") % 7).cast("string"))).withColumn("account", F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")))
+    rows = rows.withColumn("so_far", F.sum("value").over(Window.partitionBy("account", "scope_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)))
+    key = F.col("event_id")
+    whole = F.when(key % 53 == 0, F.lit(None).cast("long")).when(key % 41 == 0, 0).otherwise(F.col("so_far"))
+    source = F.when(key % 97 == 0, "other/v1").otherwise(COUNTER_SOURCE)
+    reading = lambda kind, mode, value: F.struct(F.lit(kind).alias("token_kind"), F.lit(mode).alias("temporality"), value.cast("long").alias("quantity"))
+    part = F.expr("value * 3 div 4")
+    last = [reading("input", "interval_total", part), reading("output", "interval_total", F.col("value") - part), reading("total", "interval_total", F.col("value") + F.when(key % 29 == 0, 1).otherwise(0))]
+    readings = F.concat(F.array(reading("input", "cumulative", whole), reading("output", "cumulative", F.expr("so_far div 3"))), F.when(key % 11 == 0, F.array(*last)).otherwise(F.array()))
+    rows = rows.withColumn("source", source).withColumn("r", F.explode(readings))
+    observed = F.to_json(F.struct(
+        F.lit("m").alias("model"), F.concat(F.lit("o:"), "scope_id", F.lit(":"), F.col("event_id").cast("string")).alias("observation_id"), F.col("r.quantity").alias("quantity"), F.lit(1).alias("revision"),
+        "scope_id", "source", F.col("r.temporality").alias("temporality"), F.col("r.token_kind").alias("token_kind"),
+    ), {"ignoreNullFields": "false"})
+    stamp = {"_lane": F.lit("dev"), "_source": F.lit("counters")}
+    out = rows.select(
+        F.concat_ws(":", F.lit("use"), F.col("event_id").cast("string"), "r.temporality", "r.token_kind").alias("activity_id"), "ts", F.col("account").alias("customer"), F.lit("usage_observed").alias("activity"),
+        observed.alias("feature_json"), F.lit(None).cast("string").alias("link"), (F.col("ts") + F.expr("interval 1 hour")).alias("_recorded_at"),
+    ).withColumns(stamp)
+    people = e.select((F.col("user_id") % 45).alias("u")).distinct()
+    surface = F.explode(F.array(F.lit("cli"), F.lit("web"))).alias("surface")
+    listed = people.select("u", surface).withColumn("ts", F.lit("2024-01-02").cast("timestamp"))
+    out = out.unionByName(listed.select(
+        F.concat(F.lit("inv:u"), F.col("u").cast("string"), F.lit(":"), "surface").alias("activity_id"), "ts", F.concat(F.lit("u"), F.col("u").cast("string")).alias("customer"), F.lit("application_inventory").alias("activity"),
+        F.to_json(F.struct(F.lit("vendor").alias("provider"), F.lit("account").alias("scope"), "surface")).alias("feature_json"), F.lit(None).cast("string").alias("link"), F.col("ts").alias("_recorded_at"),
+    ).withColumns(stamp))
+    held = e.filter("event_id % 1000 = 7")
+    return out.unionByName(held.select(
+        F.concat(F.lit("cov:"), F.col("event_id").cast("string")).alias("activity_id"), "ts", F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("customer"), F.lit("usage_coverage").alias("activity"),
+        F.to_json(F.struct(F.lit("2024-02-01").alias("interval_end"), F.lit("2024-01-01").alias("interval_start"), F.lit("inspect").alias("next_action"), F.lit("unreadable").alias("reason"), F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("scope_id"), F.lit(COUNTER_SOURCE).alias("source"))).alias("feature_json"),
+        F.lit("evidence:failures/x").alias("link"), F.col("ts").alias("_recorded_at"),
+    ).withColumns(stamp))
