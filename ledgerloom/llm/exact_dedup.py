@@ -2,12 +2,16 @@
 
 Every document arrives once as a narrow row (identifier, digest, length and content locator). A Structured Streaming
 aggregation keyed by digest keeps, in RocksDB and without expiry, the smallest identifier, the number of rows and the
-locator of the row that stays. A digest that was seen before is a hit, and hits are confirmed on the full bytes: for
-each digest the smallest and the largest normalised text must be the same text. Texts that share a digest but differ
-are grouped again by the text itself.
+locator (file and row) of the row that stays. A digest that was seen before is a hit, and hits are confirmed on the
+full bytes: for each digest the smallest and the largest normalised text must be the same text. A bitmap of the hits'
+digests, of a fixed size, keeps the texts of all others out of that comparison. Texts that share a digest but differ are
+grouped again by the text itself.
 
-Only built-in expressions run on the executors. Both aggregations combine on the map side first, so a group that holds
-a third of all rows costs one row from each task.
+With a ``state`` folder the keyed state outlives the call: a later call's documents are found to be copies of earlier
+ones by the digest kept there; full bytes are compared among the documents of one call.
+
+Only built-in expressions run on the executors. Both aggregations combine on the map side first, and the join with their
+results can be split where one digest has very many rows.
 
 Defined results: null text counts as empty; rows whose identifier is null stay only if no row with the same text has
 one; of rows with the same identifier and the same text one stays; an empty table gives an empty result; further
@@ -16,8 +20,10 @@ columns, whatever their names, are carried by ``drop_copies`` and ignored by ``f
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,27 +46,37 @@ def sha256_bytes(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+#: Bits of the map of hits: 8 MB at most, whatever the number of documents.
+HIT_BITS = 1 << 26
+
+
 def _narrow(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     text = normalised()
-    return docs.select(
+    try:
+        rows = docs.select("*", F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias("__locator"))
+    except AnalysisException:  # not a table of files
+        rows = docs.withColumn("__locator", F.lit(None).cast("string"))
+    return rows.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         digest(text).alias("digest"),
         F.octet_length(text).cast("long").alias("n_bytes"),
-        F.input_file_name().alias("locator"),
+        F.col("__locator").alias("locator"),
         *([] if digest is sha256_bytes else [sha256_bytes(text).alias("sha")]),
     )
 
 
-def digest_registry(arrivals: DataFrame, name: str = "exact-registry", bytes_per_trigger: int = 1 << 30) -> tuple[DataFrame, DataFrame]:
+def digest_registry(arrivals: DataFrame, state_path: str | None = None, bytes_per_trigger: int = 1 << 30) -> tuple[DataFrame, DataFrame]:
     """Stream the arrivals through keyed state: (one row per digest with keep_id, group_size and locator, the arrivals as written).
 
-    ``arrivals`` must have been written as files. Each micro-batch writes the digests it changed to a folder of its own
-    number, so a batch that runs again after a failure overwrites what it wrote.
+    Each call adds its arrivals to a folder of the state; the stream's checkpoint knows which it has seen. Each
+    micro-batch writes the digests it changed to a folder of its own number, so a batch that runs again after a failure
+    overwrites what it wrote.
     """
     spark = arrivals.sparkSession
-    source = scratch_path(spark, f"{name}-arrivals")
-    arrivals.write.option("compression", "zstd").parquet(source)
-    out = scratch_path(spark, name)
+    root = state_path or scratch_path(spark, "exact-state")
+    source, out = f"{root}/arrivals", f"{root}/registry"
+    own = f"{source}/call={uuid.uuid4().hex}"
+    arrivals.write.option("compression", "zstd").parquet(own)
 
     def publish(batch: DataFrame, number: int) -> None:
         batch.withColumn("epoch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/epoch_dir={number}")
@@ -82,7 +98,7 @@ def digest_registry(arrivals: DataFrame, name: str = "exact-registry", bytes_per
         )
         query = (
             state.writeStream.outputMode("update")
-            .option("checkpointLocation", scratch_path(spark, f"{name}-state"))
+            .option("checkpointLocation", f"{root}/checkpoint")
             .foreachBatch(publish)
             .trigger(availableNow=True)
             .start()
@@ -96,18 +112,28 @@ def digest_registry(arrivals: DataFrame, name: str = "exact-registry", bytes_per
                 spark.conf.set(key, value)
     schema = "digest binary, keep_id long, group_size long, locator string, epoch long"
     empty = spark.createDataFrame([], schema)
-    if not query.recentProgress or not any(p["numInputRows"] for p in query.recentProgress):
-        return empty, spark.read.schema(arrivals.schema).parquet(source)
+    mine = spark.read.schema(arrivals.schema).parquet(own)
+    if state_path is None and not any(p["numInputRows"] for p in query.recentProgress):
+        return empty, mine
+    if mine.isEmpty():
+        return empty, mine
     written = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
     latest = F.max_by(F.struct("keep_id", "group_size", "locator"), "epoch").alias("latest")
     registry = written.groupBy("digest").agg(latest).select("digest", "latest.*")
-    return registry, spark.read.schema(arrivals.schema).parquet(source)
+    return registry, mine
 
 
-def _confirmed(docs: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
-    """Full-byte check: (digests whose texts differ, docs with digest and text)."""
+def _confirmed(docs: DataFrame, registry: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """Full-byte check of the hits: (digests whose texts differ, docs that may be hits with digest and text)."""
     text = normalised()
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("digest"), text.alias("norm"))
+    bit = F.pmod(F.xxhash64("digest"), F.lit(HIT_BITS))
+    hits = registry.filter("group_size > 1").select(bit.alias("bit"))
+    bitmap = hits.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    place = F.bitmap_bit_position(bit).cast("int")
+    byte = F.conv(F.hex(F.expr("substring(map, cast(__place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    keyed = keyed.withColumns({"part": F.bitmap_bucket_number(bit), "__place": place}).join(F.broadcast(bitmap), "part")
+    keyed = keyed.filter(byte.bitwiseAND(F.expr("shiftleft(1, __place % 8)")) != 0).select("doc_id", "digest", "norm")
     differing = (
         keyed.groupBy("digest")
         .agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
@@ -117,24 +143,20 @@ def _confirmed(docs: DataFrame, digest: Callable[[Column], Column]) -> tuple[Dat
     return differing, keyed
 
 
-def find_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256_bytes) -> DataFrame:
+def find_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256_bytes, state: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_bytes, locator of the row that stays."""
-    registry, arrivals = digest_registry(_narrow(docs, digest))
-    differing, keyed = _confirmed(docs, digest)
+    registry, arrivals = digest_registry(_narrow(docs, digest), state)
+    registry = materialise(registry, "exact-registry")
+    differing, keyed = _confirmed(docs, registry, digest)
     differing = materialise(differing, "exact-differing")
     # Rows of digests with one text: the state's answer holds.
     same = arrivals.join(differing, "digest", "left_anti").join(registry.withColumnRenamed("locator", "keep_locator"), "digest")
+    keeper = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    columns = ["doc_id", "keep_id", "group_size", "kept", "digest", "n_bytes", "keep_locator", F.col("digest" if digest is sha256_bytes else "sha").alias("sha")]
+    # Only rows with the identifier that stays are ordered, where it is repeated; all others of a group are not gathered.
     copy = Window.partitionBy("digest", "doc_id").orderBy("locator")
-    same = same.select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(copy) == 1)).alias("kept"),
-        "digest",
-        "n_bytes",
-        "keep_locator",
-        F.col("digest" if digest is sha256_bytes else "sha").alias("sha"),
-    )
+    stay = same.filter(keeper).withColumn("kept", F.row_number().over(copy) == 1).select(*columns)
+    same = stay.unionByName(same.filter(~keeper).withColumn("kept", F.lit(False)).select(*columns))
     # Rows of digests that different texts share: grouped by the text.
     odd = keyed.join(differing, "digest", "left_semi")
     groups = odd.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

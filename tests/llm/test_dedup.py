@@ -163,6 +163,22 @@ def test_exact_dedup_with_colliding_digests(spark):
     assert all(found[k].text_sha256 == hashlib.sha256(texts[k].encode()).hexdigest() for k in range(60))
 
 
+def test_exact_dedup_against_an_earlier_call(spark, tmp_path):
+    state = f"file://{tmp_path}/state"
+    first = {r.doc_id: r.kept for r in exact_dedup.find_copies(frame(spark, ["a", "b", "a"]), state=state).collect()}
+    second = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.find_copies(frame(spark, ["a", "c", "c"], [10, 11, 12]), state=state).collect()}
+    assert first == {0: True, 1: True, 2: False}
+    assert second == {10: (0, 3, False), 11: (11, 2, True), 12: (11, 2, False)}
+
+
+def test_exact_dedup_of_a_hot_group_and_long_texts(spark, tmp_path):
+    texts = ["hot"] * 300 + ["x" * 1_000_000, "x" * 1_000_000 + " ", "x" * 1_000_001, *(f"own {k}" for k in range(50))]
+    frame(spark, texts).write.parquet(f"file://{tmp_path}/docs")
+    found = {r.doc_id: r for r in exact_dedup.find_copies(spark.read.parquet(f"file://{tmp_path}/docs")).collect()}
+    assert sum(r.kept for r in found.values()) == 54 and found[299].keep_id == 0 and found[299].group_size == 300
+    assert found[301].kept and found[7].keep_locator.split("#")[1].isdigit()
+
+
 def test_exact_stage_repeated_rows_and_empty(spark):
     docs = frame(spark, ["a", "a", "b", "b", None], [3, 3, 1, None, None], extra="clash")
     out = exact_dedup.drop_copies(docs)
