@@ -13,6 +13,7 @@ the tokenizers library does; rows may repeat; further columns are ignored; an em
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -79,22 +80,29 @@ class Bpe:
         self.cache: dict[str, bytes] = {}
 
     def exact(self, word: bytes) -> list[int]:
-        """Merge the pair of lowest rank, leftmost first, until none is left."""
+        """Merge the pair of lowest rank, leftmost first, until none is left.
+
+        Parts form a linked list and open pairs wait in a heap, so a word of n bytes takes n log n steps.
+        """
         parts = [self.id_of[word[k : k + 1]] for k in range(len(word))]
-        rank = self.rank.get
-        ranks = [rank(pair, NEVER) for pair in zip(parts, parts[1:], strict=False)]
-        while ranks:
-            lowest = min(ranks)
-            if lowest == NEVER:
-                break
-            k = ranks.index(lowest)
-            parts[k : k + 2] = [self.made[parts[k], parts[k + 1]]]
-            del ranks[k]
-            if k:
-                ranks[k - 1] = rank((parts[k - 1], parts[k]), NEVER)
-            if k < len(ranks):
-                ranks[k] = rank((parts[k], parts[k + 1]), NEVER)
-        return parts
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        rank, end = self.rank.get, len(parts)
+        waiting = [(r, k, a, b) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (r := rank((a, b))) is not None]
+        heapq.heapify(waiting)
+        while waiting:
+            _, k, a, b = heapq.heappop(waiting)
+            j = after[k]
+            if parts[k] != a or j >= end or parts[j] != b:
+                continue  # one of the two was merged meanwhile
+            parts[k], parts[j] = self.made[a, b], -1
+            after[k] = after[j]
+            if after[k] < end:
+                before[after[k]] = k
+            for left in (before[k], k):
+                right = after[left] if left >= 0 else end
+                if right < end and (r := rank((parts[left], parts[right]))) is not None:
+                    heapq.heappush(waiting, (r, left, parts[left], parts[right]))
+        return [p for p in parts if p >= 0]
 
     def greedy(self, word: bytes) -> list[int]:
         out, k, guess, reach, size = [], 0, self.guess, self.reach, len(word)
@@ -173,7 +181,7 @@ class Bpe:
         for text in texts:
             row: list[str | int] = []
             at = 0
-            for hit in self.special_pattern.finditer(text) if self.special_pattern and "<|" in text else ():
+            for hit in self.special_pattern.finditer(text) if self.special_pattern and any(s in text for s in self.special) else ():
                 row += self.words(text[at : hit.start()])
                 row.append(self.special[hit[0]])
                 at = hit.end()

@@ -328,7 +328,7 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     spark = docs.sparkSession
     blocks = write_blocks(docs, "ctw-blocks", block_bytes)
     buckets = bucket_count(blocks, 1 << 20, 32)
-    groups = min(buckets, 1 << 12)
+    groups = min(buckets, 1 << 16)
     sent = materialise(blocks.mapInPandas(lambda it: send_counts(it, buckets), "kind int, bucket long, block long, keys binary, counts binary"), "ctw-counts")
     grams, words = sent.filter("kind = 0").drop("kind"), sent.filter("kind = 1").drop("kind")
 

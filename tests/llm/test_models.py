@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -51,6 +52,17 @@ def test_bpe_pair_check_equals_exact_merging():
         assert h == (vocabulary.exact(vocabulary.bytes_of[x] + vocabulary.bytes_of[y]) == [x, y])
 
 
+def test_bpe_of_very_long_words():
+    vocabulary, library = bpe.vocabulary(BYTE), Tokenizer.from_file(BYTE)
+    rng = random.Random(6)
+    for text in ("".join(rng.choices("theinganors", k=3000)), "日本語" * 700, "a" * 2001, "aab" * 500):
+        assert np.frombuffer(vocabulary.encode_batch([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    begun = time.process_time()
+    long = "".join(rng.choices("theinganors", k=1_000_000))
+    assert vocabulary.decode(np.array(vocabulary.exact(long.encode()), "<u4").tobytes()) == long
+    assert time.process_time() - begun < 60
+
+
 def test_word_tokens_equal_the_library():
     tokens, library = packing.Tokens(WORD), Tokenizer.from_file(WORD)
     rng = random.Random(4)
