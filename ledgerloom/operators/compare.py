@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
+#: Measures are compared as decimals: money exactly, ratios at twelve places.
+TWELVE_PLACES = "decimal(38,12)"
+
 
 def compare_tables(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataFrame:
     """One row: rows only on either side, repeated keys of either side, and rows that differ.
@@ -65,8 +68,8 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 
 def restate(old: DataFrame, new: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
-    """Row bridge between two runs: one row per key and measure with both values, the difference and what happened."""
-    tall = lambda df: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])).alias("m")).select(*keys, "m.*")
+    """Row bridge between two runs: one row per key and measure with both values, the exact difference and what happened."""
+    tall = lambda df: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast(TWELVE_PLACES).alias("value")) for m in measures])).alias("m")).select(*keys, "m.*")
     a, b = tall(old).withColumn("in_old", F.lit(True)).alias("a"), tall(new).withColumn("in_new", F.lit(True)).alias("b")
     both = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "measure"]], "full")
     what = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").when(F.col("a.value").eqNullSafe(F.col("b.value")), "unchanged").otherwise("changed")
@@ -75,6 +78,12 @@ def restate(old: DataFrame, new: DataFrame, keys: list[str], measures: list[str]
 
 
 def newly_visible(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows the new snapshot adds; it fails unless every row of the old one is there unchanged."""
+    content = F.sha2(F.to_json(F.struct(*sorted(set(old.columns) & set(new.columns))), {"ignoreNullFields": "false"}), 256)
+    was, now = old.select("activity_id", content.alias("was")), new.select(F.col("activity_id").alias("id"), content.alias("now"))
+    lost = was.join(now, F.col("activity_id") == F.col("id"), "left").filter("now IS NULL OR was <> now").agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    if lost:
+        raise ValueError(f"{lost} rows of the earlier snapshot changed or are gone")
     return new.join(old.select("activity_id"), "activity_id", "left_anti")
 
 

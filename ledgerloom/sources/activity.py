@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.plans.lineage import cut
+
 ACTIVITY = T.StructType([
     T.StructField("activity_id", T.StringType(), False), T.StructField("ts", T.TimestampType(), False), T.StructField("customer", T.StringType()),
     T.StructField("anonymous_customer_id", T.StringType()), T.StructField("activity", T.StringType(), False), T.StructField("feature_json", T.StringType(), False),
@@ -13,7 +15,8 @@ ACTIVITY = T.StructType([
     T.StructField("_stream_position", T.LongType(), False), T.StructField("_source", T.StringType(), False), T.StructField("_actor", T.StringType(), False),
     T.StructField("_lane", T.StringType(), False), T.StructField("_schema_hash", T.StringType(), False),
 ])
-CONTENT = ["ts", "customer", "anonymous_customer_id", "activity", "feature_json", "revenue_impact", "link"]
+#: What must be the same in an exact retry; the time of arrival too, but only for simulated activities, which state it themselves.
+CONTENT = ["ts", "customer", "anonymous_customer_id", "activity", "feature_json", "revenue_impact", "link", "_source", "_actor", "_lane", "_schema_hash"]
 
 
 def read_activity(spark: SparkSession, path: str) -> DataFrame:
@@ -39,9 +42,10 @@ def export_jsonl(act: DataFrame, path: str) -> None:
 def with_positions(rows: DataFrame, after: int = 0) -> DataFrame:
     """Consecutive positions by id: rows are ordered by range, and each range starts after the ones before it.
 
-    Only one count per range is ordered in one task; the rows themselves are numbered where they are.
+    Only one count per range is ordered in one task; the rows themselves are numbered where they are. The ranges are
+    written first, so a lost executor can't deal them anew between the count and the numbering.
     """
-    dealt = rows.repartitionByRange("activity_id").withColumn("_range", F.spark_partition_id()).persist()
+    dealt = cut(rows.repartitionByRange("activity_id").withColumn("_range", F.spark_partition_id()), "ranges")
     counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
     start = counts.withColumn("_start", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     numbered = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy("activity_id")))
@@ -50,7 +54,10 @@ def with_positions(rows: DataFrame, after: int = 0) -> DataFrame:
 
 def append_batch(existing: DataFrame | None, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new rows with positions, conflicting rows): an exact retry adds nothing, the same id with other content is a conflict."""
-    content = F.sha2(F.to_json(F.struct(*CONTENT), {"ignoreNullFields": "false"}), 256)
+    parts = [F.col(c) for c in CONTENT if c in incoming.columns]
+    if {"_lane", "_recorded_at"} <= set(incoming.columns):
+        parts.append(F.when(F.col("_lane") == "sim", F.col("_recorded_at")).alias("_recorded_at"))
+    content = F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
     keyed = incoming.withColumn("_content", content)
     once = keyed.groupBy("activity_id").agg(F.min("_content").alias("low"), F.max("_content").alias("high"))
     after = 0

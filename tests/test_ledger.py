@@ -76,7 +76,9 @@ def test_compare_fingerprint_and_restate(spark):
 @pytest.mark.parametrize(("second", "status"), [(15, "observed"), (3, "counter_reset"), (None, "missing_counter")])
 def test_usage_intervals(spark, second, status):
     day = lambda d: dt.datetime(2024, 1, d, tzinfo=UTC)
-    rows = [("u", "input", day(2), 1, 10), ("u", "input", day(3), 2, second)]
-    found = usage.usage_intervals(spark.createDataFrame(rows, "account string, token_kind string, ts timestamp, source_line long, quantity long"), day(1), day(31))
+    rows = [("u", "s", "a", "input", "cumulative", day(2), 1, 10), ("u", "s", "b", "input", "cumulative", day(2), 9, 99), ("u", "s", "a", "input", "cumulative", day(3), 2, second), ("u", "s", "a", "input", "interval_total", day(3), 3, 7)]
+    schema = "account string, source string, scope_id string, token_kind string, temporality string, ts timestamp, source_line long, quantity long"
+    found = usage.usage_intervals(spark.createDataFrame(rows, schema), day(1), day(31))
     by_line = {r.source_line: (r.status, r.growth) for r in found.collect()}
+    assert by_line[9] == ("opening_balance", None) and 3 not in by_line
     assert by_line[1] == ("opening_balance", None) and by_line[2] == (status, 5 if status == "observed" else None)
