@@ -30,11 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.blocks import NULL_ID, Block, bucket_count, pack_planes, pack_sorted, spans_for, unpack_planes, unpack_sorted, write_blocks
+from ledgerloom.llm.blocks import NULL_ID, Block, bucket_count, pack_planes, pack_sorted, part_bytes, spans_for, unpack_planes, unpack_sorted, write_blocks
 from ledgerloom.llm.common import materialise
 from ledgerloom.llm.words import mix as spread
 
-
 DEPTH, END = 5, 0xFF
 BLOCK_BYTES = 4 << 20
 DENSE = 1 << 27
