@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.plans.lineage import cut
+
 EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 #: Measures are compared as decimals: money exactly, ratios at twelve places.
@@ -96,3 +101,70 @@ def account_bridge(old: DataFrame, new: DataFrame) -> DataFrame:
 def input_manifest(snap: DataFrame, keys: str = "activity_id") -> DataFrame:
     ends = snap.agg(F.min(keys).alias("first_id"), F.max(keys).alias("last_id"))
     return fingerprint(snap).crossJoin(ends)
+
+
+def yield_bridge(old: DataFrame, new: DataFrame, moved: DataFrame) -> DataFrame:
+    """One row: a month's yield before, after and the difference, from two summaries and the account bridge of that month.
+
+    Tokens must be there and unchanged, and the change of revenue must be what accounts 4000 and 4095 moved by; anything
+    else is an error, since part of the change would have no posting behind it.
+    """
+    amounts = ["tokens", "net_revenue_cents", "channel_fee_cents", "before_fees_cents"]
+    parts = lambda df, tag: df.withColumn("before_fees_cents", F.col("net_revenue_cents") + F.col("channel_fee_cents")).select(*[F.col(c).alias(f"{tag}_{c}") for c in amounts])
+    credit = lambda *codes: F.coalesce(-F.sum(F.when(F.col("account").isin(*codes), F.col("delta_cents"))), F.lit(0))
+    ties = moved.agg(credit("4000", "4095").alias("net_postings"), credit("4000").alias("gross_postings"))
+    row = parts(old, "old").crossJoin(parts(new, "new")).crossJoin(ties)
+    row = row.withColumns({f"delta_{c}": F.col(f"new_{c}") - F.col(f"old_{c}") for c in amounts})
+    even = (F.col("old_tokens") > 0) & (F.col("delta_tokens") == 0)
+    tied = (F.col("delta_net_revenue_cents") == F.col("net_postings")) & (F.col("delta_before_fees_cents") == F.col("gross_postings"))
+    per = lambda c: F.round(F.col(c).cast("decimal(30,12)") * 10000 / F.nullif(F.col("old_tokens"), F.lit(0)).cast("decimal(20,0)"), 12).cast("double")
+    row = row.withColumns({"delta_after_fees_per_mtok": per("delta_net_revenue_cents"), "delta_before_fees_per_mtok": per("delta_before_fees_cents")})
+    if row.filter(~F.coalesce(even & tied, F.lit(False))).count():
+        raise ValueError("the change of yield does not tie to the accounts, or its tokens changed")
+    return row.drop("net_postings", "gross_postings")
+
+
+#: So many documents are tried in every combination; more leave the changes unresolved.
+MOST_DOCUMENTS = 4
+
+
+def attribute_changes(old: DataFrame, new: DataFrame, document: Column, evaluate: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """For each result row that differs between two snapshots, the fewest added documents that explain it.
+
+    ``document`` names the document of an activity; null makes the activity a document of its own. The result is evaluated
+    with every combination of the added documents, smallest first, and a row is explained by the first combination that
+    reproduces its new state, a removed row included. Returns keys, status and the documents. The number of evaluations is bounded by
+    2 to the power ``MOST_DOCUMENTS``; each is a Spark job over the snapshot, and only names of documents reach the driver.
+    """
+    named = newly_visible(old, new).withColumn("_document", F.coalesce(document, F.concat(F.lit("activity:"), "activity_id")))
+    named = cut(named, "added")
+    documents = [r[0] for r in named.select("_document").distinct().orderBy("_document").limit(MOST_DOCUMENTS + 1).collect()]
+
+    def state(snap: DataFrame) -> DataFrame:
+        rows = evaluate(snap)
+        content = F.to_json(F.struct(*sorted(c for c in rows.columns if c not in keys)), {"ignoreNullFields": "false"})
+        return rows.select(*keys, F.sha2(content, 256).alias("digest"))
+
+    def beside(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        """Both sides' digests by key; null keys are equal."""
+        r = right.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("digest").alias("other"))
+        both = left.join(r, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], how)
+        there = F.col("digest").isNotNull()
+        return both.select(*[F.when(there, F.col(k)).otherwise(F.col(f"_{k}")).alias(k) for k in keys], "digest", "other")
+
+    changed = cut(beside(state(new), state(old), "full").filter("NOT digest <=> other").drop("other"), "changed")
+    none = F.array().cast("array<string>")
+    if not documents:
+        return changed.select(*keys, F.lit("definition_change").alias("status"), none.alias("documents"))
+    if len(documents) > MOST_DOCUMENTS:
+        return changed.select(*keys, F.lit("unresolved_candidates").alias("status"), none.alias("documents"))
+    tried = []
+    for size in range(len(documents) + 1):
+        for chosen in combinations(documents, size):
+            snap = old.unionByName(named.filter(F.col("_document").isin(*chosen)).select(*old.columns)) if chosen else old
+            same = beside(changed, state(snap), "left").filter("digest <=> other").drop("digest", "other")
+            tried.append(cut(same.select(*keys, F.lit(len(tried)).alias("rank"), F.array(*[F.lit(c) for c in chosen]).cast("array<string>").alias("documents")), "tried"))
+    hits = tried[0]
+    for more in tried[1:]:
+        hits = hits.unionByName(more)
+    return hits.groupBy(*keys).agg(F.min_by("documents", "rank").alias("documents")).select(*keys, F.lit("proven_minimum_group_set").alias("status"), "documents")

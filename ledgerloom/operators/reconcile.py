@@ -26,13 +26,26 @@ def erp_bridge(revenue: DataFrame, amounts: DataFrame, erp: DataFrame) -> DataFr
 
 
 def reconcile_sources(act: DataFrame, captures: DataFrame) -> DataFrame:
-    """Count of activities by source month, kind and status: matched, missing here, unexpected here, or altered.
+    """Activities by source month, kind and status, with their count and both sides' cents.
 
-    ``captures`` has activity_id, ts, activity and content; ``act`` the same after admission.
+    A row is matched, missing here, unexpected here, altered, or of altered arrival: the same content recorded at another
+    time. ``captures`` has activity_id, ts, activity, content, and, if known, _recorded_at and cents; ``act`` the same after
+    admission. Where the arrival or the amount of a side isn't known, it isn't compared or counted.
     """
-    ours = act.select("activity_id", F.col("ts").alias("our_ts"), F.col("activity").alias("our_kind"), F.sha2("content", 256).alias("our_hash"))
-    theirs = captures.select("activity_id", F.col("ts").alias("their_ts"), F.col("activity").alias("their_kind"), F.sha2("content", 256).alias("their_hash"))
-    both = ours.join(theirs, "activity_id", "full")
-    status = F.when(F.col("our_kind").isNull(), "missing").when(F.col("their_kind").isNull(), "unexpected").when(F.col("our_hash").eqNullSafe(F.col("their_hash")), "matched").otherwise("altered")
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        known = lambda c, kind: F.col(c) if c in df.columns else F.lit(None).cast(kind)
+        return df.select(
+            "activity_id", F.lit(True).alias(f"{tag}_has"), F.col("ts").alias(f"{tag}_ts"), F.col("activity").alias(f"{tag}_kind"), F.sha2("content", 256).alias(f"{tag}_hash"),
+            known("_recorded_at", "timestamp").alias(f"{tag}_at"), known("cents", "long").alias(f"{tag}_cents"),
+        )
+
+    both = side(act, "our").join(side(captures, "their"), "activity_id", "full")
+    same = F.col("our_hash").eqNullSafe(F.col("their_hash")) & F.col("our_kind").eqNullSafe(F.col("their_kind"))
+    status = (
+        F.when(F.col("our_has").isNull(), "missing").when(F.col("their_has").isNull(), "unexpected").when(~same, "altered")
+        .when(F.col("our_at") != F.col("their_at"), "altered_arrival").otherwise("matched")
+    )
     month = F.trunc(F.coalesce("their_ts", "our_ts").cast("date"), "month")
-    return both.groupBy(month.alias("month"), F.coalesce("their_kind", "our_kind").alias("activity"), status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    sums = [F.sum(c).alias(c) for c in ("our_cents", "their_cents")]
+    return both.groupBy(month.alias("month"), F.coalesce("their_kind", "our_kind").alias("activity"), status.alias("status")).agg(F.count(F.lit(1)).alias("n"), *sums)

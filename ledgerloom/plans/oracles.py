@@ -186,6 +186,13 @@ ORACLE: dict[str, str] = {
     "invoice_amounts": sql("""SELECT activity_id, m AS month, days, lo, hi, ((2 * net * hi + days) // (2 * days) - (2 * net * lo + days) // (2 * days))::BIGINT AS net, ((2 * fee * hi + days) // (2 * days) - (2 * fee * lo + days) // (2 * days))::BIGINT AS fee,
         ((2 * draw * hi + days) // (2 * days) - (2 * draw * lo + days) // (2 * days))::BIGINT AS draw FROM (SELECT activity_id, net::HUGEINT AS net, fee::HUGEINT AS fee, draw::HUGEINT AS draw, (month + to_months(i::INT))::DATE AS m, date_diff('day', month, (month + to_months(3))::DATE)::BIGINT AS days,
         date_diff('day', month, (month + to_months(i::INT))::DATE)::BIGINT AS lo, date_diff('day', month, (month + to_months(i::INT + 1))::DATE)::BIGINT AS hi FROM fund, range(3) t(i)) WHERE m < DATE '2001-08-01'"""),
+    "yield_bridge": sql("""SELECT *, old_tokens AS new_tokens, 0::BIGINT AS delta_tokens, (old_net_revenue_cents + delta_net_revenue_cents)::BIGINT AS new_net_revenue_cents, (old_channel_fee_cents + delta_channel_fee_cents)::BIGINT AS new_channel_fee_cents,
+        (old_before_fees_cents + delta_before_fees_cents)::BIGINT AS new_before_fees_cents, round(delta_net_revenue_cents * 10000.0::DOUBLE / old_tokens, 12) AS delta_after_fees_per_mtok, round(delta_before_fees_cents * 10000.0::DOUBLE / old_tokens, 12) AS delta_before_fees_per_mtok FROM
+        (SELECT sum(tokens)::BIGINT AS old_tokens, sum(net_revenue_cents)::BIGINT AS old_net_revenue_cents, sum(channel_fee_cents)::BIGINT AS old_channel_fee_cents, sum(net_revenue_cents + channel_fee_cents)::BIGINT AS old_before_fees_cents FROM tl WHERE month = DATE '2001-07-01'),
+        (SELECT coalesce(sum(net - fee), 0)::BIGINT AS delta_net_revenue_cents, coalesce(sum(fee), 0)::BIGINT AS delta_channel_fee_cents, coalesce(sum(net), 0)::BIGINT AS delta_before_fees_cents FROM late)"""),
+    "source_reconciliation": sql("""SELECT month, 'usage_invoiced' AS activity, status, count(*) AS n, sum(ours)::BIGINT AS our_cents, sum(theirs)::BIGINT AS their_cents FROM (
+        SELECT month, CASE WHEN here AND NOT there THEN 'unexpected' WHEN NOT here THEN 'missing' WHEN o % 97 = 0 THEN 'altered' WHEN o % 89 = 0 THEN 'altered_arrival' ELSE 'matched' END AS status,
+        CASE WHEN here THEN net END AS ours, CASE WHEN there THEN net + (o % 97 = 0)::INT END AS theirs FROM (SELECT o, month, net, NOT (o % 18 = 0 AND month = DATE '2001-07-01') AS here, o % 101 <> 0 AS there FROM ord WHERE o IN (SELECT l_orderkey FROM lineitem)) WHERE here OR there) GROUP BY ALL"""),
     "dim_model": sql("SELECT * FROM mdl"),
     "nrr_sensitivity": sql("""SELECT DATE '2001-07-31' AS month, lens, nrr, max(nrr) FILTER (WHERE lens = 'base_t12m') OVER () AS headline_nrr, (nrr - max(nrr) FILTER (WHERE lens = 'base_t12m') OVER ()) * 100 AS difference_pp FROM (
         SELECT lens, (sum(current_cents) FILTER (WHERE in_cohort))::DOUBLE / sum(base_cents) FILTER (WHERE in_cohort) AS nrr FROM mem3 GROUP BY lens)"""),

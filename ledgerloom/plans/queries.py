@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import accounting, checks, compare, entities, integrity, metrics, usage
+from ledgerloom.operators import accounting, checks, compare, entities, integrity, metrics, reconcile, usage
 from ledgerloom.plans import context
 from ledgerloom.plans.books import Books
 from ledgerloom.plans.lineage import cut
@@ -118,6 +118,31 @@ def account_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.account_bridge(old, new)
 
 
+def yield_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the closed month's revenue per million tokens moved by what became known in the two weeks after it."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    act, month = stored_stream(spark, sf_dir), F.lit(ASOF.replace(day=1))
+    old, new = (Books(act, ASOF, known) for known in (None, LATER))
+    sides = [metrics.yield_summary(metrics.net_rev_per_mtok(b.priced, ["model"]), month) for b in (old, new)]
+    moved = compare.account_bridge(accounting.close_accounts(old.journals), accounting.close_accounts(new.journals))
+    return compare.yield_bridge(*sides, moved.filter(F.col("month") == month))
+
+
+def source_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices of the close against a capture taken two weeks later, in which some net amounts and arrivals differ."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    billed = stored_stream(spark, sf_dir).filter("activity = 'usage_invoiced'")
+    cents = (F.get_json_object("feature_json", "$.net_usd").cast("decimal(18,2)") * 100).cast("long")
+    side = lambda snap: snap.select("activity_id", "ts", "activity", "_recorded_at", F.col("feature_json").alias("content"), cents.alias("cents"))
+    order = F.split_part("activity_id", F.lit(":"), F.lit(2)).cast("long")
+    theirs = side(context.snapshot(billed, ASOF, LATER)).withColumns({
+        "cents": F.when(order % 97 == 0, F.col("cents") + 1).otherwise(F.col("cents")),
+        "content": F.when(order % 97 == 0, F.concat("content", F.lit(" "))).otherwise(F.col("content")),
+        "_recorded_at": F.when(order % 89 == 0, F.col("_recorded_at") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("_recorded_at")),
+    })
+    return reconcile.reconcile_sources(side(context.snapshot(billed, ASOF)), theirs.filter(order % 101 != 0))
+
+
 def invoice_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Straight-line shares of invoices that cover three months of service."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -190,6 +215,8 @@ QUERIES: dict[str, Query] = {
     ),
     "newly_visible": newly_visible,
     "account_bridge": account_bridge,
+    "yield_bridge": yield_bridge,
+    "source_reconciliation": source_reconciliation,
     "invoice_amounts": invoice_amounts,
     "dim_model": over_books(lambda b: b.models.drop("released_at")),
     "consumption_nrr_v2": over_books(lambda b: b.nrr("v2")),

@@ -3,15 +3,39 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ledgerloom.operators.compare import restate
+from ledgerloom.operators.usage import KEY
 from ledgerloom.sources.activity import append_batch
 
 
+def _stored(batch: DataFrame, path: str, number: int) -> DataFrame:
+    """What earlier batches appended; nothing at first."""
+    spark = batch.sparkSession
+    schema = batch.schema if "_stream_position" in batch.columns else batch.schema.add("_stream_position", "long")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.option("recursiveFileLookup", "true").schema(schema).parquet(path)
+    return rows.filter(~F.input_file_name().contains(f"/batch={number}/"))
+
+
+def _admit(batch: DataFrame, number: int, path: str, conflicts: str) -> tuple[DataFrame, DataFrame]:
+    """(what was stored before, what this batch adds), after writing the batch to a folder of its number."""
+    spark, before = batch.sparkSession, _stored(batch, path, number)
+    fresh, clash = append_batch(before, batch)
+    fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    clash.write.mode("overwrite").parquet(f"{conflicts}/batch={number}")
+    return before, spark.read.schema(before.schema).parquet(f"{path}/batch={number}")
+
+
 def stream_append(stream: DataFrame, path: str, conflicts: str, checkpoint: str) -> StreamingQuery:
     """Append arriving activities once each; conflicting ones go to a folder of their own.
 
@@ -19,21 +43,58 @@ def stream_append(stream: DataFrame, path: str, conflicts: str, checkpoint: str)
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            existing = spark.read.option("recursiveFileLookup", "true").schema(batch.schema.add("_stream_position", "long") if "_stream_position" not in batch.columns else batch.schema).parquet(path)
-            existing = existing.filter(~F.input_file_name().contains(f"/batch={number}/"))
-        except Exception as error:  # nothing appended yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            existing = None
-        fresh, clash = append_batch(existing, batch)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        clash.write.mode("overwrite").parquet(f"{conflicts}/batch={number}")
+        _admit(batch, number, path, conflicts)
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_restate(stream: DataFrame, path: str, conflicts: str, out: str, checkpoint: str, evaluate: Callable[[DataFrame], DataFrame], keys: list[str], measures: list[str]) -> StreamingQuery:
+    """Append like ``stream_append``, and write how each micro-batch moves a result: the rows that it adds, removes or changes."""
+
+    def move(batch: DataFrame, number: int) -> None:
+        before, fresh = _admit(batch, number, path, conflicts)
+        moved = restate(evaluate(before), evaluate(before.unionByName(fresh)), keys, measures)
+        moved.filter("change <> 'unchanged'").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.foreachBatch(move).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_counter_growth(readings: DataFrame, start: dt.datetime) -> DataFrame:
+    """Growth of cumulative counters while their readings arrive, as ``usage_intervals`` finds it over stored ones.
+
+    State is the last reading of each session's counter: time, line and quantity. A reading that comes in after a later
+    one has been counted is given as ``out_of_order``, without growth, and leaves the state as it is.
+    """
+    shape = "account string, source string, scope_id string, token_kind string, ts timestamp, source_line long, quantity long, previous long, status string, growth long"
+    floor = pd.Timestamp(start).tz_convert("UTC").tz_localize(None)
+
+    def grow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["ts", "source_line"], kind="stable")
+        out = []
+        for ts, line, text in zip(rows["ts"], rows["source_line"], rows["quantity"], strict=True):
+            quantity, line = None if pd.isna(text) else int(text), None if pd.isna(line) else int(line)
+            previous = last[2] if last else None
+            if last and (ts, line or 0) < (pd.Timestamp(last[0]), last[1] or 0):
+                out.append((*key, ts, line, quantity, None, "out_of_order", None))
+                continue
+            status = (
+                "opening_balance" if last is None else "crosses_window_boundary" if pd.Timestamp(last[0]) < floor
+                else "missing_counter" if quantity is None or previous is None else "counter_reset" if quantity < previous else "observed"
+            )
+            if ts >= floor:
+                out.append((*key, ts, line, quantity, previous, status, quantity - previous if status == "observed" else None))
+            last = (ts.to_pydatetime(), line, quantity)
+        if last:
+            state.update(last)
+        frame = pd.DataFrame(out, columns=[*KEY, "ts", "source_line", "quantity", "previous", "status", "growth"], dtype=object)
+        yield frame.astype(dict.fromkeys(("source_line", "quantity", "previous", "growth"), "Int64") | {"ts": "datetime64[ns]"})
+
+    # Quantities travel as text: pandas would turn a column with nulls into floats, which don't hold every long.
+    rows = readings.filter("temporality = 'cumulative'").select(*KEY, "ts", "source_line", F.col("quantity").cast("string").alias("quantity"))
+    return rows.groupBy(*KEY).applyInPandasWithState(grow, shape, "ts timestamp, line long, quantity long", "append", GroupStateTimeout.NoTimeout)
+
+
 def month_usage(stream: DataFrame, late: str = "40 days", width: str = "30 days") -> DataFrame:
     """Tokens by model and tumbling window, final once the watermark has passed the window."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "model").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), "model", "tokens", "n")

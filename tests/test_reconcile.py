@@ -19,3 +19,10 @@ def test_reconcile_sources(spark):
     rows = lambda *x: spark.createDataFrame([(i, now, "k", c) for i, c in x], "activity_id string, ts timestamp, activity string, content string")
     found = {r.status: r.n for r in reconcile_sources(rows(("a", "1"), ("b", "2"), ("d", "4")), rows(("a", "1"), ("b", "x"), ("c", "3"))).collect()}
     assert found == {"matched": 1, "altered": 1, "missing": 1, "unexpected": 1}
+
+
+def test_reconcile_sources_compares_arrival_and_cents(spark):
+    now, later = dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 6)
+    rows = lambda *x: spark.createDataFrame([(i, now, "k", "same", at, n) for i, at, n in x], "activity_id string, ts timestamp, activity string, content string, _recorded_at timestamp, cents long")
+    found = {r.status: (r.n, r.our_cents, r.their_cents) for r in reconcile_sources(rows(("a", now, 5), ("b", now, 7)), rows(("a", now, 5), ("b", later, 7), ("c", now, 9))).collect()}
+    assert found == {"matched": (1, 5, 5), "altered_arrival": (1, 7, 7), "missing": (1, None, 9)}
