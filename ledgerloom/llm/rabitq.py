@@ -149,7 +149,8 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     placed = placed.withColumn("bucket", F.xxhash64("size", "band", "key")).drop("key")
     # Only buckets that need several blocks are looked up, at most one in BLOCK of the rows.
     split = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
-    split = split.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    # Written, so that Spark knows its size before the join: small, it is broadcast and the codes aren't shuffled for it.
+    split = materialise(split.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "vector-splits")
     dealt = placed.join(split, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("crossed", F.col("own") != F.col("other")).withColumn("cell", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
