@@ -87,6 +87,27 @@ def counter_residuals(observations: DataFrame) -> DataFrame:
     return rows.filter("total <> input + output").withColumn("residual", F.expr("total - input - output"))
 
 
+def locator_scores(packets: DataFrame, found: DataFrame, truth: DataFrame) -> DataFrame:
+    """How well ``found`` locates the findings of ``truth``: counts for the development and the held-out part.
+
+    All three have scope_id and source_line; found and truth also a residual. A packet is held out if the SHA-256 of
+    "scope_id:source_line", read as a number, divides by three; since 16 leaves 1 when divided by 3, that is the sum of
+    its hexadecimal digits, taken fifteen at a time.
+    """
+    key = ["scope_id", "source_line"]
+    digest = F.sha2(F.concat_ws(":", *key), 256)
+    digits = reduce(lambda x, y: x + y, [F.conv(F.substring(digest, k, 15), 16, 10).cast("long") % 3 for k in range(1, 65, 15)])
+    rows = packets.select(*key).distinct().withColumn("part", F.when(digits % 3 == 0, "held_out").otherwise("development"))
+    rows = rows.join(truth.select(*key, F.lit(True).alias("wanted"), F.col("residual").alias("right")), key, "left")
+    rows = rows.join(found.select(*key, F.lit(True).alias("located"), F.col("residual").alias("given")), key, "left")
+    count = lambda condition: F.count(F.when(condition, 1))
+    wanted, located = F.col("wanted").isNotNull(), F.col("located").isNotNull()
+    return rows.groupBy("part").agg(
+        F.count(F.lit(1)).alias("observations"), count(wanted).alias("expected_findings"), count(located).alias("located_findings"), count(located & ~wanted).alias("false_positives"),
+        count(wanted & ~located).alias("missed_findings"), count(wanted & located & ~F.col("right").eqNullSafe(F.col("given"))).alias("incorrect_values"),
+    )
+
+
 def usage_readiness(activities: DataFrame) -> DataFrame:
     """How many activities of each kind a report can draw on."""
     return activities.groupBy("activity").agg(F.count(F.lit(1)).alias("n"))

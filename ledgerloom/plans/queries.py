@@ -76,6 +76,18 @@ def within(seen: DataFrame) -> DataFrame:
     return seen.filter((F.col("ts") >= F.lit(WINDOW[0])) & (F.col("ts") < F.lit(WINDOW[1])))
 
 
+def locator_scores(_: DataFrame, seen: DataFrame) -> DataFrame:
+    """Scores of a faulty locator of residuals against all that there are."""
+    seen = within(seen)
+    truth = usage.counter_residuals(seen)
+    totals = seen.filter("temporality = 'interval_total' AND token_kind = 'total'")
+    # Its faults: it misses lines that divide by 7, reports all that divide by 13, and is off by one where 5 divides.
+    claimed = totals.join(truth.select("scope_id", "source_line", "residual"), ["scope_id", "source_line"], "left")
+    claimed = claimed.filter("(residual IS NOT NULL AND source_line % 7 <> 0) OR source_line % 13 = 0")
+    claimed = claimed.select("scope_id", "source_line", F.expr("coalesce(residual, 0) + CAST(source_line % 5 = 0 AS BIGINT)").alias("residual"))
+    return usage.locator_scores(totals, claimed, truth)
+
+
 def over_broken(build: Callable[[Books], DataFrame]) -> Query:
     """A query over the stream with planted faults."""
 
@@ -195,6 +207,7 @@ QUERIES: dict[str, Query] = {
     "usage_gaps": gaps(2),
     "usage_readiness": over_counters(lambda stream, _: usage.usage_readiness(stream)),
     "counter_residuals": over_counters(lambda _, seen: usage.counter_residuals(within(seen)).drop("ts")),
+    "locator_scores": over_counters(locator_scores),
     "data_controls_broken": over_broken(checks.all_errors),
     "data_tests": over_books(integrity.data_tests),
     "data_tests_broken": over_broken(integrity.data_tests),

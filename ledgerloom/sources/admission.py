@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,74 +11,141 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Field:
-    """One feature of an activity: kind is string, integer, number, money, date or timestamp."""
+    """One feature of an activity: kind is string, integer, number, money, decimal, date, timestamp or sha256."""
 
     kind: str = "string"
     required: bool = True
     nullable: bool = False
     enum: tuple[str, ...] = ()
     low: float | None = None
-
-
-MONEY = Field("money", low=0)
-#: The features of the activities that carry money, usage and seats.
+    high: float | None = None
+
+
+TEXT, DATE, TIME, DIGEST, MONEY, COUNT = Field(), Field("date"), Field("timestamp"), Field("sha256"), Field("money", low=0), Field("integer", low=1)
+POWER, REVISION, MAYBE = Field("number", low=0), Field("integer", low=0), Field(nullable=True)
+#: What the features of the activities may say.
+CHANNEL = Field(enum=("direct", "aws_marketplace", "gcp_marketplace", "azure_marketplace"))
+PLAN = Field(enum=("pro", "max", "team", "enterprise"))
+PURPOSE = Field(enum=("inference", "training", "mixed"))
+BILLING = Field(enum=("monthly", "annual"))
+#: A subscription's terms, the same in four activities.
+TERMS = {"subscription_id": TEXT, "plan": PLAN, "seats": COUNT, "price_per_seat": MONEY, "billing_period": BILLING, "period_start": DATE, "period_end": DATE}
+CONTRACT = {"contract_id": TEXT, "term_months": COUNT, "commit_usd": MONEY, "discount_pct": Field("number", low=0, high=1), "channel": CHANNEL, "start": DATE, "end": DATE}
+CAPACITY = {"capacity_id": TEXT, "provider": TEXT, "region": TEXT}
+SEATS = {"subscription_id": TEXT, "plan": PLAN, "seats": COUNT, "seats_after": COUNT}
+#: The features of each activity. Segments and workloads are open, as they differ between sources.
 CATALOG: dict[str, dict[str, Field]] = {
-    "customer_created": {"segment": Field(), "channel": Field(), "country": Field(), "parent_customer": Field(nullable=True)},
-    "customer_merged": {"ultimate_parent": Field(), "reason": Field()},
-    "contract_signed": {"contract_id": Field(), "term_months": Field("integer", low=1), "commit_usd": MONEY, "channel": Field(), "start": Field("date"), "end": Field("date")},
-    "contract_expired": {"contract_id": Field(), "reason": Field()},
+    "customer_created": {"segment": TEXT, "channel": CHANNEL, "country": TEXT, "parent_customer": MAYBE},
+    "customer_merged": {"ultimate_parent": TEXT, "reason": TEXT},
+    "customer_churned": {"reason": TEXT},
+    "contract_signed": CONTRACT,
+    "contract_renewed": CONTRACT,
+    "contract_expired": {"contract_id": TEXT, "reason": TEXT},
+    "model_released": {"model": TEXT, "generation": COUNT, "release_date": DATE, "training_cost_usd_estimate": MONEY},
+    "model_deprecated": {"model": TEXT, "replacement_model": TEXT},
     "tokens_processed": {
-        "usage_batch_id": Field(), "model": Field(), "token_type": Field(enum=("input", "output", "cache_read", "cache_write")), "tokens": Field("integer", low=1),
-        "list_price_per_mtok": Field("number", low=0), "effective_price_per_mtok": Field("number", low=0), "channel": Field(), "workload": Field(),
+        "usage_batch_id": TEXT, "model": TEXT, "model_release_date": DATE, "token_type": Field(enum=("input", "output", "cache_read", "cache_write")), "tokens": COUNT,
+        "list_price_per_mtok": POWER, "effective_price_per_mtok": POWER, "channel": CHANNEL, "workload": TEXT,
     },
     "usage_invoiced": {
-        "invoice_id": Field(), "usage_batch_id": Field(), "contract_id": Field(nullable=True), "period_start": Field("date"), "period_end": Field("date"),
-        "gross_usd": MONEY, "discount_usd": MONEY, "net_usd": MONEY, "channel_fee_usd": MONEY, "channel": Field(),
+        "invoice_id": TEXT, "usage_batch_id": TEXT, "contract_id": MAYBE, "period_start": DATE, "period_end": DATE,
+        "gross_usd": MONEY, "discount_usd": MONEY, "net_usd": MONEY, "channel_fee_usd": MONEY,
+        "commit_applied_usd": MONEY, "cash_due_usd": MONEY, "channel": CHANNEL,
+    },
+    "credit_issued": {"credit_id": TEXT, "invoice_id": TEXT, "period": DATE, "amount_usd": MONEY, "reason": TEXT},
+    "revenue_recognized": {
+        "period": DATE, "net_usd": Field("money"), "source": Field(enum=("usage", "subscription", "commit_drawdown")), "source_document": TEXT,
+        "recognition_kind": Field(enum=("usage", "subscription", "credit", "commit_expiry")), "channel": CHANNEL,
+    },
+    "seat_added": SEATS,
+    "seat_removed": SEATS,
+    "subscription_started": TERMS,
+    "subscription_renewed": TERMS,
+    "subscription_upgraded": TERMS,
+    "subscription_downgraded": TERMS,
+    "subscription_cancelled": {"subscription_id": TEXT, "plan": PLAN, "seats": COUNT, "reason": TEXT},
+    "trial_started": {"trial_id": TEXT, "plan": PLAN, "seats": COUNT, "end": DATE},
+    "trial_converted": {"trial_id": TEXT, "subscription_id": TEXT, "plan": PLAN, "seats": COUNT},
+    "trial_expired": {"trial_id": TEXT, "reason": TEXT},
+    "capacity_contracted": CAPACITY | {"mw": POWER, "usd_per_mwh": MONEY, "start": DATE, "end": DATE, "purpose": PURPOSE},
+    "capacity_energized": CAPACITY | {"mw": POWER},
+    "capacity_consumed": CAPACITY | {"mwh": POWER, "purpose": PURPOSE, "model": TEXT, "allocation_basis": TEXT, "period_start": DATE, "period_end": DATE},
+    "application_bound": {"application": Field(enum=("personal-usage",)), "binding_id": TEXT, "catalog_sha256": DIGEST},
+    "application_inventory": {
+        "provider": Field(enum=("anthropic", "openai", "grok")), "surface": TEXT, "scope": Field(enum=("laptop", "web", "mobile")), "ownership": Field(enum=("personally_owned",)),
+        "plan": MAYBE, "confirmation_ref": TEXT, "collection_status": Field(enum=("uncollected", "candidate")),
+    },
+    "usage_charge": {
+        "observation_id": TEXT, "source": TEXT, "scope_id": TEXT, "amount_decimal": Field("decimal"), "currency": TEXT,
+        "basis": Field(enum=("subscription_billed", "metered_billed", "credit", "estimated", "api_equivalent")),
+        "interval_start": TIME, "interval_end": TIME, "revision": REVISION, "supersedes": MAYBE, "evidence_sha256": DIGEST,
+    },
+    "usage_coverage": {
+        "source": TEXT, "scope_id": TEXT, "interval_start": TIME, "interval_end": TIME, "coverage": Field(enum=("confirmed", "partial", "stale", "unavailable")),
+        "reason": TEXT, "next_action": TEXT, "evidence_sha256": DIGEST,
+    },
+    "usage_observed": {
+        "observation_id": TEXT, "source": TEXT, "scope_id": TEXT, "model": MAYBE, "token_kind": Field(enum=("total", "input", "output", "cache_read", "cache_write", "reasoning_output")),
+        "quantity": Field("integer", nullable=True, low=0), "temporality": Field(enum=("delta", "cumulative", "interval_total")),
+        "interval_start": TIME, "interval_end": TIME, "revision": REVISION, "supersedes": MAYBE, "evidence_sha256": DIGEST,
     },
-    "credit_issued": {"credit_id": Field(), "invoice_id": Field(), "period": Field("date"), "amount_usd": MONEY, "reason": Field()},
-    "seat_added": {"subscription_id": Field(), "plan": Field(), "seats": Field("integer", low=1), "seats_after": Field("integer", low=1)},
 }
-SHAPES = {"integer": r"^-?[0-9]{1,18}$", "money": r"^-?[0-9]{1,16}(\.[0-9]{1,2})?$", "number": r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"}
-CASTS = {"integer": "long", "number": "double", "money": "decimal(18,2)", "date": "date", "timestamp": "timestamp", "string": "string"}
+SHAPES = {"integer": r"^-?[0-9]{1,18}$", "money": r"^-?[0-9]{1,16}(\.[0-9]{1,2})?$", "number": r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$", "decimal": r"^-?[0-9]+(\.[0-9]+)?$", "sha256": r"^[0-9a-f]{64}$"}
+CASTS = {"integer": "long", "number": "double", "money": "decimal(18,2)", "date": "date", "timestamp": "timestamp", "string": "string", "decimal": "string", "sha256": "string"}
 
 
 def _value(name: str) -> Column:
     return F.get_json_object("feature_json", f"$.{name}")
 
 
-def _ordered(low: str, high: str, message: str) -> Column:
-    return F.when(_value(low).try_cast("date") > _value(high).try_cast("date"), message)
+RULES = "map<string,array<struct<name:string,kind:string,required:boolean,nullable:boolean,enum:array<string>,low:double,high:double>>>"
 
 
 def validate_activity(act: DataFrame, catalog: dict[str, dict[str, Field]] = CATALOG) -> DataFrame:
-    """The rows with ``errors``, the messages of all rules each breaks; one pass of built-in expressions, no shuffle."""
-    keys = F.coalesce(F.json_object_keys("feature_json"), F.array().cast("array<string>"))
-    found = F.when(~F.col("activity").isin(list(catalog)), F.array(F.lit("unknown activity")))
-    for activity, fields in catalog.items():
-        rules = [F.when(F.size(F.array_except(keys, F.array(*[F.lit(f) for f in fields]))) > 0, "unknown field")]
-        for name, field in fields.items():
-            value, there = _value(name), F.array_contains(keys, name)
-            if field.required:
-                rules.append(F.when(~there, f"missing {name}"))
-            if not field.nullable:
-                rules.append(F.when(there & value.isNull(), f"null {name}"))
-            if field.kind in SHAPES:
-                rules.append(F.when(value.isNotNull() & ~value.rlike(SHAPES[field.kind]), f"bad {name}"))
-            elif field.kind in ("date", "timestamp"):
-                rules.append(F.when(value.isNotNull() & value.try_cast(field.kind).isNull(), f"bad {name}"))
-            if field.enum:
-                rules.append(F.when(value.isNotNull() & ~value.isin(*field.enum), f"bad {name}"))
-            if field.low is not None:
-                rules.append(F.when(value.try_cast("double") < field.low, f"low {name}"))
-        if "period_start" in fields:
-            rules.append(_ordered("period_start", "period_end", "period order"))
-        if "start" in fields:
-            rules.append(_ordered("start", "end", "period order"))
-        if activity == "usage_invoiced":
-            money = {m: _value(f"{m}_usd").try_cast("decimal(18,2)") for m in ("gross", "discount", "net", "channel_fee")}
-            rules += [F.when(money["gross"] - money["discount"] != money["net"], "invoice arithmetic"), F.when(money["channel_fee"] > money["net"], "fee above net")]
-        found = found.when(F.col("activity") == activity, F.array_compact(F.array(*rules)))
-    return act.withColumn("errors", found)
+    """The rows with ``errors``, the messages of all rules each breaks; one pass of built-in expressions, no shuffle.
+
+    A payload is parsed once, and one expression goes through the fields of the row's activity, so the plan doesn't grow with
+    the catalogue, which is a constant in it. Where the rows have ``revenue_impact``, it must equal the amount of recognised
+    revenue and be null for all else.
+    """
+    constant = json.dumps({activity: [{"name": name} | asdict(field) | {"enum": list(field.enum)} for name, field in fields.items()] for activity, fields in catalog.items()})
+    rows = act.withColumn("_given", F.coalesce(F.from_json("feature_json", "map<string,string>"), F.create_map().cast("map<string,string>")))
+    given, fields = F.col("_given"), F.try_element_at(F.from_json(F.lit(constant), RULES), F.col("activity"))
+    value_of = lambda name: F.try_element_at(given, F.lit(name))
+
+    def of_field(f: Column) -> Column:
+        value, kind = F.try_element_at(given, f["name"]), f["kind"]
+        there, number = F.map_contains_key(given, f["name"]), value.try_cast("double")
+        malformed = F.lit(False)
+        for shape, pattern in SHAPES.items():
+            malformed = malformed | ((kind == shape) & ~value.rlike(pattern))
+        malformed = malformed | ((kind == "date") & value.try_cast("date").isNull()) | ((kind == "timestamp") & value.try_cast("timestamp").isNull())
+        malformed = malformed | ((F.size(f["enum"]) > 0) & ~F.array_contains(f["enum"], value))
+        broken = {
+            "missing ": f["required"] & ~there, "null ": ~f["nullable"] & there & value.isNull(), "empty ": (kind == "string") & (F.trim(value) == ""),
+            "bad ": value.isNotNull() & malformed, "low ": number < f["low"], "high ": number > f["high"],
+        }
+        return F.array(*[F.when(condition, F.concat(F.lit(message), f["name"])) for message, condition in broken.items()])
+
+    def ordered(low: str, high: str, kind: str) -> Column:
+        return F.when(value_of(low).try_cast(kind) > value_of(high).try_cast(kind), "period order")
+
+    unknown = F.size(F.array_except(F.map_keys(given), F.transform(fields, lambda f: f["name"]))) > 0
+    money = lambda name: value_of(f"{name}_usd").try_cast("decimal(18,2)")
+    only = lambda activity, condition, message: F.when((F.col("activity") == activity) & condition, message)
+    rules = [
+        ordered("period_start", "period_end", "date"), ordered("start", "end", "date"), ordered("interval_start", "interval_end", "timestamp"),
+        only("usage_invoiced", money("gross") - money("discount") != money("net"), "invoice arithmetic"),
+        only("usage_invoiced", money("channel_fee") > money("net"), "fee above net"),
+        only("usage_invoiced", money("commit_applied") + money("cash_due") != money("net"), "commitment and cash"),
+        only("usage_invoiced", value_of("contract_id").isNull() & (money("commit_applied") != 0), "drawdown without contract"),
+        only("credit_issued", money("amount") <= 0, "credit without amount"),
+    ]
+    if "revenue_impact" in act.columns:
+        owed = F.when(F.col("activity") == "revenue_recognized", money("net"))
+        rules.append(F.when(~F.col("revenue_impact").eqNullSafe(owed), "revenue impact"))
+    found = F.concat(F.array(F.when(unknown, "unknown field")), F.flatten(F.transform(fields, of_field)), F.array(*rules))
+    return rows.withColumn("errors", F.when(fields.isNull(), F.array(F.lit("unknown activity"))).otherwise(F.array_compact(found))).drop("_given")
 
 
 def canonical_features(act: DataFrame, catalog: dict[str, dict[str, Field]] = CATALOG) -> DataFrame:
