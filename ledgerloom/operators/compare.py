@@ -119,9 +119,10 @@ def yield_bridge(old: DataFrame, new: DataFrame, moved: DataFrame) -> DataFrame:
     tied = (F.col("delta_net_revenue_cents") == F.col("net_postings")) & (F.col("delta_before_fees_cents") == F.col("gross_postings"))
     per = lambda c: F.round(F.col(c).cast("decimal(30,12)") * 10000 / F.nullif(F.col("old_tokens"), F.lit(0)).cast("decimal(20,0)"), 12).cast("double")
     row = row.withColumns({"delta_after_fees_per_mtok": per("delta_net_revenue_cents"), "delta_before_fees_per_mtok": per("delta_before_fees_cents")})
-    if row.filter(~F.coalesce(even & tied, F.lit(False))).count():
+    row = cut(row.withColumn("sound", F.coalesce(even & tied, F.lit(False))), "yield-bridge")
+    if not row.first()["sound"]:
         raise ValueError("the change of yield does not tie to the accounts, or its tokens changed")
-    return row.drop("net_postings", "gross_postings")
+    return row.drop("net_postings", "gross_postings", "sound")
 
 
 #: So many documents are tried in every combination; more leave the changes unresolved.
