@@ -76,10 +76,9 @@ class Block:
         return self.data[self.start[k] : self.start[k + 1]]
 
 
-def write_blocks(docs: DataFrame, name: str, block_bytes: int) -> DataFrame:
-    """Documents (doc_id, text, and a string ``extra`` if there is one) in blocks of about so many bytes, in the shared folder."""
+def write_blocks(docs: DataFrame, name: str, block_bytes: int, carried: str | None = None) -> DataFrame:
+    """Documents (doc_id, text) in blocks of about so many bytes, in the shared folder; ``carried`` names a string column that goes along."""
     ship_package(docs.sparkSession)
-    carried = "extra" in docs.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, serial = TaskContext.get().partitionId(), 0  # type: ignore[union-attr]
@@ -93,7 +92,7 @@ def write_blocks(docs: DataFrame, name: str, block_bytes: int) -> DataFrame:
             return pd.DataFrame([row], columns=["block", "ids", "sizes", "data", "extra"])
 
         for batch in batches:
-            rest = batch["extra"] if carried else [None] * len(batch)
+            rest = batch[carried] if carried else [None] * len(batch)
             for doc, text, more in zip(batch["doc_id"].tolist(), batch["text"].tolist(), rest, strict=True):
                 coded = b"" if text is None else text.encode("utf-8", "surrogatepass")
                 ids.append(NULL_ID if doc is None or doc != doc else int(doc))
@@ -107,7 +106,7 @@ def write_blocks(docs: DataFrame, name: str, block_bytes: int) -> DataFrame:
             yield closed()
 
     # Identifiers travel as text: a null among them would otherwise turn them all into floating-point numbers.
-    chosen = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text", *(["extra"] if carried else []))
+    chosen = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text", *([F.col(f"`{carried}`")] if carried else []))
     return materialise(chosen.mapInPandas(run, BLOCK_SCHEMA), name)
 
 

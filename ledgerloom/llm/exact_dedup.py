@@ -8,7 +8,9 @@ digests, of a fixed size, keeps the texts of all others out of that comparison.
 grouped again by the text itself.
 
 With a ``state`` folder the keyed state outlives the call: a later call's documents are found to be copies of earlier
-ones by the digest kept there; full bytes are compared among the documents of one call.
+ones by the digest kept there, and the locator fetches the earlier text, so their full bytes are compared too. Documents
+that are no table of files are written to the state's folder first, so that every locator leads somewhere. Of
+texts of one call that share a digest the state keeps one, so a later copy of another of them is not recognised.
 
 Only built-in expressions run on the executors. Both aggregations combine on the map side first, and the join with their
 results can be split where one digest has very many rows.
@@ -46,21 +48,35 @@ def sha256_bytes(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+LOCATOR = "concat_ws('#', _metadata.file_path, cast(_metadata.row_index as string))"
+
 #: Bits of the map of hits: 8 MB at most, whatever the number of documents.
 HIT_BITS = 1 << 26
 
 
+def _located(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the locator (file and row), null where the documents are no table of files."""
+    try:
+        return docs.select("doc_id", "text", F.expr(LOCATOR).alias("locator"))
+    except AnalysisException:
+        return docs.select("doc_id", "text", F.lit(None).cast("string").alias("locator"))
+
+
+def _of_files(docs: DataFrame) -> bool:
+    try:
+        return bool(docs.select(F.expr(LOCATOR)).columns)
+    except AnalysisException:
+        return False
+
+
 def _narrow(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     text = normalised()
-    try:
-        rows = docs.select("*", F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias("__locator"))
-    except AnalysisException:  # not a table of files
-        rows = docs.withColumn("__locator", F.lit(None).cast("string"))
+    rows = _located(docs)
     return rows.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         digest(text).alias("digest"),
         F.octet_length(text).cast("long").alias("n_bytes"),
-        F.col("__locator").alias("locator"),
+        "locator",
         *([] if digest is sha256_bytes else [sha256_bytes(text).alias("sha")]),
     )
 
@@ -123,8 +139,22 @@ def digest_registry(arrivals: DataFrame, state_path: str | None = None, bytes_pe
     return registry, mine
 
 
-def _confirmed(docs: DataFrame, registry: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
-    """Full-byte check of the hits: (digests whose texts differ, docs that may be hits with digest and text)."""
+def _earlier(arrivals: DataFrame, registry: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """doc_id, digest and text of the documents of earlier calls that the registry keeps for digests of this one, read by their locators."""
+    spark = arrivals.sparkSession
+    hits = registry.filter("group_size > 1 AND locator IS NOT NULL").join(arrivals.select("digest").distinct(), "digest", "left_semi")
+    hits = hits.join(arrivals.select("locator"), "locator", "left_anti").select("locator", F.col("keep_id").alias("doc_id"))
+    hits = materialise(hits, "exact-earlier")
+    files = [r.file for r in hits.select(F.substring_index("locator", "#", 1).alias("file")).distinct().collect()]  # file names, no documents
+    if not files:
+        return spark.createDataFrame([], "doc_id long, digest binary, norm string")
+    text = normalised()
+    stored = _located(spark.read.parquet(*files)).join(hits.withColumnRenamed("doc_id", "keep_id"), "locator")
+    return stored.select(F.col("keep_id").alias("doc_id"), digest(text).alias("digest"), text.alias("norm"))
+
+
+def _confirmed(docs: DataFrame, registry: DataFrame, digest: Callable[[Column], Column], earlier: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Full-byte check of the hits: (digests whose texts differ, docs that may be hits with digest, text and whether of this call)."""
     text = normalised()
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("digest"), text.alias("norm"))
     bit = F.pmod(F.xxhash64("digest"), F.lit(HIT_BITS))
@@ -133,7 +163,9 @@ def _confirmed(docs: DataFrame, registry: DataFrame, digest: Callable[[Column],
     place = F.bitmap_bit_position(bit).cast("int")
     byte = F.conv(F.hex(F.expr("substring(map, cast(__place div 8 as int) + 1, 1)")), 16, 10).cast("int")
     keyed = keyed.withColumns({"part": F.bitmap_bucket_number(bit), "__place": place}).join(F.broadcast(bitmap), "part")
-    keyed = keyed.filter(byte.bitwiseAND(F.expr("shiftleft(1, __place % 8)")) != 0).select("doc_id", "digest", "norm")
+    keyed = keyed.filter(byte.bitwiseAND(F.expr("shiftleft(1, __place % 8)")) != 0).select("doc_id", "digest", "norm", F.lit(True).alias("own"))
+    if earlier is not None:
+        keyed = keyed.unionByName(earlier.withColumn("own", F.lit(False)))
     differing = (
         keyed.groupBy("digest")
         .agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
@@ -145,9 +177,16 @@ def _confirmed(docs: DataFrame, registry: DataFrame, digest: Callable[[Column],
 
 def find_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256_bytes, state: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_bytes, locator of the row that stays."""
+    spark = docs.sparkSession
+    if state and docs.isEmpty():
+        docs, state = docs.limit(0), None
+    if state and not _of_files(docs):
+        folder = f"{state}/texts/call={uuid.uuid4().hex}"
+        docs.select("doc_id", "text").write.option("compression", "zstd").parquet(folder)
+        docs = spark.read.schema(docs.select("doc_id", "text").schema).parquet(folder)
     registry, arrivals = digest_registry(_narrow(docs, digest), state)
     registry = materialise(registry, "exact-registry")
-    differing, keyed = _confirmed(docs, registry, digest)
+    differing, keyed = _confirmed(docs, registry, digest, _earlier(arrivals, registry, digest) if state else None)
     differing = materialise(differing, "exact-differing")
     # Rows of digests with one text: the state's answer holds.
     same = arrivals.join(differing, "digest", "left_anti").join(registry.withColumnRenamed("locator", "keep_locator"), "digest")
@@ -161,7 +200,7 @@ def find_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256_byt
     odd = keyed.join(differing, "digest", "left_semi")
     groups = odd.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     odd_copy = Window.partitionBy("digest", "norm", "doc_id").orderBy("doc_id")
-    odd = odd.join(groups, ["digest", "norm"]).select(
+    odd = odd.filter("own").join(groups, ["digest", "norm"]).select(
         "doc_id",
         "keep_id",
         "group_size",

@@ -1,6 +1,6 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-1. Every document becomes its set of five-word shingles (64-bit hashes), a digest of the set and a signature of 128
+1. Every document becomes its set of five-word shingles (xxh3 of a shingle's bytes), a digest of the set and a signature of 128
    minima. Documents with equal sets form a class, told apart by the digest; its smallest identifier speaks for it.
 2. Signatures are cut into 32 bands. In each bucket that classes share, every class is paired with the smallest one and
    with the most central one, so a bucket of g classes gives less than 2 * g pairs and not g * g / 2.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import discard, materialise, ship_package, whole_groups
 from ledgerloom.llm.graph import connected_components
-from ledgerloom.llm.words import hashed_words, mix
+from ledgerloom.llm.words import LOWER, find_words, hash_windows, joined, single_spaced
 
 WIDTH, HASHES, ROWS, BATCH, MISS = 5, 128, 4, 16, 1e-6
 PER_CENT = 75
@@ -39,29 +39,19 @@ BLOCK, PAIRS_AT_ONCE, TEXTS_AT_ONCE = 512, 100_000, 256
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 2**32, HASHES, np.uint32) | np.uint32(1)
 _FLIP = _rng.integers(0, 2**32, HASHES, np.uint32)
-_PLACE = _rng.integers(1, 2**63, 2 * WIDTH, np.uint64) | np.uint64(1)
-
-
-def shingle_set(words: np.ndarray) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a text's word hashes."""
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    width = min(WIDTH, n)
-    total = np.zeros(n - width + 1, np.uint64)
-    for j in range(width):
-        total += words[j : n - width + 1 + j] * _PLACE[j]
-    if n < WIDTH:
-        total += _PLACE[WIDTH + n - 1]
-    return np.unique(mix(total))
 
 
 def shingles(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """The shingle set of each whole text, some texts at a time."""
+    """The shingle set of each whole text, sorted distinct xxh3 hashes of the shingles' bytes, some texts at a time."""
     for lo in range(0, len(texts), TEXTS_AT_ONCE):
-        words, edge = hashed_words([(t or "").encode("utf-8", "surrogatepass") for t in texts[lo : lo + TEXTS_AT_ONCE]], lower=True)
-        for k in range(len(edge) - 1):
-            yield shingle_set(words[edge[k] : edge[k + 1]])
+        data, edge = joined([(t or "").encode("utf-8", "surrogatepass") for t in texts[lo : lo + TEXTS_AT_ONCE]])
+        data = LOWER[data]
+        begin, end = find_words(data)
+        first = np.searchsorted(begin, edge)
+        flat, start, stop = single_spaced(data, begin, end)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            width = min(WIDTH, b - a)
+            yield np.unique(hash_windows(flat, start[a : b - width + 1], stop[a + width - 1 : b])) if width else np.empty(0, np.uint64)
 
 
 def signature(found: np.ndarray) -> np.ndarray:
@@ -319,5 +309,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that share the identifier that stays, all are kept.
     """
-    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct().alias("gone")
+    return docs.alias("docs").join(gone, F.col("docs.doc_id").cast("long") == F.col("gone.doc_id"), "left_anti")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.common import ship_package, training_hash
-from ledgerloom.llm.words import LOWER, find_words, hash_words, joined
+from ledgerloom.llm.words import LOWER, find_words, hash_pieces, joined
 
 WORD_BUCKETS = 1 << 14
 STRUCTURE = 14
@@ -46,7 +46,7 @@ def features(texts: list[str | None], n_chars: list[float | None]) -> list[tuple
     raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data, edge = joined(raws)
     start, stop = find_words(data)
-    hashes, first = hash_words(LOWER[data], start, stop), np.searchsorted(start, edge)
+    hashes, first = hash_pieces(LOWER[data], start, stop), np.searchsorted(start, edge)
     kind = _CLASS[data]
     odd_end = _ODD_END[data[stop - 1]] if len(stop) else np.empty(0, bool)
     found = []

@@ -14,7 +14,7 @@ rounds stand for the window: equal windows have equal sequences, and different w
    several documents. A window with an unshared symbol inside its ends is no repeat.
 2. Second round, over the windows that are left: the same for neighbouring level-2 symbols of their cores.
 3. Windows whose high-level symbols are all shared get the name of their popped sequence. A bucket finds the smallest
-   document of each name; a match also has to agree on a second 64-bit fingerprint, of the 13 words themselves.
+   document of each name; a match also has to agree on xxh3 of the window's own bytes, the 13 words.
 4. Matched windows return to their block, which cuts the words they cover.
 
 Every block sends a name once, however many of its documents share it, so a passage in a third of all documents costs
@@ -53,11 +53,10 @@ from ledgerloom.llm.blocks import (
     unpack_sorted,
     write_blocks,
 )
-from ledgerloom.llm.words import find_words, grams, hash_words, joined, mix, powers
+from ledgerloom.llm.words import find_words, hash_windows, hash_words, joined, mix, powers, single_spaced
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
-CHECK_BASE = 0xC2B2AE3D27D4EB4F
 _rng = np.random.default_rng(1303)
 _ODD = _rng.integers(1, 2**63, 16, np.uint64) | np.uint64(1)
 SALTS = (0x51ED2701, 0x2545F491)
@@ -89,6 +88,7 @@ class Parse:
         data, edge = joined([block.text(k) for k in range(len(block.ids))])
         start, stop = find_words(data)
         self.word = w = hash_words(data, start, stop)
+        self.bytes = data, start, stop
         self.edge = np.searchsorted(start, edge)
         n = len(w)
         owner = np.repeat(np.arange(len(block.ids)), np.diff(self.edge))
@@ -200,10 +200,11 @@ def send_twos(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.Data
 
 
 def repeated_windows(parse: Parse, ids: np.ndarray, ones: list[bytes] | None, twos: list[bytes] | None) -> tuple[np.ndarray, ...]:
-    """Windows whose symbols are shared, sorted by name: (name, fingerprint of the words, document, position among the windows)."""
+    """Windows whose symbols are shared, sorted by name: (name, fingerprint of the words' bytes, document, position among the windows)."""
     pick = np.flatnonzero(parse.alive(ones, twos if twos is not None else []))
     name = parse.names(pick)
-    check = mix(grams(parse.word, WINDOW, CHECK_BASE)[parse.first[pick]]) if len(pick) else np.empty(0, np.uint64)
+    flat, start, stop = single_spaced(*parse.bytes)
+    check = hash_windows(flat, start[parse.first[pick]], stop[parse.first[pick] + WINDOW - 1])
     doc = ids[parse.row[pick]]
     order = np.lexsort((doc, check, name))
     return name[order], check[order], doc[order], pick[order]

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +51,8 @@ from ledgerloom.llm.blocks import (
     unpack_planes,
     write_blocks,
 )
-from ledgerloom.llm.words import hash_words, mix
+from ledgerloom.llm.common import discard
+from ledgerloom.llm.words import hash_pieces, mix
 
 WINDOW, PIECE = 50, 20
 REACH = WINDOW - PIECE + 1
@@ -141,6 +143,8 @@ def suffixes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 def equal_pieces(data: np.ndarray, a: np.ndarray, b: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Whether runs of so many windows at a and b are the same bytes: their first and last windows cover them."""
     out = np.ones(len(a), bool)
+    if not len(a):
+        return out
     view = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
     for lo in range(0, len(a), 1 << 16):
         x, y, c = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)], count[lo : lo + (1 << 16)] - 1
@@ -150,7 +154,7 @@ def equal_pieces(data: np.ndarray, a: np.ndarray, b: np.ndarray, count: np.ndarr
 
 def equal_runs(data: np.ndarray, first: np.ndarray, count: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, head position in that order, equal to the head) of runs by rising start, grouped by bytes, the smallest document first."""
-    name = mix(hash_words(data, first, first + count + WINDOW - 1) + count.astype(np.uint64) * _ODD[2])
+    name = mix(hash_pieces(data, first, first + count + WINDOW - 1) + count.astype(np.uint64) * _ODD[2])
     order = np.lexsort((first, doc, name))
     name, f, c = name[order], first[order], count[order]
     lead = np.concatenate([[True], (name[1:] != name[:-1]) | (c[1:] != c[:-1])]) if len(name) else np.empty(0, bool)
@@ -178,7 +182,7 @@ def pick_runs(w: Windows, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     n = w.count[hot]
     each = np.repeat(w.first[hot], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     first, count = np.concatenate([first, each]), np.concatenate([count, np.ones(len(each), np.int64)])
-    row, key = np.concatenate([row, np.repeat(w.row[hot], n)]), np.concatenate([key, hash_words(w.data, each, each + WINDOW)])
+    row, key = np.concatenate([row, np.repeat(w.row[hot], n)]), np.concatenate([key, hash_pieces(w.data, each, each + WINDOW)])
     order = np.argsort(first)
     return first[order], count[order], row[order], key[order]
 
@@ -353,7 +357,7 @@ def cut_blocks(batches: Iterator[pd.DataFrame], whole_characters: bool) -> Itera
             gone = np.cumsum(depth[:-1]) > 0
             data = np.frombuffer(block.data, np.uint8)
             extra = unpack(r.extra).split(b"\0")
-            rows = []
+            rows: list[tuple] = []
             for k, doc in enumerate(block.ids.tolist()):
                 cut = slice(block.start[k], block.start[k + 1])
                 g = gone[cut]
@@ -380,14 +384,16 @@ def judged(moved: DataFrame, shards: int, batch: int) -> DataFrame:
 
 CUT = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,stop:long>>, extra string"
 MOVED = "shard long, block long, part binary"
+VERSION = "version int, buckets int, shards int, hot long"
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT_DOCUMENTS, batch: int = BATCH_WINDOWS, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT_DOCUMENTS, batch: int = BATCH_WINDOWS, whole_characters: bool = False, carried: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, kept (the bytes left), spans (start and stop of each removed run), extra.
 
-    With ``whole_characters`` the bytes that a cut leaves of a character go too, so that ``kept`` is text.
+    With ``whole_characters`` the bytes that a cut leaves of a character go too, so that ``kept`` is text. ``carried`` names
+    a string column that comes back as ``extra``.
     """
-    blocks = write_blocks(docs, "suffix-blocks", block_bytes)
+    blocks = write_blocks(docs, "suffix-blocks", block_bytes, carried)
     buckets, shards = bucket_count(blocks, 1 << 20, 16), bucket_count(blocks, 1 << 16, 60)
     sent = blocks.mapInPandas(lambda it: send_keys(it, buckets), KEYED)
     grades = sent.groupBy("bucket").applyInPandas(lambda p: answer_keys(p, hot), "block long, part binary")
@@ -399,12 +405,19 @@ class SuffixIndex:
     """A family of suffix arrays in a folder, for batches that come one after another; what was judged is not judged again.
 
     The number of buckets and shards is fixed when the index is made, for the size it is to grow to. Tables of a batch are
-    written to folders of its own number; ``versions`` tells which are complete, so a batch that failed is written anew.
+    written to folders of its own number, and last a row of ``versions``, which holds the batch's number and the index's
+    settings. Opening the folder again reads it: complete batches count, and what an interrupted batch left is written anew.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, shards: int = 64, block_bytes: int = BLOCK_BYTES) -> None:
-        self.spark, self.path, self.buckets, self.shards, self.block_bytes = spark, path.rstrip("/"), buckets, shards, block_bytes
-        self.version = 0
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, shards: int = 64, block_bytes: int = BLOCK_BYTES, hot: int = HOT_DOCUMENTS) -> None:
+        self.spark, self.path, self.block_bytes = spark, path.rstrip("/"), block_bytes
+        try:
+            done = spark.read.schema(VERSION).option("recursiveFileLookup", "true").parquet(f"{self.path}/versions")
+        except AnalysisException:  # a new folder
+            done = spark.createDataFrame([], VERSION)
+        last = done.orderBy(F.col("version").desc()).first()
+        self.version = last.version + 1 if last else 0
+        self.buckets, self.shards, self.hot = (last.buckets, last.shards, last.hot) if last else (buckets, shards, hot)
 
     def _read(self, name: str, schema: str) -> DataFrame:
         folders = [f"{self.path}/{name}/{v}" for v in range(self.version)]
@@ -417,23 +430,24 @@ class SuffixIndex:
 
     def add(self, docs: DataFrame, batch: int = BATCH_WINDOWS) -> DataFrame:
         """What is left of each document of the batch, as ``remove_repeats`` returns it, judged against all batches so far."""
-        v, buckets, shards = self.version, self.buckets, self.shards
+        v, buckets, shards, hot = self.version, self.buckets, self.shards, self.hot
         old = self._read("blocks", BLOCK_SCHEMA)
         made = write_blocks(docs, "suffix-batch", self.block_bytes)
         blocks = self._put(made.withColumn("block", F.col("block") + F.lit(v << 48)), "blocks", v)
+        discard(made)
         keys = self._put(blocks.mapInPandas(lambda it: send_keys(it, buckets), KEYED), "keys", v)
         before, low = self._read("keys", KEYED), v << 48
 
         def grade(part: pd.DataFrame) -> pd.DataFrame:
-            """1 for shared keys; in older blocks only if nothing shared them before this batch."""
-            answers = answer_keys(part, 1 << 62)
+            """The grades of keys; for older blocks only those that this batch changed, so their runs are sent once (and once more when hot)."""
+            answers = answer_keys(part, hot)
             older = part["block"].to_numpy() < low
             if older.any() and not older.all():
-                known = answer_keys(part[older], 1 << 62)
+                known = answer_keys(part[older], hot)
                 parts = answers["part"].tolist()
                 for at, was in zip(np.flatnonzero(older), known["part"], strict=True):
                     now, then = (np.frombuffer(unpack(p[8:]), np.uint8) for p in (parts[at], was))
-                    parts[at] = parts[at][:8] + pack((now & ~then & np.uint8(1)).tobytes())
+                    parts[at] = parts[at][:8] + pack(np.where(now != then, now, 0).astype(np.uint8).tobytes())
                 answers["part"] = parts
             return answers if not older.all() else answers.iloc[:0]
 
@@ -458,6 +472,7 @@ class SuffixIndex:
         answers = moved.groupBy("shard").cogroup(levels.groupBy("shard")).applyInPandas(meet, "block long, part binary, shard long, levels binary")
         answers = self._put(answers, "answers", v)
         self._put(answers.filter("levels IS NOT NULL").select("shard", F.lit(v).alias("version"), "levels"), "levels", v)
+        self._put(self.spark.createDataFrame([(v, buckets, shards, hot)], VERSION), "versions", v)
         self.version = v + 1
         spans = answers.filter(f"block >= {low}").select("block", "part")
         return spans_for(blocks, spans).mapInPandas(lambda it: cut_blocks(it, False), CUT)
@@ -466,9 +481,9 @@ class SuffixIndex:
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The documents with repeated substrings cut from the text; other columns as they were, n_chars as the new length."""
     rest = [c for c in docs.columns if c != "text"]
-    packed = docs.select("doc_id", "text", F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest]), {"ignoreNullFields": "false"}).alias("extra"))
+    packed = docs.select("doc_id", "text", F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest]), {"ignoreNullFields": "false"}).alias("__rest"))
     row = F.from_json("extra", docs.select(*[F.col(f"`{c}`") for c in rest]).schema)
-    made = remove_repeats(packed, whole_characters=True).select(row.alias("row"), F.col("kept").cast("string").alias("text"))
+    made = remove_repeats(packed, whole_characters=True, carried="__rest").select(row.alias("row"), F.col("kept").cast("string").alias("text"))
     out = {c: F.col(f"row.`{c}`") for c in rest} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)

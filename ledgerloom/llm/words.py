@@ -1,12 +1,16 @@
 """Words of many texts at once: places and 64-bit hashes, by numpy.
 
-A word is a maximal piece without ASCII white space. Its hash is a polynomial in its bytes, read off one running sum over
-the text, so no Python object is made per word and nothing is cached between batches.
+A word is a maximal piece without ASCII white space. ``hash_words`` takes eight bytes a step and mixes all bits between
+two steps, so words that differ collide by chance only; words above 256 bytes are hashed by xxh3. ``hash_windows`` hashes
+the bytes of runs of words, whose order and bounds count, and is what decisions rest on. ``hash_pieces`` is a polynomial
+modulo 2^64 for overlapping pieces; structured pieces can collide, so its users compare bytes or need no more than
+buckets.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 #: Fixed value: the white space of every contract of this subpackage.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -43,8 +47,48 @@ def find_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
+LONG = 256
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def hash_words(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """One hash per word, some hundred kilobytes of text at a time."""
+    """One hash per word, eight bytes a step."""
+    size = (stop - start).astype(np.int64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    h = mix(size.astype(np.uint64) * _STEP)
+    live, at = np.flatnonzero(size <= LONG), 0
+    while len(live):
+        left = size[live] - at
+        chunk = eight[start[live] + at] & _MASK[np.minimum(left, 8)]
+        h[live] = mix((h[live] ^ chunk) + _STEP)
+        live, at = live[left > 8], at + 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[start[k] : stop[k]])
+    return h
+
+
+def single_spaced(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words with one space after each, and where each word starts and stops there."""
+    size = stop - start
+    where = np.concatenate([[0], np.cumsum(size + 1)])
+    keep = ~SPACE[data]
+    if len(data):
+        keep[stop[stop < len(data)]] = True
+    out = data[keep]
+    out = np.where(SPACE[out], np.uint8(0x20), out)
+    return out.tobytes(), where[:-1], where[:-1] + size
+
+
+def hash_windows(flat: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """xxh3 of the bytes of each window of single-spaced words."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(flat[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), np.uint64, len(start))
+
+
+def hash_pieces(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A polynomial of each piece, some hundred kilobytes of text at a time; pieces may overlap."""
     out = np.empty(len(start), np.uint64)
     k = 0
     while k < len(start):
@@ -66,39 +110,7 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)])
 
 
-def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, and where each text's words begin (one more entry for the end)."""
-    data, edge = joined(texts)
-    if lower:
-        data = LOWER[data]
-    start, stop = find_words(data)
-    return hash_words(data, start, stop), np.searchsorted(start, edge)
-
-
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """So many powers of the base and of its inverse."""
     table = _power_table(size)
     return table[0], table[1]
-
-
-def grams(values: np.ndarray, size: int, base: int) -> np.ndarray:
-    """Polynomial hashes of all pieces of ``size`` neighbours, by doubling."""
-    if len(values) < size:
-        return np.empty(0, np.uint64)
-    h, width = values.astype(np.uint64) + np.uint64(1), 1
-    done, built = None, 0
-    left = size
-    while True:
-        if left & 1:
-            if done is None:
-                done, built = h, width
-            else:  # what is built already stands to the left of the new part
-                n = len(values) - built - width + 1
-                done = done[:n] * np.uint64(pow(base, width, 1 << 64)) + h[built : built + n]
-                built += width
-        left >>= 1
-        if not left:
-            return done
-        n = len(h) - width
-        h = h[:n] * np.uint64(pow(base, width, 1 << 64)) + h[width : width + n]
-        width *= 2

@@ -329,3 +329,68 @@ def test_rabitq_estimate_near_the_threshold():
         estimate = rabitq.Estimator(*rabitq.encode(np.concatenate([x, y]), turns), turns, threshold=0.95)
         guess, bound = estimate(np.arange(4000), np.arange(4000, 8000))
         assert (guess + bound >= 0.95).all() and bound.max() < 0.95
+
+
+def thue_morse(size):
+    x = "a"
+    while len(x) < size:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [64, 128, 1024, 4096])
+def test_words_that_collide_in_polynomials(spark, size):
+    """Thue-Morse words and their complements agree in every polynomial modulo 2^64."""
+    x, y = thue_morse(size)
+    words = [f"w{k}" for k in range(12)]
+    texts = [" ".join([*words[:6], x, *words[6:]]), " ".join([*words[:6], y, *words[6:]]), " ".join([*words[:6], x, *words[6:]])]
+    docs = frame(spark, texts)
+    removed = {r.doc_id: r.n_words - r.n_kept for r in recompression.remove_repeats(docs).collect()}
+    assert removed == {0: 0, 1: 0, 2: 13}
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == {0: 0, 1: 1, 2: 0}
+
+
+def clashing(spark, texts):
+    names = "extra block ids sizes data parts key keys counts bucket shard part row gone norm digest sig n bit place own file lines line rank weight score bin locator".split()
+    names += [f"__{c}" for c in "locator rest gone id digest keep_id place n row".split()]
+    docs = frame(spark, texts)
+    return docs.select(docs["*"], *[F.lit(k).alias(c) for k, c in enumerate(names)])
+
+
+@pytest.mark.parametrize("texts", [["short"], [None], [""], ["short", None, "", "short"]])
+def test_small_tables_with_clashing_columns(spark, texts):
+    docs = clashing(spark, texts).repartition(2)
+    whole = [len(t or "") for t in texts]
+    assert sorted(len(r.kept) for r in suffix_dedup.remove_repeats(docs).collect()) == sorted(whole)
+    assert sorted(r.n_words for r in recompression.remove_repeats(docs).collect()) == sorted(len((t or "").split()) for t in texts)
+    assert exact_dedup.find_copies(docs).count() == minhash.near_duplicates(docs).count() == len(texts)
+    for stage in (suffix_dedup.clean_documents, exact_dedup.drop_copies, minhash.keep_one):
+        assert stage(docs).columns == docs.columns and stage(docs).count() >= 1
+
+
+def test_exact_dedup_checks_bytes_of_earlier_calls(spark, tmp_path):
+    state = f"file://{tmp_path}/state"
+    short = lambda text: F.unhex(F.substring(F.sha2(text, 256), 1, 1))
+    byte = lambda k: hashlib.sha256(f"text {k}".encode()).digest()[0] >> 4
+    early = [k for k in range(20) if byte(k) not in {byte(j) for j in range(k)}]  # the state keeps one text of a digest
+    exact_dedup.find_copies(frame(spark, [f"text {k}" for k in early], early), digest=short, state=state).count()
+    ids = list(range(500))
+    assert {byte(k) for k in early} & {byte(k) for k in ids if k not in early}
+    later = frame(spark, [f"text {k}" for k in ids], [1000 + k for k in ids])
+    found = {r.doc_id: r.keep_id for r in exact_dedup.find_copies(later, digest=short, state=state).collect()}
+    assert found == {1000 + k: k if k in early else 1000 + k for k in ids}
+
+
+def test_suffix_index_opened_again_and_interrupted(spark, tmp_path):
+    text = " ".join(f"word{k}" for k in range(20))
+    folder = f"file://{tmp_path}/index"
+    add = lambda ids, **kw: {r.doc_id: len(r.kept) for r in suffix_dedup.SuffixIndex(spark, folder, buckets=2, shards=4, **kw).add(frame(spark, [text] * len(ids), ids)).collect()}
+    assert add([1], hot=1) == {1: len(text)}
+    assert add([2]) == {2: 0}
+    index = suffix_dedup.SuffixIndex(spark, folder)
+    assert (index.version, index.buckets, index.shards, index.hot) == (2, 2, 4, 1)
+    put, index._put = index._put, lambda df, name, v: (_ for _ in ()).throw(RuntimeError) if name == "levels" else put(df, name, v)
+    with pytest.raises(RuntimeError):
+        index.add(frame(spark, ["other text " * 10], [3]))
+    assert add([4]) == {4: 0}
+    assert suffix_dedup.SuffixIndex(spark, folder).version == 3
