@@ -171,13 +171,18 @@ def answer_keys(part: pd.DataFrame, hot: int) -> pd.DataFrame:
     return pd.DataFrame({"block": part["block"].to_numpy(), "part": [part_bytes(b, pack(g.tobytes())) for b, g in zip(part["bucket"], np.split(grade, cut), strict=True)]})
 
 
-def grades_of(key: np.ndarray, row: np.ndarray, parts: list[bytes] | None) -> np.ndarray:
-    """The answered grade of each key of a block, in the order of the keys given."""
+def grades_of(key: np.ndarray, row: np.ndarray, parts: list[bytes] | None, buckets: int = 0) -> np.ndarray:
+    """The answered grade of each key of a block, in the order of the keys given; with ``buckets`` some may not have answered: 0."""
     ordered = sorted((int.from_bytes(p[:8], "little"), p[8:]) for p in (parts if parts is not None else ()))
     if not len(key) or not ordered:
         return np.zeros(len(key), np.uint8)
     keys, _ = key_lists(key, row)
-    grade = np.concatenate([np.frombuffer(unpack(p), np.uint8) for _, p in ordered])
+    if buckets:
+        edge, grade = range_edges(keys, buckets), np.zeros(len(keys), np.uint8)
+        for b, p in ordered:
+            grade[edge[b] : edge[b + 1]] = np.frombuffer(unpack(p), np.uint8)
+    else:
+        grade = np.concatenate([np.frombuffer(unpack(p), np.uint8) for _, p in ordered])
     return grade[np.searchsorted(keys, key >> np.uint64(64 - KEY_BITS))]
 
 

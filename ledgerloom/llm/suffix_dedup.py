@@ -187,13 +187,13 @@ def pick_runs(w: Windows, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return first[order], count[order], row[order], key[order]
 
 
-def send_runs(batches: Iterator[pd.DataFrame], shards: int) -> Iterator[pd.DataFrame]:
+def send_runs(batches: Iterator[pd.DataFrame], shards: int, buckets: int) -> Iterator[pd.DataFrame]:
     """Runs of repeated minimisers to their shards, and what the block settles by itself."""
     for batch in batches:
         for r in batch.itertuples():
             block = Block(r.ids, r.sizes, r.data)
             w = Windows(block)
-            first, count, row, key = pick_runs(w, grades_of(w.key, w.row, r.parts))
+            first, count, row, key = pick_runs(w, grades_of(w.key, w.row, r.parts, buckets))
             doc = block.ids[row]
             order, head, equal = equal_runs(w.data, first, count, doc)
             first, count, row, key, doc = (x[order] for x in (first, count, row, key, doc))
@@ -397,7 +397,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = H
     buckets, shards = bucket_count(blocks, 1 << 20, 16), bucket_count(blocks, 1 << 16, 60)
     sent = blocks.mapInPandas(lambda it: send_keys(it, buckets), KEYED)
     grades = sent.groupBy("bucket").applyInPandas(lambda p: answer_keys(p, hot), "block long, part binary")
-    moved = spans_for(blocks, grades).mapInPandas(lambda it: send_runs(it, shards), MOVED)
+    moved = spans_for(blocks, grades).mapInPandas(lambda it: send_runs(it, shards, buckets), MOVED)
     return spans_for(blocks, judged(moved, shards, batch)).mapInPandas(lambda it: cut_blocks(it, whole_characters), CUT)
 
 
@@ -453,7 +453,7 @@ class SuffixIndex:
 
         grades = keys.unionByName(before).groupBy("bucket").applyInPandas(grade, "block long, part binary")
         both = blocks.unionByName(old)
-        moved = spans_for(both, grades).filter("parts IS NOT NULL OR block >= " + str(low)).mapInPandas(lambda it: send_runs(it, shards), MOVED)
+        moved = spans_for(both, grades).filter("parts IS NOT NULL OR block >= " + str(low)).mapInPandas(lambda it: send_runs(it, shards, buckets), MOVED)
         levels = self._read("levels", "shard long, version int, levels binary").groupBy("shard").agg(F.max_by("levels", "version").alias("levels"))
         route = F.when(F.col("shard") < 0, -1 - F.pmod(F.xxhash64("block"), F.lit(shards))).otherwise(F.col("shard"))
         moved = moved.withColumn("shard", route)
