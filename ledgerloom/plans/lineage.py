@@ -42,11 +42,15 @@ def cut(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
     return table
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can reach it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete cut tables that no plan will read again; other tables are left alone."""
     for table in tables:
         path = _written.pop(table, None)
         if path:
-            spark = table.sparkSession
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            delete_path(table.sparkSession, path)
