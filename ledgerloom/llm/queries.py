@@ -194,4 +194,32 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id
     """,
+    "op12_resampling": r"""
+        WITH RECURSIVE step(i, k, c) AS (
+            SELECT i, 0, i FROM range(256) r(i)
+            UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+        texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), text FROM benchmark),
+        w AS (
+            SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+        f AS (
+            SELECT side, id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]),
+                list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS feature FROM w),
+        n AS (SELECT side, id, feature, count(*) AS n FROM f GROUP BY ALL),
+        x AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM n)),
+        b AS (
+            SELECT feature, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h), 2), lambda k: ('0x' || h[k : k + 1])::BIGINT)),
+                lambda c, d: xor(c >> 8, t[(xor(c, d) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket FROM x, crc),
+        g AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0)::DOUBLE AS t FROM n JOIN b USING (feature) GROUP BY bucket),
+        a AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM g),
+        gain AS (SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM g, a),
+        d AS (SELECT id, sum(n * gain)::BIGINT AS weight, sum(n)::BIGINT AS n_features FROM n JOIN b USING (feature) JOIN gain USING (bucket) WHERE side = 0 GROUP BY id),
+        e AS (
+            SELECT w.id AS doc_id, len(ws) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || w.id)[1:8])::UBIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM w LEFT JOIN d ON d.id = w.id WHERE side = 0),
+        r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM e WHERE words >= 20)
+        SELECT e.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 5 * count(*) // 100 FROM r) THEN rank END AS rank FROM e LEFT JOIN r USING (doc_id)
+    """,
 }
