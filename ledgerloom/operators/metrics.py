@@ -87,11 +87,13 @@ def consumption_nrr(members: DataFrame, lenses: DataFrame, ctx: Context) -> Data
 
 
 def consumption_nrr_v1(members: DataFrame, lenses: DataFrame, ctx: Context) -> DataFrame:
-    """The first version: each ratio is null only where its own base is zero or the window has no history."""
-    rows = consumption_nrr(members, lenses, ctx)
-    known = F.col("status") != "insufficient_history"
-    ratio = lambda top, bottom: F.when(known, over(F.col(top), F.col(bottom)))
-    return rows.withColumns({"nrr": ratio("current_revenue_cents", "base_revenue_cents"), "expansion_share": ratio("expansion_cents", "base_revenue_cents"), "contraction_share": ratio("contraction_cents", "base_revenue_cents"), "churn_share": ratio("churn_cents", "base_revenue_cents"), "cohort_revenue_coverage": ratio("base_revenue_cents", "all_base_cents")})
+    """The first version: a ratio is null where its own base is zero, and retention also where the window has no history."""
+    rows, known = consumption_nrr(members, lenses, ctx), F.col("status") != "insufficient_history"
+    share = lambda top, bottom="base_revenue_cents": over(F.col(top), F.col(bottom))
+    return rows.withColumns({
+        "nrr": F.when(known, share("current_revenue_cents")), "expansion_share": share("expansion_cents"), "contraction_share": share("contraction_cents"),
+        "churn_share": share("churn_cents"), "cohort_revenue_coverage": share("base_revenue_cents", "all_base_cents"),
+    })
 
 
 def model_vintage(tokens: DataFrame, revenue: DataFrame, models: DataFrame, cuts: list[str] | None = None) -> DataFrame:

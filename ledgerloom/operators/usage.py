@@ -53,37 +53,61 @@ def usage_tokens(intervals: DataFrame) -> DataFrame:
     )
 
 
-def usage_gaps(snap: DataFrame, observations: DataFrame, start: dt.datetime, end: dt.datetime, known_at: dt.datetime, local: str = "cli", version: int = 2) -> DataFrame:
-    """What usage is not covered: (account, surface, scope, gap, status).
+#: What a gap asks for.
+OBSERVE = "Observe remaining sessions; retain unknown opening, boundary and tail intervals"
+COLLECT = "Collect a permitted usage source for this confirmed surface"
+TOTALS = "Account-wide coverage and cross-session lineage are unresolved; do not sum session counters"
+CHARGES = "Import an actual charge source; subscription fees and costs are not inferred from tokens"
+INSPECT = "Last-counter diagnostics do not reconcile and are excluded from usage totals; inspect the retained source"
+GAP = ["account", "provider", "surface", "scope", "gap", "verified_at", "latest_observed_at", "next_action", "status"]
+
+
+def usage_gaps(
+    snap: DataFrame, observations: DataFrame, start: dt.datetime, end: dt.datetime, known_at: dt.datetime, source: str, local: tuple[str, str] = ("vendor", "cli"), version: int = 2
+) -> DataFrame:
+    """What usage is not covered, one row a gap, with what to do about it.
 
     Every surface of an account's latest inventory is partial, stale or unavailable; totals and charges of an account are
-    always open; sources in quarantine are listed; version 2 adds sessions whose last interval readings don't add up.
+    always open; imports of ``source`` in quarantine are listed; version 2 adds sessions whose last interval readings don't
+    add up. ``local`` names the provider and surface that ``source`` covers.
     """
     inside = (F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end))
-    listed = typed(snap, ["application_inventory"], {"surface": "string", "scope": "string"})
-    latest = listed.groupBy(F.col("customer").alias("account"), "surface").agg(F.max_by("scope", F.struct("ts", "activity_id")).alias("scope"))
-    seen = observations.filter(inside).groupBy("account").agg(F.max("_recorded_at").alias("imported_at"))
-    status = F.when((F.col("surface") != local) | F.col("imported_at").isNull(), "unavailable")
-    status = status.when(F.col("imported_at") < F.lit(known_at - dt.timedelta(days=STALE_DAYS)), "stale").otherwise("partial")
-    surfaces = latest.join(seen, "account", "left").select("account", "surface", "scope", F.lit("surface_coverage").alias("gap"), status.alias("status"))
-    accounts = latest.select("account").distinct()
+    at = lambda value, name: (F.lit(value) if isinstance(value, str) else value).alias(name)
+    never = F.lit(None).cast("timestamp")
+    provider, surface = local
+
+    def gap(rows: DataFrame, *values: Column | str) -> DataFrame:
+        return rows.select(*[at(value, name) for value, name in zip(values, GAP, strict=True)])
+
+    listed = typed(snap, ["application_inventory"], {"provider": "string", "surface": "string", "scope": "string"})
+    last = F.max_by(F.struct("provider", "scope", "ts"), F.struct("ts", "activity_id")).alias("last")
+    latest = listed.groupBy(F.col("customer").alias("account"), "surface").agg(last).select("account", "surface", "last.*")
+    seen = observations.filter(inside).groupBy("account").agg(F.max("ts").alias("seen_at"), F.max("_recorded_at").alias("imported_at"))
+    covered = (F.col("surface") == surface) & F.col("imported_at").isNotNull()
+    old = F.col("imported_at") < F.lit(known_at - dt.timedelta(days=STALE_DAYS))
+    status = F.when(~covered, "unavailable").when(old, "stale").otherwise("partial")
+    todo = F.when(covered, OBSERVE).otherwise(COLLECT)
+    surfaces = gap(latest.join(seen, "account", "left"), *(F.col(c) for c in ("account", "provider", "surface", "scope")), "surface_coverage", F.col("ts"), F.col("seen_at"), todo, status)
+    accounts, who = latest.select("account", "provider").distinct(), (F.col("account"), F.col("provider"))
     open_ones = [
-        accounts.select("account", F.lit("all").alias("surface"), F.lit(scope).alias("scope"), F.lit(gap).alias("gap"), F.lit("unavailable").alias("status"))
-        for scope, gap in (("account", "account_total"), ("billing", "billed_charges"))
+        gap(accounts, *who, "all", scope, name, never, never, action, "unavailable")
+        for scope, name, action in (("account", "account_total", TOTALS), ("billing", "billed_charges", CHARGES))
     ]
-    held = typed(snap.filter(F.col("link").startswith("evidence:failures/")), ["usage_coverage"], {"scope_id": "string", "interval_start": "timestamp", "interval_end": "timestamp"})
-    held = held.filter((F.col("interval_start") < F.lit(end)) & (F.col("interval_end") > F.lit(start)))
-    parts = [surfaces, *open_ones, held.select(F.col("customer").alias("account"), F.lit(local).alias("surface"), F.col("scope_id").alias("scope"), F.lit("quarantined_source").alias("gap"), F.lit("quarantined").alias("status"))]
+    fields = dict.fromkeys(("source", "scope_id", "reason", "next_action"), "string") | {"interval_start": "timestamp", "interval_end": "timestamp"}
+    held = typed(snap.filter(F.col("link").startswith("evidence:failures/")).withColumn("_source", F.col("_recorded_at")), ["usage_coverage"], fields)
+    held = held.filter((F.col("source") == source) & (F.col("interval_start") < F.lit(end)) & (F.col("interval_end") > F.lit(start)))
+    why = F.concat("reason", F.lit(". "), "next_action")
+    parts = [surfaces, *open_ones, gap(held, F.col("customer"), provider, surface, F.col("scope_id"), "quarantined_source", F.col("_source"), never, why, "quarantined")]
     if version >= 2:
-        off = counter_residuals(observations.filter(inside)).select("account", "scope_id").distinct()
-        parts.append(off.select("account", F.lit(local).alias("surface"), F.col("scope_id").alias("scope"), F.lit("last_counter_reconciliation").alias("gap"), F.lit("diagnostic_mismatch").alias("status")))
+        off = counter_residuals(observations.filter(inside)).groupBy("account", "scope_id").agg(F.max("_recorded_at").alias("imported_at"), F.max("ts").alias("seen_at"))
+        parts.append(gap(off, F.col("account"), provider, surface, F.col("scope_id"), "last_counter_reconciliation", F.col("imported_at"), F.col("seen_at"), INSPECT, "diagnostic_mismatch"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def counter_residuals(observations: DataFrame) -> DataFrame:
     """Interval readings whose total isn't input plus output, one row per session, time and line."""
     of = lambda kind: F.max(F.when(F.col("token_kind") == kind, F.col("quantity"))).alias(kind)
-    rows = observations.filter("temporality = 'interval_total'").groupBy("account", "scope_id", "ts", "source_line").agg(of("total"), of("input"), of("output"))
+    rows = observations.filter("temporality = 'interval_total'").groupBy("account", "scope_id", "ts", "source_line").agg(of("total"), of("input"), of("output"), F.max("_recorded_at").alias("_recorded_at"))
     return rows.filter("total <> input + output").withColumn("residual", F.expr("total - input - output"))
 
 

@@ -164,4 +164,5 @@ class Books:
         return metrics.nrr_members(self.parent_month, self.identity, context.nrr_lenses(self.spark, version), self.ctx)
 
     def nrr(self, version: str = "v3") -> DataFrame:
-        return metrics.consumption_nrr(self.nrr_members(version), context.nrr_lenses(self.spark, version), self.ctx)
+        retention = metrics.consumption_nrr_v1 if version == "v1" else metrics.consumption_nrr
+        return retention(self.nrr_members(version), context.nrr_lenses(self.spark, version), self.ctx)

@@ -89,16 +89,34 @@ BROKEN_TESTS["seat_rollforward"] = f"SELECT ({BAD} > 0)::INT"
 BILLED = "orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)"
 rest = lambda n, more="": f"(SELECT count(*) FROM {BILLED} AND o_orderkey % 500 = {n}{more})"
 ENDED = "SELECT count(*) FROM customer, range(1995, 2001) WHERE c_nationkey % 4 = 0 AND c_custkey % 3 = 0"
+#: The stream of the tables: bills, their recognition, credits and expired commitments as rows of their own, joined as the checks join them.
+ASSERTED = f"""WITH people AS (SELECT c_custkey AS k, DATE '1995-01-01' AS since, c_nationkey % 4 = 0 AS direct FROM customer),
+    bills AS (SELECT o_orderkey AS o, o_custkey AS k, o_orderdate AS day, date_trunc('month', o_orderdate)::DATE AS month, (date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)::DATE AS stop,
+        round(o_totalprice * 100)::BIGINT AS net, CASE WHEN direct THEN 0 ELSE round(o_totalprice * 100)::BIGINT * 5 // 100 END AS fee
+        FROM {BILLED.replace("orders WHERE", "orders JOIN people ON o_custkey = k WHERE")}),
+    credits AS (SELECT o, k, month, net * 5 // 100 AS amount FROM bills WHERE o % 67 = 0),
+    ended AS (SELECT k, make_date(y::BIGINT + 1, 1, 1) AS month, 'k' || k || ':' || y AS contract, 20000000 AS due FROM people, range(1995, 2001) r(y) WHERE direct AND k % 3 = 0),
+    earned AS (SELECT 'usage' AS source, 'usage' AS kind, k, month, (stop - 1)::DATE AS day, 'i' || o AS document, net - fee AS cents FROM bills
+        UNION ALL SELECT 'usage', 'credit', k, month, (month + INTERVAL 1 MONTH - INTERVAL 1 DAY)::DATE, 'cr' || o, -amount FROM credits
+        UNION ALL SELECT 'commit_drawdown', 'commit_expiry', k, month, month, contract, due FROM ended),
+    documents AS (SELECT 'usage' AS kind, k, 'i' || o AS document, month AS first, stop FROM bills
+        UNION ALL SELECT 'credit', k, 'cr' || o, month, (month + INTERVAL 1 MONTH)::DATE FROM credits
+        UNION ALL SELECT 'commit_expiry', k, contract, month, (month + INTERVAL 1 MONTH)::DATE FROM ended),
+    merged AS (SELECT k, k - 50 AS parent FROM people WHERE k % 50 = 7 AND k >= 57),
+    owed AS (SELECT document, sum(cents) AS cents FROM earned GROUP BY document)
+"""
 STREAM = {
-    "customer_exists": "SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) OR o_orderdate < DATE '1995-01-01'",
-    "usage_revenue_ties_to_invoice": f"SELECT count(*) - count(DISTINCT o_orderkey) FROM {BILLED}",
-    "credits_have_exact_negative_recognition": f"SELECT count(*) - count(DISTINCT o_orderkey) FROM {BILLED} AND o_orderkey % 67 = 0",
-    "no_self_mergers": "SELECT count(*) FROM customer WHERE c_custkey % 50 = 7 AND c_custkey >= 57 AND c_custkey - 50 = c_custkey",
-    "service_periods_are_nonempty": f"SELECT count(*) FROM {BILLED} AND date_trunc('month', o_orderdate) >= date_trunc('month', o_orderdate) + INTERVAL 1 MONTH",
-    "recognition_period_matches_event_month": f"SELECT count(*) FROM {BILLED} AND date_trunc('month', o_orderdate) > o_orderdate",
-    "recognition_source_documents_exist": f"SELECT count(*) FROM {BILLED} AND o_custkey NOT IN (SELECT c_custkey FROM customer)",
-    "commit_expiry_ties_to_unconsumed_balance": f"{ENDED} AND c_custkey IS NULL",
-    "recognition_pairs_are_versioned": f"SELECT count(*) FROM {BILLED} AND o_orderkey IS NULL",
+    "customer_exists": "SELECT count(*) FROM bills LEFT JOIN people USING (k) WHERE people.since IS NULL OR since > day",
+    "usage_revenue_ties_to_invoice": "SELECT count(*) FROM bills LEFT JOIN owed ON document = 'i' || o WHERE net - fee <> coalesce(cents, 0)",
+    "credits_have_exact_negative_recognition": "SELECT count(*) FROM credits LEFT JOIN owed ON document = 'cr' || o WHERE cents IS NULL OR amount <> -cents",
+    "no_self_mergers": "SELECT count(*) FROM merged WHERE k = parent",
+    "service_periods_are_nonempty": "SELECT count(*) FROM documents WHERE kind = 'usage' AND first >= stop",
+    "recognition_period_matches_event_month": "SELECT count(*) FROM earned WHERE month <> date_trunc('month', day)",
+    "recognition_source_documents_exist": """SELECT count(*) FROM earned e WHERE NOT EXISTS (
+        SELECT 1 FROM documents d WHERE d.kind = e.kind AND d.k = e.k AND d.document = e.document AND d.first <= e.day AND e.day < d.stop)""",
+    "commit_expiry_ties_to_unconsumed_balance": "SELECT count(*) FROM ended LEFT JOIN owed ON document = contract WHERE due <> coalesce(cents, 0)",
+    "recognition_pairs_are_versioned": """SELECT count(*) FROM earned WHERE (source, kind) NOT IN
+        (('usage', 'usage'), ('commit_drawdown', 'usage'), ('subscription', 'subscription'), ('usage', 'credit'), ('commit_drawdown', 'commit_expiry'))""",
 }
 FAULTY = {
     "customer_exists": f"SELECT {rest(13)}",
@@ -125,15 +143,22 @@ COUNTERS = """WITH e AS (SELECT event_id, user_id, event_type, ts AT TIME ZONE '
             WHEN quantity IS NULL OR previous IS NULL THEN 'missing_counter' WHEN quantity < previous THEN 'counter_reset' ELSE 'observed' END AS status
         FROM g WHERE ts >= TIMESTAMPTZ '2024-01-10 00:00:00+00'),
     within AS (SELECT * FROM obs WHERE ts >= TIMESTAMPTZ '2024-01-10 00:00:00+00' AND ts < TIMESTAMPTZ '2024-01-25 00:00:00+00'),
-    residual AS (SELECT account, scope_id, source_line, max(quantity) FILTER (WHERE token_kind = 'total') AS total, max(quantity) FILTER (WHERE token_kind = 'input') AS input,
+    residual AS (SELECT account, scope_id, ts, source_line, max(quantity) FILTER (WHERE token_kind = 'total') AS total, max(quantity) FILTER (WHERE token_kind = 'input') AS input,
         max(quantity) FILTER (WHERE token_kind = 'output') AS output FROM within WHERE temporality = 'interval_total' GROUP BY account, scope_id, ts, source_line HAVING total <> input + output),
     listed AS (SELECT DISTINCT 'u' || user_id % 45 AS account FROM events),
-    seen AS (SELECT account, max(ts) + INTERVAL 1 HOUR AS imported_at FROM within GROUP BY account),
-    gaps AS (SELECT account, s.surface, 'account' AS scope, 'surface_coverage' AS gap, CASE WHEN s.surface <> 'cli' OR imported_at IS NULL THEN 'unavailable'
-            WHEN imported_at < TIMESTAMPTZ '2024-01-31 18:00:00+00' - INTERVAL 7 DAY THEN 'stale' ELSE 'partial' END AS status
+    seen AS (SELECT account, max(ts) AS seen_at, max(ts) + INTERVAL 1 HOUR AS imported_at FROM within GROUP BY account),
+    gaps AS (SELECT account, 'vendor' AS provider, s.surface, 'account' AS scope, 'surface_coverage' AS gap, '2024-01-02 00:00:00' AS verified_at,
+            strftime(seen_at, '%Y-%m-%d %H:%M:%S') AS latest_observed_at,
+            CASE WHEN s.surface <> 'cli' OR imported_at IS NULL THEN 'Collect a permitted usage source for this confirmed surface'
+                ELSE 'Observe remaining sessions; retain unknown opening, boundary and tail intervals' END AS next_action,
+            CASE WHEN s.surface <> 'cli' OR imported_at IS NULL THEN 'unavailable'
+                WHEN imported_at < TIMESTAMPTZ '2024-01-31 18:00:00+00' - INTERVAL 7 DAY THEN 'stale' ELSE 'partial' END AS status
         FROM listed CROSS JOIN (VALUES ('cli'), ('web')) s(surface) LEFT JOIN seen USING (account)
-        UNION ALL SELECT account, 'all', t.scope, t.gap, 'unavailable' FROM listed CROSS JOIN (VALUES ('account', 'account_total'), ('billing', 'billed_charges')) t(scope, gap)
-        UNION ALL SELECT 'u' || user_id % 40, 'cli', 'q' || event_id, 'quarantined_source', 'quarantined' FROM events WHERE event_id % 1000 = 7)
+        UNION ALL SELECT account, 'vendor', 'all', t.scope, t.gap, NULL, NULL, t.todo, 'unavailable' FROM listed CROSS JOIN (VALUES
+            ('account', 'account_total', 'Account-wide coverage and cross-session lineage are unresolved; do not sum session counters'),
+            ('billing', 'billed_charges', 'Import an actual charge source; subscription fees and costs are not inferred from tokens')) t(scope, gap, todo)
+        UNION ALL SELECT 'u' || user_id % 40, 'vendor', 'cli', 'q' || event_id, 'quarantined_source', strftime(ts AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S'), NULL, 'unreadable. inspect', 'quarantined'
+            FROM events WHERE event_id % 1000 = 7 AND event_id % 3000 <> 7)
 """
 USAGE = {
     "usage_observations": COUNTERS + "SELECT account, source, scope_id, token_kind, temporality, source_line, quantity FROM obs",
@@ -144,7 +169,9 @@ USAGE = {
         CASE WHEN bool_or(status = 'counter_reset') THEN 'counter_reset_unknown' WHEN bool_or(status = 'missing_counter') THEN 'missing_counter_unknown'
             WHEN bool_or(status = 'observed') THEN 'partial_observed' ELSE 'insufficient_observations' END AS status FROM steps GROUP BY ALL""",
     "usage_gaps_v1": COUNTERS + "SELECT * FROM gaps",
-    "usage_gaps": COUNTERS + "SELECT * FROM gaps UNION ALL SELECT DISTINCT account, 'cli', scope_id, 'last_counter_reconciliation', 'diagnostic_mismatch' FROM residual",
+    "usage_gaps": COUNTERS + """SELECT * FROM gaps UNION ALL
+        SELECT account, 'vendor', 'cli', scope_id, 'last_counter_reconciliation', strftime(max(ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S'), strftime(max(ts), '%Y-%m-%d %H:%M:%S'),
+            'Last-counter diagnostics do not reconcile and are excluded from usage totals; inspect the retained source', 'diagnostic_mismatch' FROM residual GROUP BY account, scope_id""",
     "counter_residuals": COUNTERS + "SELECT account, scope_id, source_line, total, input, output, total - input - output AS residual FROM residual",
     "locator_scores": COUNTERS + """SELECT part, count(*) AS observations, count(*) FILTER (WHERE wanted) AS expected_findings, count(*) FILTER (WHERE located) AS located_findings, count(*) FILTER (WHERE located AND NOT wanted) AS false_positives,
         count(*) FILTER (WHERE wanted AND NOT located) AS missed_findings, count(*) FILTER (WHERE wanted AND located AND source_line % 5 = 0) AS incorrect_values FROM (
@@ -159,7 +186,7 @@ CHECK_ORACLE = USAGE | {
     "data_controls_broken": sql(counts(BROKEN)),
     "data_tests": sql(counts(TESTS)),
     "data_tests_broken": sql(counts(BROKEN_TESTS)),
-    "stream_checks": counts(STREAM),
+    "stream_checks": ASSERTED + counts(STREAM),
     "stream_checks_broken": counts(FAULTY),
     "revenue_ledger_asserted": sql("""SELECT 'rec:' || activity_id AS activity_id, customer, month, 'usage' AS source, 'usage' AS recognition_kind, invoice_id AS source_document, channel, net - fee AS revenue_cents FROM inv
         UNION ALL SELECT 'rec:' || activity_id, customer, month, 'usage', 'credit', credit_id, 'direct', -amount FROM cred

@@ -23,6 +23,7 @@ POLICY = [
 ]
 #: Retention lenses as (lens, months, annualisation, with subscriptions, floor in cents), by definition version.
 LENSES = {
+    "v1": [("base_t12m", 12, 1, False, 1_000_000), ("floor_100k", 12, 1, False, 10_000_000), ("t3m_annualized", 3, 4, False, 1_000_000), ("subscription_inclusive", 12, 1, True, 1_000_000)],
     "v2": [("base_t12m", 12, 1, False, 1_000_000), ("floor_100k", 12, 1, False, 10_000_000), ("t3m_annualized", 3, 4, False, 1_000_000), ("subscription_inclusive", 12, 1, True, 1_000_000)],
     "v3": [("base_t12m", 12, 1, False, 10_000_000), ("floor_100k", 12, 1, False, 10_000_000), ("t3m_annualized", 3, 4, False, 1_000_000), ("subscription_inclusive", 12, 1, True, 1_000_000)],
 }

@@ -48,6 +48,17 @@ def delete_path(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def stamp(spark: SparkSession, paths: list[str]) -> tuple[str, ...]:
+    """Name, length and time of change of the files at some paths: equal stamps, equal tables."""
+    found = []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        if system.exists(place):
+            found += [f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in system.listStatus(place)]
+    return tuple(sorted(found))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete cut tables that no plan will read again; other tables are left alone."""
     for table in tables:

@@ -112,6 +112,32 @@ def per_mtok(cut: str) -> str:
     return sql(f"""SELECT month, {cut}, sum(tokens)::BIGINT AS tokens, sum(net_revenue_cents)::BIGINT AS net_revenue_cents, sum(channel_fee_cents)::BIGINT AS channel_fee_cents, sum(net_revenue_cents + channel_fee_cents)::BIGINT AS revenue_before_channel_fees_cents,
         sum(net_revenue_cents) * 10000.0::DOUBLE / sum(tokens) AS net_of_discounts_and_fees_per_mtok, sum(net_revenue_cents + channel_fee_cents) * 10000.0::DOUBLE / sum(tokens) AS net_of_discounts_per_mtok FROM tl GROUP BY ALL""")
 
+def nrr(members: str, shares_always: bool = False) -> str:
+    """Retention by lens with its status; shares are shown without history only in the first version."""
+    share = "b" if shares_always else "CASE WHEN status = 'defined' THEN b END"
+    return sql(f"""SELECT DATE '2001-07-31' AS month, lens, status, cohort_customers, ab AS all_base_cents, b AS base_revenue_cents, c AS current_revenue_cents,
+        e AS expansion_cents, d AS contraction_cents, g AS churn_cents, CASE WHEN status = 'defined' THEN c::DOUBLE / nullif(b, 0) END AS nrr,
+        e::DOUBLE / nullif({share}, 0) AS expansion_share, d::DOUBLE / nullif({share}, 0) AS contraction_share, g::DOUBLE / nullif({share}, 0) AS churn_share,
+        ({share})::DOUBLE / nullif(ab, 0) AS cohort_revenue_coverage FROM (
+        SELECT *, CASE WHEN DATE '1995-01-01' > DATE '2000-08-01' - to_months(n) THEN 'insufficient_history' WHEN b = 0 THEN 'undefined_zero_base' ELSE 'defined' END AS status FROM (
+        SELECT lens, count(*) FILTER (WHERE in_cohort) AS cohort_customers, sum(base_cents)::BIGINT AS ab, coalesce(sum(base_cents) FILTER (WHERE in_cohort), 0)::BIGINT AS b,
+        coalesce(sum(current_cents) FILTER (WHERE in_cohort), 0)::BIGINT AS c, coalesce(sum(greatest(current_cents - base_cents, 0)) FILTER (WHERE in_cohort), 0)::BIGINT AS e,
+        coalesce(sum(base_cents - current_cents) FILTER (WHERE in_cohort AND current_cents <> 0 AND base_cents > current_cents), 0)::BIGINT AS d,
+        coalesce(sum(base_cents) FILTER (WHERE in_cohort AND current_cents = 0), 0)::BIGINT AS g FROM {members} GROUP BY lens) JOIN lens3 USING (lens))""")
+
+
+def early(query: str) -> str:
+    """The same as of July 1996: five years less, without the mergers of 1999."""
+    later = "WHEN k % 50 = 7 AND k >= 57 THEN 'c' || (k - 50) "
+    members = """SELECT l.lens, u.ultimate_parent, coalesce(sum(cents) FILTER (WHERE past), 0)::BIGINT AS base_cents, coalesce(sum(cents) FILTER (WHERE NOT past), 0)::BIGINT AS current_cents,
+        any_value(l.times) AS times, any_value(l.floor) AS floor FROM lens3 l CROSS JOIN (SELECT DISTINCT ultimate_parent FROM who) u LEFT JOIN (
+        SELECT lens, ultimate_parent, month < DATE '2000-08-01' AS past, sum(consumption_cents + CASE WHEN subs THEN subscription_cents ELSE 0 END)::BIGINT AS cents FROM pm, lens3
+        WHERE (month < DATE '2000-08-01' AND month >= DATE '2000-08-01' - to_months(n)) OR month >= DATE '2001-08-01' - to_months(n) GROUP BY ALL) s
+        ON s.lens = l.lens AND s.ultimate_parent = u.ultimate_parent GROUP BY ALL"""
+    moved = query.replace(CTES["mem"], members).replace(later, "").replace("FROM ev WINDOW", "FROM ev WHERE day < DATE '2001-08-01' WINDOW").replace("range(79)", "range(19)").replace("range(1995, 2002)", "range(1995, 1997)").replace("y <= 2000", "y <= 1995")
+    for day in ("-07-01", "-07-31", "-08-01"):
+        moved = moved.replace(f"2000{day}", f"1995{day}").replace(f"2001{day}", f"1996{day}")
+    return moved
 
 
 ORACLE: dict[str, str] = {
@@ -174,11 +200,10 @@ ORACLE: dict[str, str] = {
         FROM who CROSS JOIN calendar LEFT JOIN (SELECT customer, month, sum(revenue_cents) AS n, sum(revenue_cents) FILTER (WHERE family = 'consumption') AS c, sum(revenue_cents) FILTER (WHERE family = 'subscription') AS s, sum(revenue_cents) FILTER (WHERE family = 'credit') AS d, sum(revenue_cents) FILTER (WHERE family = 'commit_expiry') AS x FROM fam GROUP BY ALL) r ON r.customer = who.customer AND r.month = calendar.month
         LEFT JOIN (SELECT customer, month, sum(tokens) AS tokens FROM tok GROUP BY ALL) u ON u.customer = who.customer AND u.month = calendar.month
         LEFT JOIN (SELECT customer, month, sum(beginning_seats) AS b, sum(ending_seats) AS e, sum(seat_days) AS sd, sum(account_days) AS ad FROM sl GROUP BY ALL) z ON z.customer = who.customer AND z.month = calendar.month"""),
-    "consumption_nrr_v2": sql("""SELECT DATE '2001-07-31' AS month, lens, 'defined' AS status, n AS cohort_customers, ab AS all_base_cents, b AS base_revenue_cents, c AS current_revenue_cents, e AS expansion_cents, d AS contraction_cents, g AS churn_cents,
-        c::DOUBLE / b AS nrr, e::DOUBLE / b AS expansion_share, d::DOUBLE / b AS contraction_share, g::DOUBLE / b AS churn_share, b::DOUBLE / ab AS cohort_revenue_coverage FROM (
-        SELECT lens, count(*) FILTER (WHERE in_cohort) AS n, sum(base_cents)::BIGINT AS ab, (sum(base_cents) FILTER (WHERE in_cohort))::BIGINT AS b, (sum(current_cents) FILTER (WHERE in_cohort))::BIGINT AS c,
-        (sum(greatest(current_cents - base_cents, 0)) FILTER (WHERE in_cohort))::BIGINT AS e, coalesce(sum(base_cents - current_cents) FILTER (WHERE in_cohort AND current_cents <> 0 AND base_cents > current_cents), 0)::BIGINT AS d,
-        coalesce(sum(base_cents) FILTER (WHERE in_cohort AND current_cents = 0), 0)::BIGINT AS g FROM mem2 GROUP BY lens)"""),
+    "consumption_nrr_v2": nrr("mem2"),
+    "consumption_nrr_v1": nrr("mem2", shares_always=True),
+    "consumption_nrr_v1_early": early(nrr("mem2", shares_always=True)),
+    "consumption_nrr_early": early(nrr("mem3")),
     "newly_visible": sql("""SELECT 'inv:' || o AS activity_id, 'usage_invoiced' AS activity, customer FROM ord WHERE o % 18 = 0 AND month = DATE '2001-07-01' AND o IN (SELECT l_orderkey FROM lineitem)"""),
     "account_bridge": sql("""SELECT DATE '2001-07-01' AS month, account, delta_cents::BIGINT AS delta_cents FROM (SELECT unnest(['2100', '1100', '4000', '4095']) AS account, unnest([d, n - d - f, -n, f]) AS delta_cents FROM (
         SELECT (SELECT coalesce(sum(net), 0) FROM late) AS n, (SELECT coalesce(sum(fee), 0) FROM late) AS f, (SELECT coalesce(sum(least(20000000, was + more) - least(20000000, was)), 0) FROM (

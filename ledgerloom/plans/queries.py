@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,17 +12,29 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import accounting, checks, compare, entities, integrity, metrics, reconcile, usage
 from ledgerloom.plans import context
 from ledgerloom.plans.books import Books
-from ledgerloom.plans.lineage import cut
+from ledgerloom.plans.lineage import cut, stamp
 from ledgerloom.sources.testdata import COUNTER_SOURCE, activity_stream, asserted_stream, counter_stream, planted_faults
 
 ASOF = dt.date(2001, 7, 31)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def stored_stream(spark: SparkSession, sf_dir: str, **options: int) -> DataFrame:
-    """The activity stream as a ledger keeps it: written once, one folder for each activity."""
+SOURCES = ("region", "nation", "customer", "orders", "lineitem", "events")
+_stored: WeakKeyDictionary[SparkSession, dict[tuple, DataFrame]] = WeakKeyDictionary()
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], *options: object) -> DataFrame:
+    """A stream as a ledger keeps it: one folder for each activity, written once for each state of the tables in a session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return cut(activity_stream(spark, sf_dir, **options), "stream", "activity")
+    held = _stored.setdefault(spark, {})
+    key = (name, sf_dir, options, stamp(spark, [f"{sf_dir}/{t}.parquet" for t in SOURCES]))
+    if key not in held:
+        held[key] = cut(build(), name, "activity")
+    return held[key]
+
+
+def stored_stream(spark: SparkSession, sf_dir: str, service_months: int = 1) -> DataFrame:
+    return stored(spark, sf_dir, "stream", lambda: activity_stream(spark, sf_dir, service_months), service_months)
 
 
 def books(spark: SparkSession, sf_dir: str) -> Books:
@@ -36,6 +49,14 @@ def over_books(build: Callable[[Books], DataFrame]) -> Query:
     return query
 
 
+EARLY = dt.date(1996, 7, 31)
+
+
+def early_nrr(version: str) -> Query:
+    """Retention of a month whose longer windows begin before the first activity."""
+    return lambda spark, sf_dir: Books(stored_stream(spark, sf_dir), EARLY).nrr(version)
+
+
 def _lines(b: Books) -> DataFrame:
     return b.recognized.withColumn("upstream", F.array_join("upstream_ids", ",")).drop("_source", "upstream_ids")
 
@@ -45,11 +66,16 @@ def _dates(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("date").alias(c) if kind == "timestamp" else F.col(c) for c, kind in df.dtypes])
 
 
+def printed(df: DataFrame) -> DataFrame:
+    """Times as text: the engines print zoned times differently."""
+    return df.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if kind == "timestamp" else F.col(c) for c, kind in df.dtypes])
+
+
 def late_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Activities of the reported year's first half recorded after it."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    stamp = lambda text: F.lit(text).cast("timestamp")
-    rows = checks.late_arrivals(activity_stream(spark, sf_dir), stamp("2001-01-01"), stamp("2001-07-01"), stamp("2001-07-12"))
+    instant = lambda text: F.lit(text).cast("timestamp")
+    rows = checks.late_arrivals(stored_stream(spark, sf_dir), instant("2001-01-01"), instant("2001-07-01"), instant("2001-07-12"))
     return rows.select("activity_id", "activity", "visible")
 
 
@@ -62,14 +88,15 @@ def over_counters(build: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        stream = cut(counter_stream(spark, sf_dir), "counters", "activity")
+        stream = stored(spark, sf_dir, "counters", lambda: counter_stream(spark, sf_dir))
         return build(stream, usage.usage_observations(stream, COUNTER_SOURCE))
 
     return query
 
 
 def gaps(version: int) -> Query:
-    return over_counters(lambda stream, seen: usage.usage_gaps(stream, seen, *WINDOW, dt.datetime(2024, 1, 31, 18, tzinfo=UTC), version=version))
+    known = dt.datetime(2024, 1, 31, 18, tzinfo=UTC)
+    return over_counters(lambda stream, seen: printed(usage.usage_gaps(stream, seen, *WINDOW, known, COUNTER_SOURCE, version=version)))
 
 
 def within(seen: DataFrame) -> DataFrame:
@@ -92,17 +119,15 @@ def over_broken(build: Callable[[Books], DataFrame]) -> Query:
     """A query over the stream with planted faults."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        faulty = activity_stream(spark, sf_dir).unionByName(planted_faults(spark, sf_dir))
-        return build(Books(cut(faulty, "stream", "activity"), ASOF))
+        faulty = lambda: activity_stream(spark, sf_dir).unionByName(planted_faults(spark, sf_dir))
+        return build(Books(stored(spark, sf_dir, "broken", faulty), ASOF))
 
     return query
 
 
 def over_asserted(build: Callable[[DataFrame], DataFrame], faults: bool = False) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return build(cut(asserted_stream(spark, sf_dir, faults), "asserted", "activity"))
+        return build(stored(spark, sf_dir, "asserted", lambda: asserted_stream(spark, sf_dir, faults), faults))
 
     return query
 
@@ -206,7 +231,7 @@ QUERIES: dict[str, Query] = {
     "usage_gaps_v1": gaps(1),
     "usage_gaps": gaps(2),
     "usage_readiness": over_counters(lambda stream, _: usage.usage_readiness(stream)),
-    "counter_residuals": over_counters(lambda _, seen: usage.counter_residuals(within(seen)).drop("ts")),
+    "counter_residuals": over_counters(lambda _, seen: usage.counter_residuals(within(seen)).drop("ts", "_recorded_at")),
     "locator_scores": over_counters(locator_scores),
     "data_controls_broken": over_broken(checks.all_errors),
     "data_tests": over_books(integrity.data_tests),
@@ -215,7 +240,9 @@ QUERIES: dict[str, Query] = {
     "stream_checks_broken": over_asserted(lambda act: integrity.stream_checks(act, context.recognition_policy(act.sparkSession)), faults=True),
     "revenue_ledger_asserted": over_asserted(lambda act: accounting.recognized_from_stream(context.snapshot(act, ASOF)).drop("_source")),
     "subscription_occurrences": over_books(occurrences),
-    "consumption_nrr_v1": over_books(lambda b: metrics.consumption_nrr_v1(b.nrr_members(), context.nrr_lenses(b.spark), b.ctx)),
+    "consumption_nrr_v1": over_books(lambda b: b.nrr("v1")),
+    "consumption_nrr_v1_early": early_nrr("v1"),
+    "consumption_nrr_early": early_nrr("v3"),
     "stg_capacity_contracts": over_books(
         lambda b: context.typed(
             b.snap, ["capacity_contracted"], {"capacity_id": "string", "provider": "string", "region": "string", "purpose": "string", "mw": "double", "usd_per_mwh": "decimal(18,2)", "start": "date", "end": "date"}

@@ -289,6 +289,6 @@ def counter_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = e.filter("event_id % 1000 = 7")
     return out.unionByName(held.select(
         F.concat(F.lit("cov:"), F.col("event_id").cast("string")).alias("activity_id"), "ts", F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("customer"), F.lit("usage_coverage").alias("activity"),
-        F.to_json(F.struct(F.lit("2024-02-01").alias("interval_end"), F.lit("2024-01-01").alias("interval_start"), F.lit("inspect").alias("next_action"), F.lit("unreadable").alias("reason"), F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("scope_id"), F.lit(COUNTER_SOURCE).alias("source"))).alias("feature_json"),
+        F.to_json(F.struct(F.lit("2024-02-01").alias("interval_end"), F.lit("2024-01-01").alias("interval_start"), F.lit("inspect").alias("next_action"), F.lit("unreadable").alias("reason"), F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("scope_id"), F.when(F.col("event_id") % 3000 == 7, "other/v1").otherwise(COUNTER_SOURCE).alias("source"))).alias("feature_json"),
         F.lit("evidence:failures/x").alias("link"), F.col("ts").alias("_recorded_at"),
     ).withColumns(stamp))
