@@ -130,6 +130,54 @@ FAULTY = {
     "recognition_pairs_are_versioned": f"SELECT {rest(9)} + {rest(9, ' AND o_orderkey % 67 = 0')}",
 }
 
+#: What the recognition events assert: every visible invoice, credit and expired commitment in its month.
+EARNED = """(SELECT 'usage' AS kind, customer, month, invoice_id AS document, net - fee AS cents, (month_end - 1)::DATE AS day FROM inv
+    UNION ALL SELECT 'credit', customer, month, credit_id, -amount, (month + to_months(1) - INTERVAL 1 DAY)::DATE FROM cred
+    UNION ALL SELECT 'commit_expiry', customer, month, contract_id, 20000000, month FROM ended)"""
+DOCUMENTS = """(SELECT 'usage' AS kind, customer, invoice_id AS document, month AS first, month_end AS stop FROM inv
+    UNION ALL SELECT 'credit', customer, credit_id, month, (month + to_months(1))::DATE FROM cred
+    UNION ALL SELECT 'commit_expiry', customer, contract_id, month, (month + to_months(1))::DATE FROM ended)"""
+CLAIMS = {
+    "unique_customer_creation": "SELECT count(*) FROM (SELECT customer FROM cus GROUP BY customer HAVING count(*) <> 1)",
+    "unique_trial_cohorts": "SELECT count(*) FROM (SELECT k FROM sub GROUP BY k HAVING count(*) > 1)",
+    "parent_graph_resolves": "SELECT abs((SELECT count(*) FROM cus) - (SELECT count(*) FROM who))",
+    "parents_exist": "SELECT count(*) FROM who WHERE ultimate_parent NOT IN (SELECT customer FROM who)",
+    "token_identity_and_allocation_complete": "SELECT abs((SELECT count(*) FROM tok) - (SELECT count(*) FROM tl))",
+    "unique_token_allocation": "SELECT count(*) FROM (SELECT activity_id FROM tl GROUP BY activity_id HAVING count(*) <> 1)",
+    "all_recognition_mapped": f"SELECT abs(count(*) - count(who.customer)) FROM {EARNED} e LEFT JOIN who USING (customer)",
+    "meters_match_contracts": "SELECT count(*) FROM comp m WHERE row_kind = 'consumption' AND NOT EXISTS (SELECT 1 FROM site WHERE 'cap:' || r || ':' || site.purpose = m.capacity_id)",
+    "unique_source_documents": """SELECT count(*) FROM (SELECT document FROM (SELECT 'i' || invoice_id AS document FROM inv UNION ALL SELECT 'c' || r || purpose FROM site UNION ALL SELECT 'm' || model FROM mdl)
+        GROUP BY document HAVING count(*) > 1)""",
+    "one_invoice_per_usage_batch": "SELECT count(*) FROM (SELECT batch FROM inv GROUP BY batch HAVING count(*) > 1)",
+    "usage_batches_belong_to_one_customer": """SELECT count(*) FROM (SELECT batch FROM (SELECT batch, customer FROM tok UNION ALL SELECT batch, customer FROM inv) GROUP BY batch HAVING count(DISTINCT customer) > 1)""",
+    "recognition_month": f"SELECT count(*) FROM {EARNED} WHERE month <> date_trunc('month', day)",
+    "recognition_has_source_document": f"""SELECT count(*) FROM {EARNED} e WHERE NOT EXISTS (SELECT 1 FROM {DOCUMENTS} d
+        WHERE d.kind = e.kind AND d.customer = e.customer AND d.document = e.document AND d.first <= e.day AND e.day < d.stop)""",
+    "revenue_reconciles_by_month": f"""SELECT count(*) FROM (SELECT month, sum(cents) AS a FROM {EARNED} GROUP BY month)
+        FULL JOIN (SELECT month, sum(cents) AS b FROM {EARNED} e JOIN who USING (customer) GROUP BY month) USING (month) WHERE coalesce(a, 0) <> coalesce(b, 0)""",
+    "usage_allocations_reconcile": """SELECT count(*) FROM (SELECT batch, sum(net - fee) AS a FROM inv GROUP BY batch)
+        FULL JOIN (SELECT usage_batch_id AS batch, sum(net_revenue_cents) AS b FROM tl GROUP BY batch) USING (batch) WHERE coalesce(a, 0) <> coalesce(b, 0)""",
+    "inference_cost_allocations_reconcile": """SELECT count(*) FROM (SELECT month, model, sum(cost_cents) AS a FROM comp WHERE purpose = 'inference' GROUP BY ALL)
+        FULL JOIN (SELECT month, model, sum(allocated_cost_cents) AS b FROM tl GROUP BY ALL) USING (month, model) WHERE coalesce(a, 0) <> coalesce(b, 0)""",
+    "subscription_allocations_reconcile": f"""SELECT count(*) FROM {EARNED} e JOIN sl ON sl.subscription_id = e.document AND sl.month = e.month AND e.kind = 'subscription' WHERE e.cents <> sl.revenue_cents""",
+    "seat_rollforward": "SELECT count(*) FROM sl WHERE beginning_seats + gross_adds - seat_removals - cancelled_seats + transfer_in - transfer_out <> ending_seats",
+    "paid_state_has_start": """SELECT count(*) FROM ev e WHERE kind <> 'subscription_started' AND NOT EXISTS (
+        SELECT 1 FROM ev s WHERE s.kind = 'subscription_started' AND s.sid = e.sid AND s.day <= e.day)""",
+    "subscription_exposure_supported": """SELECT count(*) FROM state a WHERE seats > 0 AND day < stop AND EXISTS (SELECT 1 FROM state b
+        WHERE b.customer = a.customer AND b.sid <> a.sid AND b.seats > 0 AND b.day < b.stop AND (b.day, b.sid) < (a.day, a.sid) AND b.stop > a.day)""",
+    "recognized_subscription_has_exposure": f"""SELECT count(*) FROM sl JOIN {EARNED} e ON e.document = subscription_id AND e.month = sl.month AND e.kind = 'subscription' WHERE e.cents <> 0 AND seat_days = 0""",
+    "invoice_recognition_fee_basis": f"""SELECT count(*) FROM inv JOIN (SELECT document, sum(cents) AS c FROM {EARNED} WHERE kind = 'usage' GROUP BY document) ON document = invoice_id
+        WHERE c <> net - fee OR (fee > 0 AND net = fee)""",
+}
+#: Failures that one set of planted faults adds. Lost and doubled tokens of a set balance, so the population's count doesn't show them.
+PLANTED_CLAIMS = {
+    "unique_customer_creation": 1, "unique_trial_cohorts": 1, "parent_graph_resolves": 2, "parents_exist": 1, "unique_token_allocation": 1, "all_recognition_mapped": 1, "meters_match_contracts": 1,
+    "unique_source_documents": 3, "one_invoice_per_usage_batch": 1, "usage_batches_belong_to_one_customer": 1, "recognition_month": 1, "recognition_has_source_document": 1,
+    "usage_allocations_reconcile": 1, "inference_cost_allocations_reconcile": 1, "seat_rollforward": 1, "paid_state_has_start": 1, "subscription_exposure_supported": 1,
+    "invoice_recognition_fee_basis": 1,
+}
+BROKEN_CLAIMS = {reason: f"({clean}) + {PLANTED_CLAIMS.get(reason, 0)} * {BAD}" for reason, clean in CLAIMS.items()}
+
 COUNTERS = """WITH e AS (SELECT event_id, user_id, event_type, ts AT TIME ZONE 'UTC' AS ts, round(value * 100)::BIGINT AS v, event_type || '-' || user_id % 7 AS scope_id, 'u' || user_id % 40 AS account FROM events),
     f AS (SELECT *, sum(v) OVER (PARTITION BY account, scope_id ORDER BY ts, event_id)::BIGINT AS so_far,
         CASE WHEN event_id % 97 = 0 THEN 'other/v1' ELSE 'local-token-count/v1' END AS source FROM e),
@@ -186,6 +234,8 @@ CHECK_ORACLE = USAGE | {
     "data_controls_broken": sql(counts(BROKEN)),
     "data_tests": sql(counts(TESTS)),
     "data_tests_broken": sql(counts(BROKEN_TESTS)),
+    "asserted_checks": sql(counts(CLAIMS)),
+    "asserted_checks_broken": sql(counts(BROKEN_CLAIMS)),
     "stream_checks": ASSERTED + counts(STREAM),
     "stream_checks_broken": counts(FAULTY),
     "revenue_ledger_asserted": sql("""SELECT 'rec:' || activity_id AS activity_id, customer, month, 'usage' AS source, 'usage' AS recognition_kind, invoice_id AS source_document, channel, net - fee AS revenue_cents FROM inv

@@ -9,11 +9,11 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import accounting, checks, compare, entities, integrity, metrics, reconcile, usage
+from ledgerloom.operators import accounting, asserted, checks, compare, entities, integrity, metrics, reconcile, usage
 from ledgerloom.plans import context
 from ledgerloom.plans.books import Books
 from ledgerloom.plans.lineage import cut, stamp
-from ledgerloom.sources.testdata import COUNTER_SOURCE, activity_stream, asserted_stream, counter_stream, planted_faults
+from ledgerloom.sources.testdata import COUNTER_SOURCE, activity_stream, asserted_faults, asserted_stream, counter_stream, planted_faults
 
 ASOF = dt.date(2001, 7, 31)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +132,17 @@ def over_asserted(build: Callable[[DataFrame], DataFrame], faults: bool = False)
     return query
 
 
+def asserted_checks(faults: bool = False) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def build() -> DataFrame:
+            clean = asserted_stream(spark, sf_dir)
+            return clean.unionByName(planted_faults(spark, sf_dir)).unionByName(asserted_faults(spark, sf_dir)) if faults else clean
+
+        return asserted.asserted_checks(asserted.AssertedBooks(stored(spark, sf_dir, "asserted-ledger", build, faults), ASOF))
+
+    return query
+
+
 def occurrences(b: Books) -> DataFrame:
     events = b.snap.filter(F.col("activity").isin(accounting.SUBSCRIPTION_EVENTS))
     return context.with_occurrence(events).select("activity_id", "activity_occurrence", F.col("activity_repeated_at").cast("date").alias("repeated_day"))
@@ -238,6 +249,8 @@ QUERIES: dict[str, Query] = {
     "data_tests_broken": over_broken(integrity.data_tests),
     "stream_checks": over_asserted(lambda act: integrity.stream_checks(act, context.recognition_policy(act.sparkSession))),
     "stream_checks_broken": over_asserted(lambda act: integrity.stream_checks(act, context.recognition_policy(act.sparkSession)), faults=True),
+    "asserted_checks": asserted_checks(),
+    "asserted_checks_broken": asserted_checks(faults=True),
     "revenue_ledger_asserted": over_asserted(lambda act: accounting.recognized_from_stream(context.snapshot(act, ASOF)).drop("_source")),
     "subscription_occurrences": over_books(occurrences),
     "consumption_nrr_v1": over_books(lambda b: b.nrr("v1")),

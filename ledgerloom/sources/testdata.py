@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -248,6 +250,19 @@ def asserted_stream(spark: SparkSession, sf_dir: str, faults: bool = False) -> D
     return paid.unionByName(selfish).unionByName(early)
 
 
+def asserted_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognition events of the customers of ``planted_faults`` that break invariants of asserted revenue: an unknown pair of source
+    and kind, a period after the event's month, a document that doesn't exist, and an invoice of 5.00 recognised with 3.00."""
+    bad = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 100 = 3").select(F.col("c_custkey").alias("k"))
+    text = lambda name: F.concat(F.lit(name), F.col("k").cast("string"))
+    out = []
+    for document, source, period, usd in (("xmoney", "gift", "2000-03-01", "0.00"), ("xgross", "usage", "2000-04-01", "0.00"), ("xnothing", "usage", "2000-03-01", "0.00"), ("xmoney", "usage", "2000-03-01", "3.00")):
+        about = {"period": F.lit(period), "net_usd": F.lit(usd), "source": F.lit(source), "recognition_kind": F.lit("usage"), "source_document": text(document), "channel": F.lit("direct")}
+        rows = _plain("revenue_recognized", text(f"bad:rec:{document}:{source}:"), "2000-03-10", text("x"), about, bad)
+        out.append(rows.withColumn("revenue_impact", F.lit(usd).cast("decimal(18,2)")))
+    return reduce(DataFrame.unionByName, out)
+
+
 #: Fixed value: the counter source that usage reports read.
 COUNTER_SOURCE = "local-token-count/v1"
 COUNTED = ["input", "output", "total"]
