@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,47 +124,61 @@ def yield_bridge(old: DataFrame, new: DataFrame, moved: DataFrame) -> DataFrame:
     return row.drop("net_postings", "gross_postings", "sound")
 
 
-#: So many documents are tried in every combination; more leave the changes unresolved.
+#: So many documents of one group are tried in every combination; more leave the group's changes unresolved.
 MOST_DOCUMENTS = 4
 
 
-def attribute_changes(old: DataFrame, new: DataFrame, document: Column, evaluate: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+def attribute_changes(
+    old: DataFrame, new: DataFrame, document: Column, evaluate: Callable[[DataFrame, list[str]], DataFrame], keys: list[str], within: list[str] | None = None, most: int = MOST_DOCUMENTS
+) -> DataFrame:
     """For each result row that differs between two snapshots, the fewest added documents that explain it.
 
-    ``document`` names the document of an activity; null makes the activity a document of its own. The result is evaluated
-    with every combination of the added documents, smallest first, and a row is explained by the first combination that
-    reproduces its new state, a removed row included. Returns keys, status and the documents. The number of evaluations is bounded by
-    2 to the power ``MOST_DOCUMENTS``; each is a Spark job over the snapshot, and only names of documents reach the driver.
-    """
-    named = newly_visible(old, new).withColumn("_document", F.coalesce(document, F.concat(F.lit("activity:"), "activity_id")))
-    named = cut(named, "added")
-    documents = [r[0] for r in named.select("_document").distinct().orderBy("_document").limit(MOST_DOCUMENTS + 1).collect()]
-
-    def state(snap: DataFrame) -> DataFrame:
-        rows = evaluate(snap)
-        content = F.to_json(F.struct(*sorted(c for c in rows.columns if c not in keys)), {"ignoreNullFields": "false"})
-        return rows.select(*keys, F.sha2(content, 256).alias("digest"))
+    ``document`` names the document of an activity; null makes the activity a document of its own. ``within`` names columns
+    that activities and results share and that no result crosses, a customer for instance: only documents of a row's own group
+    can explain it, so groups are settled side by side. A group's documents are bits of a mask, and its activities are taken
+    once for each mask that holds their document, those of the old snapshot for every mask; ``evaluate(rows, by)`` then
+    evaluates all subsets of all groups in one plan, as results by its keys and the columns ``by``. A row is explained by the
+    smallest subset that gives its new state (none, if it is gone), of equal sizes the first in order of documents.
 
-    def beside(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    Returns keys, status and documents: proven_minimum_group_set, definition_change where the group has no added document,
+    or unresolved_candidates where it has more than ``most`` or no subset gives the row.
+    """
+    groups = F.to_json(F.struct(*within), {"ignoreNullFields": "false"}) if within else F.lit("")
+    added = newly_visible(old, new).withColumns({"_document": F.coalesce(document, F.concat(F.lit("activity:"), "activity_id")), "_group": groups})
+    documents = cut(added.groupBy("_group", "_document").agg(F.count(F.lit(1)).alias("rows")), "added-documents").drop("rows")
+    sizes = documents.groupBy("_group").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    place = F.row_number().over(Window.partitionBy("_group").orderBy("_document"))
+    few = sizes.filter(F.col("n") <= most)
+    # The first document has the highest bit, so of masks with equally many bits the larger comes first in order of documents.
+    bits = documents.join(few, "_group").withColumn("bit", F.call_function("shiftleft", F.lit(1), F.col("n") - place))
+    every = F.explode(F.expr("sequence(0, shiftleft(1, n) - 1)"))
+
+    def state(rows: DataFrame, by: list[str]) -> DataFrame:
+        found = evaluate(rows, by)
+        content = F.to_json(F.struct(*sorted(c for c in found.columns if c not in [*keys, *by])), {"ignoreNullFields": "false"})
+        return found.select(*keys, *by, F.sha2(content, 256).alias("digest"))
+
+    def beside(left: DataFrame, right: DataFrame, how: str, by: list[str]) -> DataFrame:
         """Both sides' digests by key; null keys are equal."""
-        r = right.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("digest").alias("other"))
-        both = left.join(r, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], how)
-        there = F.col("digest").isNotNull()
-        return both.select(*[F.when(there, F.col(k)).otherwise(F.col(f"_{k}")).alias(k) for k in keys], "digest", "other")
-
-    changed = cut(beside(state(new), state(old), "full").filter("NOT digest <=> other").drop("other"), "changed")
-    none = F.array().cast("array<string>")
-    if not documents:
-        return changed.select(*keys, F.lit("definition_change").alias("status"), none.alias("documents"))
-    if len(documents) > MOST_DOCUMENTS:
-        return changed.select(*keys, F.lit("unresolved_candidates").alias("status"), none.alias("documents"))
-    tried = []
-    for size in range(len(documents) + 1):
-        for chosen in combinations(documents, size):
-            snap = old.unionByName(named.filter(F.col("_document").isin(*chosen)).select(*old.columns)) if chosen else old
-            same = beside(changed, state(snap), "left").filter("digest <=> other").drop("digest", "other")
-            tried.append(cut(same.select(*keys, F.lit(len(tried)).alias("rank"), F.array(*[F.lit(c) for c in chosen]).cast("array<string>").alias("documents")), "tried"))
-    hits = tried[0]
-    for more in tried[1:]:
-        hits = hits.unionByName(more)
-    return hits.groupBy(*keys).agg(F.min_by("documents", "rank").alias("documents")).select(*keys, F.lit("proven_minimum_group_set").alias("status"), "documents")
+        all_keys = [*keys, *by]
+        r = right.select(*[F.col(k).alias(f"_{k}_") for k in all_keys], F.col("digest").alias("other"))
+        both = left.join(r, [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in all_keys], how)
+        there = F.col("digest").isNotNull() | F.lit(how == "left")
+        rest = [c for c in left.columns if c not in [*all_keys, "digest"]]
+        return both.select(*[F.when(there, F.col(k)).otherwise(F.col(f"_{k}_")).alias(k) for k in all_keys], *rest, "digest", "other")
+
+    changed = beside(state(new, []), state(old, []), "full", []).filter("NOT digest <=> other").drop("other")
+    changed = cut(changed.withColumn("_group", groups).join(sizes, "_group", "left"), "changed")
+    chosen = [*old.columns, "_mask"]
+    rows = old.withColumn("_group", groups).join(few, "_group").withColumn("_mask", every).select(*chosen)
+    more = added.join(bits, ["_group", "_document"]).withColumn("_mask", every).filter(F.col("_mask").bitwiseAND(F.col("bit")) != 0).select(*chosen)
+    tried = changed.filter(F.col("n") <= most).withColumn("_mask", every)
+    hits = beside(tried, state(rows.unionByName(more), ["_mask"]), "left", ["_mask"]).filter("digest <=> other")
+    best = hits.groupBy(*keys, "_group").agg(F.min(F.struct(F.bit_count("_mask").alias("size"), (-F.col("_mask")).alias("order"))).alias("best"))
+    named = bits.groupBy("_group").agg(F.array_sort(F.collect_list(F.struct("_document", "bit"))).alias("named"))
+    best = best.join(named, "_group", "left").select(*[F.col(k).alias(f"_{k}_") for k in keys], "best", "named")
+    found = changed.join(best, [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in keys], "left")
+    used = F.filter(F.coalesce("named", F.array().cast("array<struct<_document:string,bit:int>>")), lambda d: d["bit"].bitwiseAND(-F.col("best.order")) != 0)
+    status = F.when(F.col("n").isNull(), "definition_change").when(F.col("best").isNull(), "unresolved_candidates").otherwise("proven_minimum_group_set")
+    documents_of = F.when(F.col("best").isNull(), F.array().cast("array<string>")).otherwise(F.transform(used, lambda d: d["_document"]))
+    return found.select(*keys, status.alias("status"), documents_of.alias("documents"))

@@ -234,6 +234,18 @@ CHECK_ORACLE = USAGE | {
     "data_controls_broken": sql(counts(BROKEN)),
     "data_tests": sql(counts(TESTS)),
     "data_tests_broken": sql(counts(BROKEN_TESTS)),
+    "attribution": sql("""SELECT customer, item, CASE WHEN n > 4 THEN 'unresolved_candidates' ELSE 'proven_minimum_group_set' END AS status, CASE WHEN n > 4 THEN '' ELSE documents END AS documents FROM (
+        SELECT a.customer, i.item, n, CASE WHEN i.item = 'total' THEN all_documents ELSE top_document END AS documents FROM (
+        SELECT customer, count(*) AS n, string_agg(document, ',' ORDER BY document) AS all_documents, arg_min(document, (-net, document)) AS top_document, max(net) AS top FROM billed WHERE fresh GROUP BY customer) a
+        LEFT JOIN (SELECT customer, max(net) AS top FROM billed WHERE NOT fresh GROUP BY customer) b USING (customer), (VALUES ('total'), ('largest')) i(item) WHERE i.item = 'total' OR b.top IS NULL OR a.top > b.top)""").replace("WITH RECURSIVE ", """WITH RECURSIVE billed AS (SELECT 'c' || o_custkey AS customer, 'i' || o_orderkey AS document, round(o_totalprice * 100)::BIGINT AS net,
+            date_trunc('month', o_orderdate) + INTERVAL 1 MONTH - INTERVAL 1 MICROSECOND + CASE WHEN o_orderkey % 18 = 0 THEN INTERVAL 10 DAY ELSE INTERVAL 0 DAY END >= TIMESTAMP '2001-06-15' AS fresh
+            FROM orders WHERE o_orderdate < DATE '2001-08-01' AND o_orderkey IN (SELECT l_orderkey FROM lineitem)), """, 1),
+    "incremental_projection": """WITH ids AS (SELECT 'use:' || event_id || ':cumulative:' || unnest(['input', 'output']) AS id, 'usage_observed' AS activity, TRUE AS scoped FROM events
+        UNION ALL SELECT 'use:' || event_id || ':interval_total:' || unnest(['input', 'output', 'total']), 'usage_observed', TRUE FROM events WHERE event_id % 11 = 0
+        UNION ALL SELECT DISTINCT 'inv:u' || user_id % 45 || ':' || s.x, 'application_inventory', FALSE FROM events, (VALUES ('cli'), ('web')) s(x)
+        UNION ALL SELECT 'cov:' || event_id, 'usage_coverage', TRUE FROM events WHERE event_id % 1000 = 7),
+        p AS (SELECT *, row_number() OVER (ORDER BY id) AS pos FROM ids)
+        SELECT (pos > (SELECT max(pos) // 2 FROM p))::BIGINT AS version, activity, count(*) AS n, count(*) FILTER (WHERE scoped) AS scoped, min(pos) AS low, max(pos) AS high FROM p GROUP BY ALL""",
     "asserted_checks": sql(counts(CLAIMS)),
     "asserted_checks_broken": sql(counts(BROKEN_CLAIMS)),
     "stream_checks": ASSERTED + counts(STREAM),

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import accounting, asserted, checks, compare, entities, integrity, metrics, reconcile, usage
 from ledgerloom.plans import context
 from ledgerloom.plans.books import Books
-from ledgerloom.plans.lineage import cut, stamp
+from ledgerloom.plans.lineage import cut, scratch_path, stamp
+from ledgerloom.sources.activity import with_positions
+from ledgerloom.sources.incremental import Projection
 from ledgerloom.sources.testdata import COUNTER_SOURCE, activity_stream, asserted_faults, asserted_stream, counter_stream, planted_faults
 
 ASOF = dt.date(2001, 7, 31)
@@ -148,6 +150,36 @@ def occurrences(b: Books) -> DataFrame:
     return context.with_occurrence(events).select("activity_id", "activity_occurrence", F.col("activity_repeated_at").cast("date").alias("repeated_day"))
 
 
+BEFORE = dt.datetime(2001, 6, 15, tzinfo=dt.timezone.utc)
+
+
+def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' billed totals and largest bills that moved from mid-June to mid-August's knowledge, with the fewest invoices behind each."""
+    billed = stored_stream(spark, sf_dir).filter("activity = 'usage_invoiced'")
+
+    def evaluate(rows: DataFrame, by: list[str]) -> DataFrame:
+        net = (F.get_json_object("feature_json", "$.net_usd").cast("decimal(18,2)") * 100).cast("long")
+        sums = rows.groupBy(*by, "customer").agg(F.sum(net).alias("total"), F.max(net).alias("largest"))
+        return sums.unpivot([*by, "customer"], ["total", "largest"], "item", "cents")
+
+    old, new = context.snapshot(billed, ASOF, BEFORE), context.snapshot(billed, ASOF, LATER)
+    found = compare.attribute_changes(old, new, F.get_json_object("feature_json", "$.invoice_id"), evaluate, ["customer", "item"], ["customer"])
+    return found.select("customer", "item", "status", F.array_join("documents", ",").alias("documents"))
+
+
+def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A projection of the usage stream made in two refreshes: rows and positions by version and activity."""
+    act = with_positions(stored(spark, sf_dir, "counters", lambda: counter_stream(spark, sf_dir)).select("activity_id", "ts", "customer", "activity", "feature_json"))
+    act = cut(act, "positions")
+    kept = lambda df: df.select("activity_id", "customer", "activity", "_stream_position", F.get_json_object("feature_json", "$.scope_id").alias("scope_id"))
+    copy = Projection(spark, scratch_path(spark, "projection"), kept, range_rows=10_000)
+    half = act.agg(F.max("_stream_position")).first()[0] // 2
+    copy.refresh(act.filter(F.col("_stream_position") <= half))
+    copy.refresh(act)
+    rows = copy.rows().groupBy(F.col("version").cast("long").alias("version"), "activity")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count("scope_id").alias("scoped"), F.min("_stream_position").alias("low"), F.max("_stream_position").alias("high"))
+
+
 LATER = dt.datetime(2001, 8, 15, tzinfo=dt.timezone.utc)
 
 
@@ -267,6 +299,8 @@ QUERIES: dict[str, Query] = {
         )
     ),
     "newly_visible": newly_visible,
+    "attribution": attribution,
+    "incremental_projection": projection,
     "account_bridge": account_bridge,
     "yield_bridge": yield_bridge,
     "source_reconciliation": source_reconciliation,

@@ -167,11 +167,6 @@ def inventory(observations: DataFrame) -> DataFrame:
     return sound.select("observation", status.alias("status")).unionByName(observations.filter("NOT sound OR sound IS NULL").select("observation", F.lit("rejected").alias("status")))
 
 
-def incremental_project(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that became visible, ids that were visible and are gone, of which there must be none)."""
-    return new.join(old.select("activity_id"), "activity_id", "left_anti"), old.select("activity_id").join(new, "activity_id", "left_anti")
-
-
 def restore_check(act: DataFrame) -> DataFrame:
     """One row: whether positions are exactly 1 to n and ids are unique."""
     positions = act.agg(F.count(F.lit(1)).alias("n"), F.min("_stream_position").alias("low"), F.max("_stream_position").alias("high"), F.count_distinct("_stream_position").alias("positions"), F.count_distinct("activity_id").alias("ids"))

@@ -70,16 +70,34 @@ def test_windows_and_late_rows(spark, tmp_path):
 def test_attribution_finds_the_fewest_documents(spark):
     rows = lambda *x: spark.createDataFrame(list(x), "activity_id string, customer string, document string, n long")
     old = rows(("a", "x", "d0", 1), ("b", "y", "d0", 1))
-    total = lambda df: df.groupBy("customer").agg(F.sum("n").alias("n"))
+    total = lambda df, by: df.groupBy(*by, "customer").agg(F.sum("n").alias("n"))
     new = old.unionByName(rows(("c", "x", "d1", 2), ("d", "x", "d1", 3), ("e", "z", None, 4), ("f", "y", "d2", 5), ("g", "y", "d2", -5)))
-    found = {r.customer: (r.status, r.documents) for r in attribute_changes(old, new, F.col("document"), total, ["customer"]).collect()}
-    assert found == {"x": ("proven_minimum_group_set", ["d1"]), "z": ("proven_minimum_group_set", ["activity:e"])}
-    many = old.unionByName(rows(*[(f"m{k}", "x", f"e{k}", 1) for k in range(5)]))
-    assert [(r.status, r.documents) for r in attribute_changes(old, many, F.col("document"), total, ["customer"]).collect()] == [("unresolved_candidates", [])]
+    for within in (None, ["customer"]):
+        found = {r.customer: (r.status, r.documents) for r in attribute_changes(old, new, F.col("document"), total, ["customer"], within).collect()}
+        assert found == {"x": ("proven_minimum_group_set", ["d1"]), "z": ("proven_minimum_group_set", ["activity:e"])}
+    many = new.unionByName(rows(*[(f"m{k}", "y", f"e{k}", 1) for k in range(5)]))
+    found = {r.customer: (r.status, r.documents) for r in attribute_changes(old, many, F.col("document"), total, ["customer"], ["customer"]).collect()}
+    assert found == {"x": ("proven_minimum_group_set", ["d1"]), "z": ("proven_minimum_group_set", ["activity:e"]), "y": ("unresolved_candidates", [])}
+    assert {r.status for r in attribute_changes(old, many, F.col("document"), total, ["customer"]).collect()} == {"unresolved_candidates"}
     with pytest.raises(ValueError):
         attribute_changes(new, old, F.col("document"), total, ["customer"])
 
 
+def test_attribution_of_rows_that_go_and_of_equal_sets(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "activity_id string, customer string, document string, n long")
+    old = rows(("a", "x", "d0", 1), ("b", "y", "d0", 1), ("c", None, "d0", 1))
+    full = lambda df, by: df.groupBy(*by, "customer").agg(F.sum("n").alias("n"), F.max("n").alias("most")).filter("n <> 0")
+    new = old.unionByName(rows(("d", "x", "d2", -1), ("e", "x", "d1", 0), ("f", "y", "d3", 4), ("g", "y", "d1", 2), ("h", "y", "d2", 2), ("i", "y", "d4", -4), ("j", None, "d5", 3)))
+    found = {r.customer: (r.status, r.documents) for r in attribute_changes(old, new, F.col("document"), full, ["customer"], ["customer"]).collect()}
+    # x is gone by d2 alone; y, 1 + 4 + 2 + 2 - 4 with 4 the largest, needs all: the three that leave one out give other sums.
+    assert found == {"x": ("proven_minimum_group_set", ["d2"]), "y": ("proven_minimum_group_set", ["d1", "d2", "d3", "d4"]), None: ("proven_minimum_group_set", ["d5"])}
+    size = lambda df, by: df.groupBy(*by, "customer").agg(F.max("n").alias("most"))
+    ties = old.unionByName(rows(("d", "x", "d2", 9), ("e", "x", "d1", 9)))
+    assert [r.documents for r in attribute_changes(old, ties, F.col("document"), size, ["customer"], ["customer"]).collect()] == [["d1"]]
+    same = attribute_changes(old, old, F.col("document"), lambda df, by: df.groupBy(*by, "customer").agg(F.first("n").alias("n")), ["customer"], ["customer"])
+    assert same.count() == 0
+
+
 def test_yield_bridge_must_tie(spark):
     side = lambda n, net, fee: spark.createDataFrame([(n, net, fee)], "tokens long, net_revenue_cents long, channel_fee_cents long")
     moved = lambda a, b: spark.createDataFrame([("4000", a), ("4095", b), ("1100", -a - b)], "account string, delta_cents long")
