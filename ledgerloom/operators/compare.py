@@ -146,12 +146,12 @@ def attribute_changes(
     groups = F.to_json(F.struct(*within), {"ignoreNullFields": "false"}) if within else F.lit("")
     added = newly_visible(old, new).withColumns({"_document": F.coalesce(document, F.concat(F.lit("activity:"), "activity_id")), "_group": groups})
     documents = cut(added.groupBy("_group", "_document").agg(F.count(F.lit(1)).alias("rows")), "added-documents").drop("rows")
-    sizes = documents.groupBy("_group").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    sizes = documents.groupBy("_group").agg(F.count(F.lit(1)).cast("int").alias("_n"))
     place = F.row_number().over(Window.partitionBy("_group").orderBy("_document"))
-    few = sizes.filter(F.col("n") <= most)
+    few = sizes.filter(F.col("_n") <= most)
     # The first document has the highest bit, so of masks with equally many bits the larger comes first in order of documents.
-    bits = documents.join(few, "_group").withColumn("bit", F.call_function("shiftleft", F.lit(1), F.col("n") - place))
-    every = F.explode(F.expr("sequence(0, shiftleft(1, n) - 1)"))
+    bits = documents.join(few, "_group").withColumn("_bit", F.call_function("shiftleft", F.lit(1), F.col("_n") - place))
+    every = F.explode(F.expr("sequence(0, shiftleft(1, _n) - 1)"))
 
     def state(rows: DataFrame, by: list[str]) -> DataFrame:
         found = evaluate(rows, by)
@@ -171,14 +171,14 @@ def attribute_changes(
     changed = cut(changed.withColumn("_group", groups).join(sizes, "_group", "left"), "changed")
     chosen = [*old.columns, "_mask"]
     rows = old.withColumn("_group", groups).join(few, "_group").withColumn("_mask", every).select(*chosen)
-    more = added.join(bits, ["_group", "_document"]).withColumn("_mask", every).filter(F.col("_mask").bitwiseAND(F.col("bit")) != 0).select(*chosen)
-    tried = changed.filter(F.col("n") <= most).withColumn("_mask", every)
+    more = added.join(bits, ["_group", "_document"]).withColumn("_mask", every).filter(F.col("_mask").bitwiseAND(F.col("_bit")) != 0).select(*chosen)
+    tried = changed.filter(F.col("_n") <= most).withColumn("_mask", every)
     hits = beside(tried, state(rows.unionByName(more), ["_mask"]), "left", ["_mask"]).filter("digest <=> other")
-    best = hits.groupBy(*keys, "_group").agg(F.min(F.struct(F.bit_count("_mask").alias("size"), (-F.col("_mask")).alias("order"))).alias("best"))
-    named = bits.groupBy("_group").agg(F.array_sort(F.collect_list(F.struct("_document", "bit"))).alias("named"))
-    best = best.join(named, "_group", "left").select(*[F.col(k).alias(f"_{k}_") for k in keys], "best", "named")
+    best = hits.groupBy(*keys, "_group").agg(F.min(F.struct(F.bit_count("_mask").alias("size"), (-F.col("_mask")).alias("order"))).alias("_best"))
+    named = bits.groupBy("_group").agg(F.array_sort(F.collect_list(F.struct("_document", F.col("_bit").alias("bit")))).alias("_named"))
+    best = best.join(named, "_group", "left").select(*[F.col(k).alias(f"_{k}_") for k in keys], "_best", "_named")
     found = changed.join(best, [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in keys], "left")
-    used = F.filter(F.coalesce("named", F.array().cast("array<struct<_document:string,bit:int>>")), lambda d: d["bit"].bitwiseAND(-F.col("best.order")) != 0)
-    status = F.when(F.col("n").isNull(), "definition_change").when(F.col("best").isNull(), "unresolved_candidates").otherwise("proven_minimum_group_set")
-    documents_of = F.when(F.col("best").isNull(), F.array().cast("array<string>")).otherwise(F.transform(used, lambda d: d["_document"]))
+    used = F.filter(F.coalesce("_named", F.array().cast("array<struct<_document:string,bit:int>>")), lambda d: d["bit"].bitwiseAND(-F.col("_best.order")) != 0)
+    status = F.when(F.col("_n").isNull(), "definition_change").when(F.col("_best").isNull(), "unresolved_candidates").otherwise("proven_minimum_group_set")
+    documents_of = F.when(F.col("_best").isNull(), F.array().cast("array<string>")).otherwise(F.transform(used, lambda d: d["_document"]))
     return found.select(*keys, status.alias("status"), documents_of.alias("documents"))
