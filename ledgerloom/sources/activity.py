@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,12 +52,17 @@ def with_positions(rows: DataFrame, after: int = 0) -> DataFrame:
     return numbered.join(F.broadcast(start), "_range").withColumn("_stream_position", (F.lit(after) + F.col("_start") + F.col("_k")).cast("long")).drop("_range", "_start", "_k")
 
 
+def content_digest(rows: DataFrame) -> Column:
+    """The digest of what must be the same in an exact retry."""
+    parts = [F.col(c) for c in CONTENT if c in rows.columns]
+    if {"_lane", "_recorded_at"} <= set(rows.columns):
+        parts.append(F.when(F.col("_lane") == "sim", F.col("_recorded_at")).alias("_recorded_at"))
+    return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
+
+
 def append_batch(existing: DataFrame | None, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new rows with positions, conflicting rows): an exact retry adds nothing, the same id with other content is a conflict."""
-    parts = [F.col(c) for c in CONTENT if c in incoming.columns]
-    if {"_lane", "_recorded_at"} <= set(incoming.columns):
-        parts.append(F.when(F.col("_lane") == "sim", F.col("_recorded_at")).alias("_recorded_at"))
-    content = F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
+    content = content_digest(incoming)
     keyed = incoming.withColumn("_content", content)
     once = keyed.groupBy("activity_id").agg(F.min("_content").alias("low"), F.max("_content").alias("high"))
     after = 0

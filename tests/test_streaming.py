@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.compare import attribute_changes, yield_bridge
 from ledgerloom.operators.usage import KEY, usage_intervals
+from ledgerloom.streaming import jobs
 from ledgerloom.streaming.jobs import month_usage, split_late, stream_append, stream_counter_growth, stream_restate
 
 UTC = dt.timezone.utc
@@ -28,31 +30,55 @@ def done(query):
     assert query.exception() is None
 
 
-def test_append_and_restate(spark, tmp_path):
-    act = lambda k, n: (k, DAY, "c", "k", str(n))
-    first, second = [act("a", 1), act("b", 2)], [act("a", 1), act("b", 9), act("c", 4)]
-    total = lambda df: df.groupBy("customer").agg(F.sum(F.col("feature_json").cast("long")).alias("total"))
-    source = arriving(spark, tmp_path, ROWS, first, second)
-    done(stream_append(source, f"{tmp_path}/s", f"{tmp_path}/c", f"{tmp_path}/k1"))
-    stored = {(r.activity_id, r.feature_json, r._stream_position) for r in spark.read.parquet(f"{tmp_path}/s").collect()}
-    assert stored == {("a", "1", 1), ("b", "2", 2), ("c", "4", 3)}
-    assert [(r.activity_id, r.feature_json) for r in spark.read.parquet(f"{tmp_path}/c").collect()] == [("b", "9")]
-    done(stream_restate(source, f"{tmp_path}/s2", f"{tmp_path}/c2", f"{tmp_path}/moved", f"{tmp_path}/k2", total, ["customer"], ["total"]))
-    moved = {(r.batch, r.change): (r.old_value, r.new_value) for r in spark.read.parquet(f"{tmp_path}/moved").collect()}
-    assert moved == {(0, "added"): (None, 3), (1, "changed"): (3, 7)}
-
-
-def test_counter_growth_equals_stored_intervals(spark, tmp_path):
+def test_append_keeps_its_state_across_restarts(spark, tmp_path):
+    act = lambda k, n, at=DAY: (k, at, "c", "k", str(n))
+    odd = DAY + dt.timedelta(microseconds=7)
+    source = arriving(spark, tmp_path, ROWS, [act("a", 1), act("b", 2, odd)], [act("a", 1), act("b", 9), act("c", 4), act("d", 1), act("d", 2)])
+    run = lambda: done(stream_append(source, f"{tmp_path}/s", f"{tmp_path}/c", f"{tmp_path}/k"))
+    run()
+    spark.createDataFrame([act("a", 1), act("b", 2, odd), act("a", 5), act("d", 2), act("e", 6), act("e", 6)], ROWS).coalesce(1).write.parquet(f"{tmp_path}/in-2")
+    run()
+    stored = sorted((r._stream_position, r.activity_id, r.feature_json, r.batch) for r in spark.read.parquet(f"{tmp_path}/s").collect())
+    assert stored == [(1, "a", "1", 0), (2, "b", "2", 0), (3, "c", "4", 1), (4, "d", "2", 2), (5, "e", "6", 2)]
+    clashes = sorted((r.batch, r.activity_id, r.feature_json) for r in spark.read.parquet(f"{tmp_path}/c").collect())
+    assert clashes == [(1, "b", "9"), (1, "d", "1"), (1, "d", "2"), (2, "a", "5")]
+    assert spark.read.parquet(f"{tmp_path}/s").filter(F.unix_micros("ts") % 1000 == 7).count() == 1  # whole microseconds
+
+
+def test_restatement_by_deltas_equals_full_evaluation(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "COMPACT", 2)
+    rng = random.Random(3)
+    batches = [[(f"a{k}-{i}", DAY, rng.choice(["x", "y", None, f"z{k}"]), "k", str(rng.randint(1, 9))) for i in range(rng.randint(1, 6))] for k in range(6)]
+    batches[3].append(batches[0][0])  # a retry moves nothing
+    number = F.col("feature_json").cast("long")
+    parts = lambda df: df.select("customer", number.alias("cents"), F.lit(1).alias("n"))
+    measures = {"total": "cents", "mean": "cents / n"}
+    source = arriving(spark, tmp_path, ROWS, *batches)
+    done(stream_restate(source, f"{tmp_path}/s", f"{tmp_path}/c", f"{tmp_path}/moved", f"{tmp_path}/k", parts, ["customer"], ["cents", "n"], measures))
+    seen, found = {}, {}
+    for r in spark.read.parquet(f"{tmp_path}/moved").collect():
+        found.setdefault(r.batch, set()).add((r.customer, r.measure, r.change, r.old_value and float(r.old_value), float(r.new_value)))
+    evaluate = lambda rows: {(c, m): v for c in {r[2] for r in rows} for own in [[int(r[4]) for r in rows if r[2] == c]] for m, v in (("total", sum(own)), ("mean", sum(own) / len(own)))}
+    for k in range(6):
+        now = evaluate(list(dict.fromkeys(r for batch in batches[: k + 1] for r in batch)))
+        want = {(*key, "changed" if key in seen else "added", seen.get(key), v) for key, v in now.items() if seen.get(key) != v}
+        near = lambda rows: {(*r[:3], r[3] and round(r[3], 5), round(r[4], 5)) for r in rows}
+        assert near(found.get(k, set())) == near(want)
+        seen = now
+
+
+def test_counter_growth_equals_stored_intervals_on_shuffled_arrival(spark, tmp_path):
     schema = "account string, source string, scope_id string, token_kind string, temporality string, ts timestamp, source_line long, quantity long"
     at = lambda d, line, n, scope="s", kind="cumulative": ("a", "cli", scope, "input", kind, dt.datetime(2024, 1, d, tzinfo=UTC), line, n)
     big = (1 << 60) + 1
-    first = [at(8, 1, 5), at(11, 2, 9), at(11, 3, None), at(12, 4, big, "t"), at(12, 9, 1, kind="delta")]
-    second = [at(13, 5, 20), at(14, 7, 12), at(14, 6, 30), at(15, 8, big + 2, "t"), at(12, 1, 1, "u")]
+    rows = [at(8, 1, 5), at(11, 2, 9), at(11, 3, None), at(12, 4, big, "t"), at(12, 9, 1, kind="delta"), at(13, 5, 20), at(14, 7, 12), at(14, 6, 30), at(15, 8, big + 2, "t"), at(12, 1, 1, "u"), at(13, 2, 0, "u")]
+    random.Random(5).shuffle(rows)
+    closing = [at(25, 99, 0, "end")]  # moves the watermark past all of them
     start, end = dt.datetime(2024, 1, 10, tzinfo=UTC), dt.datetime(2024, 1, 25, tzinfo=UTC)
-    grown = stream_counter_growth(arriving(spark, tmp_path, schema, first, second), start)
+    grown = stream_counter_growth(arriving(spark, tmp_path, schema, rows[:4], rows[4:7], rows[7:], closing, closing), start, "9 days")
     columns = [*KEY, "source_line", "quantity", "previous", "status", "growth"]
     done(grown.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/k").trigger(availableNow=True).start())
-    wanted = usage_intervals(spark.createDataFrame(first + second, schema), start, end).select(columns)
+    wanted = usage_intervals(spark.createDataFrame(rows, schema), start, end).select(columns)
     assert sorted(map(str, spark.read.parquet(f"{tmp_path}/out").select(columns).collect())) == sorted(map(str, wanted.collect()))
 
 
