@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.context import typed
+from ledgerloom.plans.lineage import cut, discard
 
 KEY = ["account", "source", "scope_id", "token_kind"]
 #: Fixed value: an inventory's readings count as stale after so many days without an import.
@@ -137,34 +138,92 @@ def usage_readiness(activities: DataFrame) -> DataFrame:
     return activities.groupBy("activity").agg(F.count(F.lit(1)).alias("n"))
 
 
-def admit_usage(packets: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counter packets (session, line, observed_at, collected_at, revision, counters json) as (admitted observations, quarantined packets).
+#: The counters of a packet and what they are called once admitted, and the parts of a counter.
+COUNTERS = {"cumulative": "cumulative", "last": "interval_total"}
+PARTS = ["input", "cache_read", "output", "reasoning_output", "total"]
+SESSION = r"^[A-Za-z0-9._-]{1,128}$"
+OBSERVED = ["account", "session", "line"]
+
 
-    A packet holds two counters, each with input, output and total and a cached part of the input. It is quarantined if it
-    has no session, was observed after it was collected, has a part above its whole or a total that isn't the sum, goes
-    back in time within its session, or repeats a stored or another packet's (session, line) with other content.
+def read_packets(packets: DataFrame) -> DataFrame:
+    """The rows of packets with ``readings``, an entry for each part of each counter given, and ``reasons`` of their own.
+
+    Rows are (packet, account, collected_at, session, line, observed_at, counters): counters is JSON with one or both of two
+    counters, each with some of five parts, null or a whole number.
+    """
+    rows = packets.withColumn("c", F.from_json("counters", "map<string,map<string,string>>"))
+    value = lambda kind, part: F.try_element_at(F.try_element_at("c", F.lit(kind)), F.lit(part))
+    number = lambda kind, part: value(kind, part).try_cast("decimal(38,0)")
+    names = lambda values: F.array(*[F.lit(v) for v in values])
+    given = [F.when(F.map_contains_key("c", kind), F.array(*[F.struct(F.lit(mode).alias("temporality"), F.lit(part).alias("token_kind"), value(kind, part).try_cast("long").alias("quantity")) for part in PARTS])) for kind, mode in COUNTERS.items()]
+    texts = F.flatten(F.transform(F.map_values("c"), F.map_values))
+    bad_number = F.exists(texts, lambda v: v.isNotNull() & (~v.rlike("^[0-9]{1,19}$") | v.try_cast("long").isNull()))
+    undeclared = (F.size(F.array_except(F.map_keys("c"), names(COUNTERS))) > 0) | F.exists(F.map_values("c"), lambda m: m.isNull() | (F.size(F.array_except(F.map_keys(m), names(PARTS))) > 0))
+    above = [number(kind, part) > number(kind, whole) for kind in COUNTERS for part, whole in (("cache_read", "input"), ("reasoning_output", "output"))]
+    rules = {
+        "identity": F.col("account").isNull() | ~F.coalesce(F.col("session").rlike(SESSION), F.lit(False)) | ~F.coalesce(F.col("line").between(1, 10**12 - 1), F.lit(False)),
+        "observed after collection": F.coalesce(F.col("observed_at") > F.col("collected_at"), F.lit(True)),
+        "no counter": F.col("c").isNull() | (F.size("c") == 0), "undeclared field": undeclared, "quantity": bad_number,
+        "total": number("cumulative", "total") != number("cumulative", "input") + number("cumulative", "output"), "part above whole": reduce(lambda x, y: F.coalesce(x, F.lit(False)) | F.coalesce(y, F.lit(False)), above),
+    }
+    reasons = F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), name) for name, rule in rules.items()]))
+    rows = rows.withColumns({"readings": F.flatten(F.array_compact(F.array(*given))), "reasons": reasons}).drop("c", "counters")
+    return rows.withColumn("content", F.sha2(F.to_json(F.struct("observed_at", "readings"), {"ignoreNullFields": "false"}), 256))
+
+
+def admit_usage(packets: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counter packets as (admitted observations, quarantined packets with their reasons); a packet is admitted whole or not at all.
+
+    Beside the rules of ``read_packets``, a packet is quarantined if it says different things about one line, if a line was
+    observed before the latest of the lines before it in its session, if it names a session of another account, or if it
+    contradicts a stored observation. Of packets that contradict each other the first by time of collection is admitted. A
+    quarantined packet contradicts nobody: packets are settled in rounds, each of which admits those that no earlier one that
+    is still in contradicts and refuses those that an admitted one does, so a chain of contradictions takes rounds, not pairs. An exact retry adds nothing, and the first
+    packet keeps the provenance of an observation. ``stored`` has the columns of admitted observations.
     """
-    shape = "struct<last:struct<input:long,cached:long,output:long,total:long>,cumulative:struct<input:long,cached:long,output:long,total:long>>"
-    rows = packets.withColumn("c", F.from_json("counters", shape)).withColumn("content", F.sha2(F.concat_ws("|", F.col("observed_at").cast("string"), "counters"), 256))
-    order = Window.partitionBy("session").orderBy("line")
-    same = Window.partitionBy("session", "line")
-
-    def wrong(name: str) -> Column:
-        get = lambda part: F.col(f"c.{name}.{part}")
-        return F.coalesce((get("cached") > get("input")) | (get("total") != get("input") + get("output")), F.lit(True))
-
-    known = stored.select("session", "line", F.col("content").alias("stored_content")).distinct()
-    rows = rows.withColumns({"before": F.lag("observed_at").over(order), "contents": F.size(F.collect_set("content").over(same))}).join(known, ["session", "line"], "left")
-    reason = (
-        F.when(F.col("session").isNull() | F.col("line").isNull(), "identity").when(F.col("observed_at") > F.col("collected_at"), "observed after collection")
-        .when(wrong("last") | wrong("cumulative"), "counter arithmetic").when(F.col("observed_at") < F.col("before"), "session order")
-        .when((F.col("contents") > 1) | (F.col("stored_content") != F.col("content")), "conflicting revision")
+    rows = read_packets(packets)
+    line = Window.partitionBy("packet", *OBSERVED)
+    earlier = Window.partitionBy("packet", "account", "session").orderBy("line").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"variants": F.size(F.collect_set("content").over(line)), "before": F.max("observed_at").over(earlier)})
+    known = stored.groupBy(*OBSERVED).agg(F.first("content").alias("known"), F.min("account").alias("_"))
+    owner = stored.groupBy("session").agg(F.min("account").alias("owner"))
+    rows = rows.join(known.drop("_"), OBSERVED, "left").join(owner, "session", "left")
+    more = {
+        "conflicting lines": F.col("variants") > 1, "session order": F.col("observed_at") < F.col("before"), "session of another account": F.col("owner") != F.col("account"),
+        "contradicts a stored observation": F.col("known") != F.col("content"),
+    }
+    reasons = F.concat("reasons", F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), name) for name, rule in more.items()])))
+    rows = cut(rows.withColumn("reasons", reasons).drop("variants", "before", "owner"), "packets")
+    refused = rows.filter(F.size("reasons") > 0).select("packet", F.explode("reasons").alias("reason"))
+    state = rows.groupBy("packet").agg(F.max(F.size("reasons")).alias("n"), F.max("collected_at").alias("collected"))
+    state = cut(state.select("packet", "collected", F.when(F.col("n") > 0, "refused").otherwise("open").alias("state")), "packet-states")
+    contents = cut(rows.filter(F.size("reasons") == 0).select("packet", *OBSERVED, "content").distinct(), "packet-lines")
+    earlier = Window.partitionBy(*OBSERVED).orderBy("collected", "packet").rowsBetween(Window.unboundedPreceding, -1)
+    while not state.filter("state = 'open'").isEmpty():
+        held = F.max(F.when(F.col("state") == "admitted", F.col("content"))).over(Window.partitionBy(*OBSERVED))
+        live = contents.join(state.filter("state <> 'refused'"), "packet").withColumns({"least": F.min("content").over(earlier), "most": F.max("content").over(earlier), "held": held})
+        differs = F.coalesce((F.col("least") != F.col("content")) | (F.col("most") != F.col("content")), F.lit(False))
+        refuted = F.coalesce(F.col("held") != F.col("content"), F.lit(False))
+        verdict = live.groupBy("packet").agg(F.max(differs).alias("off"), F.max(refuted).alias("lost"))
+        settled = F.when((F.col("state") == "open") & F.col("lost"), "refused").when((F.col("state") == "open") & ~F.col("off"), "admitted").otherwise(F.col("state"))
+        newer = cut(state.join(verdict, "packet", "left").select("packet", "collected", settled.alias("state")), "packet-states")
+        discard(state)
+        state = newer
+    lost = state.filter("state = 'refused'").join(refused.select("packet").distinct(), "packet", "left_anti").select("packet", F.lit("contradicts an earlier packet").alias("reason"))
+    quarantined = refused.unionByName(lost).groupBy("packet").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    fresh = rows.filter("known IS NULL").join(state.filter("state = 'admitted'"), "packet")
+    packet = F.min_by(F.struct("packet", "collected_at", "observed_at", "readings", "content"), F.struct("collected", "packet")).alias("p")
+    admitted = fresh.groupBy(*OBSERVED).agg(packet).select(*OBSERVED, "p.packet", "p.collected_at", "p.observed_at", "p.content", F.inline("p.readings"))
+    return admitted, quarantined
+
+
+def usage_activities(admitted: DataFrame, source: str) -> DataFrame:
+    """Admitted observations as activities of the usage stream."""
+    observation = F.concat_ws(":", "session", F.lpad(F.col("line").cast("string"), 12, "0"), "temporality", "token_kind")
+    name = F.concat_ws(":", F.lit("o"), "session", F.col("line").cast("string"), "temporality", "token_kind")
+    features = F.struct(F.lit(None).cast("string").alias("model"), name.alias("observation_id"), "quantity", F.lit(0).alias("revision"), F.col("session").alias("scope_id"), F.lit(source).alias("source"), "temporality", "token_kind")
+    return admitted.select(
+        F.concat(F.lit("usage:"), F.sha2(F.concat_ws("|", "account", observation), 256)).alias("activity_id"), F.col("observed_at").alias("ts"), F.col("account").alias("customer"),
+        F.lit("usage_observed").alias("activity"), F.to_json(features, {"ignoreNullFields": "false"}).alias("feature_json"), F.concat(F.lit("evidence:imports/"), "packet").alias("link"),
+        F.col("collected_at").alias("_recorded_at"), F.lit("dev").alias("_lane"), F.lit("counters").alias("_source"),
     )
-    rows = rows.withColumn("reason", reason)
-    readings = [
-        F.struct(F.lit(kind).alias("temporality"), F.lit(part).alias("token_kind"), F.col(f"c.{name}.{part}").alias("quantity"))
-        for name, kind in (("last", "interval_total"), ("cumulative", "cumulative")) for part in ("input", "cached", "output", "total")
-    ]
-    fresh = rows.filter("reason IS NULL AND stored_content IS NULL").dropDuplicates(["session", "line"])
-    admitted = fresh.select("session", "line", "observed_at", "content", F.inline(F.array(*readings)))
-    return admitted, rows.filter("reason IS NOT NULL").select("session", "line", "observed_at", "content", "reason")

@@ -208,7 +208,33 @@ COUNTERS = """WITH e AS (SELECT event_id, user_id, event_type, ts AT TIME ZONE '
         UNION ALL SELECT 'u' || user_id % 40, 'vendor', 'cli', 'q' || event_id, 'quarantined_source', strftime(ts AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S'), NULL, 'unreadable. inspect', 'quarantined'
             FROM events WHERE event_id % 1000 = 7 AND event_id % 3000 <> 7)
 """
+#: Packets by account and week. Of a line that two packets differ on, the earlier one has the fault: it is the week before that changes a retry.
+PACKETS = """WITH e AS (SELECT event_id AS line, 'u' || user_id % 40 AS account, event_type || '-u' || user_id % 40 || '-' || user_id % 7 AS session, round(value * 100)::BIGINT AS v,
+        date_diff('day', DATE '2024-01-01', (ts AT TIME ZONE 'UTC' AT TIME ZONE 'UTC')::DATE) AS day FROM events),
+    f AS (SELECT *, sum(v) OVER (PARTITION BY account, session ORDER BY line)::BIGINT AS so_far, unnest(CASE WHEN day % 7 < 2 AND day // 7 > 0 THEN [day // 7 - 1, day // 7] ELSE [day // 7] END) AS week FROM e),
+    p AS (SELECT *, account || ':' || week AS packet, week <> day // 7 AND line % 400 = 0 AS odd FROM f),
+    own AS (SELECT packet, CASE WHEN line = 0 THEN 'identity' WHEN line % 2000 = 1 THEN 'total' WHEN line % 2000 = 3 THEN 'part above whole' ELSE 'observed after collection' END AS reason
+        FROM p WHERE line = 0 OR (line % 2000 = 1 AND line % 53 <> 0) OR (line % 2000 = 3 AND line % 53 <> 0) OR line % 2000 = 5),
+    sound AS (SELECT DISTINCT account, week, packet FROM p WHERE packet NOT IN (SELECT packet FROM own)),
+    clash AS (SELECT DISTINCT a.packet AS earlier, b.packet AS later FROM p a JOIN p b ON a.line = b.line AND a.week < b.week WHERE a.odd),
+    w0 AS (SELECT packet FROM sound WHERE week = 0), w1 AS (SELECT packet FROM sound WHERE week = 1 AND packet NOT IN (SELECT later FROM clash JOIN w0 ON earlier = packet)),
+    w2 AS (SELECT packet FROM sound WHERE week = 2 AND packet NOT IN (SELECT later FROM clash JOIN w1 ON earlier = packet)), w3 AS (SELECT packet FROM sound WHERE week = 3 AND packet NOT IN (SELECT later FROM clash JOIN w2 ON earlier = packet)),
+    w4 AS (SELECT packet FROM sound WHERE week = 4 AND packet NOT IN (SELECT later FROM clash JOIN w3 ON earlier = packet)),
+    taken AS (SELECT packet FROM w0 UNION ALL SELECT packet FROM w1 UNION ALL SELECT packet FROM w2 UNION ALL SELECT packet FROM w3 UNION ALL SELECT packet FROM w4),
+    q AS (SELECT packet, string_agg(reason, ', ' ORDER BY reason) AS reasons FROM (SELECT DISTINCT packet, reason FROM own
+            UNION SELECT DISTINCT later, 'contradicts a stored observation' FROM clash JOIN w0 ON earlier = packet
+            UNION SELECT packet, 'contradicts an earlier packet' FROM sound WHERE packet NOT IN (SELECT packet FROM taken) AND packet NOT IN (SELECT later FROM clash JOIN w0 ON earlier = packet)) GROUP BY packet),
+    k AS (SELECT p.*, row_number() OVER (PARTITION BY line ORDER BY week) AS r FROM p JOIN taken USING (packet)),
+    a AS (SELECT *, so_far * 3 // 4 + odd::BIGINT AS inp, so_far - so_far * 3 // 4 AS outp FROM k WHERE r = 1),
+    obs AS (SELECT account, session, line, packet, 'cumulative' AS temporality, unnest(['input', 'output', 'total', 'cache_read', 'reasoning_output']) AS token_kind,
+            unnest([CASE WHEN line % 53 <> 0 THEN inp END, outp, so_far + (odd OR line % 2000 = 1)::BIGINT, CASE WHEN line % 2000 = 3 THEN so_far + 9 ELSE 0 END, NULL]) AS quantity FROM a
+        UNION ALL SELECT account, session, line, packet, 'interval_total', unnest(['input', 'output', 'total', 'cache_read', 'reasoning_output']),
+            unnest([v * 3 // 4, v - v * 3 // 4, v + (line % 29 = 0)::BIGINT, NULL, NULL]) FROM a WHERE line % 3 <> 0)
+"""
 USAGE = {
+    "admitted_counters": PACKETS + "SELECT account, temporality, token_kind, count(*) AS n, count(quantity) AS known, sum(quantity)::BIGINT AS quantity, count(DISTINCT packet) AS packets FROM obs GROUP BY ALL",
+    "admitted_residuals": PACKETS + "SELECT account, session AS scope_id, line AS source_line, 1::BIGINT AS residual FROM a WHERE line % 3 <> 0 AND line % 29 = 0",
+    "quarantined_packets": PACKETS + "SELECT packet, reasons FROM q",
     "usage_observations": COUNTERS + "SELECT account, source, scope_id, token_kind, temporality, source_line, quantity FROM obs",
     "usage_intervals": COUNTERS + """SELECT account, scope_id, token_kind, source_line, quantity, previous, status, CASE WHEN status = 'observed' THEN quantity - previous END AS growth FROM steps""",
     "usage_tokens": COUNTERS + """SELECT account, source, scope_id, token_kind,

@@ -15,7 +15,7 @@ from ledgerloom.plans.books import Books
 from ledgerloom.plans.lineage import cut, scratch_path, stamp
 from ledgerloom.sources.activity import with_positions
 from ledgerloom.sources.incremental import Projection
-from ledgerloom.sources.testdata import COUNTER_SOURCE, activity_stream, asserted_faults, asserted_stream, counter_stream, planted_faults
+from ledgerloom.sources.testdata import COUNTER_SOURCE, activity_stream, asserted_faults, asserted_stream, counter_stream, planted_faults, usage_packets
 
 ASOF = dt.date(2001, 7, 31)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,6 +180,35 @@ def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count("scope_id").alias("scoped"), F.min("_stream_position").alias("low"), F.max("_stream_position").alias("high"))
 
 
+NO_OBSERVATIONS = "account string, session string, line long, packet string, collected_at timestamp, observed_at timestamp, content string, temporality string, token_kind string, quantity long"
+
+
+def admitted_packets(which: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """A query over the usage packets as they are admitted: first those of the first week, then the others against them."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        packets = cut(usage_packets(spark, sf_dir), "packets")
+        first = F.split_part("packet", F.lit(":"), F.lit(2)) == "0"
+        early, refused = usage.admit_usage(packets.filter(first), spark.createDataFrame([], NO_OBSERVATIONS))
+        early = cut(early, "observations")
+        late, more = usage.admit_usage(packets.filter(~first), early)
+        return which(early.unionByName(late), refused.unionByName(more))
+
+    return query
+
+
+def admitted_counters(admitted: DataFrame, _: DataFrame) -> DataFrame:
+    rows = admitted.groupBy("account", "temporality", "token_kind")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count("quantity").alias("known"), F.sum("quantity").alias("quantity"), F.count_distinct("packet").alias("packets"))
+
+
+def admitted_residuals(admitted: DataFrame, _: DataFrame) -> DataFrame:
+    """Residuals of the admitted observations, read back from the activities that they become."""
+    seen = usage.usage_observations(usage.usage_activities(admitted, COUNTER_SOURCE), COUNTER_SOURCE)
+    return usage.counter_residuals(seen).select("account", "scope_id", "source_line", "residual")
+
+
 LATER = dt.datetime(2001, 8, 15, tzinfo=dt.timezone.utc)
 
 
@@ -275,6 +304,9 @@ QUERIES: dict[str, Query] = {
     "usage_gaps": gaps(2),
     "usage_readiness": over_counters(lambda stream, _: usage.usage_readiness(stream)),
     "counter_residuals": over_counters(lambda _, seen: usage.counter_residuals(within(seen)).drop("ts", "_recorded_at")),
+    "admitted_counters": admitted_packets(admitted_counters),
+    "admitted_residuals": admitted_packets(admitted_residuals),
+    "quarantined_packets": admitted_packets(lambda _, refused: refused.select("packet", F.array_join("reasons", ", ").alias("reasons"))),
     "locator_scores": over_counters(locator_scores),
     "data_controls_broken": over_broken(checks.all_errors),
     "data_tests": over_books(integrity.data_tests),

@@ -307,3 +307,30 @@ def counter_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_json(F.struct(F.lit("2024-02-01").alias("interval_end"), F.lit("2024-01-01").alias("interval_start"), F.lit("inspect").alias("next_action"), F.lit("unreadable").alias("reason"), F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("scope_id"), F.when(F.col("event_id") % 3000 == 7, "other/v1").otherwise(COUNTER_SOURCE).alias("source"))).alias("feature_json"),
         F.lit("evidence:failures/x").alias("link"), F.col("ts").alias("_recorded_at"),
     ).withColumns(stamp))
+
+
+def usage_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counter packets from ``events``, one for each account and week: an event is a reading of a session, some with faults.
+
+    Packets overlap by two days: events of a week's first two days stand in the week before too, as exact retries, except that
+    of keys that divide by 400 the retry says something else.
+    """
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("long").alias("value"))
+    e = e.withColumns({"account": F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")), "day": F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))})
+    e = e.withColumn("session", F.concat_ws("-", "event_type", "account", (F.col("user_id") % 7).cast("string")))
+    so_far = F.sum("value").over(Window.partitionBy("account", "session").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
+    e = e.withColumn("so_far", so_far).withColumn("clock", F.expr("timestamp '2024-01-01' + make_dt_interval(0, 0, 0, cast(event_id as decimal(18,6)))"))
+    week = F.expr("day div 7")
+    e = e.withColumn("week", F.explode(F.when((F.col("day") % 7 < 2) & (week > 0), F.array(week - 1, week)).otherwise(F.array(week))))
+    key, retry = F.col("event_id"), F.col("week") != week
+    inside, total = F.expr("so_far * 3 div 4"), F.col("so_far") + F.when((key % 2000 == 1) | (retry & (key % 400 == 0)), 1).otherwise(0)
+    whole = F.struct(
+        F.when(key % 53 != 0, F.when(retry & (key % 400 == 0), inside + 1).otherwise(inside)).alias("input"), (F.col("so_far") - inside).alias("output"),
+        total.alias("total"), F.when(key % 2000 == 3, F.col("so_far") + 9).otherwise(0).alias("cache_read"),
+    )
+    part = F.expr("value * 3 div 4")
+    last = F.struct(part.alias("input"), (F.col("value") - part).alias("output"), (F.col("value") + F.when(key % 29 == 0, 1).otherwise(0)).alias("total"))
+    keep = {"ignoreNullFields": "false"}
+    counters = F.when(key % 3 == 0, F.to_json(F.struct(whole.alias("cumulative")), keep)).otherwise(F.to_json(F.struct(whole.alias("cumulative"), last.alias("last")), keep))
+    collected = F.when(key % 2000 == 5, F.lit("2023-12-31").cast("timestamp")).otherwise(F.expr("timestamp '2024-02-10' + make_dt_interval(week)"))
+    return e.select(F.concat_ws(":", "account", F.col("week").cast("string")).alias("packet"), "account", collected.alias("collected_at"), "session", key.alias("line"), F.col("clock").alias("observed_at"), counters.alias("counters"))

@@ -92,25 +92,45 @@ def test_nrr_date_diagnostic(spark):
     assert {r.case_id: (r.status, r.suggested_date) for r in found.collect()} == {c: (s, h) for c, (_, _, s, h) in CASES.items()}
 
 
+NOTHING = "account string, session string, line long, packet string, collected_at timestamp, observed_at timestamp, content string, temporality string, token_kind string, quantity long"
+
+
 def test_admission_of_usage_counters(spark):
-    at = lambda minute: dt.datetime(2024, 1, 1, 0, minute, tzinfo=UTC)
-    good = lambda n: json.dumps({k: {"input": n, "cached": 1, "output": 2, "total": n + 2} for k in ("last", "cumulative")})
-    off = json.dumps({"last": {"input": 3, "cached": 9, "output": 2, "total": 5}, "cumulative": {"input": 3, "cached": 1, "output": 2, "total": 5}})
+    day = lambda n: dt.datetime(2024, 1, n, tzinfo=dt.timezone.utc)
+    shape = "packet string, account string, collected_at timestamp, session string, line long, observed_at timestamp, counters string"
+    row = lambda p, line, text, session="s", account="a", seen=2, got=9: (p, account, day(got), session, line, day(seen), text)
+    good = '{"cumulative": {"input": 5, "output": 2, "total": 7, "cache_read": 1}}'
     rows = [
-        ("a", 1, at(1), at(9), good(3)), ("a", 2, at(2), at(9), good(4)), ("a", 3, at(1), at(9), good(5)), ("b", 1, at(1), at(9), off), ("c", 1, at(8), at(1), good(1)),
-        ("d", 1, at(1), at(9), good(1)), ("d", 1, at(1), at(9), good(2)), (None, 1, at(1), at(9), good(1)), ("e", 1, at(1), at(9), good(7)), ("e", 1, at(1), at(9), good(7)),
+        row("fine", 1, good), row("fine", 2, '{"last": {"input": 1, "output": 1, "total": 9}}'), row("fine", 3, '{"cumulative": {"input": null, "output": 2, "total": 9}, "last": {}}'),
+        row("sum", 1, '{"cumulative": {"input": 5, "output": 2, "total": 8}}', "t"), row("sum", 2, good, "t"), row("part", 1, '{"last": {"input": 1, "cache_read": 2}}', "u"),
+        row("reason", 1, '{"last": {"output": 1, "reasoning_output": 2}}', "u"), row("name", 1, good, "no way"), row("line", 0, good, "u"), row("late", 1, good, "u", seen=8, got=7),
+        row("field", 1, '{"last": {"inputs": 1}}', "u"), row("kind", 1, '{"other": {"input": 1}}', "u"), row("none", 1, "{}", "u"), row("text", 1, "so", "u"), row("size", 1, '{"last": {"input": -1}}', "u"),
+        row("order", 1, good, "v", seen=3), row("order", 2, good, "v", seen=2), row("order", 3, good, "v", seen=4), row("twice", 1, good, "w"), row("twice", 1, '{"last": {"input": 1}}', "w"),
+        row("other", 1, good, "held", account="b"), row("stored", 7, good, "held"),
     ]
-    packets = spark.createDataFrame(rows, "session string, line long, observed_at timestamp, collected_at timestamp, counters string")
-    none = spark.createDataFrame([], "session string, line long, content string")
-    admitted, held = usage.admit_usage(packets, none)
-    assert {(r.session, r.line) for r in admitted.collect()} == {("a", 1), ("a", 2), ("e", 1)} and admitted.count() == 24
-    assert {(r.session, r.line, r.reason) for r in held.collect()} == {
-        ("a", 3, "session order"), ("b", 1, "counter arithmetic"), ("c", 1, "observed after collection"), ("d", 1, "conflicting revision"), (None, 1, "identity")
-    }
-    again, held = usage.admit_usage(packets.filter("session = 'a' AND line < 3"), admitted)
-    assert again.count() == 0 and held.count() == 0
-    changed = packets.filter("session = 'a' AND line = 1").withColumn("counters", F.lit(good(9)))
-    assert [r.reason for r in usage.admit_usage(changed, admitted)[1].collect()] == ["conflicting revision"]
+    stored, _ = usage.admit_usage(spark.createDataFrame([row("old", 7, '{"last": {"input": 1}}', "held"), row("old", 8, good, "held")], shape), spark.createDataFrame([], NOTHING))
+    admitted, quarantined = usage.admit_usage(spark.createDataFrame([*rows, row("again", 8, good, "held")], shape), stored)
+    assert {r.packet: r.reasons for r in quarantined.collect()} == {
+        "sum": ["total"], "part": ["part above whole"], "reason": ["part above whole"], "name": ["identity"], "line": ["identity"], "late": ["observed after collection"], "field": ["undeclared field"],
+        "kind": ["undeclared field"], "none": ["no counter"], "text": ["no counter"], "size": ["quantity"], "order": ["session order"], "twice": ["conflicting lines"],
+        "other": ["session of another account"], "stored": ["contradicts a stored observation"],
+    }
+    found = {(r.line, r.temporality, r.token_kind): r.quantity for r in admitted.collect()}
+    assert {r.packet for r in admitted.collect()} == {"fine"} and len(found) == 20
+    assert (found[1, "cumulative", "total"], found[1, "cumulative", "reasoning_output"], found[2, "interval_total", "total"], found[3, "cumulative", "input"]) == (7, None, 9, None)
+    seen = usage.usage_observations(usage.usage_activities(admitted, "src"), "src")
+    assert [(r.source_line, r.residual) for r in usage.counter_residuals(seen).collect()] == [(2, 7)]
+
+
+def test_a_quarantined_packet_contradicts_nobody(spark):
+    day = lambda n: dt.datetime(2024, 1, n, tzinfo=dt.timezone.utc)
+    shape = "packet string, account string, collected_at timestamp, session string, line long, observed_at timestamp, counters string"
+    says = lambda p, at, line, n: (p, "a", day(at), "s", line, day(1), f'{{"last": {{"input": {n}}}}}')
+    # Each says something else about the line before, so every second one falls; the last repeats what a fallen one said.
+    chain = [x for k in range(1, 7) for x in (says(f"p{k}", k + 1, k, 10 + k), says(f"p{k}", k + 1, k + 1, 20 + k))] + [says("last", 20, 3, 22)]
+    admitted, quarantined = usage.admit_usage(spark.createDataFrame(chain, shape), spark.createDataFrame([], NOTHING))
+    assert {r.packet for r in admitted.collect()} == {"p1", "p3", "p5"}
+    assert {r.packet: r.reasons for r in quarantined.collect()} == dict.fromkeys(("p2", "p4", "p6", "last"), ["contradicts an earlier packet"])
 
 
 def test_both_apportionments_agree_and_add_up(spark):
