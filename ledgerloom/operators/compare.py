@@ -50,22 +50,30 @@ def compare_tables(left: DataFrame, right: DataFrame, keys: list[str], tolerance
     )
 
 
-def _shown(df: DataFrame) -> Column:
-    """A row as JSON with sorted columns; ratios at twelve decimals, times at microseconds in UTC."""
+def encoded(df: DataFrame) -> Column:
+    """A row as text by a rule that any engine can follow, so that equal populations have equal digests everywhere.
+
+    Columns go by name; a value is its text with the length before it, null a dash. Whole numbers, money and dates are written
+    as they are, ratios as decimals of twelve places (not finite ones by name), times as microseconds since 1970 in UTC.
+    """
     parts = []
     for c in sorted(df.columns):
         kind, col = df.schema[c].dataType, F.col(f"`{c}`")
         if isinstance(kind, (T.DoubleType, T.FloatType)):
-            col = F.coalesce(col.cast("decimal(38,12)").cast("string"), col.cast("string"))
+            col = F.coalesce(col.try_cast("decimal(38,12)").cast("string"), col.cast("string"))
         elif isinstance(kind, T.TimestampType):
-            col = F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-        parts.append(col.alias(c))
-    return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
+            col = F.unix_micros(col).cast("string")
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            col = F.to_json(col, {"ignoreNullFields": "false"})
+        else:
+            col = col.cast("string")
+        parts.append(F.coalesce(F.concat(F.char_length(col).cast("string"), F.lit(":"), col), F.lit("-")))
+    return F.concat_ws(",", *parts) if parts else F.lit("")
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """Count and order-independent digest of a population: lane sums of row digests, combined where the rows are."""
-    digest = F.sha2(_shown(df), 256)
+    digest = F.sha2(encoded(df), 256)
     lanes = [F.sum(F.conv(F.substring(digest, 15 * k + 1, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{k}") for k in range(4)]
     sums = df.agg(F.count(F.lit(1)).alias("n"), *lanes)
     return sums.select(F.col("n").alias("row_count"), F.sha2(F.concat_ws(":", "n", *[F.coalesce(F.col(f"s{k}"), F.lit(0)).cast("string") for k in range(4)]), 256).alias("fingerprint"))
@@ -97,8 +105,9 @@ def account_bridge(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.select("month", "account", (F.coalesce("now", F.lit(0)) - F.coalesce("was", F.lit(0))).alias("delta_cents")).filter("delta_cents <> 0")
 
 
-def input_manifest(snap: DataFrame, keys: str = "activity_id") -> DataFrame:
-    ends = snap.agg(F.min(keys).alias("first_id"), F.max(keys).alias("last_id"))
+def input_manifest(snap: DataFrame) -> DataFrame:
+    """One row: fingerprint, count, and the first and last position and identifier of what a run reads."""
+    ends = snap.agg(*[f(c).alias(n) for c, a in (("_stream_position", "position"), ("activity_id", "id")) for f, n in ((F.min, f"first_{a}"), (F.max, f"last_{a}"))])
     return fingerprint(snap).crossJoin(ends)
 
 

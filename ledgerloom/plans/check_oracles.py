@@ -255,7 +255,57 @@ USAGE = {
     "usage_readiness": """SELECT 'usage_observed' AS activity, 2 * count(*) + 3 * count(*) FILTER (WHERE event_id % 11 = 0) AS n FROM events
         UNION ALL SELECT 'application_inventory', 2 * count(DISTINCT user_id % 45) FROM events UNION ALL SELECT 'usage_coverage', count(*) FROM events WHERE event_id % 1000 = 7""",
 }
+#: The control that each check belongs to, of those that revenue and its close need.
+GATES = {
+    r: gate for gate, reasons in {
+        "accounting": "duplicate_invoice duplicate_contract duplicate_credit duplicate_expiry invalid_invoice orphan_credit invalid_expiry nonmonthly_subscription",
+        "core": "unique_customer_creation parent_graph_resolves parents_exist financial_customer_exists one_invoice_per_batch paid_state_has_start overlapping_subscriptions",
+        "journal": "journals_balance recognized_equals_revenue_accounts",
+    }.items() for r in reasons.split()
+}
+
+
+def printed(relation: str, columns: dict[str, str], also: str = "") -> str:
+    """Count and digest of a relation by the common encoding of rows: columns by name, values after their length."""
+    shown = {"double": "({c}::VARCHAR)::DECIMAL(38, 12)::VARCHAR", "plain": "{c}::VARCHAR"}
+    parts = [shown[kind].format(c=c) for c, kind in sorted(columns.items())]
+    text = " || ',' || ".join(f"coalesce(length({p}) || ':' || {p}, '-')" for p in parts)
+    lanes = [f"coalesce(sum(('0x' || h[{15 * k + 1} : {15 * k + 15}])::HUGEINT), 0)::VARCHAR" for k in range(4)]
+    return f"SELECT count(*) AS row_count, sha256(concat_ws(':', count(*)::VARCHAR, {', '.join(lanes)})) AS fingerprint{also} FROM (SELECT *, sha256({text}) AS h FROM {relation})"
+
+
+PLAIN = {
+    "customer": "c_custkey c_name c_nationkey c_mktsegment c_acctbal:double", "nation": "n_nationkey n_name n_regionkey", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice:double o_orderdate o_orderpriority",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice:double", "region": "r_regionkey r_name", "supplier": "s_suppkey s_name s_nationkey s_acctbal:double",
+}
+COLUMNS = {t: {c.partition(":")[0]: c.partition(":")[2] or "plain" for c in names.split()} for t, names in PLAIN.items()}
+IDS = """ids AS (SELECT 'use:' || event_id || ':cumulative:' || unnest(['input', 'output']) AS id, 'usage_observed' AS activity, NULL::VARCHAR AS link FROM events
+    UNION ALL SELECT 'use:' || event_id || ':interval_total:' || unnest(['input', 'output', 'total']), 'usage_observed', NULL FROM events WHERE event_id % 11 = 0
+    UNION ALL SELECT DISTINCT 'inv:u' || user_id % 45 || ':' || s.x, 'application_inventory', NULL FROM events, (VALUES ('cli'), ('web')) s(x)
+    UNION ALL SELECT 'cov:' || event_id, 'usage_coverage', 'evidence:failures/x' FROM events WHERE event_id % 1000 = 7),
+    pos AS (SELECT id AS activity_id, activity, link, row_number() OVER (ORDER BY id) AS _stream_position FROM ids)"""
+CAPTURED = """WITH b AS (SELECT 'inv:' || o_orderkey AS id, o_orderkey AS o, date_trunc('month', o_orderdate)::DATE AS month FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+    p AS (SELECT *, row_number() OVER (ORDER BY id) AS pos, o % 101 <> 0 AND o % 109 <> 0 AS there FROM b),
+    x AS (SELECT * FROM p WHERE month < DATE '2001-07-01'),
+    e AS (SELECT 'unexpected_activity' AS kind, id FROM x WHERE NOT there UNION ALL SELECT 'rejected', NULL FROM p WHERE o % 101 <> 0 AND o % 109 = 0
+        UNION ALL SELECT 'rejected', 'early:' || id FROM p WHERE o % 127 = 0 UNION ALL SELECT 'conflict', id FROM p WHERE there AND o % 107 = 0
+        UNION ALL SELECT 'missing_activity', 'new:' || id FROM x WHERE o % 113 = 0 UNION ALL SELECT 'altered_activity', id FROM x WHERE there AND o % 97 = 0
+        UNION ALL SELECT 'altered_arrival', id FROM x WHERE there AND o % 89 = 0 UNION ALL SELECT 'not_pre_ingestion_evidence', id FROM x WHERE there AND pos <= 10
+        UNION ALL SELECT 'partial_source_coverage', NULL)
+"""
 CHECK_ORACLE = USAGE | {
+    "fingerprints": "\nUNION ALL ".join(f"SELECT '{t}' AS population, * FROM ({printed(t, COLUMNS[t])})" for t in sorted(PLAIN)),
+    "input_manifest": f"WITH {IDS} " + printed(
+        "(SELECT * FROM pos WHERE _stream_position <= (SELECT count(*) // 2 FROM ids))", dict.fromkeys(("activity_id", "activity", "link", "_stream_position"), "plain"),
+        ", min(_stream_position) AS first_position, max(_stream_position) AS last_position, min(activity_id) AS first_id, max(activity_id) AS last_id",
+    ),
+    "capture_exceptions": CAPTURED + "SELECT kind, count(*) AS n, count(DISTINCT id) AS ids FROM e GROUP BY kind",
+    "capture_totals": CAPTURED + """SELECT 'sim:bills' AS source, strftime(month, '%Y-%m') AS month, 'usage_invoiced' AS activity, count(*) FILTER (WHERE there) + count(*) FILTER (WHERE o % 113 = 0) AS expected_count,
+        count(*) AS actual_count, 0::BIGINT AS expected_cents, 0::BIGINT AS actual_cents FROM x GROUP BY month""",
+    "published_outputs": sql(f"""SELECT 'clean' AS stream, 'fact_revenue' AS output, 'published' AS status, count(*) AS n, sum(revenue_cents)::BIGINT AS cents FROM rec
+        UNION ALL SELECT 'clean', 'close_accounts', 'published', count(*), sum(cents)::BIGINT FROM (SELECT sum(amount_cents) AS cents FROM jl GROUP BY month, account)
+        UNION ALL SELECT 'broken', 'all', g.gate || ': ' || c.reason, c.failures, 0 FROM ({counts({r: BROKEN[r] for r in BROKEN})}) c
+        JOIN (SELECT unnest({[r for r in GATES]}) AS reason, unnest({list(GATES.values())}) AS gate) g USING (reason) WHERE c.failures <> 0"""),
     "data_controls": sql(counts(CLEAN)),
     "data_controls_broken": sql(counts(BROKEN)),
     "data_tests": sql(counts(TESTS)),

@@ -9,10 +9,11 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import accounting, asserted, checks, compare, entities, integrity, metrics, reconcile, usage
+from ledgerloom.operators import accounting, asserted, checks, compare, entities, integrity, metrics, publish, reconcile, usage
 from ledgerloom.plans import context
 from ledgerloom.plans.books import Books
 from ledgerloom.plans.lineage import cut, scratch_path, stamp
+from ledgerloom.sources import captures
 from ledgerloom.sources.activity import with_positions
 from ledgerloom.sources.incremental import Projection
 from ledgerloom.sources.testdata import COUNTER_SOURCE, activity_stream, asserted_faults, asserted_stream, counter_stream, planted_faults, usage_packets
@@ -180,6 +181,72 @@ def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count("scope_id").alias("scoped"), F.min("_stream_position").alias("low"), F.max("_stream_position").alias("high"))
 
 
+#: Tables whose digests are compared between engines.
+PRINTED = ("customer", "nation", "orders", "part", "region", "supplier")
+
+
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [compare.fingerprint(spark.read.parquet(f"{sf_dir}/{t}.parquet")).select(F.lit(t).alias("population"), "*") for t in PRINTED]
+    return checks.together(*parts)
+
+
+def positions(spark: SparkSession, sf_dir: str, stream: DataFrame) -> DataFrame:
+    return cut(with_positions(stream), "positions")
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run over the usage stream up to half of its positions would read."""
+    stream = stored(spark, sf_dir, "counters", lambda: counter_stream(spark, sf_dir))
+    act = positions(spark, sf_dir, stream.select("activity_id", "activity", "link"))
+    half = act.agg(F.max("_stream_position")).first()[0] // 2
+    return compare.input_manifest(act.filter(F.col("_stream_position") <= half))
+
+
+def captured(which: int) -> Query:
+    """Invoices of the ledger against captured files of them in which some lines are missing, repeated, broken or changed."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        billed = stored_stream(spark, sf_dir).filter("activity = 'usage_invoiced'")
+        act = positions(spark, sf_dir, billed).withColumn("_source", F.lit("sim:bills"))
+        o = F.split_part("activity_id", F.lit(":"), F.lit(2)).cast("long")
+        given = F.from_json("feature_json", "map<string,string>")
+        event = lambda name, batch: F.struct(
+            name.alias("activity_id"), F.col("ts"), "customer", "activity", F.map_concat(F.map_filter(given, lambda k, _: k != "usage_batch_id"), F.create_map(F.lit("usage_batch_id"), batch)).alias("feature_json")
+        )
+        line = lambda name, batch, at: F.to_json(F.struct(event(name, batch).alias("event"), at.alias("recorded_at")), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+        name, batch, at = F.col("activity_id"), F.get_json_object("feature_json", "$.usage_batch_id"), F.col("_recorded_at")
+        true = line(name, F.when(o % 97 == 0, F.concat(batch, F.lit("?"))).otherwise(batch), F.when(o % 89 == 0, at + F.expr("INTERVAL 1 DAY")).otherwise(at))
+        lines = F.array_compact(F.array(
+            F.when(o % 101 != 0, F.when(o % 109 == 0, F.concat(F.lit("oops"), true)).otherwise(true)), F.when((o % 103 == 0) & (o % 101 != 0) & (o % 109 != 0), true),
+            F.when((o % 107 == 0) & (o % 101 != 0) & (o % 109 != 0), line(name, F.lit("other"), at)), F.when(o % 113 == 0, line(F.concat(F.lit("new:"), name), batch, at)),
+            F.when(o % 127 == 0, line(F.concat(F.lit("early:"), name), batch, F.col("ts") - F.expr("INTERVAL 1 DAY"))),
+        ))
+        folder = scratch_path(spark, "capture-files")
+        act.sortWithinPartitions("activity_id").select(F.posexplode(lines)).select("col").write.text(folder)
+        seen = captures.read_capture(spark, folder, "sim:bills", checked=False)
+        coverage = spark.createDataFrame([("sim:bills", "1995-01-01", "2001-06-01", 10)], "source string, coverage_start string, coverage_end string, pre_ingestion_watermark long")
+        exceptions, totals = captures.reconcile_captures(act, seen, coverage, "1995-01-01", "2001-07-01")
+        if which:
+            return totals
+        return exceptions.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("activity_id").alias("ids"))
+
+    return query
+
+
+def released(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the gate says of three outputs over the clean and over the broken stream: published rows and cents, or the checks that hold them."""
+    rows = []
+    for name, act in (("clean", stored_stream(spark, sf_dir)), ("broken", stored(spark, sf_dir, "broken", lambda: activity_stream(spark, sf_dir).unionByName(planted_faults(spark, sf_dir))))):
+        b, out = Books(act, ASOF), publish.Outputs(spark, scratch_path(spark, "outputs"))
+        wanted = {"fact_revenue": (b.recognized.drop("upstream_ids"), ["activity_id"]), "close_accounts": (accounting.close_accounts(b.journals), ["month", "account"])}
+        try:
+            out.publish(b, wanted)
+            rows += [(name, r.output, "published", r.row_count, int(r.cents)) for r in out.manifest().collect()]
+        except publish.Held as held:
+            rows += [(name, "all", reason, n, 0) for reason, n in held.failures.items()]
+    return spark.createDataFrame(rows, "stream string, output string, status string, n long, cents long")
+
+
 NO_OBSERVATIONS = "account string, session string, line long, packet string, collected_at timestamp, observed_at timestamp, content string, temporality string, token_kind string, quantity long"
 
 
@@ -332,6 +399,11 @@ QUERIES: dict[str, Query] = {
     ),
     "newly_visible": newly_visible,
     "attribution": attribution,
+    "fingerprints": fingerprints,
+    "input_manifest": manifest,
+    "capture_exceptions": captured(0),
+    "capture_totals": captured(1),
+    "published_outputs": released,
     "incremental_projection": projection,
     "account_bridge": account_bridge,
     "yield_bridge": yield_bridge,
