@@ -16,40 +16,56 @@ EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 TWELVE_PLACES = "decimal(38,12)"
 
 
-def compare_tables(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataFrame:
-    """One row: rows only on either side, repeated keys of either side, and rows that differ.
+def paired(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """One row per key of either side: the keys, n_l and n_r (rows of each side), and ``reasons``, the columns that differ.
 
     Whole numbers must be equal, other numbers within the tolerance; null equals only null, and a number that is not
-    finite equals nothing.
+    finite equals nothing. Null keys are equal.
     """
     values = [c for c in left.columns if c not in keys]
 
     def side(df: DataFrame, tag: str) -> DataFrame:
         packed = F.struct(*[F.col(f"`{c}`") for c in values]) if values else F.struct(F.lit(1).alias("one"))
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{tag}"), F.first(packed).alias(tag))
+        return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias(f"n_{tag}"), F.first(packed).alias(tag))
 
     l, r = side(left, "l").alias("l"), side(right, "r").alias("r")
     both = l.join(r, [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys], "full")
-
-    paired = F.col("n_l").isNotNull() & F.col("n_r").isNotNull()
-    flat = both.select("n_l", "n_r", F.col("l.l").alias("lv"), F.col("r.r").alias("rv"))
-    differs = F.lit(False)
+    named = [F.when(F.col("n_l").isNotNull(), F.col(f"l.`{k}`")).otherwise(F.col(f"r.`{k}`")).alias(k) for k in keys]
+    flat = both.select(*named, "n_l", "n_r", F.col("l.l").alias("lv"), F.col("r.r").alias("rv"))
+    reasons = []
     for c in values:
         a, b = F.col(f"lv.`{c}`"), F.col(f"rv.`{c}`")
         kind = left.schema[c].dataType
         if isinstance(kind, T.NumericType) and not isinstance(kind, EXACT):
             x, y = a.cast("double"), b.cast("double")
             finite = ~F.isnan(x) & ~F.isnan(y) & (F.abs(x) != float("inf")) & (F.abs(y) != float("inf"))
-            near = F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(finite & (F.abs(x - y) <= tolerance))
-            differs = differs | ~near
+            same = F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(finite & (F.abs(x - y) <= tolerance))
         else:
-            differs = differs | ~a.eqNullSafe(b)
+            same = a.eqNullSafe(b)
+        reasons.append(F.when(~same, F.lit(c)))
+    there = F.col("n_l").isNotNull() & F.col("n_r").isNotNull()
+    none = F.array().cast("array<string>")
+    return flat.select(*keys, "n_l", "n_r", F.when(there, F.array_compact(F.array(*reasons)) if reasons else none).otherwise(none).alias("reasons"))
+
+
+def compare_tables(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """One row: keys only on either side, repeated keys of either side, and keys whose rows differ."""
     n = lambda cond: F.count(F.when(cond, 1))
-    return flat.agg(
-        n(F.col("n_r").isNull()).alias("only_left"), n(F.col("n_l").isNull()).alias("only_right"), n(F.col("n_l") > 1).alias("repeated_left"), n(F.col("n_r") > 1).alias("repeated_right"), n(paired & differs).alias("different")
+    return paired(left, right, keys, tolerance).agg(
+        n(F.col("n_r").isNull()).alias("only_left"), n(F.col("n_l").isNull()).alias("only_right"), n(F.col("n_l") > 1).alias("repeated_left"), n(F.col("n_r") > 1).alias("repeated_right"), n(F.size("reasons") > 0).alias("different")
     )
 
 
+def differences(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """Keys with what is wrong with them: missing on a side, repeated, or the columns that differ. Take a few by ``limit``."""
+    rows = paired(left, right, keys, tolerance)
+    found = F.array_compact(F.array(
+        F.when(F.col("n_r").isNull(), "missing right"), F.when(F.col("n_l").isNull(), "missing left"), F.when(F.col("n_l") > 1, "repeated left"), F.when(F.col("n_r") > 1, "repeated right"),
+        F.when(F.size("reasons") > 0, F.array_join("reasons", " ")),
+    ))
+    return rows.select(*keys, F.array_join(found, ", ").alias("reason")).filter("reason <> ''")
+
+
 def encoded(df: DataFrame) -> Column:
     """A row as text by a rule that any engine can follow, so that equal populations have equal digests everywhere.
 
@@ -79,14 +95,27 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return sums.select(F.col("n").alias("row_count"), F.sha2(F.concat_ws(":", "n", *[F.coalesce(F.col(f"s{k}"), F.lit(0)).cast("string") for k in range(4)]), 256).alias("fingerprint"))
 
 
-def restate(old: DataFrame, new: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
-    """Row bridge between two runs: one row per key and measure with both values, the exact difference and what happened."""
+def restate(old: DataFrame, new: DataFrame, keys: list[str], measures: list[str], units: dict[str, str] | None = None) -> DataFrame:
+    """Row bridge between two runs: one row per key and measure with both values, the exact difference and what happened.
+
+    With ``units`` (of each measure) rows also have ``unit`` and ``delta_status``: differences of ratios are in percentage
+    points, and where an end is missing there is no difference.
+    """
     tall = lambda df: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast(TWELVE_PLACES).alias("value")) for m in measures])).alias("m")).select(*keys, "m.*")
     a, b = tall(old).withColumn("in_old", F.lit(True)).alias("a"), tall(new).withColumn("in_new", F.lit(True)).alias("b")
     both = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "measure"]], "full")
     what = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").when(F.col("a.value").eqNullSafe(F.col("b.value")), "unchanged").otherwise("changed")
     named = [F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in [*keys, "measure"]]
-    return both.select(*named, F.col("a.value").alias("old_value"), F.col("b.value").alias("new_value"), (F.col("b.value") - F.col("a.value")).alias("delta"), what.alias("change"))
+    delta = F.col("b.value") - F.col("a.value")
+    rows = both.select(*named, F.col("a.value").alias("old_value"), F.col("b.value").alias("new_value"), delta.alias("delta"), what.alias("change"))
+    if units is None:
+        return rows
+    unit = F.create_map(*[F.lit(x) for pair in units.items() for x in pair])[F.col("measure")]
+    ratio = unit == "ratio"
+    return rows.withColumns({
+        "delta": F.when(ratio, (F.col("delta").cast("decimal(24,12)") * 100).cast(TWELVE_PLACES)).otherwise(F.col("delta")), "unit": F.when(ratio, "percentage points").otherwise(unit),
+        "delta_status": F.when(F.col("delta").isNull(), "unavailable_endpoint").otherwise("defined"),
+    })
 
 
 def newly_visible(old: DataFrame, new: DataFrame) -> DataFrame:

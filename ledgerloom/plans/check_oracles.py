@@ -284,6 +284,9 @@ IDS = """ids AS (SELECT 'use:' || event_id || ':cumulative:' || unnest(['input',
     UNION ALL SELECT DISTINCT 'inv:u' || user_id % 45 || ':' || s.x, 'application_inventory', NULL FROM events, (VALUES ('cli'), ('web')) s(x)
     UNION ALL SELECT 'cov:' || event_id, 'usage_coverage', 'evidence:failures/x' FROM events WHERE event_id % 1000 = 7),
     pos AS (SELECT id AS activity_id, activity, link, row_number() OVER (ORDER BY id) AS _stream_position FROM ids)"""
+BILLED_AS_KNOWN = """WITH billed AS (SELECT 'c' || o_custkey AS customer, 'i' || o_orderkey AS document, round(o_totalprice * 100)::BIGINT AS net,
+    date_trunc('month', o_orderdate) + INTERVAL 1 MONTH - INTERVAL 1 MICROSECOND + CASE WHEN o_orderkey % 18 = 0 THEN INTERVAL 10 DAY ELSE INTERVAL 0 DAY END >= TIMESTAMP '2001-06-15' AS fresh
+    FROM orders WHERE o_orderdate < DATE '2001-08-01' AND o_orderkey IN (SELECT l_orderkey FROM lineitem))"""
 CAPTURED = """WITH b AS (SELECT 'inv:' || o_orderkey AS id, o_orderkey AS o, date_trunc('month', o_orderdate)::DATE AS month FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
     p AS (SELECT *, row_number() OVER (ORDER BY id) AS pos, o % 101 <> 0 AND o % 109 <> 0 AS there FROM b),
     x AS (SELECT * FROM p WHERE month < DATE '2001-07-01'),
@@ -299,6 +302,38 @@ CHECK_ORACLE = USAGE | {
         "(SELECT * FROM pos WHERE _stream_position <= (SELECT count(*) // 2 FROM ids))", dict.fromkeys(("activity_id", "activity", "link", "_stream_position"), "plain"),
         ", min(_stream_position) AS first_position, max(_stream_position) AS last_position, min(activity_id) AS first_id, max(activity_id) AS last_id",
     ),
+    "export_restored": f"WITH {IDS} " + printed("pos", dict.fromkeys(("activity_id", "activity", "link", "_stream_position"), "plain")),
+    "compare_tables": """SELECT count(*) FILTER (WHERE c_custkey % 13 = 0) AS only_left, count(*) FILTER (WHERE c_custkey % 19 = 0) AS only_right, count(*) FILTER (WHERE c_custkey % 23 = 0) AS repeated_left,
+        count(*) FILTER (WHERE c_custkey % 17 = 0 AND c_custkey % 13 <> 0) AS repeated_right, count(*) FILTER (WHERE c_custkey % 13 <> 0 AND (c_custkey % 11 = 0 OR c_custkey % 7 = 0)) AS different FROM customer""",
+    "table_differences": """SELECT * FROM (SELECT c_custkey, concat_ws(', ', CASE WHEN c_custkey % 13 = 0 THEN 'missing right' END, CASE WHEN c_custkey % 23 = 0 THEN 'repeated left' END,
+            CASE WHEN c_custkey % 17 = 0 AND c_custkey % 13 <> 0 THEN 'repeated right' END,
+            nullif(CASE WHEN c_custkey % 13 <> 0 THEN concat_ws(' ', CASE WHEN c_custkey % 7 = 0 THEN 'c_name' END, CASE WHEN c_custkey % 11 = 0 THEN 'c_acctbal' END) END, '')) AS reason FROM customer
+        UNION ALL SELECT -c_custkey - 1, 'missing left' FROM customer WHERE c_custkey % 19 = 0) WHERE reason <> ''""",
+    "restatement": BILLED_AS_KNOWN + """, e AS (SELECT customer, known, sum(net)::DOUBLE AS total, count(*)::DOUBLE AS bills, count(*) FILTER (WHERE net > 15000000)::DOUBLE / count(*) AS large_share
+            FROM billed, (VALUES ('old'), ('new')) k(known) WHERE known = 'new' OR NOT fresh GROUP BY ALL),
+        t AS (SELECT customer, known, unnest(['total', 'bills', 'large_share']) AS measure, unnest([total, bills, large_share]) AS value FROM e),
+        m AS (SELECT customer, measure, a.value AS o, b.value AS n FROM (SELECT * FROM t WHERE known = 'old') a RIGHT JOIN (SELECT * FROM t WHERE known = 'new') b USING (customer, measure))
+        SELECT customer, measure, round(o, 6) AS old_value, round(n, 6) AS new_value, round(CASE measure WHEN 'large_share' THEN 100 * (n - o) ELSE n - o END, 6) AS delta,
+            CASE WHEN o IS NULL THEN 'added' ELSE 'changed' END AS change, CASE measure WHEN 'total' THEN 'cents' WHEN 'bills' THEN 'count' ELSE 'percentage points' END AS unit,
+            CASE WHEN o IS NULL THEN 'unavailable_endpoint' ELSE 'defined' END AS delta_status FROM m WHERE o IS NULL OR abs(o - n) > 1e-11""",
+    "erp_bridge": sql("""SELECT month, account, source, sum(cents)::BIGINT AS ledger_cents, (sum(cents) + (month(month) = 3)::BIGINT)::BIGINT AS erp_cents, -(month(month) = 3)::BIGINT AS difference_cents FROM (
+        SELECT month, CASE recognition_kind WHEN 'usage' THEN '4000' WHEN 'subscription' THEN '4010' WHEN 'commit_expiry' THEN '4020' ELSE '4090' END AS account, source, revenue_cents AS cents FROM rec
+        UNION ALL SELECT month, '4000', 'usage', fee FROM fund WHERE fee <> 0) GROUP BY month, account, source"""),
+    "metric_identities": sql("""SELECT 'nrr_identity' AS reason, (SELECT count(*) FROM (SELECT lens, sum(current_cents) AS c, sum(base_cents) AS b, sum(greatest(current_cents - base_cents, 0)) AS e, sum(greatest(base_cents - current_cents, 0)) AS d
+            FROM mem3 WHERE in_cohort GROUP BY lens) WHERE c <> b + e - d) AS failures
+        UNION ALL SELECT 'cohort_monotone', (SELECT count(*) FROM (SELECT quarter_end, count(*) FILTER (WHERE revenue_cents >= 10000000) AS a, count(*) FILTER (WHERE revenue_cents >= 100000000) AS b,
+            count(*) FILTER (WHERE revenue_cents >= 1000000000) AS c FROM qr GROUP BY quarter_end) WHERE b > a OR c > b)
+        UNION ALL SELECT 'doctored nrr_identity', (SELECT count(*) FROM lens3 WHERE lens = 'base_t12m')
+        UNION ALL SELECT 'doctored cohort_monotone', (SELECT count(DISTINCT quarter_end) FROM qr)"""),
+    "stream_append": """WITH a AS (SELECT event_id AS k, 'use:' || event_id || ':cumulative:input' AS id, event_id % 2 AS batch FROM events), p AS (SELECT *, row_number() OVER (ORDER BY batch, id) AS pos FROM a)
+        SELECT batch::BIGINT AS batch, 'new' AS grade, count(*) AS n, min(pos) AS low, max(pos) AS high FROM p GROUP BY batch
+        UNION ALL SELECT 2, 'conflict', count(*), NULL, NULL FROM events WHERE event_id % 100 = 0""",
+    "stream_restatement": COUNTERS.rstrip() + """, r AS (SELECT account AS customer, source_line % 2 AS batch, coalesce(quantity, 0) AS q FROM o WHERE temporality = 'cumulative' AND token_kind = 'input'),
+        s AS (SELECT customer, count(*) FILTER (WHERE batch = 0) AS n0, sum(q) FILTER (WHERE batch = 0) AS q0, count(*) AS n1, sum(q) AS q1, count(*) FILTER (WHERE batch = 1) AS m FROM r GROUP BY customer),
+        t AS (SELECT 0::BIGINT AS batch, customer, unnest(['readings', 'mean']) AS measure, 'added' AS change, NULL::DOUBLE AS o, unnest([n0::DOUBLE, q0::DOUBLE / n0]) AS n FROM s WHERE n0 > 0
+            UNION ALL SELECT 1, customer, unnest(['readings', 'mean']), CASE WHEN n0 > 0 THEN 'changed' ELSE 'added' END, unnest([CASE WHEN n0 > 0 THEN n0::DOUBLE END, q0::DOUBLE / nullif(n0, 0)]), unnest([n1::DOUBLE, q1::DOUBLE / n1]) FROM s WHERE m > 0)
+        SELECT batch, customer, measure, change, round(o, 4) AS old_value, round(n, 4) AS new_value FROM t WHERE o IS NULL OR o <> n""",
+    "stream_counter_growth": COUNTERS + """SELECT account, scope_id, token_kind, source_line, quantity, previous, status, CASE WHEN status = 'observed' THEN quantity - previous END AS growth FROM steps""",
     "capture_exceptions": CAPTURED + "SELECT kind, count(*) AS n, count(DISTINCT id) AS ids FROM e GROUP BY kind",
     "capture_totals": CAPTURED + """SELECT 'sim:bills' AS source, strftime(month, '%Y-%m') AS month, 'usage_invoiced' AS activity, count(*) FILTER (WHERE there) + count(*) FILTER (WHERE o % 113 = 0) AS expected_count,
         count(*) AS actual_count, 0::BIGINT AS expected_cents, 0::BIGINT AS actual_cents FROM x GROUP BY month""",

@@ -13,9 +13,10 @@ from ledgerloom.operators import accounting, asserted, checks, compare, entities
 from ledgerloom.plans import context
 from ledgerloom.plans.books import Books
 from ledgerloom.plans.lineage import cut, scratch_path, stamp
-from ledgerloom.sources import captures
+from ledgerloom.sources import captures, export
 from ledgerloom.sources.activity import with_positions
 from ledgerloom.sources.incremental import Projection
+from ledgerloom.streaming import jobs
 from ledgerloom.sources.testdata import COUNTER_SOURCE, activity_stream, asserted_faults, asserted_stream, counter_stream, planted_faults, usage_packets
 
 ASOF = dt.date(2001, 7, 31)
@@ -233,6 +234,110 @@ def captured(which: int) -> Query:
     return query
 
 
+def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count and digest of the usage stream after it was written as ordered lines and restored."""
+    stream = stored(spark, sf_dir, "counters", lambda: counter_stream(spark, sf_dir))
+    act, folder = positions(spark, sf_dir, stream.select("activity_id", "activity", "link")), scratch_path(spark, "export")
+    export.export_ordered(act, folder)
+    return compare.fingerprint(export.restore(spark, folder))
+
+
+def altered_customers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers and a copy with small and large changes, missing, repeated and new rows."""
+    rows, k = spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_custkey")
+    other = rows.filter(k % 13 != 0).withColumns({
+        "c_acctbal": F.col("c_acctbal") + F.when(k % 11 == 0, 1.0).otherwise(1e-7), "c_name": F.when(k % 7 == 0, F.concat("c_name", F.lit("?"))).otherwise(F.col("c_name")),
+    })
+    fresh = rows.filter(k % 19 == 0).withColumn("c_custkey", -k - 1)
+    return rows.unionByName(rows.filter(k % 23 == 0)), other.unionByName(other.filter(k % 17 == 0)).unionByName(fresh)
+
+
+def restated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' bills as known in mid-June and in mid-August: typed differences of totals, counts and the share of large bills."""
+    billed = stored_stream(spark, sf_dir).filter("activity = 'usage_invoiced'")
+    net = (F.get_json_object("feature_json", "$.net_usd").cast("decimal(18,2)") * 100).cast("long")
+
+    def evaluate(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("customer").agg(F.sum(net).alias("total"), F.count(F.lit(1)).alias("bills"), (F.count(F.when(net > 15_000_000, 1)) / F.count(F.lit(1))).alias("large_share"))
+
+    units = {"total": "cents", "bills": "count", "large_share": "ratio"}
+    old, new = (evaluate(context.snapshot(billed, ASOF, known)) for known in (BEFORE, LATER))
+    rows = compare.restate(old, new, ["customer"], list(units), units).filter("change <> 'unchanged'")
+    return rows.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in ("old_value", "new_value", "delta")})
+
+
+def erp(b: Books) -> DataFrame:
+    """Revenue before fees against another system's books, which are a cent off in each March."""
+    ours = reconcile.erp_bridge(b.recognized, b.invoice_amounts, b.spark.createDataFrame([], "period string, account string, source string, amount_usd string"))
+    theirs = ours.select(F.date_format("month", "yyyy-MM").alias("period"), "account", "source", ((F.col("ledger_cents") + F.when(F.month("month") == 3, 1).otherwise(0)) / 100).cast("decimal(20,2)").cast("string").alias("amount_usd"))
+    return reconcile.erp_bridge(b.recognized, b.invoice_amounts, cut(theirs, "erp"))
+
+
+def identities(b: Books) -> DataFrame:
+    """The identities of retention and cohorts, on the results and on doctored ones."""
+    nrr, cohorts = cut(b.nrr(), "nrr"), cut(metrics.customer_cohorts(b.cohort_revenue, b.calendar, b.thresholds, b.ctx), "cohorts")
+    wrong = nrr.withColumn("churn_cents", F.col("churn_cents") + F.when(F.col("lens") == "base_t12m", 1).otherwise(0))
+    turned = cohorts.withColumn("customers", F.col("customers") + F.when(F.col("threshold_cents") == max(context.THRESHOLDS), 1_000_000).otherwise(0))
+    found = checks.together(checks.nrr_identity(nrr), checks.cohort_monotone(cohorts))
+    doctored = checks.together(checks.nrr_identity(wrong), checks.cohort_monotone(turned)).withColumn("reason", F.concat(F.lit("doctored "), "reason"))
+    return found.unionByName(doctored)
+
+
+def arriving(spark: SparkSession, rows: DataFrame, parts: int) -> DataFrame:
+    """A table as a stream that arrives in so many micro-batches: by its column ``part``, in order."""
+    folder = scratch_path(spark, "arriving")
+    schema = rows.drop("part").schema
+    for k in range(parts):
+        rows.filter(F.col("part") == k).drop("part").coalesce(1).write.parquet(f"{folder}/in-{k}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in-*")
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings in three parts by key; of some the third part repeats the first exactly, of others with another text."""
+    stream = stored(spark, sf_dir, "counters", lambda: counter_stream(spark, sf_dir)).filter("activity = 'usage_observed' AND activity_id LIKE '%:cumulative:input'")
+    key = F.split_part("activity_id", F.lit(":"), F.lit(2)).cast("long")
+    rows = stream.select("activity_id", "ts", "customer", "activity", "feature_json").withColumn("part", (key % 2).cast("int"))
+    again = rows.filter(key % 20 == 0).withColumns({"part": F.lit(2), "feature_json": F.when(key % 100 == 0, F.concat("feature_json", F.lit(" "))).otherwise(F.col("feature_json"))})
+    return rows.unionByName(again)
+
+
+def streamed_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows admitted and refused by micro-batch, with the positions given."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    root = scratch_path(spark, "stream-append")
+    jobs.stream_append(arriving(spark, arrivals(spark, sf_dir), 3), f"{root}/rows", f"{root}/conflicts", f"{root}/checkpoint").awaitTermination()
+    fresh = spark.read.parquet(f"{root}/rows").groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("_stream_position").alias("low"), F.max("_stream_position").alias("high"))
+    refused = spark.read.parquet(f"{root}/conflicts").groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda df, grade, *ends: df.select(F.col("batch").cast("long").alias("batch"), F.lit(grade).alias("grade"), "n", *ends)
+    return side(fresh, "new", "low", "high").unionByName(side(refused, "conflict", *[F.lit(None).cast("long").alias(c) for c in ("low", "high")]))
+
+
+def streamed_restatement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each micro-batch moves the readings and the mean counter of each account."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    root, quantity = scratch_path(spark, "stream-restate"), F.get_json_object("feature_json", "$.quantity").cast("long")
+    parts = lambda df: df.select("customer", F.lit(1).alias("n"), F.coalesce(quantity, F.lit(0)).alias("total"))
+    source = arriving(spark, arrivals(spark, sf_dir), 3)
+    measures = {"readings": "n", "mean": "total / n"}
+    jobs.stream_restate(source, f"{root}/rows", f"{root}/conflicts", f"{root}/moved", f"{root}/checkpoint", parts, ["customer"], ["n", "total"], measures).awaitTermination()
+    moved = spark.read.parquet(f"{root}/moved")
+    return moved.select(F.col("batch").cast("long").alias("batch"), "customer", "measure", "change", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("old_value", "new_value")])
+
+
+def streamed_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counter growth from readings that arrive in three shuffled parts, as the stored readings give it."""
+    stream = stored(spark, sf_dir, "counters", lambda: counter_stream(spark, sf_dir))
+    seen = usage.usage_observations(stream, COUNTER_SOURCE).select(*usage.KEY, "temporality", "ts", "source_line", "quantity").filter("temporality = 'cumulative'")
+    rows = seen.withColumn("part", F.pmod(F.xxhash64("source_line", "token_kind"), F.lit(3)).cast("int"))
+    end = spark.createDataFrame([("end", "end", "end", "end", "cumulative", dt.datetime(2025, 1, 1, tzinfo=UTC), 1, 0, part) for part in (3, 4)], rows.schema)
+    root = scratch_path(spark, "stream-growth")
+    grown = jobs.stream_counter_growth(arriving(spark, rows.unionByName(end), 5), WINDOW[0], "60 days")
+    start = grown.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start
+    jobs.start_with_state(spark, start).awaitTermination()
+    found = spark.read.parquet(f"{root}/rows").filter(F.col("ts") < F.lit(WINDOW[1]))
+    return found.select("account", "scope_id", "token_kind", "source_line", "quantity", "previous", "status", "growth")
+
+
 def released(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the gate says of three outputs over the clean and over the broken stream: published rows and cents, or the checks that hold them."""
     rows = []
@@ -404,6 +509,15 @@ QUERIES: dict[str, Query] = {
     "capture_exceptions": captured(0),
     "capture_totals": captured(1),
     "published_outputs": released,
+    "export_restored": exported,
+    "compare_tables": lambda spark, sf_dir: compare.compare_tables(*altered_customers(spark, sf_dir), ["c_custkey"]),
+    "table_differences": lambda spark, sf_dir: compare.differences(*altered_customers(spark, sf_dir), ["c_custkey"]),
+    "restatement": restated,
+    "erp_bridge": over_books(erp),
+    "metric_identities": over_books(identities),
+    "stream_append": streamed_append,
+    "stream_restatement": streamed_restatement,
+    "stream_counter_growth": streamed_growth,
     "incremental_projection": projection,
     "account_bridge": account_bridge,
     "yield_bridge": yield_bridge,

@@ -23,22 +23,6 @@ def read_activity(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ACTIVITY).parquet(path)
 
 
-def read_jsonl(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Activities as JSON lines; lines that don't parse keep their text in ``_error``."""
-    schema = "activity_id string, ts timestamp, customer string, anonymous_customer_id string, activity string, revenue_impact decimal(18,2), link string, _corrupt string"
-    lines = spark.read.text(path)
-    parsed = F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"})
-    rows = lines.select("value", parsed.alias("a"), F.get_json_object("value", "$.feature_json").alias("feature_json"))
-    bad = F.col("a._corrupt").isNotNull() | F.col("a.activity_id").isNull() | F.col("feature_json").isNull()
-    return rows.select("a.activity_id", "a.ts", "a.customer", "a.anonymous_customer_id", "a.activity", "feature_json", "a.revenue_impact", "a.link", F.lit(source).alias("_source"), F.when(bad, F.col("value")).alias("_error"))
-
-
-def export_jsonl(act: DataFrame, path: str) -> None:
-    """Canonical JSON lines ordered by id, without positions; one file for each range of ids."""
-    columns = [c for c in sorted(act.columns) if c != "_stream_position"]
-    act.orderBy("activity_id").select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
-
-
 def with_positions(rows: DataFrame, after: int = 0) -> DataFrame:
     """Consecutive positions by id: rows are ordered by range, and each range starts after the ones before it.
 
