@@ -303,6 +303,19 @@ CHECK_ORACLE = USAGE | {
         ", min(_stream_position) AS first_position, max(_stream_position) AS last_position, min(activity_id) AS first_id, max(activity_id) AS last_id",
     ),
     "export_restored": f"WITH {IDS} " + printed("pos", dict.fromkeys(("activity_id", "activity", "link", "_stream_position"), "plain")),
+    # Planted rows of each kind and how many of them lack a field, have no seats or no amount.
+    "catalogue_errors": f"""SELECT activity, (n + coalesce(more, 0) * b)::BIGINT AS n, (coalesce(wrong, 0) * b)::BIGINT AS refused FROM (
+        SELECT 'customer_created' AS activity, count(*) AS n FROM customer UNION ALL SELECT 'customer_merged', count(*) FROM customer WHERE c_custkey % 50 = 7 AND c_custkey >= 57
+        UNION ALL SELECT 'model_released', count(*) FROM region UNION ALL SELECT 'tokens_processed', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        UNION ALL SELECT 'usage_invoiced', count(*) FROM {BILLED} UNION ALL SELECT 'credit_issued', count(*) FROM {BILLED} AND o_orderkey % 67 = 0
+        UNION ALL SELECT 'contract_signed', 7 * count(*) FROM customer WHERE c_nationkey % 4 = 0 AND c_custkey % 3 = 0 UNION ALL SELECT 'contract_expired', 6 * count(*) FROM customer WHERE c_nationkey % 4 = 0 AND c_custkey % 3 = 0
+        UNION ALL SELECT unnest(['trial_started', 'subscription_started', 'seat_added', 'subscription_upgraded']), count(*) FROM customer WHERE c_custkey % 4 = 1
+        UNION ALL SELECT 'trial_expired', count(*) FROM customer WHERE c_custkey % 4 = 1 AND c_custkey % 3 = 0 UNION ALL SELECT 'trial_converted', count(*) FROM customer WHERE c_custkey % 4 = 1 AND c_custkey % 3 <> 0
+        UNION ALL SELECT 'subscription_cancelled', count(*) FROM customer WHERE c_custkey % 4 = 1 AND c_custkey % 7 = 0
+        UNION ALL SELECT 'capacity_contracted', 2 * count(*) FROM region UNION ALL SELECT 'capacity_energized', 6 * count(*) FROM region UNION ALL SELECT 'capacity_consumed', 2 * 79 * count(*) FROM region) t
+        LEFT JOIN (VALUES ('customer_created', 8, 0), ('contract_signed', 4, 4), ('contract_expired', 3, 0), ('usage_invoiced', 6, 6), ('credit_issued', 3, 3), ('subscription_started', 5, 5), ('seat_added', 1, 1),
+            ('trial_started', 2, 2), ('model_released', 2, 2), ('capacity_consumed', 2, 2), ('capacity_contracted', 2, 0), ('tokens_processed', 4, 4)) p(activity, more, wrong) USING (activity), (SELECT {BAD} AS b)
+        WHERE n > 0""",
     "compare_tables": """SELECT count(*) FILTER (WHERE c_custkey % 13 = 0) AS only_left, count(*) FILTER (WHERE c_custkey % 19 = 0) AS only_right, count(*) FILTER (WHERE c_custkey % 23 = 0) AS repeated_left,
         count(*) FILTER (WHERE c_custkey % 17 = 0 AND c_custkey % 13 <> 0) AS repeated_right, count(*) FILTER (WHERE c_custkey % 13 <> 0 AND (c_custkey % 11 = 0 OR c_custkey % 7 = 0)) AS different FROM customer""",
     "table_differences": """SELECT * FROM (SELECT c_custkey, concat_ws(', ', CASE WHEN c_custkey % 13 = 0 THEN 'missing right' END, CASE WHEN c_custkey % 23 = 0 THEN 'repeated left' END,

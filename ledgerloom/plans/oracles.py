@@ -51,7 +51,7 @@ CTES: dict[str, str] = {
         UNION ALL SELECT activity_id, customer, month, unnest(['4090', '1100']), unnest([amount, -amount]) FROM cred
         UNION ALL SELECT activity_id, customer, month, unnest(['1100', '4010']), unnest([amount, -amount]) FROM subamount""",
     "jl": """SELECT activity_id, customer, month, account, amount_cents::BIGINT AS amount_cents FROM jr WHERE amount_cents <> 0""",
-    "site": """SELECT r_regionkey AS r, u.p AS purpose, (r_regionkey + 1) * CASE WHEN u.p = 'inference' THEN 10 ELSE 5 END AS mw, 50 + 5 * r_regionkey AS rate FROM region, (VALUES ('inference'), ('training')) u(p) WHERE r_regionkey < 3""",
+    "site": """SELECT r_regionkey AS r, u.p AS purpose, (r_regionkey + 1) * CASE WHEN u.p = 'inference' THEN 10 ELSE 5 END AS mw, 50 + 5 * r_regionkey AS rate FROM region, (VALUES ('inference'), ('training')) u(p)""",
     "comp": """SELECT 'capacity' AS row_kind, 'cap:' || r || ':' || purpose AS activity_id, 'cap:' || r || ':' || purpose AS capacity_id, month, 'p' || r AS provider, 'r' || r AS region, purpose, NULL::VARCHAR AS model,
             mw::DOUBLE * 24 * date_diff('day', month, month_end) AS contracted, mw::DOUBLE * 24 * date_diff('day', month, month_end) * CASE WHEN month < DATE '1995-07-01' THEN 0.35 WHEN month < DATE '1996-01-01' THEN 0.7 ELSE 1 END AS energized, 0::DOUBLE AS consumed, 0::BIGINT AS cost_cents FROM site, cal
         UNION ALL SELECT 'consumption', 'use:' || r || ':' || purpose || ':' || month, 'cap:' || r || ':' || purpose, month, 'p' || r, 'r' || r, purpose, 'g' || least(5, year(month) - 1994), 0::DOUBLE, 0::DOUBLE, mw::DOUBLE * 12 * date_diff('day', month, month_end), (mw * 12 * date_diff('day', month, month_end) * rate * 100)::BIGINT FROM site, cal""",

@@ -15,6 +15,7 @@ from ledgerloom.plans.books import Books
 from ledgerloom.plans.lineage import cut, scratch_path, stamp
 from ledgerloom.sources import captures, export
 from ledgerloom.sources.activity import with_positions
+from ledgerloom.sources.admission import validate_activity
 from ledgerloom.sources.incremental import Projection
 from ledgerloom.streaming import jobs
 from ledgerloom.sources.testdata import COUNTER_SOURCE, activity_stream, asserted_faults, asserted_stream, counter_stream, planted_faults, usage_packets
@@ -234,6 +235,12 @@ def captured(which: int) -> Query:
     return query
 
 
+def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activities of the broken stream by kind, and how many of them break the catalogue: planted ones only."""
+    act = stored(spark, sf_dir, "broken", lambda: activity_stream(spark, sf_dir).unionByName(planted_faults(spark, sf_dir)))
+    return validate_activity(act).groupBy("activity").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.size("errors") > 0, 1)).alias("refused"))
+
+
 def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count and digest of the usage stream after it was written as ordered lines and restored."""
     stream = stored(spark, sf_dir, "counters", lambda: counter_stream(spark, sf_dir))
@@ -510,6 +517,7 @@ QUERIES: dict[str, Query] = {
     "capture_totals": captured(1),
     "published_outputs": released,
     "export_restored": exported,
+    "catalogue_errors": validated,
     "compare_tables": lambda spark, sf_dir: compare.compare_tables(*altered_customers(spark, sf_dir), ["c_custkey"]),
     "table_differences": lambda spark, sf_dir: compare.differences(*altered_customers(spark, sf_dir), ["c_custkey"]),
     "restatement": restated,

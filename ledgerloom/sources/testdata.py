@@ -50,7 +50,7 @@ def activity_stream(spark: SparkSession, sf_dir: str, service_months: int = 1) -
         _rows(customers.filter((k % 50 == 7) & (k >= 57)), "customer_merged", text("merge:", k), day("1999-06-15"), text("c", k), {"ultimate_parent": text("c", k - 50), "reason": F.lit("acquired")}),
     ]
     released = F.add_months(day(FIRST), F.col("r_regionkey") * 12)
-    out.append(_rows(table("region"), "model_released", text("model:", F.col("r_regionkey")), released, F.lit(None), {"model": text("g", F.col("r_regionkey") + 1), "generation": F.col("r_regionkey") + 1, "release_date": released}))
+    out.append(_rows(table("region"), "model_released", text("model:", F.col("r_regionkey")), released, F.lit(None), {"model": text("g", F.col("r_regionkey") + 1), "generation": F.col("r_regionkey") + 1, "release_date": released, "training_cost_usd_estimate": F.lit("1000000.00")}))
 
     month = F.trunc(F.col("o_orderdate").cast("date"), "month")
     last = F.add_months(F.col("month"), 1).cast("timestamp") - F.expr("interval 1 microsecond")
@@ -60,7 +60,7 @@ def activity_stream(spark: SparkSession, sf_dir: str, service_months: int = 1) -
     tokens = lines.withColumn("n", n).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers.select("c_custkey", "channel"), F.col("o_custkey") == k)
     price = (F.round(F.col("l_extendedprice") * 100).cast("long") % 5000) / 100.0
     out.append(_rows(tokens, "tokens_processed", text("tok:", F.col("l_orderkey"), ":", F.col("n")), last, text("c", F.col("o_custkey")), {
-        "usage_batch_id": text("b", F.col("l_orderkey")), "model": text("g", F.least(F.lit(5), F.year("month") - 1994)), "token_type": _pick(KINDS, F.col("l_linenumber") % 4),
+        "usage_batch_id": text("b", F.col("l_orderkey")), "model": text("g", F.least(F.lit(5), F.year("month") - 1994)), "model_release_date": F.add_months(day(FIRST), (F.least(F.lit(5), F.year("month") - 1994) - 1) * 12), "token_type": _pick(KINDS, F.col("l_linenumber") % 4),
         "tokens": (F.col("l_quantity") * 100000).cast("long"), "list_price_per_mtok": price, "effective_price_per_mtok": price, "channel": F.col("channel"), "workload": _pick(WORKLOADS, F.col("l_suppkey") % 3),
     }))
     billed = orders.join(lines.select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").join(customers.select("c_custkey", "channel"), F.col("o_custkey") == k)
@@ -70,13 +70,14 @@ def activity_stream(spark: SparkSession, sf_dir: str, service_months: int = 1) -
     out.append(_rows(billed, "usage_invoiced", text("inv:", o), last, text("c", F.col("o_custkey")), {
         "invoice_id": text("i", o), "usage_batch_id": text("b", o), "contract_id": contract, "period_start": F.col("month"), "period_end": F.add_months("month", service_months),
         "gross_usd": _usd(F.col("net")), "discount_usd": F.lit("0.00"), "net_usd": _usd(F.col("net")), "channel_fee_usd": _usd(F.col("fee")), "channel": F.col("channel"),
+        "commit_applied_usd": F.lit("0.00"), "cash_due_usd": _usd(F.col("net")),
     }, F.when(o % 18 == 0, 10).otherwise(0)))
     out.append(_rows(billed.filter(o % 67 == 0), "credit_issued", text("cred:", o), last, text("c", F.col("o_custkey")), {"credit_id": text("cr", o), "invoice_id": text("i", o), "period": F.col("month"), "amount_usd": _usd(F.expr("net * 5 div 100")), "reason": F.lit("service")}, F.lit(20)))
 
     years = customers.filter((F.col("channel") == "direct") & (k % 3 == 0)).withColumn("y", F.explode(F.sequence(F.lit(1995), F.lit(2001))))
     start, end = F.make_date("y", F.lit(1), F.lit(1)), F.make_date(F.col("y") + 1, F.lit(1), F.lit(1))
     longer = F.make_date(F.col("y") + (2 if service_months > 1 else 1), F.lit(1), F.lit(1))
-    out.append(_rows(years, "contract_signed", text("con:", k, ":", F.col("y")), start, text("c", k), {"contract_id": text("k", k, ":", F.col("y")), "term_months": F.lit(12), "commit_usd": F.lit("200000.00"), "channel": F.col("channel"), "start": start, "end": longer}))
+    out.append(_rows(years, "contract_signed", text("con:", k, ":", F.col("y")), start, text("c", k), {"contract_id": text("k", k, ":", F.col("y")), "term_months": F.lit(12), "commit_usd": F.lit("200000.00"), "discount_pct": F.lit(0), "channel": F.col("channel"), "start": start, "end": longer}))
     if service_months == 1:
         out.append(_rows(years.filter("y <= 2000"), "contract_expired", text("exp:", k, ":", F.col("y")), end, text("c", k), {"contract_id": text("k", k, ":", F.col("y")), "reason": F.lit("term")}))
 
@@ -86,15 +87,16 @@ def activity_stream(spark: SparkSession, sf_dir: str, service_months: int = 1) -
     began, trial, sub = F.date_add("s", 14), text("t", k), text("s", k)
     who, more = text("c", k), F.col("seats") + 2
     out += [
-        _rows(subs, "trial_started", text("trial:", k), F.col("s"), who, {"trial_id": trial, "plan": plan, "seats": F.col("seats")}),
-        _rows(subs, F.when(k % 3 == 0, "trial_expired").otherwise("trial_converted"), text("outcome:", k), began, who, {"trial_id": trial, "plan": plan}),
-        _rows(subs, "subscription_started", text("sub:", k), began, who, {"subscription_id": sub, "plan": plan, "seats": F.col("seats"), "price_per_seat": _usd(price * 100), "billing_period": F.lit("monthly"), "period_end": F.lit(STOP)}),
+        _rows(subs, "trial_started", text("trial:", k), F.col("s"), who, {"trial_id": trial, "plan": plan, "seats": F.col("seats"), "end": began}),
+        _rows(subs.filter(k % 3 == 0), "trial_expired", text("outcome:", k), began, who, {"trial_id": trial, "reason": F.lit("term")}),
+        _rows(subs.filter(k % 3 != 0), "trial_converted", text("outcome:", k), began, who, {"trial_id": trial, "subscription_id": sub, "plan": plan, "seats": F.col("seats")}),
+        _rows(subs, "subscription_started", text("sub:", k), began, who, {"subscription_id": sub, "plan": plan, "seats": F.col("seats"), "price_per_seat": _usd(price * 100), "billing_period": F.lit("monthly"), "period_start": began, "period_end": F.lit(STOP)}),
         _rows(subs, "seat_added", text("seat:", k), F.add_months("s", 5), who, {"subscription_id": sub, "plan": plan, "seats": F.lit(2), "seats_after": more}),
-        _rows(subs, "subscription_upgraded", text("up:", k), F.add_months("s", 8), who, {"subscription_id": sub, "plan": better, "seats": more, "price_per_seat": _usd(dearer * 100), "billing_period": F.lit("monthly"), "period_end": F.lit(STOP)}),
+        _rows(subs, "subscription_upgraded", text("up:", k), F.add_months("s", 8), who, {"subscription_id": sub, "plan": better, "seats": more, "price_per_seat": _usd(dearer * 100), "billing_period": F.lit("monthly"), "period_start": F.add_months("s", 8), "period_end": F.lit(STOP)}),
         _rows(subs.filter(k % 7 == 0), "subscription_cancelled", text("cancel:", k), F.add_months("s", 30), who, {"subscription_id": sub, "plan": better, "seats": more, "reason": F.lit("price")}),
     ]
     r = F.col("r_regionkey")
-    sites = table("region").filter("r_regionkey < 3").withColumn("purpose", F.explode(F.array(F.lit("inference"), F.lit("training"))))
+    sites = table("region").withColumn("purpose", F.explode(F.array(F.lit("inference"), F.lit("training"))))
     sites = sites.withColumn("mw", (r + 1) * F.when(F.col("purpose") == "inference", 10).otherwise(5)).withColumn("rate", F.lit(50) + 5 * r)
     cap = {"capacity_id": text("cap:", r, ":", F.col("purpose")), "provider": text("p", r), "region": text("r", r)}
     key = lambda kind, *more: text(f"{kind}:", r, ":", F.col("purpose"), *more)
@@ -104,7 +106,7 @@ def activity_stream(spark: SparkSession, sf_dir: str, service_months: int = 1) -
     out.append(_rows(steps, "capacity_energized", key("on", ":", F.col("step")), F.add_months(day(FIRST), F.col("step") * 6), F.lit(None), cap | {"mw": (F.col("mw") * share / 100).cast("decimal(12,2)")}))
     meters = sites.withColumn("month", F.explode(F.sequence(day(FIRST), F.add_months(day(STOP), -1), F.expr("interval 1 month"))))
     hours = F.datediff(F.add_months("month", 1), "month") * 12
-    out.append(_rows(meters, "capacity_consumed", key("use", ":", F.col("month")), last, F.lit(None), cap | {"mwh": F.col("mw") * hours, "purpose": F.col("purpose"), "model": text("g", F.least(F.lit(5), F.year("month") - 1994)), "period_start": F.col("month"), "period_end": F.add_months("month", 1)}))
+    out.append(_rows(meters, "capacity_consumed", key("use", ":", F.col("month")), last, F.lit(None), cap | {"mwh": F.col("mw") * hours, "purpose": F.col("purpose"), "model": text("g", F.least(F.lit(5), F.year("month") - 1994)), "period_start": F.col("month"), "period_end": F.add_months("month", 1), "allocation_basis": F.lit("metered")}))
     stream = out[0]
     for rows in out[1:]:
         stream = stream.unionByName(rows)
