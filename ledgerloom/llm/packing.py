@@ -106,8 +106,8 @@ class Tokens:
         self.parts: dict[str, bytes] = {}
         self.letters = {b: letter for letter, b in byte_letters().items()}
         # A text holds an added token only where the first two signs of one stand, in either case.
-        begins = sorted({re.escape(t.content[:2].lower()) for t in self.tokenizer.get_added_tokens_decoder().values()})
-        self.special = re.compile("|".join(begins) or r"(?!)", re.IGNORECASE)
+        self.begins = sorted({t.content[:2].lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.special = re.compile("|".join(map(re.escape, self.begins)) or r"(?!)", re.IGNORECASE)
 
     def learn(self, words: list[bytes]) -> None:
         """Encode words through their parts: letters, single digits and other signs are encoded apart by this vocabulary.
@@ -115,16 +115,18 @@ class Tokens:
         Words beyond Latin letters, those with control signs and those that may hold a special token go to the library whole.
         """
         parts_of: list[list[str]] = []
-        for word in words:
-            plain = word.decode("utf-8", "replace")
-            whole = self.special.search(plain) or CONTROL.search(plain) or (not plain.isascii() and max(plain) >= BEYOND_LATIN)
+        plains = [word.decode("utf-8", "replace") for word in words]
+        together = "\n".join(plains).lower()
+        odd = any(begin in together for begin in self.begins)  # else no word holds one, and no part of a word
+        for plain in plains:
+            whole = (odd and self.special.search(plain)) or CONTROL.search(plain) or (not plain.isascii() and max(plain) >= BEYOND_LATIN)
             parts_of.append([plain] if whole else PARTS.findall(plain.lower()))
         known = self.parts
         if len(known) > CACHE_WORDS:
             known.clear()
         merge = self.tokenizer.model.tokenize  # what is left of encoding a part: it is split and in lower case already
         for part in set().union(*parts_of).difference(known):
-            if self.special.search(part) or CONTROL.search(part) or max(part) >= BEYOND_LATIN:
+            if (odd and self.special.search(part)) or CONTROL.search(part) or max(part) >= BEYOND_LATIN:
                 ids = self.tokenizer.encode(part, add_special_tokens=False).ids
             elif part.isascii():
                 ids = [t.id for t in merge(part)]
