@@ -5,15 +5,19 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
+import quality_by_hand
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import queries
 
+DATA = Path("/root/testdata")
+
 
 @pytest.fixture(scope="module")
 def table(spark, tmp_path_factory):
@@ -84,11 +88,30 @@ def test_op5_and_op7_columns(spark, table):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(coded, skip_special_tokens=False).encode()).hexdigest()
 
 
-def test_op10_columns(spark, table):
+def test_op10_columns(spark, table, tmp_path):
     folder, texts = table
-    for k, r in rows_of(queries.op10_quality, spark, folder).items():
-        assert r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
-    assert queries.op10_quality(spark, folder).count() == len(texts)
+    spark.read.parquet(f"{folder}/documents.parquet").write.parquet(f"file://{tmp_path}/documents.parquet")
+    labels = {k: int(k % 3 > 0) for k in range(len(texts))}
+    spark.createDataFrame([(k, y, 0) for k, y in labels.items()], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    wanted = quality_by_hand.scores({k: (t, None if t is None else len(t)) for k, t in enumerate(texts)}, labels)
+    found = rows_of(queries.op10_quality, spark, f"file://{tmp_path}")
+    assert len(found) == len(texts)
+    for k, r in found.items():
+        assert r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3)
+        assert r.score == pytest.approx(wanted[k], abs=1e-4)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the tables are not here")
+@pytest.mark.parametrize(("scale", "lowest"), [("sf0.01", 0.95), ("sf0.1", 0.99)])
+def test_op10_held_out_accuracy(spark, scale, lowest):
+    """Accuracy grows with the labelled rows: a tenth of the table lets more junk pass."""
+    folder = DATA / scale
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").filter("quality IN (0, 1)").collect()}
+    held = [(r.score, r.predicted, labels[r.doc_id]) for r in queries.op10_quality(spark, str(folder)).filter("held_out").collect() if r.doc_id in labels]
+    good, bad = [s for s, _, y in held if y], [s for s, _, y in held if not y]
+    assert np.mean([(a > b) + (a == b) / 2 for a in good for b in bad]) >= 0.99
+    right = sum(p * y for _, p, y in held)
+    assert 2 * right / (sum(p for _, p, _ in held) + len(good)) >= lowest
 
 
 def test_op2_columns(spark, table):
