@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans.oracles import sql
+from ledgerloom.plans.oracles import ORACLE, sql
 
 BAD = "(SELECT count(*) FROM customer WHERE c_custkey % 100 = 3)"
 
 
+#: Retention of both reporting dates.
+REPORTS = f"SELECT * FROM ({ORACLE['consumption_nrr']}) UNION ALL BY NAME SELECT * FROM ({ORACLE['consumption_nrr_early']})"
+
+
+def dollars(cents: str) -> str:
+    """Cents, none below zero, as text with two decimals."""
+    return f"{cents} // 100 || '.' || lpad(({cents} % 100)::VARCHAR, 2, '0')"
+
+
 def counts(rows: dict[str, str]) -> str:
     """One row for each named count."""
     return "\nUNION ALL ".join(f"SELECT '{reason}' AS reason, ({count})::BIGINT AS failures" for reason, count in rows.items())
@@ -329,6 +338,30 @@ CHECK_ORACLE = USAGE | {
         SELECT customer, measure, round(o, 6) AS old_value, round(n, 6) AS new_value, round(CASE measure WHEN 'large_share' THEN 100 * (n - o) ELSE n - o END, 6) AS delta,
             CASE WHEN o IS NULL THEN 'added' ELSE 'changed' END AS change, CASE measure WHEN 'total' THEN 'cents' WHEN 'bills' THEN 'count' ELSE 'percentage points' END AS unit,
             CASE WHEN o IS NULL THEN 'unavailable_endpoint' ELSE 'defined' END AS delta_status FROM m WHERE o IS NULL OR abs(o - n) > 1e-11""",
+    "canonical_payloads": sql(f"""SELECT 'cust:' || k AS activity_id, 'customer_created' AS activity, '{{"channel":"' || channel || '","country":"' || country || '","parent_customer":' ||
+            CASE WHEN k % 5 = 4 THEN '"c' || (k // 5) || '"' ELSE 'null' END || ',"segment":"' || segment || '"}}' AS feature_json FROM cus
+        UNION ALL SELECT activity_id, 'credit_issued', '{{"amount_usd":"' || {dollars('amount')} || '","credit_id":"' || credit_id || '","invoice_id":"' || invoice_id || '","period":"' || month || '","reason":"service"}}' FROM cred
+        UNION ALL SELECT activity_id, 'usage_invoiced', '{{"cash_due_usd":"' || {dollars('net')} || '","channel":"' || channel || '","channel_fee_usd":"' || {dollars('fee')} || '","commit_applied_usd":"0.00","contract_id":' ||
+            coalesce('"' || contract_id || '"', 'null') || ',"discount_usd":"0.00","gross_usd":"' || {dollars('net')} || '","invoice_id":"' || invoice_id || '","net_usd":"' || {dollars('net')} || '","period_end":"' || month_end ||
+            '","period_start":"' || month || '","usage_batch_id":"' || batch || '"}}' FROM inv
+        UNION ALL SELECT activity_id, kind, '{{"plan":"' || plan || '","seats":2,"seats_after":' || seats || ',"subscription_id":"' || sid || '"}}' FROM state WHERE kind = 'seat_added'
+        UNION ALL SELECT activity_id, kind, '{{"plan":"' || plan || '","reason":"price","seats":' || seats_before || ',"subscription_id":"' || sid || '"}}' FROM state WHERE kind = 'subscription_cancelled'"""),
+    "metric_pack": f"""SELECT 'consumption_nrr' AS metric, '{{"lens":"' || lens || '","month":"' || month || '"}}' AS dimensions, m.measure, m.value, m.unit,
+            CASE WHEN status = 'defined' AND m.value IS NULL THEN 'undefined' ELSE status END AS status FROM (
+        SELECT month, lens, status, unnest([{{'measure': 'cohort_customers', 'value': cohort_customers::VARCHAR, 'unit': 'count'}},
+            {', '.join(f"{{'measure': '{c}_usd', 'value': ({c}_cents::DECIMAL(20,2) / 100)::DECIMAL(20,2)::VARCHAR, 'unit': 'USD'}}" for c in ("all_base", "base_revenue", "current_revenue", "expansion", "contraction", "churn"))},
+            {', '.join(f"{{'measure': '{c}', 'value': {c}::DECIMAL(18,6)::VARCHAR, 'unit': 'ratio'}}" for c in ("nrr", "expansion_share", "contraction_share", "churn_share", "cohort_revenue_coverage"))}]) AS m
+        FROM ({REPORTS}))""",
+    "nrr_date_diagnostic": f"""WITH rep AS ({REPORTS}), held AS (
+            SELECT 'whole' AS report, month, status, nrr FROM rep WHERE month = DATE '2001-07-31' UNION ALL SELECT 'early', month, status, nrr FROM rep WHERE month = DATE '1996-07-31'
+            UNION ALL SELECT 'mixed', month, status, nrr FROM rep UNION ALL SELECT 'short', month, status, nrr FROM rep WHERE month = DATE '2001-07-31' AND lens <> 'base_t12m'),
+        k AS (SELECT report, count(*) AS n, count(*) FILTER (WHERE status <> 'defined' OR nrr IS NULL) AS off, min(month) AS low FROM held GROUP BY report),
+        m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS m FROM orders WHERE o_orderdate < DATE '2001-08-01' AND o_orderkey IN (SELECT l_orderkey FROM lineitem) AND NOT (o_orderkey % 18 = 0 AND date_trunc('month', o_orderdate) = DATE '2001-07-01')),
+        q AS (SELECT x.*, (SELECT count(*) FROM held h WHERE h.report = x.report AND h.month = x.d) AS hits FROM (SELECT d, report, population FROM (SELECT DISTINCT unnest([m, last_day(m)]) AS d FROM m),
+            (SELECT unnest(['whole', 'early', 'mixed', 'short', 'missing']) AS report), (SELECT unnest(['nrr', 'seats']) AS population)) x)
+        SELECT report || ':' || population || ':' || d AS case_id, s AS status, CASE WHEN s = 'date_grain_mismatch' THEN low::VARCHAR END AS suggested_date, coalesce(n, 0) AS population_rows, hits AS selected_rows, coalesce(off, 0) AS unavailable_rows FROM (
+            SELECT q.*, n, off, low, CASE WHEN population = 'seats' THEN 'unsupported_population' WHEN report = 'missing' THEN 'no_population' WHEN report = 'mixed' THEN 'ambiguous_population' WHEN report = 'short' THEN 'incomplete_population'
+            WHEN hits > 0 THEN CASE WHEN off > 0 THEN 'selected_unavailable' ELSE 'selected' END WHEN d = date_trunc('month', low) THEN 'date_grain_mismatch' ELSE 'no_matching_date' END AS s FROM q LEFT JOIN k USING (report))""",
     "erp_bridge": sql("""SELECT month, account, source, sum(cents)::BIGINT AS ledger_cents, (sum(cents) + (month(month) = 3)::BIGINT)::BIGINT AS erp_cents, -(month(month) = 3)::BIGINT AS difference_cents FROM (
         SELECT month, CASE recognition_kind WHEN 'usage' THEN '4000' WHEN 'subscription' THEN '4010' WHEN 'commit_expiry' THEN '4020' ELSE '4090' END AS account, source, revenue_cents AS cents FROM rec
         UNION ALL SELECT month, '4000', 'usage', fee FROM fund WHERE fee <> 0) GROUP BY month, account, source"""),

@@ -15,7 +15,7 @@ from ledgerloom.plans.books import Books
 from ledgerloom.plans.lineage import cut, scratch_path, stamp
 from ledgerloom.sources import captures, export
 from ledgerloom.sources.activity import with_positions
-from ledgerloom.sources.admission import validate_activity
+from ledgerloom.sources.admission import canonical_features, pack_long, validate_activity
 from ledgerloom.sources.incremental import Projection
 from ledgerloom.streaming import jobs
 from ledgerloom.sources.testdata import COUNTER_SOURCE, activity_stream, asserted_faults, asserted_stream, counter_stream, planted_faults, usage_packets
@@ -241,6 +241,46 @@ def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate_activity(act).groupBy("activity").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.size("errors") > 0, 1)).alias("refused"))
 
 
+def canonical(b: Books) -> DataFrame:
+    """Canonical payloads of customers, invoices, credits and changes of seats."""
+    kinds = ["customer_created", "usage_invoiced", "credit_issued", "seat_added", "subscription_cancelled"]
+    return canonical_features(b.snap.filter(F.col("activity").isin(kinds))).select("activity_id", "activity", "feature_json")
+
+
+def retention_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retention of both reporting dates."""
+    stream = stored_stream(spark, sf_dir)
+    return Books(stream, ASOF).nrr().unionByName(Books(stream, EARLY).nrr())
+
+
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both retention reports, a row for each measure."""
+    units = {"cohort_customers": "count"}
+    units |= dict.fromkeys(["all_base_cents", "base_revenue_cents", "current_revenue_cents", "expansion_cents", "contraction_cents", "churn_cents"], "cents")
+    ratios = ["nrr", "expansion_share", "contraction_share", "churn_share", "cohort_revenue_coverage"]
+    rows = retention_reports(spark, sf_dir).withColumns({c: F.col(c).cast("decimal(18,6)") for c in ratios})
+    return pack_long("consumption_nrr", rows, ["month", "lens"], units | dict.fromkeys(ratios, "ratio"))
+
+
+def date_diagnostic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for each month with invoices, by its first and last day, of reports that are whole, early, mixed, short and missing."""
+    rows = cut(retention_reports(spark, sf_dir), "reports")
+    lens, month = F.col("lens"), F.col("month")
+    of = F.array_compact(F.array(
+        F.when(month == F.lit(ASOF), "whole"), F.when(month == F.lit(EARLY), "early"), F.lit("mixed"), F.when((month == F.lit(ASOF)) & (lens != "base_t12m"), "short"),
+    ))
+    reports = rows.select(F.explode(of).alias("report"), "month", "lens", "status", "nrr")
+    months = books(spark, sf_dir).invoices.select(F.trunc("period_start", "month").alias("m")).distinct()
+    names = F.array(*[F.lit(c) for c in ("whole", "early", "mixed", "short", "missing")])
+    asked = months.select(F.explode(F.array("m", F.last_day("m"))).alias("requested_date")).select("*", F.explode(names).alias("report"))
+    asked = asked.select("report", "requested_date", F.explode(F.array(F.lit("nrr"), F.lit("seats"))).alias("population"))
+    case = lambda *parts: F.concat_ws(":", *parts)
+    cases = asked.withColumn("case_id", case("report", "population", F.col("requested_date").cast("string")))
+    shown = cases.join(F.broadcast(reports), "report").select("case_id", "month", "lens", "status", "nrr")
+    lenses = [row[0] for row in context.LENSES["v3"]]
+    return integrity.nrr_date_diagnostic(cases.select("case_id", "population", "requested_date"), shown, lenses)
+
+
 def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count and digest of the usage stream after it was written as ordered lines and restored."""
     stream = stored(spark, sf_dir, "counters", lambda: counter_stream(spark, sf_dir))
@@ -518,6 +558,9 @@ QUERIES: dict[str, Query] = {
     "published_outputs": released,
     "export_restored": exported,
     "catalogue_errors": validated,
+    "canonical_payloads": over_books(canonical),
+    "metric_pack": packed,
+    "nrr_date_diagnostic": date_diagnostic,
     "compare_tables": lambda spark, sf_dir: compare.compare_tables(*altered_customers(spark, sf_dir), ["c_custkey"]),
     "table_differences": lambda spark, sf_dir: compare.differences(*altered_customers(spark, sf_dir), ["c_custkey"]),
     "restatement": restated,

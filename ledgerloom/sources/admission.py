@@ -149,13 +149,21 @@ def validate_activity(act: DataFrame, catalog: dict[str, dict[str, Field]] = CAT
 
 
 def canonical_features(act: DataFrame, catalog: dict[str, dict[str, Field]] = CATALOG) -> DataFrame:
-    """Payloads as JSON with sorted keys and typed values: money with two decimals, absent optional fields as null."""
-    text = None
+    """Payloads as JSON with sorted keys and typed values, each parsed once: money with two decimals, times in UTC to the
+    microsecond, absent optional fields as null. Payloads of unknown activities stay as they are."""
+    rows = act.withColumn("_given", F.from_json("feature_json", "map<string,string>"))
+
+    def shown(name: str, kind: str) -> Column:
+        value = F.try_element_at(F.col("_given"), F.lit(name)).try_cast(CASTS[kind])
+        if kind == "timestamp":
+            return F.date_format(F.to_utc_timestamp(value, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        return value.cast("string") if kind in ("money", "date") else value
+
+    text = F.when(F.lit(False), F.col("feature_json"))
     for activity, fields in catalog.items():
-        parts = [(_value(n).try_cast(CASTS[f.kind]).cast("string") if f.kind in ("money", "date", "timestamp") else _value(n).try_cast(CASTS[f.kind])).alias(n) for n, f in sorted(fields.items())]
-        packed = F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
-        text = F.when(F.col("activity") == activity, packed) if text is None else text.when(F.col("activity") == activity, packed)
-    return act.withColumn("feature_json", text.otherwise(F.col("feature_json")))
+        packed = F.to_json(F.struct(*[shown(n, f.kind).alias(n) for n, f in sorted(fields.items())]), {"ignoreNullFields": "false"})
+        text = text.when(F.col("activity") == activity, packed)
+    return rows.withColumn("feature_json", text.otherwise(F.col("feature_json"))).drop("_given")
 
 
 def inventory(observations: DataFrame) -> DataFrame:
@@ -175,12 +183,15 @@ def restore_check(act: DataFrame) -> DataFrame:
 
 
 def pack_long(metric: str, rows: DataFrame, dimensions: list[str], units: dict[str, str]) -> DataFrame:
-    """A metric as one row per dimension set and measure: value as text, cents turned into dollars."""
-    named = F.to_json(F.struct(*sorted(dimensions)), {"ignoreNullFields": "false"})
+    """A metric as one row per dimension set and measure, with the value as text.
 
-    def shown(name: str, unit: str) -> Column:
-        return (F.col(name).cast("decimal(20,0)") / 100).cast("decimal(20,2)").cast("string") if unit == "cents" else F.col(name).cast("string")
-
-    measures = F.array(*[F.struct(F.lit(n).alias("measure"), shown(n, u).alias("value"), F.lit("USD" if u == "cents" else u).alias("unit")) for n, u in units.items()])
-    status = F.when(F.col("value").isNull(), "undefined").otherwise("defined")
-    return rows.select(F.lit(metric).alias("metric"), named.alias("dimensions"), F.inline(measures)).withColumn("status", status)
+    Cents become dollars and their columns are named so, dimensions too. The status is the row's own where it has one; a
+    measure without value is undefined.
+    """
+    dollars = lambda name: (F.col(name).cast("decimal(20,0)") / 100).cast("decimal(20,2)").cast("string")
+    named = lambda name: name.removesuffix("_cents") + "_usd" if name.endswith("_cents") else name
+    about = F.to_json(F.struct(*[(dollars(d) if d.endswith("_cents") else F.col(d)).alias(named(d)) for d in sorted(dimensions, key=named)]), {"ignoreNullFields": "false"})
+    measures = F.array(*[F.struct(F.lit(named(n)).alias("measure"), (dollars(n) if u == "cents" else F.col(n).cast("string")).alias("value"), F.lit("USD" if u == "cents" else u).alias("unit")) for n, u in units.items()])
+    own = F.col("status") if "status" in rows.columns else F.lit("defined")
+    packed = rows.select(F.lit(metric).alias("metric"), about.alias("dimensions"), own.alias("status"), F.inline(measures))
+    return packed.withColumn("status", F.when((F.col("status") == "defined") & F.col("value").isNull(), "undefined").otherwise(F.col("status")))

@@ -60,5 +60,10 @@ def test_inventory_restore_and_pack(spark):
     assert found == {1: "accepted", 2: "duplicate", 3: "conflict", 4: "rejected", 5: "accepted"}
     act = spark.createDataFrame([("a", 1), ("b", 2)], "activity_id string, _stream_position long")
     assert restore_check(act).first().complete and not restore_check(act.filter("_stream_position = 2")).first().complete
+    seen = act.select(F.lit("usage_charge").alias("activity"), F.lit('{"interval_start": "2024-05-01T02:30:00.5+02:00", "scope_id": "s", "amount_decimal": "1.5"}').alias("feature_json"))
+    times = json.loads(canonical_features(seen).first().feature_json)
+    assert times["interval_start"] == "2024-05-01T00:30:00.500000Z" and times["supersedes"] is None and list(times) == sorted(times)
+    paid = pack_long("m", spark.createDataFrame([(500, "held", 1234), (700, "defined", None)], "floor_cents long, status string, net_cents long"), ["floor_cents"], {"net_cents": "cents"})
+    assert {tuple(r) for r in paid.select("dimensions", "measure", "value", "status").collect()} == {('{"floor_usd":"5.00"}', "net_usd", "12.34", "held"), ('{"floor_usd":"7.00"}', "net_usd", None, "undefined")}
     long = pack_long("m", spark.createDataFrame([("g1", 1234, None)], "model string, net long, ratio double"), ["model"], {"net": "cents", "ratio": "ratio"})
     assert {(r.measure, r.value, r.unit, r.status) for r in long.collect()} == {("net", "12.34", "USD", "defined"), ("ratio", None, "ratio", "undefined")}
