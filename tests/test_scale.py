@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.plans import lineage
+from ledgerloom.plans import lineage, queries
+from ledgerloom.streaming import jobs
 
 
 def test_a_table_written_by_one_task_is_read_by_many(spark):
@@ -12,3 +13,23 @@ def test_a_table_written_by_one_task_is_read_by_many(spark):
     assert table.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= lineage.FILE_ROWS
     assert table.agg(F.count_distinct("id")).first()[0] == 250_000
     lineage.discard(table)
+
+
+def test_a_part_arrives_as_one_batch_of_many_files(spark, monkeypatch):
+    monkeypatch.setattr(queries, "FILE_ROWS", 10)
+    seen, root = [], lineage.scratch_path(spark, "arrive-test")
+    look = lambda batch, number: seen.append((number, batch.count(), batch.select(F.input_file_name()).distinct().count()))
+    start = lambda source: source.writeStream.foreachBatch(look).option("checkpointLocation", root).trigger(availableNow=True).start()
+    queries.arriving(spark, spark.range(35).select("id", F.when(F.col("id") < 30, 0).otherwise(1).alias("part")).coalesce(1), 2, start)
+    assert seen == [(0, 30, 3), (1, 5, 1)]
+
+
+def test_identifiers_of_one_bucket_are_admitted_each_by_itself(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "BUCKETS", 1)
+    rows = [("a", "1", 0), ("b", "1", 0), ("c", "1", 0), ("c", "2", 0), ("a", "1", 1), ("b", "2", 1), ("c", "3", 1), ("d", "1", 1), ("d", "1", 1)]
+    root = lineage.scratch_path(spark, "bucket-test")
+    start = lambda source: jobs.stream_append(source, f"{root}/rows", f"{root}/conflicts", f"{root}/checkpoint")
+    queries.arriving(spark, spark.createDataFrame(rows, "activity_id string, customer string, part int"), 2, start)
+    read = lambda name: sorted(tuple(r) for r in spark.read.parquet(f"{root}/{name}").select("batch", "activity_id", "customer").collect())
+    assert read("rows") == [(0, "a", "1"), (0, "b", "1"), (1, "c", "3"), (1, "d", "1")]
+    assert read("conflicts") == [(0, "c", "1"), (0, "c", "2"), (1, "b", "2")]
