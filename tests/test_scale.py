@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import accounting
 from ledgerloom.plans import lineage, queries
+from ledgerloom.plans.context import Context
 from ledgerloom.streaming import jobs
 
 
@@ -33,3 +37,17 @@ def test_identifiers_of_one_bucket_are_admitted_each_by_itself(spark, monkeypatc
     read = lambda name: sorted(tuple(r) for r in spark.read.parquet(f"{root}/{name}").select("batch", "activity_id", "customer").collect())
     assert read("rows") == [(0, "a", "1"), (0, "b", "1"), (1, "c", "3"), (1, "d", "1")]
     assert read("conflicts") == [(0, "c", "1"), (0, "c", "2"), (1, "b", "2")]
+
+
+def test_months_of_one_subscription_are_dealt_to_several_tasks(spark):
+    ctx = Context(dt.date(2001, 7, 31), dt.date(2001, 8, 1), dt.date(1995, 1, 1))
+    rows = [("s", "c", "k", dt.datetime(1995, 1, 15), 0, "a", dt.date(2001, 8, 1), 100, 2)]
+    events = spark.createDataFrame(rows, "_source string, customer string, subscription_id string, ts timestamp, priority int, activity_id string, period_end date, price_cents long, paid_seats long")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        months = accounting.subscription_months(accounting.subscription_states(events, ctx), ctx).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset(key)
+    assert len(months) == 79 and len({r.task for r in months}) == 2
+    assert sum(r.numerator for r in months) == 200 * (dt.date(2001, 8, 1) - dt.date(1995, 1, 15)).days
