@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import money
 from ledgerloom.operators import accounting
 from ledgerloom.plans import lineage, queries
 from ledgerloom.plans.context import Context
@@ -51,3 +52,10 @@ def test_months_of_one_subscription_are_dealt_to_several_tasks(spark):
         spark.conf.unset(key)
     assert len(months) == 79 and len({r.task for r in months}) == 2
     assert sum(r.numerator for r in months) == 200 * (dt.date(2001, 8, 1) - dt.date(1995, 1, 15)).days
+
+
+def test_rounding_is_exact_on_both_sides_of_the_narrow_range(spark):
+    amounts = [0, 1, 7, 31, money.SAFE - 1, money.SAFE, money.SAFE + 1, 9 * 10**16]
+    rows = [(a, e, d) for a in amounts for e, d in ((0, 31), (1, 31), (15, 30), (31, 31), (999_999, 1_000_000), (1_000_001, 1_000_001))]
+    found = spark.createDataFrame(rows, "a long, e long, d long").select("a", "e", "d", money.half_up("a", "e", "d").alias("x")).collect()
+    assert all(r.x == (2 * r.a * r.e + r.d) // (2 * r.d) for r in found)
