@@ -41,6 +41,43 @@ UPPER = bytes(range(65, 91))
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+BLANK = zlib.crc32(b" ")
+#: Lengths in bytes for which a CRC is moved by tables; longer words are moved one by one.
+TABLED = 64
+
+
+def _advanced(crc: np.ndarray) -> np.ndarray:
+    """The raw remainders after one more byte of zero."""
+    return (crc >> np.uint32(8)) ^ _BYTE[crc & np.uint32(255)]
+
+
+def _tables() -> np.ndarray:
+    """For each length up to ``TABLED`` and each of a remainder's four bytes, what that many bytes of zero turn it into."""
+    out = np.empty((TABLED + 1, 4, 256), np.uint32)
+    out[0] = np.arange(256, dtype=np.uint32) << (np.arange(4, dtype=np.uint32) * 8)[:, None]
+    for n in range(TABLED):
+        out[n + 1] = _advanced(out[n])
+    return out
+
+
+#: The raw remainder of each byte: the difference to the byte of zero takes the CRC's fixed part away.
+_BYTE = np.array([zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0") for b in range(256)], np.uint32)
+_TABLES = _tables().ravel()
+
+
+def shifted(crc: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What CRCs become when texts of the given lengths follow, whose own CRCs are still to be added (by exclusive or)."""
+    at = np.minimum(lengths, TABLED) * 1024
+    out = np.zeros(len(crc), np.uint32)
+    for k in range(4):
+        out ^= _TABLES[at + (k * 256 + ((crc >> np.uint32(8 * k)) & np.uint32(255)).astype(np.int64))]
+    rest = lengths - TABLED
+    for i in np.flatnonzero(rest > 0).tolist():
+        zeros = bytes(int(rest[i]))
+        out[i] = zlib.crc32(zeros, int(out[i])) ^ zlib.crc32(zeros)
+    return out
+
+
 def bucket_of(feature: bytes) -> int:
     return zlib.crc32(feature) % BUCKETS
 
@@ -67,16 +104,21 @@ class Segments:
 
     def _inside(self) -> None:
         """Buckets of the runs inside each distinct line, all lines one after another."""
-        flat = b" ".join(w for words in self.words for w in words)
-        size = np.array([len(w) for words in self.words for w in words], np.int64)
-        begin = np.concatenate([[0], np.cumsum(size + 1)])[: len(size)]
-        end = begin + size
+        known: dict[bytes, int] = {}
+        which = np.array([known.setdefault(w, len(known)) for words in self.words for w in words], np.int64)
         line = np.repeat(np.arange(len(self.count)), self.count)
-        crc, found, owners = zlib.crc32, [], []
+        # A run's CRC follows from its words': each word is read once as it is and once after a blank.
+        alone = np.fromiter(map(zlib.crc32, known), np.uint32, len(known))
+        after = np.fromiter((zlib.crc32(w, BLANK) for w in known), np.uint32, len(known))
+        shift = np.fromiter((len(w) + 1 for w in known), np.int64, len(known))
+        made, found, owners = alone[which], [], []
         for width in range(1, LONGEST + 1):
-            first = np.flatnonzero(line[: max(0, len(line) - width + 1)] == line[width - 1 :])
-            cuts = zip(begin[first].tolist(), end[first + width - 1].tolist(), strict=True)
-            found.append(np.fromiter((crc(flat[a:b]) for a, b in cuts), np.int64, len(first)))
+            n = max(0, len(line) - width + 1)
+            if width > 1:
+                last = which[width - 1 :]
+                made = shifted(made[:n], shift[last]) ^ after[last]
+            first = np.flatnonzero(line[:n] == line[width - 1 :])
+            found.append(made[first].astype(np.int64))
             owners.append(line[first])
         self.inside, self.inside_line = np.concatenate(found) % BUCKETS, np.concatenate(owners)
 
