@@ -56,3 +56,16 @@ def test_tokens_are_shared_out_without_being_written(spark):
     cost = book.compute.filter("row_kind = 'consumption' AND purpose = 'inference'").agg(F.sum("cost_cents")).first()[0]
     assert book.tokens.agg(F.sum("allocated_cost_cents")).first()[0] == cost
     assert context.allocation(spark).count() == 20
+
+
+def test_small_groups_are_shared_exactly_in_longs_and_beyond(spark):
+    from ledgerloom.functions import money
+
+    sizes = {"s": (1_234_567, 1_000), "e": (money.NARROW, money.NARROW // 7), "w": (money.NARROW + 5, 10**12), "x": (9 * 10**15, 3)}
+    rows = [(g, i, amount, 1 + i * 7919 % 13 * unit) for g, (amount, unit) in sizes.items() for i in range(7)]
+    df = spark.createDataFrame(rows, "g string, i long, amount long, w long")
+    found = money.apportion_small(df, ["g"], {"amount": "share"}, "w", "i").collect()
+    assert {(r.g, r.i): r.share for r in found} == shared(rows)
+    odd = spark.createDataFrame([("z", 1, 5, 0), ("z", 2, 5, 0), ("n", 1, -7, 3), ("n", 2, -7, 4)], "g string, i long, amount long, w long")
+    found = money.apportion_small(odd, ["g"], {"amount": "share"}, "w", "i").collect()
+    assert {(r.g, r.i): r.share for r in found} == {("z", 1): 0, ("z", 2): 0, ("n", 1): -3, ("n", 2): -4}
