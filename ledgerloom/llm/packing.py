@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,10 +35,11 @@ from ledgerloom.llm.common import ship_package
 CAPACITY = 4096
 PIECE_TOKENS = 1024
 GROUP_WINDOWS = 128
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 BEYOND_LATIN = "\u0250"
 CONTROL = re.compile("[\x00-\x1f\x7f-\xa0]")
-TEXTS_AT_ONCE = 1024
+#: Characters of the texts that are split into words together; one longer text goes alone.
+CHARS_AT_ONCE = 1 << 21
 #: Fixed value: how the word vocabulary splits lower-case text before merging.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -145,6 +147,18 @@ class Tokens:
         return [b"".join(map(look, row)) for row in rows]
 
 
+def handfuls(texts: list[str]) -> Iterator[slice]:
+    """Places of consecutive texts of some ``CHARS_AT_ONCE`` characters."""
+    low, size = 0, 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > CHARS_AT_ONCE:
+            yield slice(low, i)
+            low, size = i, 0
+        size += len(text) + 1
+    if low < len(texts):
+        yield slice(low, len(texts))
+
+
 _loaded: dict[str, Tokens] = {}
 
 
@@ -170,6 +184,7 @@ def pack_documents(
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pa.default_memory_pool().release_unused()  # a worker may still hold what an earlier job's batches needed
         tokens = tokens_of(path)
         serial = TaskContext.get().partitionId() << 32  # type: ignore[union-attr]
         group: list[tuple] = []
@@ -188,9 +203,10 @@ def pack_documents(
 
         for batch in batches:
             texts, docs_in = ["" if t is None else t for t in batch["text"].tolist()], batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None).tolist()
-            for lo in range(0, len(texts), TEXTS_AT_ONCE):
+            del batch
+            for some in handfuls(texts):
                 out: list[list] = []
-                for doc, ids in zip(docs_in[lo : lo + TEXTS_AT_ONCE], tokens.encode(texts[lo : lo + TEXTS_AT_ONCE]), strict=True):
+                for doc, ids in zip(docs_in[some], tokens.encode(texts[some]), strict=True):
                     ids += end
                     total = len(ids) // 4
                     whole = total // capacity * capacity
