@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.lineage import cut
+from ledgerloom.plans.lineage import cut, parts
 from ledgerloom.sources.admission import inventory, validate_activity
 
 EVENT = "struct<activity_id:string,ts:timestamp,customer:string,anonymous_customer_id:string,activity:string,feature_json:map<string,string>,revenue_impact:string,link:string>"
@@ -23,7 +23,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
     splits = splits.withColumn("skipped", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    numbered = raw.join(splits, ["file", "block"])
+    numbered = raw.join(F.broadcast(splits), ["file", "block"])  # by key, all lines of a split would meet in one task
     return numbered.select("file", (F.col("at") - F.col("first") + F.col("skipped") + 1).alias("observation"), "value")
 
 
@@ -52,9 +52,10 @@ def read_capture(spark: SparkSession, path: str, source: str, checked: bool = Tr
     error = F.when(unread, "unreadable").when(F.col("_recorded_at") < F.col("ts"), "arrival precedes economic time").when(F.size("errors") > 0, F.array_join("errors", "; "))
     rows = cut(rows.withColumns({"error": error, "event_sha256": event_digest(rows), "_source": F.lit(source)}).drop("errors"), "capture")
     # Observations of several files of one source are one sequence, file by file.
+    n = parts(rows)
     seen = rows.select(F.struct("file", "observation").alias("observation"), "activity_id", F.struct("event_sha256", "_recorded_at").alias("content"), F.col("error").isNull().alias("sound"))
-    status = inventory(seen).select("observation.file", "observation.observation", "status")
-    return rows.join(status, ["file", "observation"])
+    status = inventory(seen.repartition(n, "activity_id")).select("observation.file", "observation.observation", "status")
+    return rows.repartition(n, "file", "observation").join(status.repartition(n, "file", "observation"), ["file", "observation"])
 
 
 def reconcile_captures(act: DataFrame, observations: DataFrame, coverage: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFrame]:
