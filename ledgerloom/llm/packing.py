@@ -20,6 +20,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,18 @@ CHARS_AT_ONCE = 1 << 21
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
+def plain_parts(below: str) -> re.Pattern[str]:
+    """``PARTS`` for texts that have no sign from ``below`` on: its classes written out, alternatives that can't begin alike in any order."""
+    signs = "".join(map(chr, range(ord(below))))
+    letters, digits = (re.escape("".join(regex.findall(kind, signs))) for kind in (r"\p{L}", r"\p{N}"))
+    return re.compile(f"[{letters}]+|[{digits}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{letters}{digits}]+")
+
+
+ASCII_PARTS, LATIN_PARTS = plain_parts("\x80"), plain_parts(BEYOND_LATIN)
+#: Signs of texts that go word by word: control signs but for white space, and those that aren't Latin or not in lower case.
+ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0" + "".join(c for c in map(chr, range(0xA1, ord(BEYOND_LATIN))) if max(c.lower()) >= BEYOND_LATIN) + BEYOND_LATIN + "-\U0010ffff]")
+
+
 def merge_partitions(a: list, b: list, k: int) -> list:
     """Two partial partitions into k windows, each a list of (sum, items) by falling sum, joined with opposing imbalances."""
     over = len(a) + len(b) - k
@@ -94,8 +107,25 @@ def pack_sizes(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         k += 1
 
 
+class Parts(dict[str, bytes]):
+    """Ids of parts of words, in lower case and without odd signs; one that isn't known yet is encoded when it is asked for."""
+
+    def __init__(self, tokenizer: Any) -> None:
+        super().__init__()
+        self.merge = tokenizer.model.tokenize  # what is left of encoding a part: it is split and in lower case already
+        self.letters = {b: letter for letter, b in byte_letters().items()}
+
+    def __missing__(self, part: str) -> bytes:
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        ids = self[part] = array("I", [t.id for t in self.merge(letters)]).tobytes()
+        return ids
+
+
 class Tokens:
-    """Ids of a text by the tokenizers library; white space separates words, so words are encoded once and kept."""
+    """Ids of a text by the tokenizers library; it is split as the vocabulary splits it, and parts are encoded once and kept.
+
+    Texts with odd signs, or what may be a special token, go word by word: white space separates words, which are kept too.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -105,40 +135,24 @@ class Tokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.letters = {b: letter for letter, b in byte_letters().items()}
+        self.parts = Parts(self.tokenizer)
         # A text holds an added token only where the first two signs of one stand, in either case.
         self.begins = sorted({t.content[:2].lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.special = re.compile("|".join(map(re.escape, self.begins)) or r"(?!)", re.IGNORECASE)
 
-    def learn(self, words: list[bytes]) -> None:
-        """Encode words through their parts: letters, single digits and other signs are encoded apart by this vocabulary.
-
-        Words beyond Latin letters, those with control signs and those that may hold a special token go to the library whole.
-        """
-        parts_of: list[list[str]] = []
-        plains = [word.decode("utf-8", "replace") for word in words]
-        together = "\n".join(plains).lower()
-        odd = any(begin in together for begin in self.begins)  # else no word holds one, and no part of a word
-        for plain in plains:
-            whole = (odd and self.special.search(plain)) or CONTROL.search(plain) or (not plain.isascii() and max(plain) >= BEYOND_LATIN)
-            parts_of.append([plain] if whole else PARTS.findall(plain.lower()))
-        known = self.parts
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        merge = self.tokenizer.model.tokenize  # what is left of encoding a part: it is split and in lower case already
-        for part in set().union(*parts_of).difference(known):
-            if (odd and self.special.search(part)) or CONTROL.search(part) or max(part) >= BEYOND_LATIN:
-                ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-            elif part.isascii():
-                ids = [t.id for t in merge(part)]
-            else:
-                ids = [t.id for t in merge(part.encode().decode("latin-1").translate(self.letters))]
-            known[part] = array("I", ids).tobytes()
-        look = known.__getitem__
-        self.cache.update(zip(words, [b"".join(map(look, parts)) for parts in parts_of], strict=True))
+    def whole(self, text: str) -> bool:
+        """Whether only the library itself may encode a word or part: beyond Latin letters, with control signs or perhaps a special token."""
+        return bool(self.special.search(text) or CONTROL.search(text) or (not text.isascii() and max(text) >= BEYOND_LATIN))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def learn(self, words: list[bytes]) -> None:
+        """Encode words through their parts: letters, single digits and other signs are encoded apart by this vocabulary."""
+        library = lambda text: array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        for word in words:
+            plain = word.decode("utf-8", "replace")
+            parts = [plain] if self.whole(plain) else PARTS.findall(plain.lower())
+            self.cache[word] = b"".join([library(part) if self.whole(part) else self.parts[part] for part in parts])
+
+    def encode_words(self, texts: list[str]) -> list[bytes]:
         rows = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
@@ -146,6 +160,21 @@ class Tokens:
         look = self.cache.__getitem__
         return [b"".join(map(look, row)) for row in rows]
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        look, found, odd = self.parts.__getitem__, [], []
+        for i, text in enumerate(texts):
+            plain = text.lower()
+            if ODD.search(text) or any(begin in plain for begin in self.begins):
+                odd.append(i)
+                found.append(b"")
+            else:
+                found.append(b"".join(map(look, (ASCII_PARTS if plain.isascii() else LATIN_PARTS).findall(plain))))
+        for i, ids in zip(odd, self.encode_words([texts[i] for i in odd]), strict=True):
+            found[i] = ids
+        return found
+
 
 def handfuls(texts: list[str]) -> Iterator[slice]:
     """Places of consecutive texts of some ``CHARS_AT_ONCE`` characters."""
